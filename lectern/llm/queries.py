@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .media import describe, store
 from .mix import mix
 from .pieces import encode_decode
+from .quality import fit_model, grade_documents
+from .secrets import scan_documents
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
+from .top_k import integer_vectors, top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,14 +23,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents"), keep=False)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(store(table(spark, sf_dir, "documents")), keep=False)
+
+
 def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=False)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grade_documents(docs, fit_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(spark, path, keep=False)
@@ -37,8 +59,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
+    "op4_top_k": op4_top_k,
+    "op5_media": op5_media,
     "op6_piece_coding": op6_piece_coding,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
