@@ -1,5 +1,56 @@
-"""Placeholder."""
-STAGES = []
+"""A corpus from raw documents to token ids: five stages, each written as Parquet and read again as the next one's input.
+
+1. quality: documents that the ordinal classifier rejects (toxic or of low quality) go;
+2. near_duplicates: one document of each group of near copies stays;
+3. secrets: credentials in the text are replaced by the name of their kind;
+4. mix: sources are taken up to their target weights, in whole documents, some more than once;
+5. pieces: every text is encoded and decoded.
+
+All but the last return the columns of ``documents``. The stages use fitted weights and hashes that SQL has no functions
+for, so there is no SQL for the result; tests hold each stage against a plain computation.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm._common import new_path, table
+from lectern.llm.mix import mixed_rows
+from lectern.llm.near_dup import one_of_each
+from lectern.llm.pieces import encode_decode
+from lectern.llm.quality import accepted, fit_model
+from lectern.llm.queries import tokenizer_path
+from lectern.llm.secrets import redacted_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs, fit_model(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redacted_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_rows(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), keep=False)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pieces", pieces)]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

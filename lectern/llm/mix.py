@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import bounded, written
 
 #: Characters that end a word, as a class for Java's and RE2's regular expressions.
 BLANKS = r"\x20\x09-\x0D"
@@ -23,6 +23,8 @@ BLANKS = r"\x20\x09-\x0D"
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Rows that a range of keys should hold.
 RANGE_ROWS = 2048
+#: Rows of ids and passes up to which they are broadcast, after a count.
+SENT = 500_000
 _KEYS = 1 << 62
 
 
@@ -79,12 +81,12 @@ def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, weights: tuple =
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each document as many times as the mix starts a pass over it.
-    Rows without words are in no budget and are left out."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
-    chosen = mix(docs, boundary="document", **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"), F.col("source").alias("__source"))
-    chosen = chosen.groupBy("__id", "__source").agg(F.sum("__copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    # Rows that repeat a doc_id share the copies of that id evenly.
-    joined = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & keyed["source"].eqNullSafe(chosen["__source"]))
+    """The mix itself: the columns of ``docs``, each document as many times as the mix starts a pass over it. Documents are
+    whole, so a source may exceed its budget by less than one document. Rows without words are in no budget and are left
+    out; rows that repeat a doc_id in a source share its passes evenly, rounded up."""
+    chosen = mix(docs, boundary="document", **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
+    chosen = chosen.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    chosen = bounded(written(chosen, "mix-copies"), SENT)
+    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]) & docs["source"].eqNullSafe(chosen["__source"]))
     copies = F.expr("cast(ceil(__copies / __rows) as int)")
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import table
 from .media import describe, store
 from .mix import mix
+from .near_dup import near_duplicates
+from .passages import repeated_passages
 from .pieces import encode_decode
 from .quality import fit_model, grade_documents
 from .secrets import scan_documents
@@ -31,6 +33,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -44,6 +50,10 @@ def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=False)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return grade_documents(docs, fit_model(docs, table(spark, sf_dir, "labels")))
@@ -61,9 +71,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_top_k": op4_top_k,
     "op5_media": op5_media,
     "op6_piece_coding": op6_piece_coding,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
