@@ -229,12 +229,15 @@ class PieceCoder:
         self.table = _AnyPair(pieces, splits)
         self.by_rank = [self.ids[p] for p in pieces]
         self.units = {p for p in pieces if len(p) == 1}
-        newline = "" if any("\n" in p for p in self.ids) else r"\n"
         import re
 
-        m = self.MARK
-        self.cuts = re.compile(f"{newline}|{m}*[^{m}{newline}]+|{m}+" if newline else f"{m}*[^{m}]+|{m}+").findall
-        self.kept: dict[str, tuple[int, str]] = {}
+        m, every = self.MARK, "".join(f"{p}\0" for p in self.ids)
+        newline = "" if "\n" in every else r"\n"
+        # Where no piece has a full stop or comma right after a letter, words end before them.
+        letter = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+        stop = "" if re.search(f"{letter}[.,]", every) else f"{m}*{letter}+(?=[.,])|"
+        self.cuts = re.compile(f"{stop}{newline}{'|' * bool(newline)}{m}*[^{m}{newline}]+|{m}+").findall
+        self.kept: dict[str, tuple[str, list[int]]] = {}
 
     def _last_merge(self, piece: str, rank: dict[str, int]) -> tuple[int, int] | None:
         """The two pieces that the text of ``piece`` comes to just before its last merge; None if it never gets there."""
@@ -252,6 +255,8 @@ class PieceCoder:
         m = self.MARK
         if cut[:2] == m + m:
             return [i for p in merge_again(list(cut), self.score) for i in self._of(p)]
+        if self.units.issuperset(cut):
+            return [self.by_rank[r] for r in self.table.encode(cut)]
         out: list[int] = []
         run = ""
         for c in cut:
@@ -269,8 +274,8 @@ class PieceCoder:
     def _of(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()]
 
-    def encode_parts(self, text: str) -> list[tuple[int, str]]:
-        """(number of ids, ids in decimals joined by commas) of each cut of the text."""
+    def encode_parts(self, text: str) -> list[tuple[str, list[int]]]:
+        """(ids in decimals joined by commas, ids) of each cut of the text."""
         if not text:
             return []
         kept = self.kept
@@ -281,14 +286,14 @@ class PieceCoder:
                 if len(kept) > 600_000:
                     kept.clear()
                 ids = self._cut_ids(cut)
-                got = (len(ids), ",".join(map(str, ids)))
+                got = (",".join(map(str, ids)), ids)
                 if len(cut) <= 64:
                     kept[cut] = got
             out.append(got)
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids in self.encode_parts(text) for i in ids.split(",")]
+        return [i for _, ids in self.encode_parts(text) for i in ids]
 
 
 class _AnyPair(MergeTable):
