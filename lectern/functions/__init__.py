@@ -1 +1 @@
-"""."""
+"""Column functions: text, titles, SSML, chunks, audio."""
