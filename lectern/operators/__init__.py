@@ -1 +1 @@
-"""."""
+"""DataFrame operators: segmentation, vocabularies, context, checks, overviews."""

@@ -1 +1 @@
-"""."""
+"""External batches and incremental runs."""
