@@ -11,6 +11,7 @@ document (repeats inside one document are not reported); an empty table gives no
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from ._common import written
 #: Least and most bytes of a chunk, and the bits of the hash that are 0 at a cut; the least bytes of a passage.
 LEAST, MOST, CUT_BITS, PASSAGE = 24, 512, 5, 110
 #: Bytes that are hashed at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 1 << 20
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
 
 
@@ -70,19 +71,18 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, number, start, size (bytes), digest (two halves), one row for each chunk."""
 
     def emit(ids, texts):
-        doc, number, start, size, digests = [], [], [], [], []
-        for i, text, ends in zip(ids, texts, cuts(texts)):
-            at = 0
-            for k, end in enumerate(ends):
-                piece = text[at:end]
-                digests.append(hashlib.blake2b(piece, digest_size=16).digest())
-                start.append(at)
-                size.append(end - at)
-                at = end
-            number += range(len(ends))
-            doc += [i] * len(ends)
-        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "number", "start", "size", "digest1", "digest2"])
+        every = cuts(texts)
+        counts = np.array([len(e) for e in every])
+        ends = np.fromiter(chain.from_iterable(every), np.int64, counts.sum())
+        first = np.cumsum(counts) - counts
+        starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        starts[first[counts > 0]] = 0
+        number = np.arange(len(ends)) - np.repeat(first, counts)
+        digest = hashlib.blake2b
+        digests = b"".join([digest(text[a:b], digest_size=16).digest() for text, e in zip(texts, every) for a, b in zip([0, *e], e)])
+        halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+        doc = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), counts)))
+        return pa.RecordBatch.from_arrays([doc, pa.array(number.astype(np.int32)), pa.array(starts), pa.array((ends - starts).astype(np.int32)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "number", "start", "size", "digest1", "digest2"])
 
     def run(batches):
         for batch in batches:
