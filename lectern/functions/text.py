@@ -160,10 +160,11 @@ def vocabulary_applied(c: Column, entries: list[tuple[str, str]]) -> Column:
 
 
 def byte_prefix(c: Column, n: int) -> Column:
-    """The first n bytes and "..." of longer texts, whole code points only."""
-    data = F.encode(c, "UTF-8")
-    cut = F.decode(F.substring(data, 1, n), "UTF-8")
-    return F.when(F.octet_length(c) > n, F.concat(F.regexp_replace(cut, "�\\z", ""), F.lit("..."))).otherwise(c)
+    """The first n bytes and "..." of longer texts, without the code point that the cut would split."""
+    data = F.hex(F.substring(F.encode(c, "UTF-8"), 1, n))
+    split_point = "(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-7](?:[89AB][0-9A-F]){0,2})"
+    whole = F.regexp_replace(data, rf"^((?:[0-9A-F]{{2}})*?){split_point}\z", "$1")
+    return F.when(F.octet_length(c) > n, F.concat(F.decode(F.unhex(whole), "UTF-8"), F.lit("..."))).otherwise(c)
 
 
 def numbered(pattern: str, *columns: Column) -> Column:
