@@ -106,9 +106,10 @@ def outcomes(results: DataFrame, prefix: str, schema: str | None = None, error_f
     value = F.from_json("content", schema) if schema else F.col("content")
     rows = results.withColumn("chapter_id", id_).withColumn("value", value)
     failed = F.col("error") != ""
+    unreadable = F.get_json_object("content", "$").isNull() if schema else F.col("value").isNull()
     unknown = F.col("chapter_id") <= 0
     first, second = ((failed, "failed"), (unknown, "unrecognised")) if error_first else ((unknown, "unrecognised"), (failed, "failed"))
-    return rows.withColumn("outcome", F.when(first[0], first[1]).when(second[0], second[1]).when(F.col("value").isNull(), "failed").otherwise("ok"))
+    return rows.withColumn("outcome", F.when(first[0], first[1]).when(second[0], second[1]).when(unreadable, "failed").otherwise("ok"))
 
 
 def extracted(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -6,8 +6,10 @@ groupings with partial aggregates, so no key's rows are gathered in one place un
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,9 +199,6 @@ def override_entries(overrides: DataFrame) -> DataFrame:
 def applied(text: Column, entries: Column) -> Column:
     """A vocabulary of any size, an array of (term, stressed) in its order, applied to text. A fold over regular expressions
     built from rows has no column form in Spark (patterns must be literals there), so this one is an Arrow function."""
-    import re
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, vocabularies: pd.Series) -> pd.Series:
