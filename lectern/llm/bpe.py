@@ -19,6 +19,7 @@ import json
 from collections import defaultdict
 
 import ahocorasick
+import numpy as np
 
 
 class MergeTable:
@@ -41,6 +42,12 @@ class MergeTable:
         for i, p in enumerate(pieces):
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        #: the same without single units, which stand wherever nothing longer does
+        self.joint = ahocorasick.Automaton()
+        for i, p in enumerate(pieces):
+            if len(p) > 1:
+                self.joint.add_word(p, (len(p) - 1, i))
+        self.joint.make_automaton()
         #: the longest proper prefix of each piece that is a piece, or -1
         self.shorter = [-1] * self.n
         rank = self.rank
@@ -60,7 +67,7 @@ class MergeTable:
         known = self.seams.get(key)
         if known is not None:
             return known
-        if len(self.seams) > 2_000_000:
+        if len(self.seams) > 500_000:
             self.seams.clear()
         x, y, limit = a, b, self.n
         ok = True
@@ -83,12 +90,11 @@ class MergeTable:
         return ok
 
     def longest(self, text: str) -> list[int]:
-        """For each position the longest piece that starts there, or -1."""
-        out, size = [-1] * len(text), self.size
-        for end, i in self.automaton.iter(text):
-            at = end - size[i] + 1
-            if out[at] < 0 or size[out[at]] < size[i]:
-                out[at] = i
+        """For each position the longest piece that starts there."""
+        out = list(map(self.rank.__getitem__, text))
+        # Matches come by their ends, so of those that start at one place the last is the longest.
+        for end, (back, i) in self.joint.iter(text):
+            out[end - back] = i
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -235,9 +241,11 @@ class PieceCoder:
         newline = "" if "\n" in every else r"\n"
         # Where no piece has a full stop or comma right after a letter, words end before them.
         letter = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-        stop = "" if re.search(f"{letter}[.,]", every) else f"{m}*{letter}+(?=[.,])|"
-        self.cuts = re.compile(f"{stop}{newline}{'|' * bool(newline)}{m}*[^{m}{newline}]+|{m}+").findall
-        self.kept: dict[str, tuple[str, list[int]]] = {}
+        stop = "" if re.search(f"{letter}[.,]", every) else f"{m}*+{letter}++(?=[.,])|"
+        self.cuts = re.compile(f"{stop}{newline}{'|' * bool(newline)}{m}*+[^{m}{newline}]++|{m}++").findall
+        # Cuts seen lately and before that: when the first is full it takes the place of the second, so common ones stay.
+        self.kept: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def _last_merge(self, piece: str, rank: dict[str, int]) -> tuple[int, int] | None:
         """The two pieces that the text of ``piece`` comes to just before its last merge; None if it never gets there."""
@@ -274,26 +282,26 @@ class PieceCoder:
     def _of(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()]
 
-    def encode_parts(self, text: str) -> list[tuple[str, list[int]]]:
-        """(ids in decimals joined by commas, ids) of each cut of the text."""
+    def encode_text(self, text: str) -> str:
+        """The ids of the text, in decimals joined by commas."""
         if not text:
-            return []
-        kept = self.kept
-        out = []
-        for cut in self.cuts(self.MARK + text.replace(" ", self.MARK)):
-            got = kept.get(cut)
-            if got is None:
-                if len(kept) > 600_000:
-                    kept.clear()
-                ids = self._cut_ids(cut)
-                got = (",".join(map(str, ids)), ids)
-                if len(cut) <= 64:
-                    kept[cut] = got
-            out.append(got)
-        return out
+            return ""
+        cuts = self.cuts(self.MARK + text.replace(" ", self.MARK))
+        out = list(map(self.kept.get, cuts))
+        if None in out:
+            out = [self._keep(cut) if got is None else got for cut, got in zip(cuts, out)]
+        return ",".join(out)
+
+    def _keep(self, cut: str) -> str:
+        got = self.kept.get(cut) or self.older.get(cut) or ",".join(map(str, self._cut_ids(cut)))
+        if len(cut) <= 64:
+            if len(self.kept) >= 250_000:
+                self.kept, self.older = {}, self.kept
+            self.kept[cut] = got
+        return got
 
     def encode(self, text: str) -> list[int]:
-        return [i for _, ids in self.encode_parts(text) for i in ids]
+        return np.fromstring(self.encode_text(text), np.int32, sep=",").tolist() if text else []
 
 
 class _AnyPair(MergeTable):

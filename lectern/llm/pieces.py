@@ -10,8 +10,8 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,9 +30,8 @@ def encode_decode(docs: DataFrame, model: str, keep: bool = True, id_col: str =
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():
-                parts = coder.encode_parts(text or "")
-                joined = ",".join([p[0] for p in parts])
-                ids = list(chain.from_iterable([p[1] for p in parts]))
+                joined = coder.encode_text(text or "")
+                ids = np.fromstring(joined, np.int32, sep=",").tolist() if joined else []
                 decoded = coder.library.decode(ids) if ids else ""
                 row = (len(ids), sha256(joined.encode()), sha256(decoded.encode()), *((ids, decoded) if keep else ()))
                 for column, x in zip(out, row):
