@@ -80,4 +80,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+# SQL of the queries that SQL can express on whole tables; the others are tested against brute force.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_VECTORS = "(SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 AND len(embedding) > 0)"
+ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": f"""SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS rank FROM {_VECTORS} q JOIN {_VECTORS} c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0) WHERE rank <= 20""",
+    "op7_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS h FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+  k AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+  e AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+  r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, e.y FROM r JOIN e ON r.o = e.x)
+  SELECT d.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, m.o AS component_id, m.o = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(o) AS o FROM r GROUP BY d) m ON m.d = d.doc_id""",
+}

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from lectern.llm.queries import QUERIES
+from lectern.llm.queries import ORACLE_SQL, QUERIES
 
 CONTRACTS = {
     "op1_": "doc_id n_assign n_access n_hex base_sha256 spans",
@@ -43,3 +43,19 @@ def test_pipeline(spark):
             assert docs.where("text rlike 'token = \"[0-9a-f]{20,}'").isEmpty()
     assert len(corpus_pipeline.STAGES) == 5 and sizes[0] > sizes[1] == sizes[2] and sizes[3] == sizes[4]
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    found = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    order = [names.index(c) for c in columns]
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(tuple(r[i] for i in order) for r in found.fetchall())
