@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import written
 
 #: Least and most bytes of a chunk, and the bits of the hash that are 0 at a cut; the least bytes of a passage.
-LEAST, MOST, CUT_BITS, PASSAGE = 24, 512, 5, 110
+LEAST, MOST, CUT_BITS, PASSAGE = 24, 512, 5, 100
 #: Bytes that are hashed at a time.
 GROUP_BYTES = 1 << 20
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
