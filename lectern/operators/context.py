@@ -12,6 +12,7 @@ from .vocab import looked_up  # noqa: F401  part of this module's surface
 
 #: Types of terms in the order of a prompt; others follow by name.
 TYPES = ("character", "place", "organization", "title", "term")
+# Headings of the blocks that requests are made of.
 GLOSSARY_HEAD = "=== Glossary (use these translations consistently) ===\n"
 CONTEXT_HEAD = "=== Previous chapter context ===\n\n"
 

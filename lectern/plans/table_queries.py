@@ -256,7 +256,28 @@ QUERIES = {
     "t27_custom_ids": lambda s, d: V.chapters(s, d).select(custom_id("analyze", F.col("id")).alias("custom_id"), basename(F.concat(F.lit("a\\b/"), F.col("title"))).alias("name")),
 }
 
+def _skipped_sql() -> str:
+    from ..functions.titles import classify_sql
+
+    reason = "CASE WHEN c LIKE 'SKIP/%' THEN substr(c, 6) WHEN c LIKE 'KEEP/%' THEN substr(c, 6) ELSE 'ambiguous-default-skip' END"
+    toc = f"SELECT book, 'toc' AS strategy, {reason} AS reason FROM (SELECT book, {classify_sql('title')} AS c FROM {V.TOC}) WHERE c NOT LIKE 'KEEP/%'"
+    early = f"SELECT book, spine_index, coalesce(nullif(coalesce(arg_min(text, block_index) FILTER (kind = 'heading'), ''), ''), 'item' || spine_index::VARCHAR) AS title FROM {_STARTS} GROUP BY book, spine_index HAVING max(segment) = 0"
+    heading = f"SELECT book, 'heading' AS strategy, {reason} AS reason FROM (SELECT book, {classify_sql('title')} AS c FROM ({early}))"
+    return f"SELECT book, strategy, reason, count(*) AS n FROM ({toc} UNION ALL {heading}) GROUP BY ALL"
+
+
+def _index_sql() -> str:
+    n = lambda sql, name: f"LEFT JOIN (SELECT book, count(*) AS {name} FROM ({sql}) GROUP BY book) USING (book)"
+    heading = f"SELECT book FROM (SELECT book, segment, count(*) FILTER (NOT starts) AS n FROM {_STARTS} WHERE segment > 0 GROUP BY book, segment) WHERE n > 0"
+    counts = f"(SELECT book, coalesce(t, 0) AS t, coalesce(h, 0) AS h, i FROM (SELECT source AS book, count(*) AS i FROM documents GROUP BY source) {n(_toc_sql(), 't')} {n(heading, 'h')})"
+    return f"SELECT book, CASE WHEN t >= 2 THEN t WHEN h >= 2 THEN h ELSE i END::INT AS chapter_count, 0 AS start_id, CASE WHEN t >= 2 THEN 'toc' WHEN h >= 2 THEN 'heading' ELSE 'per-item' END AS strategy, (t < 2 AND h < 2)::INT AS warnings FROM {counts}"
+
+
+_ONE_CONFLICT = f"(SELECT key, term, list(form ORDER BY p) AS forms FROM (SELECT key, lower(form), arg_min(form, p) AS form, min(p) AS p FROM (SELECT key, unnest([base, form]) AS form, unnest([0, 1]) + 10 * (merge::BIGINT * 1000000000 + ord) AS p FROM {_CONFLICTS}) GROUP BY key, lower(form)) JOIN (SELECT key, arg_min(term, merge::BIGINT * 1000000000 + ord) AS term FROM {_CONFLICTS} GROUP BY key) USING (key) GROUP BY key, term)"
 ORACLE_SQL = {
+    "g1_split_index": _index_sql(),
+    "g2_skipped": _skipped_sql(),
+    "a12_resolved": f"SELECT b.term AS term, coalesce(form, b.stressed) AS stressed, b.approved OR form IS NOT NULL AS approved FROM {_BASE} LEFT JOIN (SELECT key AS k, CASE WHEN length(term) % 3 = 0 THEN '' ELSE forms[-1] END AS form FROM {_ONE_CONFLICT}) ON key = k WHERE form IS NULL OR form <> ''",
     "g2_by_toc": _toc_sql(),
     "g3_by_headings": f"SELECT book, (100 + row_number() OVER (PARTITION BY book ORDER BY segment))::INT AS id, title, source, section_ids FROM (SELECT book, segment, arg_min(text, spine_index * 100000 + block_index) FILTER (starts) AS title, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY spine_index, block_index) FILTER (text <> '' AND NOT starts), '')) AS source, array_to_string(list_transform(list_sort(list_distinct(list(spine_index))), lambda x: 'item' || x::VARCHAR), ',') AS section_ids, count(*) FILTER (NOT starts) AS n FROM {_STARTS} WHERE segment > 0 GROUP BY book, segment) WHERE n > 0",
     "g4_per_item": f"SELECT book, row_number() OVER (PARTITION BY book ORDER BY spine_index)::INT AS id, CASE WHEN title = '' THEN {_ITEM} ELSE title END AS title, source, {_ITEM} AS section_ids FROM (SELECT book, spine_index, coalesce(arg_min(text, block_index) FILTER (kind = 'heading'), '') AS title, md5(coalesce({_TEXT}, '')) AS source FROM {V.BLOCKS} GROUP BY ALL)",
