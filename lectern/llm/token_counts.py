@@ -63,7 +63,7 @@ class PrefixCounter:
     def word_count(self, word: str) -> int:
         n = self.kept.get(word)
         if n is None:
-            if len(self.kept) > 600_000:
+            if len(self.kept) > 400_000:
                 self.kept.clear()
                 self.kept.update(dict.fromkeys(self.added, 1))
             n = self.table.prefixes(word.encode().decode("latin-1"))[1][-1]
@@ -74,10 +74,9 @@ class PrefixCounter:
     def counts(self, text: str) -> tuple[list[str], list[int]]:
         """The words of the text and the number of tokens up to the end of each."""
         words = self.words(text)
-        get, kept = self.kept.get, []
-        for w in words:
-            n = get(w)
-            kept.append(self.word_count(w) if n is None else n)
+        kept = list(map(self.kept.get, words))
+        if None in kept:
+            kept = [self.word_count(w) if n is None else n for w, n in zip(words, kept)]
         return words, list(accumulate(kept))
 
     def longest_within(self, words: list[str], sums: list[int], budget: int) -> int:
