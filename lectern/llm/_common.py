@@ -1,4 +1,4 @@
-"""Shared plumbing of the corpus operators: inputs, written intermediate tables, Arrow mapping."""
+"""Shared plumbing of the corpus operators: inputs and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,15 +6,26 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to Python at once: whole documents, some very long, so far fewer than Spark's default.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the rows of Arrow batches for this session, unless they are low or set already; memory of a Python worker
+    follows them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, through Spark's own reader (the folder may be in any store)."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,19 +55,3 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if a count proves that it has at most ``rows`` rows, else as it is (shuffle join).
     ``df`` should be a written table, as it is counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One Arrow batch in, one out; ``fn`` must not keep state that results depend on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """Texts of a batch; null counts as empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]
