@@ -14,7 +14,10 @@ TRIGGERS = ["Released under", "Licensed under"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts in fewer pieces than there are cores (one small file) are dealt out first, as work on them is heavy."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
