@@ -6,8 +6,8 @@ from there on only one document of each class takes part. A class has an embeddi
 
 The join recurses over trees. At the root of each tree documents branch by a chosen position, so those that agree there
 meet in a node. Nodes of at most ``SMALL`` documents are compared exhaustively on their embeddings. In larger nodes
-documents are linked with the node's leaders, and then branch again, by positions that the node's path chooses, unless
-they are all linked by now. Two documents of similarity 0.75 miss each other in all of the trees with probability
+documents are linked with the node's leaders, on full sets, and then branch again, by positions that the node's path
+chooses, unless such confirmed links join them all by now. Two documents of similarity 0.75 miss each other in all of the trees with probability
 0.25 ** ROOTS, about 6e-8.
 
 Pairs that agree in enough positions are candidate links. They make groups; every group is confirmed on full sets, each
@@ -47,6 +47,8 @@ AGREE = 32
 SMALL, LEVELS, GROUP = 16_384, 6, 16_384
 #: Rows up to which a table of ids or nodes is broadcast (24 bytes each), after a count.
 SENT = 500_000
+#: Bytes up to which leaders' sets are broadcast.
+SENT_BYTES = 16 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,7 +229,7 @@ def _grouped_links(rows: DataFrame, group: str, exact: bool) -> DataFrame:
 
 
 def _leader_links(batches):
-    """Each document of a large node with the leaders of the node that it may be similar to."""
+    """Each document of a large node (a) with the leaders of the node (b) that it may be similar to."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -238,11 +240,36 @@ def _leader_links(batches):
             other, other_n, other_s = get("rep" + k).to_numpy(), get("n" + k).to_numpy(), _matrix(get("signature" + k))
             ok = (signatures == other_s).sum(1) >= AGREE
             ok &= (100 * np.minimum(sizes, other_n) >= PERCENT * np.maximum(sizes, other_n)) & (ids != other)
-            out_a.append(np.minimum(ids, other)[ok])
-            out_b.append(np.maximum(ids, other)[ok])
+            out_a.append(ids[ok])
+            out_b.append(other[ok])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
 
+def _similar(batches):
+    """Rows (a, b, hashes, others) -> those (a, b) whose full sets are similar enough."""
+    for batch in batches:
+        ok = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the links (a, b) from documents to leaders that hold on full sets. A leader that many documents share is not
+    gathered with them: leaders' sets are sent where few bytes, else the join may split them."""
+    ends = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ends")
+    wanted = written(classes.select("rep", "set1", "set2").join(bounded(ends, SENT), "rep", "left_semi").withColumn("set", F.struct("set1", "set2")), "wanted")
+    full = written(full_sets(wanted, docs), "sets")
+    heads = written(pairs.select(F.col("b").alias("rep")).distinct(), "heads")
+    heads = full.join(bounded(heads, SENT), "rep", "left_semi").groupBy("rep", "set").agg(F.first("hashes").alias("others"))
+    heads = written(heads.select(F.col("rep").alias("b"), "others"), "heads")
+    size = heads.agg(F.sum(F.octet_length("others"))).first()[0] or 0
+    rows = pairs.join(full.select(F.col("rep").alias("a"), "hashes"), "a").join(F.broadcast(heads) if size <= SENT_BYTES else heads, "b")
+    return rows.select("a", "b", "hashes", "others").mapInArrow(_similar, "a long, b long").distinct()
+
+
 def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """wanted (rep, set1, set2, ..) with hashes, the full set of each, from the texts."""
     more = [c for c in wanted.columns if c not in ("set1", "set2")]
@@ -317,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(rep, part) of all classes that are linked with another."""
     rows = classes.select(F.explode("roots").alias("node"), "rep", "n", "signature")
-    candidates, solved, parts = [], [], None
+    candidates, solved, confirmed, parts = [], [], [], None
     for level in range(1, LEVELS + 1):
         nodes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
         sized = written(rows.join(bounded(nodes, SENT), "node").select("node", "rep", "n", "signature", "size"), "open")
@@ -327,19 +354,33 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         candidates.append(written(_grouped_links(small, "node", False).distinct(), "candidates"))
         if level == LEVELS or large.isEmpty():
             break
-        candidates.append(written(_by_leaders(large), "candidates"))
-        # A node whose documents are all linked by now gives nothing new.
-        known = functools.reduce(DataFrame.union, candidates)
-        parts = None if known.isEmpty() else components(known)
+        tried = _by_leaders(large)
+        if parts is not None:
+            for end in ("a", "b"):
+                tried = tried.join(bounded(parts.select(F.col("rep").alias(end), F.col("part").alias("part_" + end)), SENT), end, "left")
+            tried = tried.where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b")
+        tried = written(tried, "tried")
+        if not tried.isEmpty():
+            confirmed.append(written(_confirmed(tried, classes, docs), "confirmed"))
+            known = functools.reduce(DataFrame.union, confirmed)
+            parts = None if known.isEmpty() else components(known)
+        # A node whose documents are all joined by confirmed links gives nothing new; candidate links may still fall.
         if parts is not None:
             large = large.join(bounded(parts, SENT), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
             mixed_nodes = written(large.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("node"), "mixed")
             large = large.join(bounded(mixed_nodes, SENT), "node", "left_semi")
         rows = written(large.select("node", "rep", "n", "signature").mapInArrow(_children, "node long, rep long, n long, signature binary").dropDuplicates(["node", "rep"]), "children")
     known = functools.reduce(DataFrame.union, candidates)
-    if known.isEmpty():
+    if not known.isEmpty():
+        confirmed.append(written(_by_groups(components(known), classes, solved, docs), "links"))
+    if not confirmed:
         return None
-    groups = components(known)
+    links = functools.reduce(DataFrame.union, confirmed)
+    return None if links.isEmpty() else components(links)
+
+
+def _by_groups(groups: DataFrame, classes: DataFrame, solved: list[DataFrame], docs: DataFrame) -> DataFrame:
+    """Links confirmed on full sets within candidate groups (rep, part)."""
     sizes = written(groups.groupBy("part").agg(F.count(F.lit(1)).alias("members")), "groups")
     members = groups.join(bounded(sizes, SENT), "part")
     grouped = written(classes.select("rep", "n", "signature", "set1", "set2").join(members, "rep"), "grouped")
@@ -347,11 +388,10 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     links = _grouped_links(full.where(F.col("members") <= GROUP), "part", True)
     huge = full.where(F.col("members") > GROUP)
     if not huge.isEmpty():
-        # Every candidate link lies in a node; there a group of any size is confirmed in bounded pieces.
+        # Every candidate link was found in a solved node; there a group of any size is confirmed in bounded pieces.
         pairs = functools.reduce(DataFrame.union, [s.select("node", "rep") for s in solved])
         links = links.union(_grouped_links(huge.join(pairs, "rep"), "node", True))
-    links = written(links, "links")
-    return None if links.isEmpty() else components(links)
+    return links
 
 
 def _by_leaders(rows: DataFrame) -> DataFrame:

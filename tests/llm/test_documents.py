@@ -335,3 +335,19 @@ def test_one_of_each(documents):
     twice = documents(rows[:4] + rows[:1])
     assert near_dup.one_of_each(twice).count() == len({c for _, _, c, _ in plain_components(rows[:4])})
     assert near_dup.one_of_each(df).columns == df.columns or set(near_dup.one_of_each(df).columns) == set(df.columns)
+
+
+def test_groups_above_the_node_size(documents, monkeypatch):
+    """Copies that agree with their node's leaders: links through leaders are confirmed too, in nodes that do not branch."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(2):
+        base = prose(rng, 120).split()
+        for k in range(60):
+            w = list(base)
+            w[(2 * k + g) % 120] = "changed"
+            rows.append((1000 * g + k, " ".join(w)))
+    rows += list(enumerate((prose(rng, 50) for _ in range(20)), 5000))
+    monkeypatch.setattr(near_dup, "SMALL", 16)
+    monkeypatch.setattr(near_dup, "GROUP", 16)
+    assert got(documents(rows)) == plain_components(rows)
