@@ -3,7 +3,9 @@
 A credential often has several parts: an identifier, a secret and an endpoint. Parts of a fixed form (assignments,
 access identifiers, long hex runs) are reported on their own. Weak candidates (a user or client identifier, a mixed
 token, an address) are reported only where complementary parts stand nearby: candidates of a text are interval-joined,
-by a sorted sweep, within the same scope (a block between blank lines) and a window of code points.
+by a sorted sweep, within the same scope (a block between blank lines) where the gap between them, from the end of one to
+the start of the other, is within a window of code points. What candidates cover does not count, so a long token between
+two parts does not keep them apart.
 
 Defined cases: null text counts as empty; texts of any length are scanned whole; the join takes n log n steps in the
 number of candidates, however many a text has; repeated rows stay; an empty table gives no rows; other columns are
@@ -32,7 +34,7 @@ MIXED = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
 WEAK = ("weak_id", "weak_secret", "endpoint")
 KINDS = (*BASE, *WEAK)
 
-#: Code points between the starts of parts that are still joined.
+#: Code points, outside of all candidates, between parts that are still joined.
 WINDOW = 256
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 
@@ -87,15 +89,23 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     if not weak or not (base or len(weak) > 2):
         return base, []
     scopes = [m.end() for m in BLANK_LINE.finditer(text)]
-    places: dict[str, list[int]] = {k: [] for k in KINDS}
-    for start, _, kind in sorted([*base, *weak]):
-        places[kind].append(start)
-
-    def near(at: int, low: int, high: int, kinds: tuple[str, ...]) -> bool:
+    # Of each kind the starts, and starts and ends less what candidates cover before them. Spans of one kind do not overlap,
+    # so all three are sorted.
+    places: dict[str, tuple[list[int], list[int], list[int]]] = {k: ([], [], []) for k in KINDS}
+    bare, top, covered = {}, 0, 0
+    for start, end, kind in sorted([*base, *weak]):
+        left = start - covered + max(0, top - start)
+        covered += max(0, end - max(top, start))
+        top = max(top, end)
+        bare[start, end, kind] = left, top - covered
+        for p, x in zip(places[kind], (start, *bare[start, end, kind])):
+            p.append(x)
+
+    def near(left: int, right: int, low: int, high: int, kinds: tuple[str, ...]) -> bool:
         for kind in kinds:
-            p = places[kind]
-            k = bisect_left(p, max(low, at - WINDOW))
-            if k < len(p) and p[k] < high and p[k] <= at + WINDOW:
+            starts, lefts, rights = places[kind]
+            k = max(bisect_left(starts, low), bisect_left(rights, left - WINDOW))
+            if k < len(starts) and starts[k] < high and lefts[k] <= right + WINDOW:
                 return True
         return False
 
@@ -103,7 +113,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     for start, end, kind in weak:
         k = bisect_right(scopes, start)
         low, high = scopes[k - 1] if k else 0, scopes[k] if k < len(scopes) else len(text) + 1
-        has = lambda *kinds: near(start, low, high, kinds)  # noqa: B023, E731
+        has = lambda *kinds: near(*bare[start, end, kind], low, high, kinds)  # noqa: B023, E731
         if kind == "weak_id":
             ok = has("assign", "hex") or (has("weak_secret") and has("endpoint"))
         elif kind == "weak_secret":

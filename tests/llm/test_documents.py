@@ -114,6 +114,16 @@ def test_linking():
     assert secrets.redact("a token=abcdef1 b", secrets.scan("a token=abcdef1 b")[0]) == "a [assign] b"
 
 
+def test_linking_measures_gaps():
+    kinds = lambda t: [s[2] for s in secrets.scan(t)[1]]
+    long = "Zx9" * 100
+    assert kinds(f"token={long} user=bob") == ["weak_id"] == kinds(f"user=bob token={long}")
+    assert sorted(kinds(f"user=bob {long} https://x.y")) == ["weak_id", "weak_secret"]
+    assert kinds(f"token={long}\n\nuser=bob") == [], "another scope"
+    blank = lambda n: f"token={long}{' ' * n}user=bob"
+    assert kinds(blank(256)) == ["weak_id"] and kinds(blank(257)) == []
+
+
 def test_linking_is_near_linear():
     import time
 
