@@ -28,9 +28,16 @@ GROUP_BYTES = 1 << 20
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """h[i] = 2 h[i-1] + gear[data[i]] modulo 2^32 at every byte: the sum over the last 32 bytes, by doubling."""
+#: Bytes before a byte that its hash depends on.
+REACH = 31
+
+
+def gear(data: np.ndarray, gaps: np.ndarray | None = None) -> np.ndarray:
+    """h[i] = 2 h[i-1] + gear[data[i]] modulo 2^32 at every byte: the sum over the last 32 bytes, by doubling. Bytes at
+    ``gaps`` count as nothing."""
     h = _GEAR[data]
+    if gaps is not None:
+        h[gaps] = 0
     step = 1
     while step < 32:
         shifted = np.zeros_like(h)
@@ -41,15 +48,17 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(texts: list[bytes]) -> list[list[int]]:
-    """The ends of the chunks of each text."""
-    joined = np.frombuffer(b"".join(texts), np.uint8)
-    marks = np.flatnonzero(gear(joined) >> np.uint32(32 - CUT_BITS) == 0) + 1
-    starts = np.cumsum([0, *map(len, texts)])
-    first = np.searchsorted(marks, starts, side="right")
+    """The ends of the chunks of each text, whichever texts stand beside it: a gap between them keeps hashes apart."""
+    joined = np.frombuffer(bytes(REACH).join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes + REACH) - sizes - REACH
+    gaps = (starts[1:, None] - REACH + np.arange(REACH)).ravel()
+    marks = np.flatnonzero(gear(joined, gaps) >> np.uint32(32 - CUT_BITS) == 0) + 1
+    first, last_ = np.searchsorted(marks, starts, side="right"), np.searchsorted(marks, starts + sizes, side="right")
     out = []
     for k, text in enumerate(texts):
         n, last, ends = len(text), 0, []
-        for mark in (marks[first[k] : first[k + 1]] - starts[k]).tolist():
+        for mark in (marks[first[k] : last_[k]] - starts[k]).tolist():
             if mark - last < LEAST:
                 continue
             while mark - last > MOST:

@@ -217,6 +217,13 @@ def test_chunks_resist_shifts():
     assert passages.cuts([text, b"", b"x" * 5000]) == alone and alone[1] == []
 
 
+def test_cuts_do_not_depend_on_neighbours():
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randrange(1, 40)).encode() for _ in range(400)] + [b"", b"", b"a"]
+    assert passages.cuts(texts) == [passages.cuts([t])[0] for t in texts]
+    assert passages.cuts(texts[::-1]) == passages.cuts(texts)[::-1] and passages.cuts([]) == []
+
+
 def test_passages(documents, edge):
     rng = random.Random(4)
     shared = [prose(rng, 60) for _ in range(20)]
