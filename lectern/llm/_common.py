@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+#: Bytes up to which a table is broadcast, as its hash table takes them (``ROW_BYTES`` and twice its values a row).
+SENT_BYTES, ROW_BYTES = 8 << 20, 24
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the rows of Arrow batches for this session, unless they are low or set already; memory of a Python worker
-    follows them."""
+    """Lowers the rows of Arrow batches of this session where nobody has set them; memory of a Python worker follows them.
+    Plans read the setting when they run, so it stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if spark.conf.get(name, None) is None:
         spark.conf.set(name, BATCH_ROWS)
 
 
@@ -44,14 +48,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, spare: list[str] | None = None, **options: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors. Its path is put
+    into ``spare``, for tables that ``discard`` may delete when what depends on them is written itself."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    if spare is not None:
+        spare.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if a count proves that it has at most ``rows`` rows, else as it is (shuffle join).
-    ``df`` should be a written table, as it is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing depends on any more, in whichever store they lie."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
+def bounded(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if a count proves that its hash table has at most ``most`` bytes, else as it is (shuffle
+    join). ``df`` should be a written table of numbers, as it is counted and its rows have one size."""
+    row = ROW_BYTES + 2 * sum(8 for _ in df.columns)
+    return F.broadcast(df) if df.limit(most // row + 1).count() <= most // row else df

@@ -23,8 +23,6 @@ BLANKS = r"\x20\x09-\x0D"
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Rows that a range of keys should hold.
 RANGE_ROWS = 2048
-#: Rows of ids and passes up to which they are broadcast, after a count.
-SENT = 500_000
 _KEYS = 1 << 62
 
 
@@ -86,7 +84,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     out; rows that repeat a doc_id in a source share its passes evenly, rounded up."""
     chosen = mix(docs, boundary="document", **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
     chosen = chosen.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
-    chosen = bounded(written(chosen, "mix-copies"), SENT)
+    chosen = written(chosen, "mix-copies")
     joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]) & docs["source"].eqNullSafe(chosen["__source"]))
     copies = F.expr("cast(ceil(__copies / __rows) as int)")
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

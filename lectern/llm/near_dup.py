@@ -7,8 +7,9 @@ from there on only one document of each class takes part. A class has an embeddi
 The join recurses over trees. At the root of each tree documents branch by a chosen position, so those that agree there
 meet in a node. Nodes of at most ``SMALL`` documents are compared exhaustively on their embeddings. In larger nodes
 documents are linked with the node's leaders, on full sets, and then branch again, by positions that the node's path
-chooses, unless such confirmed links join them all by now. Two documents of similarity 0.75 miss each other in all of the trees with probability
-0.25 ** ROOTS, about 6e-8.
+chooses, unless such confirmed links join them all by now. What is still too large after ``LEVELS`` is compared
+exhaustively too, in pairs of blocks, so no task holds more than a small node. Two documents of similarity 0.75 miss each
+other in all of the trees with probability 0.25 ** ROOTS, about 6e-8.
 
 Pairs that agree in enough positions are candidate links. They make groups; every group is confirmed on full sets, each
 set being sent once. Groups too large for one task are confirmed node by node instead. Comparing within a node or group
@@ -18,9 +19,9 @@ Links become components by alternating star contractions.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component; texts
 of fewer words than a shingle have one shingle, all their words; very long texts keep all shingles; rows that repeat a
-doc_id stay, each with its own set, and share the component of the least doc_id they reach; a null doc_id is never a
-component id of others (its class is named by its other members) and stays null where it stands alone; an empty table
-gives no rows; other columns are ignored.
+doc_id stay, each with the set and component of its own text; a row without doc_id is compared by equal sets only, names
+no component (it has that of the other rows of its set, or null) and is kept only where it has null; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +33,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import bounded, table, written
-
-__all__ = ["near_duplicates", "table"]
+from ._common import bounded, discard, written
 
 #: Words of a shingle; least similarity in percent.
 WORDS, PERCENT = 5, 75
 #: Positions of the embedding; those at which trees branch at their roots; positions by which a node branches on.
 POSITIONS, ROOTS, BRANCHES = 64, 12, 3
-#: Positions that must agree for a pair to be confirmed: at similarity 0.75 fewer agree with probability 4e-6.
-AGREE = 32
+#: Positions that must agree for a pair to be confirmed: at similarity 0.75 fewer agree with probability 2.5e-8.
+AGREE = 28
 #: Documents of a node that is compared exhaustively, and levels of branching; documents of a group confirmed in one task.
-SMALL, LEVELS, GROUP = 16_384, 6, 16_384
-#: Rows up to which a table of ids or nodes is broadcast (24 bytes each), after a count.
-SENT = 500_000
+SMALL, LEVELS, GROUP = 4096, 8, 4096
 #: Bytes up to which leaders' sets are broadcast.
 SENT_BYTES = 16 << 20
 
@@ -110,6 +108,11 @@ def embedding(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature_of(least: np.ndarray) -> bytes:
+    """A byte of the hash at each position."""
+    return (mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set1, set2 (digest of the set), signature (a byte of each position), roots (nodes at the roots)."""
 
@@ -121,8 +124,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 s = shingles(text or "")
                 least = embedding(s)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                signatures.append((mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes())
+                digests.append(digest_of(s))
+                signatures.append(signature_of(least))
                 roots.append(mixed(least[:ROOTS] ^ places).view(np.int64))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             flat = pa.array(np.concatenate(roots)) if roots else pa.array([], pa.int64())
@@ -224,6 +227,7 @@ def _star_links(exact: bool):
 
 
 def _grouped_links(rows: DataFrame, group: str, exact: bool) -> DataFrame:
+    """rows (group, rep, n, signature and, with ``exact``, hashes) -> links (a, b) that join each component of a group."""
     columns = [F.col(group).alias("group"), "rep", "n", "signature"] + ["hashes"] * exact
     return rows.select(*columns).repartition("group").sortWithinPartitions("group", "rep").mapInArrow(_star_links(exact), "a long, b long")
 
@@ -256,43 +260,50 @@ def _similar(batches):
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool, spare: list[str]) -> DataFrame:
     """Those of the links (a, b) from documents to leaders that hold on full sets. A leader that many documents share is not
     gathered with them: leaders' sets are sent where few bytes, else the join may split them."""
-    ends = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ends")
-    wanted = written(classes.select("rep", "set1", "set2").join(bounded(ends, SENT), "rep", "left_semi").withColumn("set", F.struct("set1", "set2")), "wanted")
-    full = written(full_sets(wanted, docs), "sets")
-    heads = written(pairs.select(F.col("b").alias("rep")).distinct(), "heads")
-    heads = full.join(bounded(heads, SENT), "rep", "left_semi").groupBy("rep", "set").agg(F.first("hashes").alias("others"))
-    heads = written(heads.select(F.col("rep").alias("b"), "others"), "heads")
+    ends = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ends", spare)
+    wanted = classes.select("rep", "first_doc", "set1", "set2").join(bounded(ends), "rep", "left_semi")
+    full = written(full_sets(written(wanted, "wanted", spare), docs, repeats), "sets", spare)
+    heads = written(pairs.select(F.col("b").alias("rep")).distinct(), "heads", spare)
+    heads = written(full.join(bounded(heads), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("hashes").alias("others")), "heads", spare)
     size = heads.agg(F.sum(F.octet_length("others"))).first()[0] or 0
     rows = pairs.join(full.select(F.col("rep").alias("a"), "hashes"), "a").join(F.broadcast(heads) if size <= SENT_BYTES else heads, "b")
     return rows.select("a", "b", "hashes", "others").mapInArrow(_similar, "a long, b long").distinct()
 
 
-def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted (rep, set1, set2, ..) with hashes, the full set of each, from the texts."""
-    more = [c for c in wanted.columns if c not in ("set1", "set2")]
-    kinds = dict(wanted.dtypes)
+def digest_of(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """wanted (rep, first_doc, set1, set2, ..numbers) -> rep, ..numbers, n, signature, hashes: the full set of each class, from
+    the text of its first document. Only ids and digests are sent to the texts. With ``repeats`` (some doc_id stands in
+    several rows) a class may be found several times and is then reduced to one row."""
+    more = [c for c in wanted.columns if c not in ("first_doc", "set1", "set2")]
 
     def sets(batches):
         for batch in batches:
-            out, good = [], []
+            found, good = [], []
             for text, one, two in zip(*(batch.column(c).to_pylist() for c in ("text", "set1", "set2"))):
-                data = shingles(text or "").tobytes()
+                found.append(shingles(text or ""))
                 # Of rows that share a doc_id, those of this class.
-                good.append(np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), "<i8").tolist() == [one, two])
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), pa.array(out, pa.binary())], names=[*more, "hashes"]).filter(pa.array(good, pa.bool_()))
+                good.append(np.frombuffer(digest_of(found[-1]), "<i8").tolist() == [one, two])
+            signatures = [signature_of(embedding(x)) if ok else b"" for x, ok in zip(found, good)]
+            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array(signatures, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), *columns], names=[*more, "n", "signature", "hashes"]).filter(pa.array(good, pa.bool_()))
 
-    rows = docs.join(bounded(wanted, SENT), docs["doc_id"] == wanted["rep"]).select("text", "set1", "set2", *more)
-    return rows.mapInArrow(sets, ", ".join(f"{c} {kinds[c]}" for c in more) + ", hashes binary")
+    rows = docs.join(bounded(wanted), docs["doc_id"] == wanted["first_doc"]).select("text", "set1", "set2", *more)
+    out = rows.mapInArrow(sets, ", ".join(f"{c} long" for c in more) + ", n long, signature binary, hashes binary")
+    return out.dropDuplicates(more) if repeats else out
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, spare: list[str]) -> DataFrame:
     """(rep, part) for every id in links (a, b): part is the least id reachable. Alternating large and small stars; a hub is
     joined with its least neighbour, its neighbours are never gathered."""
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    old: list[str] = []
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars", old)
     state = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -300,12 +311,17 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        new_paths: list[str] = []
+        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", new_paths)
+        discard(links.sparkSession, old)
+        old += new_paths
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
         if new == state or not new[0]:
             break
         state = new
-    return written(now.select(F.col("u").alias("rep"), F.col("v").alias("part")).union(now.select("v", "v").distinct()), "parts")
+    out = written(now.select(F.col("u").alias("rep"), F.col("v").alias("part")).union(now.select("v", "v").distinct()), "parts", spare)
+    discard(links.sparkSession, old)
+    return out
 
 
 def _children(batches):
@@ -322,93 +338,147 @@ def _children(batches):
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c) for c in (1, 2, 3))], names=["node", "rep", "n", "signature"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_shingles, component_id, kept, one row per document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """Nodes that are still too large, as nodes of two blocks each: every pair of a node's documents meets in one of them."""
+    blocks = F.expr(f"cast(ceil(2 * size / {SMALL}) as int)")
+    rows = large.withColumn("blocks", blocks).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep", "n", "signature")
+
+
+def _found(docs: DataFrame, spare: list[str]) -> tuple[DataFrame, bool]:
+    """For each row of docs (doc_id, text): doc_id, n_shingles, set1, set2, component_id, first_doc (of its class) and wins
+    (its class is the one that stays of its component), from written tables; and whether some doc_id stands in several rows."""
     sketch = written(sketches(docs), "sketches")
-    with_words = sketch.where("n_shingles > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "n_shingles", "signature", "roots")).alias("f")
-    classes = written(with_words.groupBy("set1", "set2").agg(first).select("set1", "set2", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.signature").alias("signature"), F.col("f.roots").alias("roots")), "classes")
-    parts = _linked(classes, docs)
-    names = classes.select("set1", "set2", "rep")
-    if parts is not None:
-        names = names.join(parts, "rep", "left")
-    names = names.select(F.col("set1").alias("s1"), F.col("set2").alias("s2"), F.coalesce("part", "rep").alias("class_id") if parts is not None else F.col("rep").alias("class_id"))
-    names = written(names, "names")
+    repeats = not sketch.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
+    first = [F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "roots"))]
+    classes = sketch.where("n_shingles > 0").groupBy("set1", "set2").agg(*first).where("first_doc is not null")
+    # Classes are numbered, as an id may have several texts.
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "set1", "set2", "first_doc", F.col("n_shingles").alias("n"), "signature", "roots"), "classes", spare)
+    parts = _linked(classes, docs, repeats, spare)
+    names = classes.select("set1", "set2", "rep", "first_doc")
+    if parts is None:
+        names = names.select("set1", "set2", "first_doc", F.col("first_doc").alias("component"), F.lit(True).alias("wins"))
+    else:
+        heads = parts.join(classes.select("rep", "first_doc"), "rep").groupBy("part").agg(F.min(F.struct("first_doc", "rep")).alias("head"))
+        heads = written(heads.select("part", F.col("head.first_doc").alias("component"), F.col("head.rep").alias("winner")), "heads", spare)
+        linked = written(parts.join(bounded(heads), "part").select("rep", "component", "winner"), "linked", spare)
+        names = names.join(bounded(linked), "rep", "left")
+        names = names.select("set1", "set2", "first_doc", F.coalesce("component", "first_doc").alias("component"), F.coalesce(F.col("winner") == F.col("rep"), F.lit(True)).alias("wins"))
+    names = written(names.withColumnsRenamed({"set1": "s1", "set2": "s2"}), "names")
     hit = (sketch["set1"] == F.col("s1")) & (sketch["set2"] == F.col("s2")) & (sketch["n_shingles"] > 0)
-    out = sketch.select("doc_id", "n_shingles", "set1", "set2").join(bounded(names, SENT), hit, "left")
-    out = out.withColumn("component_id", F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+    out = sketch.select("doc_id", "n_shingles", "set1", "set2").join(bounded(names), hit, "left")
+    return out.select("doc_id", "n_shingles", "set1", "set2", F.coalesce("component", "doc_id").alias("component_id"), "first_doc", "wins"), repeats
 
 
-def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Returns doc_id, n_shingles, component_id, kept, one row per document."""
+    spare: list[str] = []
+    found, _ = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), spare)
+    discard(docs.sparkSession, spare)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _linked(classes: DataFrame, docs: DataFrame, repeats: bool, spare: list[str]) -> DataFrame | None:
     """(rep, part) of all classes that are linked with another."""
     rows = classes.select(F.explode("roots").alias("node"), "rep", "n", "signature")
     candidates, solved, confirmed, parts = [], [], [], None
+
+    def compare(small: DataFrame) -> None:
+        solved.append(small.select("node", "rep"))
+        candidates.append(written(_grouped_links(small, "node", False).distinct(), "candidates", spare))
+
     for level in range(1, LEVELS + 1):
-        nodes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
-        sized = written(rows.join(bounded(nodes, SENT), "node").select("node", "rep", "n", "signature", "size"), "open")
-        small = sized.where(F.col("size") <= SMALL) if level < LEVELS else sized
+        nodes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes", spare)
+        sized = written(rows.join(bounded(nodes), "node").select("node", "rep", "n", "signature", "size"), "open", spare)
+        compare(sized.where(F.col("size") <= SMALL))
         large = sized.where(F.col("size") > SMALL)
-        solved.append(small)
-        candidates.append(written(_grouped_links(small, "node", False).distinct(), "candidates"))
-        if level == LEVELS or large.isEmpty():
+        if large.isEmpty():
             break
-        tried = _by_leaders(large)
+        tried = _by_leaders(large, spare)
         if parts is not None:
             for end in ("a", "b"):
-                tried = tried.join(bounded(parts.select(F.col("rep").alias(end), F.col("part").alias("part_" + end)), SENT), end, "left")
+                tried = tried.join(bounded(parts.select(F.col("rep").alias(end), F.col("part").alias("part_" + end))), end, "left")
             tried = tried.where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b")
-        tried = written(tried, "tried")
+        tried = written(tried, "tried", spare)
         if not tried.isEmpty():
-            confirmed.append(written(_confirmed(tried, classes, docs), "confirmed"))
+            confirmed.append(written(_confirmed(tried, classes, docs, repeats, spare), "confirmed", spare))
             known = functools.reduce(DataFrame.union, confirmed)
-            parts = None if known.isEmpty() else components(known)
+            parts = None if known.isEmpty() else components(known, spare)
         # A node whose documents are all joined by confirmed links gives nothing new; candidate links may still fall.
         if parts is not None:
-            large = large.join(bounded(parts, SENT), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-            mixed_nodes = written(large.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("node"), "mixed")
-            large = large.join(bounded(mixed_nodes, SENT), "node", "left_semi")
-        rows = written(large.select("node", "rep", "n", "signature").mapInArrow(_children, "node long, rep long, n long, signature binary").dropDuplicates(["node", "rep"]), "children")
+            large = large.join(bounded(parts), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+            mixed_nodes = written(large.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("node"), "mixed", spare)
+            large = large.join(bounded(mixed_nodes), "node", "left_semi")
+        if level == LEVELS:
+            compare(written(_block_pairs(large), "blocks", spare))
+        else:
+            rows = written(large.select("node", "rep", "n", "signature").mapInArrow(_children, "node long, rep long, n long, signature binary").dropDuplicates(["node", "rep"]), "children", spare)
     known = functools.reduce(DataFrame.union, candidates)
     if not known.isEmpty():
-        confirmed.append(written(_by_groups(components(known), classes, solved, docs), "links"))
+        confirmed.append(written(_by_groups(components(known, spare), classes, solved, docs, repeats, spare), "links", spare))
     if not confirmed:
         return None
     links = functools.reduce(DataFrame.union, confirmed)
-    return None if links.isEmpty() else components(links)
+    return None if links.isEmpty() else components(links, spare)
 
 
-def _by_groups(groups: DataFrame, classes: DataFrame, solved: list[DataFrame], docs: DataFrame) -> DataFrame:
+def _by_groups(groups: DataFrame, classes: DataFrame, solved: list[DataFrame], docs: DataFrame, repeats: bool, spare: list[str]) -> DataFrame:
     """Links confirmed on full sets within candidate groups (rep, part)."""
-    sizes = written(groups.groupBy("part").agg(F.count(F.lit(1)).alias("members")), "groups")
-    members = groups.join(bounded(sizes, SENT), "part")
-    grouped = written(classes.select("rep", "n", "signature", "set1", "set2").join(members, "rep"), "grouped")
-    full = written(full_sets(grouped, docs), "sets")
+    sizes = written(groups.groupBy("part").agg(F.count(F.lit(1)).alias("members")), "groups", spare)
+    members = written(groups.join(bounded(sizes), "part"), "members", spare)
+    grouped = written(classes.select("rep", "first_doc", "set1", "set2").join(bounded(members), "rep"), "grouped", spare)
+    full = written(full_sets(grouped, docs, repeats), "sets", spare)
     links = _grouped_links(full.where(F.col("members") <= GROUP), "part", True)
     huge = full.where(F.col("members") > GROUP)
     if not huge.isEmpty():
         # Every candidate link was found in a solved node; there a group of any size is confirmed in bounded pieces.
-        pairs = functools.reduce(DataFrame.union, [s.select("node", "rep") for s in solved])
-        links = links.union(_grouped_links(huge.join(pairs, "rep"), "node", True))
+        links = links.union(_grouped_links(huge.join(functools.reduce(DataFrame.union, solved), "rep"), "node", True))
     return links
 
 
-def _by_leaders(rows: DataFrame) -> DataFrame:
+def _by_leaders(rows: DataFrame, spare: list[str]) -> DataFrame:
     """Links of documents of large nodes with two leaders of the node. Leaders come first in an order that all nodes share, so
     a group that meets in many nodes has few leaders; what they leave open is taken up in the nodes below."""
     member = F.struct("rep", "n", "signature")
     leaders = rows.groupBy("node").agg(F.min_by(member, F.xxhash64("rep")).alias("x"), F.min_by(member, F.xxhash64("rep", F.lit(1))).alias("y"))
     flat = [F.col(f"{s}.{c}").alias(f"{c}{k}") for k, s in (("1", "x"), ("2", "y")) for c in ("rep", "n", "signature")]
-    leaders = written(leaders.select("node", *flat), "leaders")
-    return rows.join(bounded(leaders, 50_000), "node").mapInArrow(_leader_links, "a long, b long").distinct()
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those near duplicates that are not the first of their group. Rows that repeat a doc_id
-    and are both the first of a group are one document; one of them stays."""
-    found = written(near_duplicates(docs).select("doc_id", "kept"), "kept")
-    dropped = written(found.groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("not any_kept").select("doc_id"), "dropped")
-    left = docs.join(bounded(dropped, SENT), "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    leaders = written(leaders.select("node", *flat), "leaders", spare)
+    # Two signatures make a row 128 bytes longer than its numbers.
+    return rows.join(bounded(leaders, 4 << 20), "node").mapInArrow(_leader_links, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component one row stays, of its least doc_id. Rows without words
+    all stay. Where a doc_id stands in several rows, each row is judged by its own text."""
+    spare: list[str] = []
+    doc = F.col(id_col).cast("long")
+    found, repeats = _found(docs.select(doc.alias("doc_id"), F.col(text_col).alias("text")), spare)
+    stays = (F.col("n_shingles") == 0) | (F.coalesce("wins", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    found = written(found.select("doc_id", "set1", "set2", F.col("n_shingles").alias("n"), stays.alias("stays")), "stays")
+    discard(docs.sparkSession, spare)
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays"))
+    left = docs.join(bounded(written(ids.where("rows > 1 or not stays").select(F.col("doc_id").alias("__id")), "dropped")), F.col("__id") == doc, "left_anti").where(doc.isNotNull())
+    several = written(ids.where("rows > 1").select(F.col("doc_id").alias("__id")), "several") if repeats else None
+    unnamed = docs.where(doc.isNull())
+    if several is None and found.where("doc_id is null").isEmpty():
+        return left
+    if several is not None:
+        unnamed = unnamed.unionByName(docs.join(bounded(several), F.col("__id") == doc, "left_semi"))
+    found = found.where("stays").select(F.col("doc_id").alias("__id"), F.col("set1").alias("__s1"), F.col("set2").alias("__s2")).distinct()
+    judged = _with_digests(unnamed, text_col).join(found, doc.eqNullSafe(F.col("__id")) & (F.col("__set1") == F.col("__s1")) & (F.col("__set2") == F.col("__s2")), "left_semi")
+    one = judged.where("__n > 0").dropDuplicates([id_col, "__set1", "__set2"]).unionByName(judged.where("__n = 0"))
+    return left.unionByName(one.select(*docs.columns))
+
+
+def _with_digests(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the number of shingles and the digest of the set of each row."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t or "") for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            halves = np.frombuffer(b"".join(map(digest_of, found)), "<i8").reshape(-1, 2)
+            more = [pa.array([len(x) for x in found], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__n", "__set1", "__set2"])
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField(c, T.LongType()) for c in ("__n", "__set1", "__set2")]))

@@ -206,7 +206,7 @@ def read_token_files(spark: SparkSession, path: str, keep: bool = True) -> DataF
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep
-    out = blocks.select("data", "shard").mapInArrow(rows, schema).join(bounded(shards, 100_000), "shard")
+    out = blocks.select("data", "shard").mapInArrow(rows, schema).join(bounded(shards), "shard")
     return out.select("doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep)
 
 

@@ -141,7 +141,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     packed = written(_packed(candidates, BLOCK), "top-candidates")
     asked = written(_packed(queries.dropDuplicates(["vec_id", "vector"]), QUERIES), "top-queries")
     # Every block of queries meets every block of candidates of its width, each as one row.
-    numbers = bounded(written(packed.select("dims", F.col("block").alias("at")), "top-numbers"), 500_000)
+    numbers = bounded(written(packed.select("dims", F.col("block").alias("at")), "top-numbers"))
     pairs = asked.select("dims", F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")).join(numbers, "dims")
     pairs = pairs.join(packed.withColumnRenamed("block", "at"), ["dims", "at"])
 

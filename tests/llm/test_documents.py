@@ -317,8 +317,9 @@ def test_branching_and_huge_groups(documents, monkeypatch):
     want = plain_components(rows)
     monkeypatch.setattr(near_dup, "SMALL", 6)
     monkeypatch.setattr(near_dup, "GROUP", 5)
-    monkeypatch.setattr(near_dup, "LEVELS", 3)
-    assert got(documents(rows)) == want
+    for levels in (1, 3):  # what is still large is compared in pairs of blocks
+        monkeypatch.setattr(near_dup, "LEVELS", levels)
+        assert got(documents(rows)) == want
 
 
 def test_reach():
@@ -351,7 +352,48 @@ def test_one_of_each(documents):
     assert kept == {i for i, _, c, k in plain_components(rows) if k}
     twice = documents(rows[:4] + rows[:1])
     assert near_dup.one_of_each(twice).count() == len({c for _, _, c, _ in plain_components(rows[:4])})
-    assert near_dup.one_of_each(df).columns == df.columns or set(near_dup.one_of_each(df).columns) == set(df.columns)
+    assert near_dup.one_of_each(df).columns == df.columns
+
+
+def test_ids_with_several_texts(documents):
+    """Rows of one doc_id are judged by their own texts: no text that is unlike all others is lost."""
+    rng = random.Random(12)
+    rows = near_rows(rng, 6, 7, 12, 40)
+    rows = [(i % 11 if rng.random() < 0.6 else i if rng.random() < 0.8 else None, t) for i, t in rows]
+    rows += rows[:5] + [(3, None), (3, ""), (3, "")]
+    left = [(r["doc_id"], r["text"]) for r in near_dup.one_of_each(documents(rows)).collect()]
+    by_row = plain_components([(k, t) for k, (_, t) in enumerate(rows)])
+    text_of = {k: t for k, (_, t) in enumerate(rows)}
+    part = {k: c for k, _, c, _ in by_row}
+    named = defaultdict(list)  # rows without an id take part by equal sets only
+    for k, (i, t) in enumerate(rows):
+        named[part[k]].append((i, t))
+    assert sum(not plain_sets(t) for _, t in left) == sum(not plain_sets(t) for _, t in rows)
+    for members in named.values():
+        ids = [i for i, t in members if i is not None and plain_sets(t)]
+        if ids:
+            mine = [x for x in left if x[0] is not None and x in members]
+            assert len(mine) == 1 and mine[0][0] == min(ids)
+    sets = {plain_sets(t) for i, t in rows if i is not None}
+    for s in {plain_sets(t) for i, t in rows if i is None} - {frozenset()}:
+        assert sum(i is None and plain_sets(t) == s for i, t in left) == (s not in sets)
+    two = near_dup.one_of_each(documents([(3, prose(rng, 30)), (3, prose(rng, 30))]))
+    assert two.count() == 2
+    assert {r["component_id"] for r in near_dup.near_duplicates(documents(rows)).where("doc_id = 3").collect()} <= {i for i, _ in rows if i is not None}
+
+
+def test_recall_at_the_threshold(documents):
+    """Pairs of similarity 0.75 to 0.8, all alone in the corpus: each is found."""
+    rng, rows, want = random.Random(13), [], 0
+    for k in range(700):
+        w = prose(rng, 84).split()
+        v = list(w)
+        v[rng.randrange(5, 40)] = v[rng.randrange(50, 79)] = "changed"
+        x, y = plain_sets(" ".join(w)), plain_sets(" ".join(v))
+        want += 0.75 <= len(x & y) / len(x | y) <= 0.82
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    assert want == 700
+    assert sum(r["component_id"] == r["doc_id"] for r in near_dup.near_duplicates(documents(rows)).collect()) == 700
 
 
 def test_groups_above_the_node_size(documents, monkeypatch):
