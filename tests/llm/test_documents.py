@@ -196,7 +196,7 @@ def test_gear_is_the_rolling_hash():
     data = np.random.default_rng(1).integers(0, 256, 500, dtype=np.uint8)
     h, out = 0, []
     for b in data.tolist():
-        h = ((h << 1) + int(passages._GEAR[b])) & 0xFFFFFFFF
+        h = ((h << passages.SHIFT) + int(passages._GEAR[b])) & 0xFFFFFFFF
         out.append(h)
     assert passages.gear(data).tolist() == out
 
@@ -212,7 +212,7 @@ def test_chunks_resist_shifts():
     pieces = lambda t, ends: {t[x:y] for x, y in zip([0, *ends], ends)}
     both = pieces(text, a) & pieces(b"inserted " + text, b)
     assert len(both) > 0.95 * len(a) and a[-1] == len(text)
-    assert all(passages.LEAST <= y - x <= passages.MOST for x, y in zip([0, *a], a[:-1]))
+    assert all(passages.WINDOW < y - x <= passages.MOST for x, y in zip(a, a[1:-1]))
     alone = [passages.cuts([t])[0] for t in (text, b"", b"x" * 5000)]
     assert passages.cuts([text, b"", b"x" * 5000]) == alone and alone[1] == []
 
@@ -224,32 +224,118 @@ def test_cuts_do_not_depend_on_neighbours():
     assert passages.cuts(texts[::-1]) == passages.cuts(texts)[::-1] and passages.cuts([]) == []
 
 
-def test_passages(documents, edge):
+def plain_cuts(data):
+    """By the definition, byte by byte."""
+    h, hashes = 0, []
+    for b in data:
+        h = ((h << passages.SHIFT) + int(passages._GEAR[b])) & 0xFFFFFFFF
+        hashes.append(h)
+    w, ends = passages.WINDOW, []
+    for i, x in enumerate(hashes):
+        if x > max(hashes[max(0, i - w) : i], default=0) and x >= max(hashes[i + 1 : i + 1 + w], default=0):
+            ends.append(i + 1)
+    out, last = [], 0
+    for e in [*ends, len(data)]:
+        while e - last > passages.MOST:
+            last += passages.MOST
+            out.append(last)
+        if e > last:
+            out.append(e)
+            last = e
+    return out
+
+
+def plain_passages(rows, least):
+    texts = {(i, (t or "").encode()) for i, t in rows}
+    key = lambda i: (i is None, i or 0)
+    holders = defaultdict(set)
+    split = {x: [(a, b, x[1][a:b]) for c in [plain_cuts(x[1])] for a, b in zip([0, *c], c)] for x in texts}
+    for (i, _), pieces in split.items():
+        for _, _, piece in pieces:
+            holders[piece].add(key(i))
+    out = []
+    for (i, t), pieces in split.items():
+        run = []
+        for a, b, piece in [*pieces, (-1, -1, None)]:
+            if piece is not None and len(holders[piece]) > 1:
+                run.append((a, b, min(holders[piece])))
+                continue
+            if run and run[-1][1] - run[0][0] >= least:
+                at = 0
+                for k in range(1, len(run) + 1):
+                    if k == len(run) or run[k][2] != run[at][2]:
+                        out.append((i, t, run[at][0], run[k - 1][1], run[at][2], run[at][2] == key(i)))
+                        at = k
+            run = []
+    return sorted(out, key=str)
+
+
+def found_passages(df, least):
+    texts = defaultdict(set)
+    for r in df.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(text) AS h").collect():
+        texts[r["doc_id"], r["h"]].add(r["text"].encode())
+    key = lambda i: (i is None, i or 0)
+    rows = passages.repeated_passages(df, least).collect()
+    return sorted(((r["doc_id"], *texts[r["doc_id"], r["text_hash"]], r["start"], r["end"], key(r["first_doc_id"]), r["is_first"]) for r in rows), key=str)
+
+
+def test_cuts_by_definition():
+    rng = random.Random(11)
+    for text in [prose(rng, 300).encode(), b"ab" * 700, b"x" * 40, b"", b"a", "naïve 漢字 😀 ".encode() * 40]:
+        assert passages.cuts([text])[0] == plain_cuts(text)
+
+
+def test_passages(documents, edge, monkeypatch):
+    """Overlapping passages, repeated and missing ids with other texts, against brute force; with hot digests too."""
     rng = random.Random(4)
-    shared = [prose(rng, 60) for _ in range(20)]
-    rows, holders = [], defaultdict(set)
-    for i in range(200):
-        body = [prose(rng, rng.randrange(50, 150)) for _ in range(2)]
+    shared = [prose(rng, 60) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        body = [prose(rng, rng.randrange(20, 60)) for _ in range(2)]
         if i % 2:
-            k = rng.randrange(20)
-            holders[k].add(i)
-            body.insert(1, shared[k])
-        rows.append((i, " ".join(body)))
-    found = passages.repeated_passages(documents(rows)).collect()
-    held = set().union(*(h for h in holders.values() if len(h) > 1))
-    assert {r["doc_id"] for r in found} == held
-    text = dict(rows)
-    for r in found:
-        span = text[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
-        assert span in text[r["first_doc_id"]] and r["is_first"] == (r["first_doc_id"] == r["doc_id"])
-    got = passages.repeated_passages(edge).collect()
-    assert got == []  # the only equal texts are shorter than a passage
+            k = rng.randrange(12)
+            body.insert(1, " ".join([*shared[k].split(), *shared[(k + 1) % 12].split()][rng.randrange(40) : rng.randrange(70, 120)]))
+        rows.append((rng.choice([i, i, i, i % 7, None]), " ".join(body)))
+    w = prose(rng, 300).split()
+    rows += [(1, " ".join(w[:180])), (5, " ".join(w)), (7, " ".join(w[120:])), (1, " ".join(w[:180])), (9, None), (9, "")]
+    for least, hot in ((80, 100_000), (1, 100_000), (80, 3)):
+        monkeypatch.setattr(passages, "HOT", hot)
+        want = plain_passages(rows, least)
+        assert want and found_passages(documents(rows), least) == want
+    assert passages.repeated_passages(edge).where("not doc_id in (3, 7)").count() == 0  # the only equal texts
     long_ = documents([(1, "x " * 400), (1, "x " * 400)])
     assert passages.repeated_passages(long_).count() == 0  # repeats inside one document
-    assert passages.repeated_passages(documents([(1, prose(rng, 80))] * 2 + [(2, "a")])).count() == 0
     assert passages.repeated_passages(edge.where("false")).count() == 0
 
 
+def test_no_text_is_lost(documents):
+    """Without its repeats, every stretch of a corpus is still somewhere."""
+    rng = random.Random(14)
+    w = prose(rng, 300).split()
+    rows = [(1, " ".join(w[:180])), (5, " ".join(w)), (7, " ".join(w[120:])), (8, "é漢" * 200 + " ".join(w)), (9, "é漢" * 200), (None, None), (10, "")]
+    out = passages.without_repeats(documents(rows))
+    assert out.columns == documents(rows).columns
+    left = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert left[1] == rows[0][1] and left[None] is None and left[10] == "" and len(left[7]) < 300 and len(left[5]) < 1200
+    assert " ".join(w[190:290]) in left[5] and left[8].startswith("é漢" * 200)
+    assert passages.remove("aé漢b", [{"start": 2, "end": 5}]) == "aé漢b" and passages.remove("aé漢b", [{"start": 1, "end": 6}]) == "ab"
+
+
+@pytest.mark.parametrize("words_, most", [(51, 5), (60, 1)])
+def test_short_passages_are_found(words_, most):
+    rng, missed = random.Random(15), 0
+    for _ in range(500):
+        p = prose(rng, words_)
+        texts = [f"{prose(rng, rng.randrange(20, 60))} {p} {prose(rng, rng.randrange(20, 60))}".encode() for _ in range(2)]
+        one, two = ([t[a:b] for a, b in zip([0, *c], c)] for t, c in zip(texts, passages.cuts(texts)))
+        best = now = 0
+        for piece in one:
+            now = now + len(piece) if piece in set(two) else 0
+            best = max(best, now)
+        missed += best < passages.PASSAGE
+    assert missed <= most
+
+
 # ---- near duplicates
 
 
