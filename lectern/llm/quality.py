@@ -5,12 +5,13 @@ ordered thresholds. A document gets its expected grade and the tail probability
 are selected. Features are the distinct words of the whole text, hashed, and a few bucketed shares (repeated words and
 lines, capitals, symbols) hashed as if they were words.
 
-The model is fitted on a bounded sample of labelled rows (``MOST_LABELLED``, those of the smallest hashes of doc_id); it
-scores every document. Grades here: 0 toxic, 1 low quality, 2 good.
+The model is fitted on a bounded sample of labels (``MOST_LABELLED``, those of the smallest hashes of doc_id); it scores
+every document. Grades here: 0 toxic, 1 low quality, 2 good.
 
 Defined cases: null and empty texts are scored by the thresholds and the bucketed shares alone; labels that are null or
-without a document are not used; several labels of a doc_id count as several ratings; without any label the tail
-probability is 1 and all is kept; repeated rows stay; an empty table gives no rows; other columns are ignored.
+without a document are not used; several labels of a doc_id count as several ratings; where a doc_id has several texts,
+the one of the least features is the rated one; without any label the tail probability is 1 and all is kept; repeated
+rows stay, as do rows without doc_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 #: The bound of the training sample, the number of hash buckets, the number of steps, the strength of shrinkage, and the
 #: documents that a feature has to be in at least.
 MOST_LABELLED, BUCKETS, STEPS, SHRINK, LEAST_DOCS = 12_000, 1 << 18, 250, 0.3, 3
-#: Features are fitted whose mean grade is so many standard errors off the mean grade of all; the rest is noise.
+#: Features are fitted whose mean grade is so many standard errors off the mean grade of all, as the rest is noise; 0 fits all.
 LEAST_SIGNAL = 3.0
 #: Tail probability from which a document is kept.
 KEEP_FROM = 0.5
@@ -73,7 +74,7 @@ class Model:
         return float(above.sum()), float(above[-1])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, least_signal: float = LEAST_SIGNAL) -> Model:
     """By full-batch Adam with decaying steps; deterministic. Thresholds stay ordered as the gaps are exponentials."""
     if not len(rows):
         return Model(np.zeros(BUCKETS, np.float64), np.zeros(0))
@@ -83,7 +84,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> Model:
     grades = np.asarray(grades)
     sums = np.bincount(every, np.repeat(grades, sizes), BUCKETS)
     signal = np.abs(sums - docs * grades.mean()) / np.sqrt(np.maximum(docs, 1) * max(grades.var(), 1e-9))
-    used = np.flatnonzero((docs >= min(LEAST_DOCS, max(1, len(rows) // 50))) & (signal >= LEAST_SIGNAL))
+    used = np.flatnonzero((docs >= min(LEAST_DOCS, max(1, len(rows) // 50))) & (signal >= least_signal))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     cols, owner = place[every], np.repeat(np.arange(len(rows)), sizes)
@@ -118,24 +119,26 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> Model:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list:
-    """(buckets, grade) of labelled documents, at most ``most``; the driver gets hashed features only."""
+    """(doc_id, grade, buckets), a row for each rating of a document, at most ``most``; the driver gets hashed features only."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    rated = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)
+    rated = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
+    # At most ``most`` rows, so they may be sent to all executors.
+    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most).groupBy("doc_id").agg(F.collect_list("grade").alias("grades"))
 
     def run(batches):
         for batch in batches:
             found = [features(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "grade", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "grades", "buckets"])
 
-    # chosen has at most `most` rows, so it may be sent to all executors.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "grade").mapInArrow(run, "doc_id long, grade int, buckets binary").collect()
-    return sorted((r["doc_id"], r["grade"], bytes(r["buckets"])) for r in rows)
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "grades").mapInArrow(run, "doc_id long, grades array<int>, buckets binary")
+    # However many rows a doc_id has, one of them is rated, so the driver gets no more than ``most``.
+    one = rows.groupBy("doc_id").agg(F.min_by("grades", "buckets").alias("grades"), F.min("buckets").alias("buckets"))
+    return sorted((r["doc_id"], g, bytes(r["buckets"])) for r in one.collect() for g in r["grades"])
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit_model(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, least_signal: float = LEAST_SIGNAL, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = sample_rows(docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text"), labels, most)
-    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
+    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64), least_signal=least_signal)
 
 
 def grade_documents(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ access identifiers, long hex runs) are reported on their own. Weak candidates (a
 token, an address) are reported only where complementary parts stand nearby: candidates of a text are interval-joined,
 by a sorted sweep, within the same scope (a block between blank lines) where the gap between them, from the end of one to
 the start of the other, is within a window of code points. What candidates cover does not count, so a long token between
-two parts does not keep them apart.
+two parts does not keep them apart. A linked group is one part with all that stand near it, and is reported whole.
 
 Defined cases: null text counts as empty; texts of any length are scanned whole; the join takes n log n steps in the
 number of candidates, however many a text has; repeated rows stay; an empty table gives no rows; other columns are
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,50 +80,80 @@ def weak_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[i
     return out
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and the weak ones that are reported as complementary parts co-occur.
-
-    A weak identifier needs a base secret nearby, or a weak secret and an endpoint; a weak secret needs an access
-    identifier, or a weak identifier and an endpoint; an endpoint needs an identifier and a secret, one of them base."""
+class Joined:
+    """The parts of a text by kind, in their order, for interval joins. Parts of one kind do not overlap, so those near a part
+    are a range of their kind."""
+
+    def __init__(self, text: str, parts: list[tuple[int, int, str]], window: int | None):
+        self.window = len(text) if window is None else window
+        self.scopes = [m.end() for m in BLANK_LINE.finditer(text)]
+        self.parts: dict[str, list[tuple[int, int, str]]] = {k: [] for k in KINDS}
+        self.starts: dict[str, list[int]] = {k: [] for k in KINDS}
+        # Starts and ends less what candidates cover before them.
+        self.lefts: dict[str, list[int]] = {k: [] for k in KINDS}
+        self.rights: dict[str, list[int]] = {k: [] for k in KINDS}
+        self.bare, top, covered = {}, 0, 0
+        for part in sorted(parts):
+            start, end, kind = part
+            left = start - covered + max(0, top - start)
+            covered += max(0, end - max(top, start))
+            top = max(top, end)
+            self.bare[part] = left, top - covered
+            for column, x in ((self.parts, part), (self.starts, start), (self.lefts, left), (self.rights, top - covered)):
+                column[kind].append(x)
+        self.ends = len(text) + 1
+        #: For each kind, by how many more groups hold the part at this place than the one before it.
+        self.turns = {k: [0] * (len(self.starts[k]) + 1) for k in WEAK}
+
+    def near(self, part: tuple[int, int, str], kind: str) -> tuple[int, int]:
+        """The range of the parts of a kind that are joined with this part."""
+        k = bisect_right(self.scopes, part[0])
+        low, high = self.scopes[k - 1] if k else 0, self.scopes[k] if k < len(self.scopes) else self.ends
+        left, right = self.bare[part]
+        first = max(bisect_left(self.starts[kind], low), bisect_left(self.rights[kind], left - self.window))
+        return first, max(first, min(bisect_left(self.starts[kind], high), bisect_right(self.lefts[kind], right + self.window)))
+
+    def link(self, part: tuple[int, int, str], *wanted: tuple[str, ...]) -> None:
+        """If parts of each of the wanted sets of kinds are near, the part and all of them are one linked group."""
+        ranges = [[(kind, *self.near(part, kind)) for kind in kinds] for kinds in wanted]
+        if all(any(a < b for _, a, b in some) for some in ranges):
+            if part[2] in WEAK:
+                k = bisect_left(self.parts[part[2]], part)
+                ranges.append([(part[2], k, k + 1)])
+            for kind, a, b in chain.from_iterable(ranges):
+                if kind in WEAK and a < b:
+                    self.turns[kind][a] += 1
+                    self.turns[kind][b] -= 1
+
+    def linked(self) -> list[tuple[int, int, str]]:
+        return [part for kind in WEAK for part, n in zip(self.parts[kind], accumulate(self.turns[kind])) if n]
+
+
+#: Kinds that are identifiers, and those that are secrets.
+IDENTIFIERS, SECRETS = ("access", "weak_id"), ("assign", "hex", "weak_secret")
+
+
+def scan(text: str, window: int | None = WINDOW) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans, and the weak ones that are reported as complementary parts co-occur. With ``window`` None only scopes keep
+    parts apart.
+
+    A weak identifier is linked with a base secret, a weak secret with an access identifier; and an identifier, a secret and
+    an endpoint, weak or not, are linked where one of the three has the other two near it."""
     base = base_spans(text)
     weak = weak_candidates(text, base)
     if not weak or not (base or len(weak) > 2):
         return base, []
-    scopes = [m.end() for m in BLANK_LINE.finditer(text)]
-    # Of each kind the starts, and starts and ends less what candidates cover before them. Spans of one kind do not overlap,
-    # so all three are sorted.
-    places: dict[str, tuple[list[int], list[int], list[int]]] = {k: ([], [], []) for k in KINDS}
-    bare, top, covered = {}, 0, 0
-    for start, end, kind in sorted([*base, *weak]):
-        left = start - covered + max(0, top - start)
-        covered += max(0, end - max(top, start))
-        top = max(top, end)
-        bare[start, end, kind] = left, top - covered
-        for p, x in zip(places[kind], (start, *bare[start, end, kind])):
-            p.append(x)
-
-    def near(left: int, right: int, low: int, high: int, kinds: tuple[str, ...]) -> bool:
-        for kind in kinds:
-            starts, lefts, rights = places[kind]
-            k = max(bisect_left(starts, low), bisect_left(rights, left - WINDOW))
-            if k < len(starts) and starts[k] < high and lefts[k] <= right + WINDOW:
-                return True
-        return False
-
-    linked = []
-    for start, end, kind in weak:
-        k = bisect_right(scopes, start)
-        low, high = scopes[k - 1] if k else 0, scopes[k] if k < len(scopes) else len(text) + 1
-        has = lambda *kinds: near(*bare[start, end, kind], low, high, kinds)  # noqa: B023, E731
-        if kind == "weak_id":
-            ok = has("assign", "hex") or (has("weak_secret") and has("endpoint"))
-        elif kind == "weak_secret":
-            ok = has("access") or (has("weak_id") and has("endpoint"))
-        else:
-            ok = (has("access") and has("assign", "hex", "weak_secret")) or (has("weak_id") and has("assign", "hex"))
-        if ok:
-            linked.append((start, end, kind))
-    return base, linked
+    joined = Joined(text, [*base, *weak], window)
+    for part in [*base, *weak]:
+        if part[2] == "weak_id":
+            joined.link(part, ("assign", "hex"))
+        if part[2] == "weak_secret":
+            joined.link(part, ("access",))
+        if part[2] == "endpoint":
+            joined.link(part, IDENTIFIERS, SECRETS)
+        elif joined.parts["endpoint"]:
+            joined.link(part, ("endpoint",), SECRETS if part[2] in IDENTIFIERS else IDENTIFIERS)
+    return base, joined.linked()
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
@@ -139,14 +170,14 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_documents(docs: DataFrame, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, keep: bool = True, window: int | None = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked and, with ``keep``, redacted (text)."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                base, linked = scan(text or "")
+                base, linked = scan(text or "", window)
                 counts = [sum(s[2] == k for s in base) for k in BASE]
                 row = (*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest([*base, *linked]), len(linked))
                 rows.append((*row, redact(text, [*base, *linked]) if text is not None else None) if keep else row)
@@ -159,7 +190,7 @@ def scan_documents(docs: DataFrame, keep: bool = True, id_col: str = "doc_id", t
     return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(run, schema)
 
 
-def redacted_documents(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+def redacted_documents(docs: DataFrame, window: int | None = WINDOW, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """The columns of ``docs``, secrets in the text replaced by the name of their kind, n_chars counted anew."""
     columns = docs.columns
 
@@ -168,7 +199,7 @@ def redacted_documents(docs: DataFrame, text_col: str = "text", count_col: str =
             at = batch.schema.get_field_index(text_col)
             new = []
             for text in batch.column(at).to_pylist():
-                base, linked = scan(text or "")
+                base, linked = scan(text or "", window)
                 new.append(redact(text, [*base, *linked]) if base or linked else text)
             out = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             if count_col in columns:

@@ -3,10 +3,11 @@
 A file is a table of blocks in ascending order of documents. A block holds, after a header with the hash of the
 dictionary, the ids of its documents (doc_id), their numbers of tokens, an index of frame offsets, and one frame for each
 document, so a short document is read by decompressing its frame alone. The dictionary is trained on the serialized ids
-of a bounded sample of documents; it only affects the size.
+of a bounded sample of texts (``SAMPLE_DOCS``); where they are too few for the trainer, they are the dictionary themselves.
 
 Defined cases: null and empty texts hold the end id alone; rows that repeat a doc_id stand together, ordered by the
-hash of their text; a null doc_id comes first; an empty table gives an empty file; other columns are ignored.
+hash of their text; a null doc_id comes first; an empty table gives an empty file, the only one without a dictionary;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,28 +97,32 @@ class Block:
         return [self.ids(k) for k in range(a, b) if self.doc_ids[k] == doc_id and not self.null[k]]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, width: int) -> bytes:
-    """From documents of the smallest hashes of doc_id; empty where there is too little to train on."""
+def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int = 0) -> bytes:
+    """From the distinct rows of the smallest hashes; of equal rows one is taken."""
     import zstandard
 
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("hash"))
+    chosen = keyed.select("hash").distinct().orderBy("hash").limit(SAMPLE_DOCS)
 
     def chunks(batches):
         encode = encoder(tokenizer)
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                data = encode(text or "").astype(f"<u{width}").tobytes()
+                data = np.append(encode(text or ""), np.uint32(end_id)).astype(f"<u{width}").tobytes()
                 every = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-                out += every[:: max(1, -(-len(every) // SAMPLE_CHUNKS))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["chunk"])
+                out.append(every[:: max(1, -(-len(every) // SAMPLE_CHUNKS))])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.binary()))], names=["hash", "chunks"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(chunks, "chunk binary").collect()
-    samples = sorted(bytes(r[0]) for r in rows if r[0])
+    # At most SAMPLE_DOCS hashes are sent, and as many groups come back, however often a row is repeated.
+    rows = keyed.join(F.broadcast(chosen), "hash", "left_semi").select("text", "hash").mapInArrow(chunks, "hash long, chunks array<binary>")
+    samples = sorted(bytes(c) for r in rows.groupBy("hash").agg(F.first("chunks").alias("chunks")).collect() for c in r["chunks"])
+    if not samples:
+        return b""
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 64 else b""
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICTIONARY].ljust(8, b"\0")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -126,7 +131,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: st
     path = path or new_path(spark, "tokens")
     docs = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text")
     width = id_width(tokenizer)
-    dictionary = train_dictionary(docs, tokenizer, width)
+    dictionary = train_dictionary(docs, tokenizer, width, end_id)
     dict_hash = hashlib.sha256(dictionary).digest()
 
     def frames(batches):
@@ -210,14 +215,15 @@ def read_token_files(spark: SparkSession, path: str, keep: bool = True) -> DataF
     return out.select("doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep)
 
 
-def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[int, list[int]]:
-    """Ids of a few documents: only blocks whose range holds them are read, and only their frames decompressed."""
+def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[int, list[list[int]]]:
+    """Ids of a few documents, a list for each row of a doc_id: only blocks whose range holds them are read, and only their
+    frames decompressed."""
     dictionary = _dictionary(spark, path)
     hit = functools.reduce(lambda a, b: a | b, [(F.col("first_doc") <= d) & (F.col("last_doc") >= d) for d in doc_ids], F.lit(False)) | F.col("first_doc").isNull()
-    out = {}
-    for row in spark.read.parquet(f"{path}/blocks").where(hit).select("data").toLocalIterator():
+    out: dict[int, list[list[int]]] = {}
+    for row in spark.read.parquet(f"{path}/blocks").where(hit).orderBy("shard", "block").select("data").toLocalIterator():
         block = Block(bytes(row[0]), dictionary)
         for d in doc_ids:
-            for ids in block.find(d):
-                out.setdefault(d, ids.tolist())
+            if found := block.find(d):
+                out.setdefault(d, []).extend(ids.tolist() for ids in found)
     return out

@@ -108,7 +108,7 @@ def test_linking():
     assert kinds(f"{key} {mixed}") == ["weak_secret"]
     assert kinds(f"{key}\n\n{mixed}") == [], "another scope"
     assert kinds(f"{key}{' ' * 300}{mixed}") == [], "too far"
-    assert sorted(kinds(f"user=bob {mixed} https://x.y")) == ["weak_id", "weak_secret"]
+    assert sorted(kinds(f"user=bob {mixed} https://x.y")) == ["endpoint", "weak_id", "weak_secret"]
     assert kinds("user=bob token=abcdef1") == ["weak_id"]
     assert kinds(f"{key} token=abcdef1 https://x.y") == ["endpoint"]
     assert secrets.redact("a token=abcdef1 b", secrets.scan("a token=abcdef1 b")[0]) == "a [assign] b"
@@ -118,12 +118,54 @@ def test_linking_measures_gaps():
     kinds = lambda t: [s[2] for s in secrets.scan(t)[1]]
     long = "Zx9" * 100
     assert kinds(f"token={long} user=bob") == ["weak_id"] == kinds(f"user=bob token={long}")
-    assert sorted(kinds(f"user=bob {long} https://x.y")) == ["weak_id", "weak_secret"]
+    assert sorted(kinds(f"user=bob {long} https://x.y")) == ["endpoint", "weak_id", "weak_secret"]
     assert kinds(f"token={long}\n\nuser=bob") == [], "another scope"
     blank = lambda n: f"token={long}{' ' * n}user=bob"
     assert kinds(blank(256)) == ["weak_id"] and kinds(blank(257)) == []
 
 
+def plain_links(text, window):
+    """All pairs of parts, and all groups around each part."""
+    base = secrets.base_spans(text)
+    weak = secrets.weak_candidates(text, base)
+    parts = [*base, *weak]
+    free = [True] * (len(text) + 1)
+    for a, b, _ in parts:
+        free[a:b] = [False] * (b - a)
+    scope = lambda p: sum(m.end() <= p[0] for m in secrets.BLANK_LINE.finditer(text))
+
+    def near(p, q):
+        a, b = sorted([p, q])
+        return scope(p) == scope(q) and (window is None or sum(free[a[1] : b[0]]) <= window)
+
+    out = set()
+    for p in parts:
+        around = lambda *kinds: {q for q in parts if q != p and q[2] in kinds and near(p, q)}  # noqa: B023, E731
+        groups = []
+        if p[2] == "weak_id":
+            groups.append([around("assign", "hex")])
+        if p[2] == "weak_secret":
+            groups.append([around("access")])
+        ids, keys, ends = around("access", "weak_id"), around("assign", "hex", "weak_secret"), around("endpoint")
+        groups.append([ids, keys] if p[2] == "endpoint" else [ends, keys if p[2] in ("access", "weak_id") else ids])
+        for g in groups:
+            if all(g):
+                out |= {p}.union(*g)
+    return {p for p in out if p in weak}
+
+
+def test_links_by_brute_force():
+    rng, some = random.Random(16), 0
+    more = ["AKIA" + "A" * 16 + " ", "Zx9Kq2Lm4Np6Rs8T ", "user=bob12 ", "https://h.x/y ", "token=abcdefgh ", "0123456789abcdef" * 2 + " ", " " * 9, " . . . ", "\n", "\n \n", "login: anna "]
+    for k in range(6000):
+        text = "".join(rng.choice(more if k % 3 else PARTS) for _ in range(rng.randrange(2, 16)))
+        window = rng.choice([0, 5, 20, 256, None])
+        got_ = secrets.scan(text, window)[1]
+        assert set(got_) == plain_links(text, window) and len(set(got_)) == len(got_), (text, window)
+        some += bool(got_)
+    assert some > 1000
+
+
 def test_linking_is_near_linear():
     import time
 
@@ -162,7 +204,7 @@ def test_ordinal_fit():
     assert quality.fit([], np.zeros(0)).score(np.array([1, 2])) == (0.0, 1.0)
 
 
-def test_quality_query(spark, edge):
+def test_quality_query(spark, edge, documents):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit_model(docs, labels)
     again = quality.fit_model(docs.repartition(5), labels.repartition(3))
@@ -176,6 +218,13 @@ def test_quality_query(spark, edge):
     assert quality.accepted(edge, model).columns == edge.columns
     none = quality.fit_model(edge, labels.where("false"))
     assert quality.accepted(edge, none).count() == 9
+    small = spark.createDataFrame([(i, i % 3 != 1, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic int".replace("int", "boolean")).selectExpr("doc_id", "int(quality) AS quality", "int(toxic) AS toxic")
+    hot = documents([(i, ["awful", "low low", "good words"][i % 3] + f" {i}") for i in range(60)] + [(1, f"text {k}") for k in range(500)])
+    rated = quality.sample_rows(hot, small.union(small.where("doc_id = 5")), 61)
+    assert [(i, g) for i, g, _ in rated] == sorted([(i, i % 3) for i in range(60)] + [(5, 2)])
+    assert rated == quality.sample_rows(hot.repartition(6), small.union(small.where("doc_id = 5")), 61)
+    graded = {r["doc_id"]: r["expected_grade"] for r in quality.grade_documents(hot, quality.fit_model(hot, small)).where("doc_id <> 1").collect()}
+    assert max(graded[i] for i in range(0, 60, 3)) < min(graded[i] for i in range(4, 60, 3)) and max(graded[i] for i in range(4, 60, 3)) < min(graded[i] for i in range(2, 60, 3))
     odd = spark.createDataFrame([(3, 1, None), (None, 1, 1), (3, 1, 0), (3, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.grade_documents(edge, quality.fit_model(edge, odd)).count() == 9
 

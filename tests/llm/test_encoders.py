@@ -103,6 +103,21 @@ def test_count_query(edge):
     assert token_counts.token_counts(edge.where("false"), BYTES).count() == 0
 
 
+def test_ids_of_whole_documents(spark):
+    """The fast encoder and the counts against the library on all documents of a table."""
+    encode, counter = token_files.encoder(BYTES), token_counts.prefix_counter(BYTES)
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect():
+        ids = library(r["text"] or "")
+        assert encode(r["text"] or "").tolist() == ids and (counter.counts(r["text"] or "")[1] or [0])[-1] == len(ids)
+
+
+def test_dictionary_sample_is_bounded(documents, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE_DOCS", 3)
+    rows = [(1, "one two three")] * 50 + [(k % 3, f"text {k}") for k in range(40)]
+    docs = documents(rows).select("doc_id", "text")
+    assert token_files.train_dictionary(docs, BYTES, 2) == token_files.train_dictionary(docs.repartition(5), BYTES, 2) != b""
+
+
 def brute_files(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.blake2b((r[1] or "").encode(), digest_size=8).digest()))
     out, start = [], 0
@@ -122,8 +137,10 @@ def test_files(spark, edge, sf):
         assert sorted((tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in got), key=str) == sorted(want, key=str)
     some = token_files.fetch(spark, path, [3, 17, 10**9])
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert some == {i: library(text[i]) + [0] for i in (3, 17)}
+    assert some == {i: [library(text[i]) + [0]] for i in (3, 17)}
     assert token_files._dictionary(spark, path)  # large enough to train on
+    few = token_files.write_token_files(edge, BYTES)
+    assert token_files._dictionary(spark, few) and len(token_files.fetch(spark, few, [3])[3]) == 2  # a row each
     empty = token_files.write_token_files(edge.where("false"), BYTES)
     assert token_files.read_token_files(spark, empty).count() == 0
 
