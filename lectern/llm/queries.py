@@ -14,7 +14,7 @@ from .passages import repeated_passages
 from .pieces import encode_decode
 from .quality import fit_model, grade_documents
 from .secrets import scan_documents
-from .token_counts import token_counts
+from .token_counts import prefix_table, token_counts
 from .token_files import read_token_files, write_token_files
 from .top_k import integer_vectors, top_k
 
@@ -65,7 +65,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+    return token_counts(prefix_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), limit=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -46,14 +46,41 @@ def test_counts_match_the_library(text):
     assert token_files.encoder(BYTES)(text).tolist() == library(text)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab '\n\t sltrevm1.é漢"), max_size=16), st.integers(0, 6))
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("ab '\n\t\r\x1f\x85\xa0 sltrevm1.é漢\u200b\u3000|<>"), max_size=16).map(lambda t: t.replace("|", "<|endoftext|>")), st.integers(0, 6))
 def test_every_prefix(text, budget):
     counter = token_counts.prefix_counter(BYTES)
     brute = [len(library(text[:n])) for n in range(len(text) + 1)]
     assert counter.every_prefix(text) == brute
-    words, sums = counter.counts(text)
-    assert counter.longest_within(words, sums, budget) == max(n for n, c in enumerate(brute) if c <= budget)
+    stored = token_counts.Prefixes(token_counts.Prefixes.stored(counter.steps(text)))
+    assert [stored.count(n) for n in range(len(text) + 1)] == brute and stored.count() == brute[-1]
+    assert stored.longest_within(budget) == max(n for n, c in enumerate(brute) if c <= budget)
+
+
+def test_every_prefix_of_real_texts(spark):
+    counter = token_counts.prefix_counter(BYTES)
+    texts = [r["text"][:400] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"]]
+    for text in [*texts, "x!?<|endoftext|>'re <|endo 'll", "a  b\n\n  c \n", "  ", "we've 're\t\n", "=" * 150 + " " * 150]:
+        assert counter.every_prefix(text) == [len(library(text[:n])) for n in range(len(text) + 1)], text
+
+
+def test_characters_in_prefixes():
+    """Blanks, letters and signs of every kind at the ends of prefixes."""
+    counter = token_counts.prefix_counter(BYTES)
+    chars = [chr(c) for c in [*range(0x2100), *range(0x2FF0, 0x3100), *range(0xFE00, 0x10000), *range(0x1F000, 0x1F700, 7)]]
+    for c in chars:
+        text = f"a {c}{c}b {c}"
+        assert counter.every_prefix(text) == [len(library(text[:n])) for n in range(len(text) + 1)], repr(c)
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    counter, begun = token_counts.prefix_counter(BYTES), time.process_time()
+    word = "".join(random.Random(6).choice("abcdefgh") for _ in range(100_000))
+    counts = counter.every_prefix(word)
+    assert time.process_time() - begun < 10
+    assert all(counts[n] == len(library(word[:n])) for n in (1, 17, 500, 4000, 4097, 50_000, 100_000))
 
 
 def test_common_characters_split_alike():
@@ -91,16 +118,19 @@ def test_piece_query(edge):
 
 def test_count_query(edge):
     text = {x["doc_id"]: x["text"] or "" for x in edge.collect()}
-    rows = token_counts.token_counts(edge, BYTES, limit=3).collect()
+    table = token_counts.prefix_table(edge, BYTES)
+    rows = token_counts.token_counts(table, limit=3).collect()
     assert len(rows) == 9
     for r in rows:
-        assert (r["n_bytes"], r["n_tokens"]) == (len(text[r["doc_id"]].encode()), len(library(text[r["doc_id"]])))
+        t = text[r["doc_id"]]
+        assert (r["n_bytes"], r["n_tokens"]) == (len(t.encode()), len(library(t)))
         assert r["over_limit"] == (r["n_tokens"] > 3)
-        assert len(library(text[r["doc_id"]][: r["chars_within"]])) <= 3
-    table = {r["doc_id"]: r["counts"] for r in token_counts.prefix_table(edge.where("doc_id in (1, 3, 6)"), BYTES).collect()}
-    assert table[1] == [0] and table[3] == [len(library(text[3][:n])) for n in range(len(text[3]) + 1)]
-    assert table[6] == [len(library(text[6][:n])) for n in range(len(text[6]) + 1)]
-    assert token_counts.token_counts(edge.where("false"), BYTES).count() == 0
+        if len(t) < 100:
+            assert r["chars_within"] == max(n for n in range(len(t) + 1) if len(library(t[:n])) <= 3)
+    for r in table.where("doc_id in (1, 3, 6)").collect():
+        stored = token_counts.Prefixes(bytes(r["counts"]))
+        assert [stored.count(n) for n in range(len(text[r["doc_id"]]) + 1)] == [len(library(text[r["doc_id"]][:n])) for n in range(len(text[r["doc_id"]]) + 1)]
+    assert token_counts.token_counts(token_counts.prefix_table(edge.where("false"), BYTES)).count() == 0
 
 
 def test_ids_of_whole_documents(spark):
