@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +54,10 @@ class PrefixCounter:
         self.split_words = regex.compile(WORDS).findall
         self.common = re.compile(COMMON).fullmatch
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
-        #: Words seen, with the steps of their counts as bytes of 16-bit numbers.
+        #: Words seen lately, and before that, with the steps of their counts as bytes of 16-bit numbers: when the first are
+        #: full they take the place of the second, so common words stay.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """The text cut into words and added strings."""
@@ -73,13 +77,14 @@ class PrefixCounter:
         return [counts[e - 1] for e in accumulate(len(c.encode()) for c in word)]
 
     def _steps(self, word: str) -> bytes:
-        counts = self.word_prefixes(word)
-        if word in CONTRACTIONS:
-            counts[1] = counts[0] + self.word_prefixes(word[1])[0]
-        steps = np.diff(np.array(counts, np.int32), prepend=np.int32(0)).astype("<i2").tobytes()
-        if len(self.kept) > 200_000:
-            self.kept.clear()
+        if (steps := self.older.get(word)) is None:
+            counts = self.table.prefixes(word)[1] if word.isascii() else self.word_prefixes(word)
+            if word in CONTRACTIONS:
+                counts[1] = counts[0] + self.word_prefixes(word[1])[0]
+            steps = array("h", map(sub, counts, [0, *counts])).tobytes()
         if len(word) <= 64:
+            if len(self.kept) >= 200_000:
+                self.kept, self.older = {}, self.kept
             self.kept[word] = steps
         return steps
 
@@ -109,7 +114,7 @@ class PrefixCounter:
             tail = before[place[0] :]
             base = self._count(tail)
             counts = [self._count(tail + part[:n]) - base for n in range(1, len(part))] + [1]
-            out.append(np.diff(np.array(counts, np.int32), prepend=np.int32(0)).astype("<i2"))
+            out.append(np.diff(np.array(counts, np.int32), prepend=np.int32(0)).astype(np.int16))
         return np.concatenate(out)
 
     def _plain_steps(self, text: str) -> np.ndarray:
@@ -118,8 +123,8 @@ class PrefixCounter:
         if None in found:
             found = [self.kept.get(w) or self._steps(w) for w in words]
         if not _SPLIT_BLANKS(text):
-            return np.frombuffer(b"".join(found), "<i2")
-        out = np.frombuffer(bytearray().join(found), "<i2")
+            return np.frombuffer(b"".join(found), np.int16)
+        out = np.frombuffer(bytearray().join(found), np.int16)
         at = 0
         for k, (word, after) in enumerate(zip(words, words[1:])):
             at += len(word)
@@ -147,7 +152,7 @@ class Prefixes:
     def __init__(self, stored: bytes):
         import zlib
 
-        self.counts = np.cumsum(np.frombuffer(zlib.decompress(stored), "<i2"), dtype=np.int64)
+        self.counts = np.cumsum(np.frombuffer(zlib.decompress(stored), np.int16), dtype=np.int64)
 
     @staticmethod
     def stored(steps: np.ndarray) -> bytes:
