@@ -1,23 +1,30 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Candidates are dealt into blocks. In a block, each dimension has posting segments: the vectors of one (quantised) value.
-A query turns each segment into an impact, its value times the query's component above the least that the dimension can
-give. Segments add up in accumulators by descending impact, for a block of queries together: first the strongest part,
-after which the most promising vectors are scored exactly and set the bar (a k-th best score that is really reached);
-then further parts, until the bound on what each vector can still gain proves all but a small share of them out of
-reach. What can still reach the bar is scored again exactly, so the result is exact whenever processing stops. The k
-best of each block are merged.
+Candidates are dealt into blocks, and each block is indexed once: every dimension has a posting list, the vectors in the
+order of their components there. A query makes each posting an impact, the product of the two components less the least
+that the dimension can give. Impacts are quantised into ``STEPS`` levels; as products rise or fall along a posting list, the
+postings of one level are a segment of each list. Segments are processed by descending level, each posting once, into
+accumulators, one number a vector that holds the impacts gained and the number of postings met.
+
+After each level a vector can still gain at most, for each dimension whose posting has not been met, the bound of the
+level (or the dimension's greatest impact, where that is less). The bar is the k-th best exact score among the vectors
+that lead when it is set. Processing stops only when the bounds prove that no more than a share of the block can reach the
+bar, or when all postings are met; the vectors that can are scored again exactly, so the result is exact whenever
+processing stops. The k best of each block are merged.
 
 Queries are a stated set, in blocks; each block of queries meets each block of candidates once, and a block is one row.
 
-Defined cases: vectors that are null, or hold null or non-finite components, or have no components take no part; ties go
-to the smaller id; rows that repeat an id each count as candidates, but a query never meets rows of its own id, and a
-query row that repeats another counts once; only vectors of the same number of components meet; with fewer than k
-candidates all are returned; an empty table gives no rows; other columns are ignored.
+Defined cases: vectors that are null, or hold null or non-finite components, or have no components take no part; neither do
+rows without vec_id; ties go to the smaller id; rows that repeat an id each count as candidates, but a query never meets
+rows of its own id, and a query row that repeats another counts once; only vectors of the same number of components meet;
+scores are exact up to 2^62 in size, beyond which the query fails; with fewer than k candidates all are returned; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,86 +33,96 @@ from pyspark.sql import functions as F
 
 from ._common import bounded, written
 
-#: Vectors in a block of candidates, and of queries; most quantised values of a dimension.
-BLOCK, QUERIES, LEVELS = 8192, 512, 256
-#: Shares of the postings after which the bar is set, and after which the bounds are tried; vectors that set the bar.
-FIRST, CHECKS, TRIED = 0.35, (0.65, 0.85), 64
-#: Share of a block that is scored again exactly rather than processing further parts.
+#: Components in a block of candidates (so vectors of 64 are dealt by 16,384), and vectors in a block of queries.
+BLOCK_CELLS, QUERIES = 1 << 20, 512
+#: Levels of impact; vectors that set the bar besides the k, and the share of postings after which it is set.
+STEPS, TRIED, FIRST = 12, 64, 0.2
+#: Share of a block that is scored again exactly rather than processing another level.
 RESCORE = 0.25
 
 
 class Index:
-    """Posting segments of a block of integer vectors, as the segment of each vector in each dimension."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        n, dims = vectors.shape
-        self.segment = np.zeros((dims, n), np.int64)
-        least, most = [], []
-        for d in range(dims):
-            values = vectors[:, d]
-            step = max(1, -(-(int(values.max()) - int(values.min()) + 1) // LEVELS))
-            levels, self.segment[d] = np.unique(values // step, return_inverse=True)
-            least.append(levels * step)
-            most.append(levels * step + step - 1)
-        width = max(map(len, least))
-        # Short dimensions repeat their last segment, which has no postings and changes no bound.
-        self.least = np.stack([np.pad(x, (0, width - len(x)), "edge") for x in least])
-        self.most = np.stack([np.pad(x, (0, width - len(x)), "edge") for x in most])
+    """Posting lists of a block of integer vectors: ``order`` holds for each dimension the vectors by ascending component."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None):
+        self.ids, self.vectors = ids, vectors.astype(np.int64)
+        self.order = (np.argsort(vectors, axis=0, kind="stable").T if order is None else order).astype(np.intp)
+        self.sorted = np.take_along_axis(self.vectors.T, self.order, 1)
+        self.least, self.most = self.sorted[:, 0].copy(), self.sorted[:, -1].copy()
+        self.as_floats = self.sorted.astype(np.float64)
         self.by_id = np.argsort(ids, kind="stable")
         self.sorted_ids = ids[self.by_id]
-        self.sample = np.arange(n)[:: max(1, n // 256)]
-
-    def _sum(self, weights: np.ndarray, dtype) -> np.ndarray:
-        """Accumulators (vector, query): what each segment gives each query, added up over dimensions."""
-        out = np.zeros((self.vectors.shape[0], weights.shape[2]), dtype)
-        part = np.empty_like(out)
-        for d in range(len(weights)):
-            np.take(weights[d], self.segment[d], axis=0, out=part, mode="clip")
-            out += part
+        #: Unit of the impacts in an accumulator, which counts postings below it.
+        self.unit = 1 << int(len(self.least)).bit_length()
+
+    def _levels(self, q: np.ndarray, impacts: np.ndarray, bounds: list[int]) -> np.ndarray:
+        """For each bound and dimension, how many postings from the list's strong end have impacts above the bound."""
+        out = np.zeros((len(bounds), len(q)), np.int64)
+        n = self.sorted.shape[1]
+        for d in np.flatnonzero(impacts).tolist():
+            # The product is above floor + bound from some component on, which whole numbers find exactly.
+            edge = int(min(self.least[d] * q[d], self.most[d] * q[d]))
+            if q[d] > 0:
+                out[:, d] = n - np.searchsorted(self.sorted[d], [(edge + b) // int(q[d]) for b in bounds], side="right")
+            else:
+                out[:, d] = np.searchsorted(self.sorted[d], [-((edge + b) // -int(q[d])) for b in bounds], side="left")
         return out
 
+    def possible(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """The vectors whose score may be among the k best, proved by bounds; ``own`` are not counted."""
+        n, dims = self.vectors.shape
+        if n <= 2 * (TRIED + k):
+            return np.arange(n)
+        floor = np.minimum(self.least * q, self.most * q)
+        impacts = np.maximum(self.least * q, self.most * q) - floor
+        if int(impacts.sum()) * self.unit >= 1 << 53:
+            return np.arange(n)  # accumulators would not be exact
+        top = int(impacts.max())
+        bounds = [top * (STEPS - s) // STEPS for s in range(1, STEPS)]
+        ends = self._levels(q, impacts, bounds)
+        done, met, bar = np.zeros(dims, np.int64), np.zeros(n), None
+        base = int(floor.sum())
+        for bound, now in zip(bounds, ends):
+            rows, gains = [], []
+            for d in np.flatnonzero(now > done).tolist():
+                part = slice(n - now[d], n - done[d]) if q[d] > 0 else slice(done[d], now[d])
+                rows.append(self.order[d, part])
+                # Whole numbers below 2^53, so exact.
+                gain = self.as_floats[d, part] * float(q[d] * self.unit)
+                gain += float(1 - floor[d] * self.unit)
+                gains.append(gain)
+            done = now
+            if rows:
+                met += np.bincount(np.concatenate(rows), np.concatenate(gains), n)
+            if done.sum() < FIRST * n * np.count_nonzero(impacts):
+                continue
+            gained = met // self.unit
+            active = impacts > bound
+            # Dimensions that are not active yet may give all they have; in the others a posting not met gives the bound.
+            upper = gained + int(impacts[~active].sum()) + (np.count_nonzero(active) - (met - gained * self.unit)) * bound
+            if bar is None:
+                lead = np.argpartition(upper, n - TRIED - k)[n - TRIED - k :]
+                lead = lead[~np.isin(lead, own)]
+                if len(lead) < k:
+                    return np.arange(n)
+                bar = np.sort(self.vectors[lead] @ q)[-k]
+            left = np.flatnonzero(upper >= bar - base)
+            if len(left) <= RESCORE * n:
+                return left
+        return left if bar is not None else np.arange(n)
+
     def search(self, owners: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query, (ids, scores) of the k best, ties to smaller ids, without vectors of the id of its owner."""
-        n, dims = self.vectors.shape
-        q = queries.astype(np.int64).T[:, None, :]  # (dimension, 1, query)
-        a, b = self.least[:, :, None] * q, self.most[:, :, None] * q
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        floor = low.min(1, keepdims=True)
-        low, high = low - floor, high - floor  # impacts, from below and above
-        top = int(high.max(1).sum(0).max()) if high.size else 0
-        dtype = np.float32 if top < 1 << 24 else np.float64
-        # Impacts of a sample of postings tell from which impact on a share of all postings is processed.
-        seen = np.stack([high[d][self.segment[d][self.sample]] for d in range(dims)]).reshape(-1, queries.shape[0])
-        cut = lambda share: np.partition(seen, int((1 - share) * (len(seen) - 1)), axis=0)[int((1 - share) * (len(seen) - 1))]
-        own = [self.by_id[slice(*np.searchsorted(self.sorted_ids, [o, o + 1]))] for o in owners.tolist()]
-        bars = np.full(len(owners), -np.inf)
-        possible: list = [None] * len(owners)
-        if n > TRIED + k:
-            gained = self._sum(np.where(high >= cut(FIRST), low, 0).astype(dtype), dtype)
-            best = np.argpartition(gained, n - TRIED, axis=0)[n - TRIED :]
-            for i, rows in enumerate(best.T):
-                rows = rows[~np.isin(rows, own[i])] if len(own[i]) else rows
-                if len(rows) >= k:
-                    exact = self.vectors[rows] @ queries[i]
-                    bars[i] = np.partition(exact, len(exact) - k)[len(exact) - k]
-            left = np.arange(len(owners))
-            base = floor[:, 0, :].sum(0)
-            for share in CHECKS:
-                done = high >= cut(share)
-                rest = np.where(done, 0, high).max(1, keepdims=True)  # the most that a segment not processed gives
-                upper = self._sum(np.where(done, high, rest)[:, :, left].astype(dtype), dtype)
-                for j, i in enumerate(left):
-                    possible[i] = np.flatnonzero(upper[:, j] >= bars[i] - base[i])
-                left = np.array([i for i in left if len(possible[i]) > RESCORE * n], int)
-                if not len(left):
-                    break
+        most = np.maximum(np.abs(self.least).astype(object), np.abs(self.most).astype(object))
+        if len(queries) and int((most * np.abs(queries).max(0).astype(object)).sum()) >= 1 << 62:
+            raise OverflowError("scores beyond 2^62")
         out = []
-        for i in range(len(owners)):
-            rows = np.arange(n) if possible[i] is None else possible[i]
-            if len(own[i]):
-                rows = rows[~np.isin(rows, own[i])]
-            exact = self.vectors[rows] @ queries[i]
+        for owner, q in zip(owners.tolist(), queries.astype(np.int64)):
+            own = self.by_id[slice(*np.searchsorted(self.sorted_ids, [owner, owner + 1]))]
+            rows = self.possible(q, own, k)
+            if len(own):
+                rows = rows[~np.isin(rows, own)]
+            exact = self.vectors[rows] @ q
             if len(rows) > 4 * k:
                 bar = np.partition(exact, len(exact) - k)[len(exact) - k]
                 rows, exact = rows[exact >= bar], exact[exact >= bar]
@@ -122,46 +139,62 @@ def integer_vectors(table: DataFrame, scale: float = 64.0, id_col: str = "vec_id
     return rows.select("vec_id", F.transform("x", lambda c: F.floor(F.lit(scale) * c).cast("long")).alias("vector"))
 
 
-def _packed(rows: DataFrame, per_block: int) -> DataFrame:
-    """One row for each block of vectors with the same number of components: dims, block, ids and vectors as bytes."""
-    blocks = max(1, -(-rows.count() // per_block))
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as hold them."""
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    return x.astype(next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _packed(rows: DataFrame, size, index: bool, name: str) -> DataFrame:
+    """The written table of blocks of vectors with the same number of components: dims, block, ids and vectors, and with
+    ``index`` their posting lists, as bytes. ``size`` is the number of vectors in a block, a column over dims."""
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids = group["vec_id"].to_numpy().astype("<i8")
-        vectors = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
-        return pa.table({"dims": pa.array([len(vectors) // len(ids)], pa.int32()), "block": group["block"][:1].cast(pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
-
-    keyed = rows.withColumn("dims", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return keyed.groupBy("dims", "block").applyInArrow(pack, "dims int, block int, ids binary, vectors binary")
+        vectors = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        columns = {"dims": pa.array([vectors.shape[1]], pa.int32()), "block": group["block"][:1].cast(pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary())}
+        small = _small(vectors)
+        columns |= {"vectors": pa.array([small.tobytes()], pa.binary()), "width": pa.array([small.itemsize], pa.int32())}
+        if index:
+            columns["postings"] = pa.array([np.argsort(small, axis=0, kind="stable").T.astype("<i4").tobytes()], pa.binary())
+        return pa.table(columns)
+
+    rows = rows.withColumn("dims", F.size("vector"))
+    counts = written(rows.groupBy("dims").count().select("dims", F.ceil(F.col("count") / size).cast("long").alias("blocks")), name + "-widths")
+    # Rows are dealt by their place, so those that share an id are spread too.
+    keyed = rows.withColumn("place", F.xxhash64(F.monotonically_increasing_id())).join(bounded(counts), "dims")
+    keyed = keyed.select("vec_id", "vector", "dims", F.pmod("place", "blocks").cast("int").alias("block"))
+    schema = "dims int, block int, ids binary, vectors binary, width int" + ", postings binary" * index
+    return written(keyed.groupBy("dims", "block").applyInArrow(pack, schema), name)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """candidates, queries: vec_id, vector (see ``integer_vectors``). Returns query_id, rank, vec_id, score."""
-    packed = written(_packed(candidates, BLOCK), "top-candidates")
-    asked = written(_packed(queries.dropDuplicates(["vec_id", "vector"]), QUERIES), "top-queries")
+    packed = _packed(candidates, F.greatest(F.lit(256), F.lit(BLOCK_CELLS) / F.col("dims")), True, "top-candidates")
+    asked = _packed(queries.dropDuplicates(["vec_id", "vector"]), F.lit(QUERIES), False, "top-queries")
     # Every block of queries meets every block of candidates of its width, each as one row.
     numbers = bounded(written(packed.select("dims", F.col("block").alias("at")), "top-numbers"))
-    pairs = asked.select("dims", F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")).join(numbers, "dims")
+    pairs = asked.select("dims", *(F.col(c).alias("query_" + c) for c in ("ids", "vectors", "width"))).join(numbers, "dims")
     pairs = pairs.join(packed.withColumnRenamed("block", "at"), ["dims", "at"])
+    columns = ["dims", "ids", "vectors", "width", "postings", "query_ids", "query_vectors", "query_width"]
 
     def search(batches):
         for batch in batches:
-            for dims, ids, vectors, query_ids, query_vectors in zip(*(batch.column(c).to_pylist() for c in ("dims", "ids", "vectors", "query_ids", "query_vectors"))):
-                index = Index(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dims))
-                owners, asked = np.frombuffer(query_ids, "<i8"), np.frombuffer(query_vectors, "<i8").reshape(-1, dims)
+            for at in range(batch.num_rows):
+                dims, ids, vectors, width, postings, query_ids, query_vectors, query_width = (batch.column(c)[at].as_py() for c in columns)
+                index = Index(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, f"<i{width}").reshape(-1, dims), np.frombuffer(postings, "<i4").reshape(dims, -1))
+                owners, asked = np.frombuffer(query_ids, "<i8"), np.frombuffer(query_vectors, f"<i{query_width}").reshape(-1, dims).astype(np.int64)
                 found = index.search(owners, asked, k)
                 sizes = [len(f[0]) for f in found]
                 which = np.repeat(np.arange(len(owners)), sizes)
-                marks = np.array([int.from_bytes(_mark(asked[i]), "little", signed=True) for i in range(len(owners))], np.int64)
+                marks = np.array([int.from_bytes(_mark(q), "little", signed=True) for q in asked], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(owners[which]), pa.array(marks[which]), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], names=["query_id", "mark", "vec_id", "score"])
 
-    found = pairs.select("dims", "ids", "vectors", "query_ids", "query_vectors").repartition(F.xxhash64("query_ids", "ids")).mapInArrow(search, "query_id long, mark long, vec_id long, score long")
+    found = pairs.select(*columns).repartition(F.xxhash64("query_ids", "ids")).mapInArrow(search, "query_id long, mark long, vec_id long, score long")
     best = W.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _mark(vector: np.ndarray) -> bytes:
-    import hashlib
-
     return hashlib.blake2b(vector.tobytes(), digest_size=8).digest()
