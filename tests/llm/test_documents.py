@@ -67,6 +67,28 @@ def test_sizes_by_range(documents, monkeypatch):
     check_mix(documents([(i, "w " * (i % 9), "abc"[i % 3]) for i in range(300)]))
 
 
+def test_equal_rows_and_many_sources(spark, documents, monkeypatch):
+    """A row that is a third of all, and as many sources as documents; batches of copies are dealt out."""
+    monkeypatch.setattr(mix, "COPIES", 10)
+    monkeypatch.setattr(mix, "RANGE_ROWS", 16)
+    rows = [(1, "w " * 5, "a")] * 200 + [(i, "w " * (i % 9), "abc"[i % 3]) for i in range(300)] + [(None, "w w", None)] * 7
+    df = documents(rows)
+    first = sorted(check_mix(df), key=str)
+    assert sorted(check_mix(df.repartition(5)), key=str) == first
+    check_mix(documents([(i, "w " * (1 + i % 5), f"s{i * 7919 % 1000:04d}") for i in range(400)]))
+    out = defaultdict(int)
+    for r in mix.mixed_rows(df).collect():
+        out[r["doc_id"], r["text"], r["source"]] += 1
+    plan = defaultdict(int)
+    for r in mix.mix(df, boundary="document").collect():
+        plan[r["doc_id"], "w " * r["size"] if r["doc_id"] is not None else "w w", r["source"]] += r["copies"]
+    assert dict(out) == {k: c for k, c in plan.items() if c}
+    words_taken, want = defaultdict(int), plain_targets({"a": 1000 + sum(i % 9 for i in range(0, 300, 3)), "b": sum(i % 9 for i in range(1, 300, 3)), "c": sum(i % 9 for i in range(2, 300, 3)), None: 14})
+    for (_, t, s), c in out.items():
+        words_taken[s] += words(t) * c
+    assert all(-0.5 <= words_taken[s] - want[s] < 9 for s in want)
+
+
 def test_mixed_rows(documents):
     df = documents([(i, f"w{i} " * 10, "a" if i < 90 else "b") for i in range(100)])
     rows = mix.mixed_rows(df).collect()
@@ -78,6 +100,12 @@ def test_mixed_rows(documents):
     assert sum(count[i] for i in range(90, 100)) == 30
 
 
+def test_mixed_rows_of_odd_tables(edge, documents):
+    out = [r["doc_id"] for r in mix.mixed_rows(edge).collect()]
+    assert out and set(out) <= {3, 4, None, 6, 7} and mix.mixed_rows(edge).columns == edge.columns  # rows without words are left out
+    assert mix.mixed_rows(edge.where("false")).count() == 0 == mix.mixed_rows(documents([(1, None), (2, " ")])).count()
+
+
 # ---- secrets
 
 
