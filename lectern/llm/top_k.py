@@ -8,7 +8,7 @@ accumulators, one number a vector that holds the impacts gained and the number o
 
 After each level a vector can still gain at most, for each dimension whose posting has not been met, the bound of the
 level (or the dimension's greatest impact, where that is less). The bar is the k-th best exact score among the vectors
-that lead when it is set. Processing stops only when the bounds prove that no more than a share of the block can reach the
+that lead, and rises from level to level. Processing stops only when the bounds prove that no more than a share of the block can reach the
 bar, or when all postings are met; the vectors that can are scored again exactly, so the result is exact whenever
 processing stops. The k best of each block are merged.
 
@@ -35,8 +35,8 @@ from ._common import bounded, written
 
 #: Components in a block of candidates (so vectors of 64 are dealt by 16,384), and vectors in a block of queries.
 BLOCK_CELLS, QUERIES = 1 << 20, 512
-#: Levels of impact; vectors that set the bar besides the k, and the share of postings after which it is set.
-STEPS, TRIED, FIRST = 12, 64, 0.2
+#: Levels of impact; vectors that raise the bar besides the k, and the share of postings after which bounds are tried.
+STEPS, TRIED, FIRST = 8, 64, 0.3
 #: Share of a block that is scored again exactly rather than processing another level.
 RESCORE = 0.25
 
@@ -55,17 +55,17 @@ class Index:
         #: Unit of the impacts in an accumulator, which counts postings below it.
         self.unit = 1 << int(len(self.least)).bit_length()
 
-    def _levels(self, q: np.ndarray, impacts: np.ndarray, bounds: list[int]) -> np.ndarray:
+    def _levels(self, q: np.ndarray, floor: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """For each bound and dimension, how many postings from the list's strong end have impacts above the bound."""
         out = np.zeros((len(bounds), len(q)), np.int64)
-        n = self.sorted.shape[1]
-        for d in np.flatnonzero(impacts).tolist():
-            # The product is above floor + bound from some component on, which whole numbers find exactly.
-            edge = int(min(self.least[d] * q[d], self.most[d] * q[d]))
+        n, used = self.sorted.shape[1], np.flatnonzero(q)
+        # The product is above floor + bound from some component on, which whole numbers find exactly.
+        edges = (floor[used] + bounds[:, None]) // np.abs(q[used])
+        for d, edge in zip(used.tolist(), edges.T):
             if q[d] > 0:
-                out[:, d] = n - np.searchsorted(self.sorted[d], [(edge + b) // int(q[d]) for b in bounds], side="right")
+                out[:, d] = n - np.searchsorted(self.sorted[d], edge, side="right")
             else:
-                out[:, d] = np.searchsorted(self.sorted[d], [-((edge + b) // -int(q[d])) for b in bounds], side="left")
+                out[:, d] = np.searchsorted(self.sorted[d], -edge, side="left")
         return out
 
     def possible(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
@@ -77,39 +77,37 @@ class Index:
         impacts = np.maximum(self.least * q, self.most * q) - floor
         if int(impacts.sum()) * self.unit >= 1 << 53:
             return np.arange(n)  # accumulators would not be exact
-        top = int(impacts.max())
-        bounds = [top * (STEPS - s) // STEPS for s in range(1, STEPS)]
-        ends = self._levels(q, impacts, bounds)
-        done, met, bar = np.zeros(dims, np.int64), np.zeros(n), None
-        base = int(floor.sum())
-        for bound, now in zip(bounds, ends):
+        bounds = int(impacts.max()) * (STEPS - np.arange(1, STEPS)) // STEPS
+        ends = self._levels(q, floor, bounds)
+        done, met, base, bar = np.zeros(dims, np.int64), np.zeros(n), int(floor.sum()), -np.inf
+        # No bound is tried before the first so many postings, so their levels are processed in one.
+        first = int(np.searchsorted(ends.sum(1), FIRST * n * np.count_nonzero(impacts)))
+        scale, shift = (q * self.unit).astype(float).tolist(), (1 - floor * self.unit).astype(float).tolist()
+        left = np.arange(n)
+        for bound, now in zip(bounds[first:].tolist(), ends[first:]):
             rows, gains = [], []
             for d in np.flatnonzero(now > done).tolist():
-                part = slice(n - now[d], n - done[d]) if q[d] > 0 else slice(done[d], now[d])
+                part = slice(n - now[d], n - done[d]) if scale[d] > 0 else slice(done[d], now[d])
                 rows.append(self.order[d, part])
-                # Whole numbers below 2^53, so exact.
-                gain = self.as_floats[d, part] * float(q[d] * self.unit)
-                gain += float(1 - floor[d] * self.unit)
+                gain = self.as_floats[d, part] * scale[d]  # whole numbers below 2^53, so exact
+                gain += shift[d]
                 gains.append(gain)
             done = now
             if rows:
                 met += np.bincount(np.concatenate(rows), np.concatenate(gains), n)
-            if done.sum() < FIRST * n * np.count_nonzero(impacts):
-                continue
-            gained = met // self.unit
-            active = impacts > bound
             # Dimensions that are not active yet may give all they have; in the others a posting not met gives the bound.
-            upper = gained + int(impacts[~active].sum()) + (np.count_nonzero(active) - (met - gained * self.unit)) * bound
-            if bar is None:
-                lead = np.argpartition(upper, n - TRIED - k)[n - TRIED - k :]
-                lead = lead[~np.isin(lead, own)]
-                if len(lead) < k:
-                    return np.arange(n)
-                bar = np.sort(self.vectors[lead] @ q)[-k]
-            left = np.flatnonzero(upper >= bar - base)
+            active = impacts > bound
+            gained = np.floor(met / self.unit)
+            upper = gained - (met - gained * self.unit) * bound
+            rest = int(impacts[~active].sum()) + np.count_nonzero(active) * bound + base
+            lead = np.argpartition(upper, n - TRIED - k)[n - TRIED - k :]
+            lead = lead[~np.isin(lead, own)] if len(own) else lead
+            if len(lead) >= k:
+                bar = max(bar, np.sort(self.vectors[lead] @ q)[-k])
+            left = np.flatnonzero(upper >= bar - rest)
             if len(left) <= RESCORE * n:
-                return left
-        return left if bar is not None else np.arange(n)
+                break
+        return left
 
     def search(self, owners: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query, (ids, scores) of the k best, ties to smaller ids, without vectors of the id of its owner."""

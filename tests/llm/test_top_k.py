@@ -60,9 +60,8 @@ def test_levels_are_exact():
     for _ in range(50):
         q = rng.integers(-7, 8, 6)
         floor = np.minimum(index.least * q, index.most * q)
-        impacts = np.maximum(index.least * q, index.most * q) - floor
-        bounds = [40, 17, 5, 1]
-        assert index._levels(q, impacts, bounds).tolist() == [((vectors * q - floor) > b).sum(0).tolist() for b in bounds]
+        bounds = np.array([40, 17, 5, 1])
+        assert index._levels(q, floor, bounds).tolist() == [((vectors * q - floor) > b).sum(0).tolist() for b in bounds]
 
 
 def test_bounds_prove_and_prune():
