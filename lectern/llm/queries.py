@@ -47,7 +47,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=False)
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=())
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
