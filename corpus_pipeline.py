@@ -24,27 +24,36 @@ from lectern.llm.secrets import redacted_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier keeps, fitted on those of ``docs`` that have labels. Null and empty texts are judged by the
+    thresholds; without labels all rows stay; rows that repeat a doc_id are judged one by one; extra columns stay."""
     return accepted(docs, fit_model(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of its least doc_id. Rows without words all stay; rows of one doc_id with
+    unlike texts all stay; rows without doc_id are compared by equal sets of shingles only; extra columns stay."""
     bounded_batches(spark)
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets in their texts replaced by the name of their kind, and n_chars counted anew where a text changes.
+    Null texts stay null; extra columns stay."""
     bounded_batches(spark)
     return redacted_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's budget allows, in whole documents. Null, empty and blank texts are in no budget and
+    go; a null source is a source; equal rows share its passes; extra columns stay."""
     bounded_batches(spark)
     return mixed_rows(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids, a row for each row. Null and empty texts have no ids."""
     bounded_batches(spark)
-    return encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), keep=False)
+    return encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), keep=("ids",))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pieces", pieces)]
