@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import bounded, written
+from ._common import SENT_BYTES, bounded, written
 
 #: Characters that end a word, as a class for Java's and RE2's regular expressions.
 BLANKS = r"\x20\x09-\x0D"
@@ -28,8 +28,8 @@ BLANKS = r"\x20\x09-\x0D"
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Rows that a range of keys should hold, and ranges of a stretch.
 RANGE_ROWS = 2048
-#: Copies of a row that one task makes.
-COPIES = 100_000
+#: Copies of a row that one task makes; sources (of SENT_BYTES in all) up to which their cuts are broadcast, after a count.
+COPIES, SENT_SOURCES = 100_000, 50_000
 _KEYS = 1 << 62
 
 
@@ -123,21 +123,27 @@ def _mixed(docs: DataFrame, share: float, most: float, weights: tuple, id_col: s
 def mixed_rows(docs: DataFrame, share: float = 1.0, most: float = 3.0, weights: tuple = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as many times as the mix starts a pass over it. Documents are
     whole, so a source may exceed its budget by less than one document. Rows without words are in no budget and are left
-    out; of equal rows that the cut falls between, as many as fit start the last pass."""
+    out; of equal rows that the cut falls between, as many as fit start the last pass.
+
+    Each source has one cut in the order of keys, so texts stay where they are: only cuts are sent to them."""
     rows, _ = _mixed(docs, share, most, weights, id_col, text_col, source_col)
-    started = F.expr("greatest(0, least(rows, cast(ceil((rest - start) / size) as bigint)))")
-    chosen = rows.where("size > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.col("rows").alias("__rows"), F.col("epochs").alias("__epochs"), started.alias("__started"))
-    chosen = written(chosen.where("__epochs + __started > 0"), "mix-copies")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (mix_key(id_col, text_col, source_col) == F.col("__key"))
-    joined = docs.join(chosen, same)
-    split = "__started > 0 and __started < __rows"
-    out = joined.where(f"not ({split})").withColumn("__n", F.col("__epochs") + (F.col("__started") > 0).cast("long"))
-    if not chosen.where(split).isEmpty():
-        # At most one key of each source; its rows are numbered by ranges, as they may be many.
-        cut = joined.where(split).withColumn("__row", F.monotonically_increasing_id())
-        group = ["__id", "__source", "__key"]
-        cut = written(running(cut, [*group, "__row"], {"__before": F.lit(1)}), "mix-cut")
-        firsts = cut.groupBy("__key").agg(F.min("__before").alias("__first"))
-        cut = cut.join(firsts, "__key").withColumn("__n", F.col("__epochs") + (F.col("__before") - F.col("__first") < F.col("__started")).cast("long"))
-        out = out.select(*docs.columns, "__n").unionByName(cut.select(*docs.columns, "__n"))
+    started = F.expr("least(rows, cast(ceil((rest - start) / size) as bigint))")
+    last = F.max(F.when((F.col("size") > 0) & (F.col("start") < F.col("rest")), F.struct("key", "doc_id", started.alias("started"), "rows")))
+    cuts = written(rows.groupBy(F.col("source").alias("__source")).agg(F.first("epochs").alias("__epochs"), last.alias("__cut")), "mix-cuts")
+    size = cuts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("__source")).alias("bytes")).first()
+    if size["rows"] <= SENT_SOURCES and (size["bytes"] or 0) <= SENT_BYTES:
+        cuts = F.broadcast(cuts)
+    docs_at = docs.where(F.col(text_col).rlike(f"[^{BLANKS}]")).withColumn("__at", F.struct(mix_key(id_col, text_col, source_col).alias("key"), F.col(id_col).alias("doc_id")))
+    joined = docs_at.join(cuts, F.col(source_col).eqNullSafe(F.col("__source")))
+    cut_at = F.struct(F.col("__cut.key").alias("key"), F.col("__cut.doc_id").alias("doc_id"))
+    joined = joined.withColumn("__before", F.coalesce(F.col("__cut").isNotNull() & (F.col("__at") <= cut_at), F.lit(False)))
+    split = F.coalesce((F.col("__at") == cut_at) & (F.col("__cut.started") < F.col("__cut.rows")), F.lit(False))
+    out = joined.where(~split).withColumn("__n", F.col("__epochs") + F.col("__before").cast("long"))
+    if not cuts.where("__cut.started < __cut.rows").isEmpty():
+        # The rows at a cut that are equal are numbered by ranges, as they may be many.
+        some = joined.where(split).select(*docs.columns, "__source", "__epochs", F.col("__cut.started").alias("__started"), F.monotonically_increasing_id().alias("__row"))
+        some = written(running(some, ["__source", "__row"], {"__place": F.lit(1)}), "mix-cut")
+        firsts = some.groupBy(F.col("__source").alias("__of")).agg(F.min("__place").alias("__first"))
+        some = some.join(firsts, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__n", F.col("__epochs") + (F.col("__place") - F.col("__first") < F.col("__started")).cast("long"))
+        out = out.select(*docs.columns, "__n").unionByName(some.select(*docs.columns, "__n"))
     return out.where("__n > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __n)"))).select(*docs.columns)
