@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from .media import describe, pixel_arrays, store
+from .media import describe, store
 from .mix import mix
 from .near_dup import near_duplicates
 from .passages import repeated_passages
@@ -43,7 +43,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(pixel_arrays(store(table(spark, sf_dir, "documents"))))
+    return describe(store(table(spark, sf_dir, "documents")))
 
 
 def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
