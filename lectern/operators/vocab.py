@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +91,15 @@ def merged_stress(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stored_order(stress: DataFrame) -> DataFrame:
-    """Longest terms first, by bytes; ord numbers the new order."""
+    """Longest terms first, by bytes; ord numbers the new order, length by length, so that no task holds all entries."""
     from pyspark.sql import Window as W
 
-    return stress.withColumn("ord", F.row_number().over(W.orderBy(F.octet_length("term").desc(), "ord")) - 1).orderBy("ord")
+    size = F.octet_length("term")
+    rows = stress.withColumn("__size", size)
+    # As many rows as lengths.
+    before = rows.groupBy("__size").count().withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy(F.desc("__size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__size", "__before")
+    place = F.row_number().over(W.partitionBy("__size").orderBy("ord"))
+    return rows.join(before, "__size").withColumn("ord", (F.col("__before") + place - 1).cast("int")).select(*stress.columns).orderBy("ord")
 
 
 def with_chapter_tags(store: DataFrame, entries: DataFrame) -> DataFrame:
@@ -196,24 +201,51 @@ def override_entries(overrides: DataFrame) -> DataFrame:
     return overrides.where((F.col("term") != "") & (F.col("phonemes") != "")).select("ord", "term", F.col("phonemes").alias("stressed"), F.lit(False).alias("approved"), F.array().cast("array<int>").alias("chapters"))
 
 
-def applied(text: Column, entries: Column) -> Column:
-    """A vocabulary of any size, an array of (term, stressed) in its order, applied to text. A fold over regular expressions
-    built from rows has no column form in Spark (patterns must be literals there), so this one is an Arrow function."""
+#: Entries of a vocabulary that one pass over the texts applies.
+PASS_ENTRIES = 200_000
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, vocabularies: pd.Series) -> pd.Series:
-        known: dict[str, re.Pattern] = {}
 
-        def one(t, vocabulary):
-            for e in vocabulary if t and vocabulary is not None else ():
-                if e["term"] and e["stressed"] and e["term"] != e["stressed"] and e["term"].lower() in t.lower():
-                    p = known.get(e["term"]) or known.setdefault(e["term"], re.compile(rf"(?<![^\W_]){re.escape(e['term'])}(?![^\W_])", re.I))
-                    t = p.sub(lambda _: e["stressed"], t)  # noqa: B023
-            return t
+def applied(rows: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with a vocabulary (ord, term, stressed) of any size applied to their text, entry by entry in its order: whole
+    words, in any case. Up to PASS_ENTRIES go along to the texts at once; as entries follow one another, more take more passes."""
+    used = entries.where("term <> '' and stressed <> '' and term <> stressed").select("ord", "term", "stressed")
+    known = used.count()
+    if known <= PASS_ENTRIES:
+        return _one_pass(rows, used, text)
+    bounds = used.approxQuantile("ord", [k * PASS_ENTRIES / 2 / known for k in range(1, int(2 * known / PASS_ENTRIES) + 1)], 0.001)
+    low = None
+    for high in [*sorted(set(bounds)), None]:
+        part = used if low is None else used.where(F.col("ord") > low)
+        rows, low = _one_pass(rows, part if high is None else part.where(F.col("ord") <= high), text), high
+    return rows
 
-        return pd.Series([one(t, v) for t, v in zip(texts, vocabularies)])
 
-    return run(text, entries)
+def _one_pass(rows: DataFrame, entries: DataFrame, text: str) -> DataFrame:
+    from .qa import finder
+
+    sent = entries.toArrow().sort_by("ord")
+    terms, forms = sent.column("term").to_pylist(), sent.column("stressed").to_pylist()
+
+    def run(batches):
+        find = finder([t.lower() for t in terms])
+        known: dict[int, re.Pattern] = {}
+
+        def one(t):
+            # Only entries that occur are tried; a form that is put in may hold later ones.
+            last = -1
+            while True:
+                now = min((k for k in find(t.lower()) if k > last), default=None)
+                if now is None:
+                    return t
+                p = known.get(now) or known.setdefault(now, re.compile(rf"(?<![^\W_]){re.escape(terms[now])}(?![^\W_])", re.I))
+                t, last = p.sub(lambda _: forms[now], t), now  # noqa: B023
+
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            new = [one(t) if t else t for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import ssml as markup
-from ..functions.text import title_deduplicated, trimmed, vocabulary_applied, without_bad_symbols
+from ..functions.text import chapter_of, title_deduplicated, trimmed, vocabulary_applied, without_bad_symbols
 from ..operators import context, overview, qa, segment, vocab
 from ..sources import epub
 from ..sources.batches import parse_results
-from ..streaming import batches, speech
-from .project import Config, chapter_filter, load_config, reset_guard, write_chapters, write_violations
+from ..streaming import batches, clients, speech
+from .project import Config, chapter_filter, copy_files, load_config, replace_table, reset_guard, write_chapters, write_violations
 
 BOOK = "book string, "
 ORDERED = "ord long, "
@@ -36,14 +36,7 @@ class Project:
         return schemas.absent_as_empty(self.spark, self.path(folder, name), schema, fmt)
 
     def save(self, df: DataFrame, folder: str, name: str, fmt: str = "json") -> None:
-        """Replaces a table, also one that ``df`` reads: written beside it first, then moved into place."""
-        path, beside = self.path(folder, name), self.path(folder, f".{name}.next")
-        df.write.mode("overwrite").format(fmt).save(beside)
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        fs = jvm.Path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(jvm.Path(path), True)
-        fs.rename(jvm.Path(beside), jvm.Path(path))
-        self.spark.catalog.refreshByPath(path)
+        replace_table(df, self.path(folder, name), fmt)
 
     # -- stored tables
 
@@ -82,6 +75,7 @@ class Project:
         if Path(self.path("extracted", "blocks")).exists() and not force:
             raise FileExistsError("the project has a book already")
         files = self.spark.read.format("binaryFile").load(archive)
+        copy_files(self.spark, archive, self.path("extracted", "source"))
         for name in epub.TABLES:
             rows = epub.books(files, name).withColumnRenamed("path", "book")
             rows.write.mode("overwrite").json(self.path("extracted", name))
@@ -106,15 +100,16 @@ class Project:
         rows = getattr(self.config.glossary, kind)
         return self.spark.createDataFrame([(k, o.get("source", ""), o.get("target", ""), o.get("type", "") or "") for k, o in enumerate(rows)], "ord long, source string, target string, type string")
 
-    def _batch(self, kind: str, requests: DataFrame, process: Callable[[DataFrame], None], every: int, go_on: bool) -> str:
+    def _batch(self, kind: str, requests: DataFrame, model: str, process: Callable[[DataFrame], None], every: int, go_on: bool) -> str:
         """Submits, or goes on with what is pending, waits and processes; returns how it ended."""
         if self.provider is None:
             raise LookupError("no provider")
         if not (go_on or self.store.load(kind)):
-            ids = [r["custom_id"] for r in requests.select("custom_id").collect()]
+            # A number for each request; services bound the requests of a batch.
+            ids = sorted(r["id"] for r in requests.select(chapter_of(F.col("custom_id"), kind).alias("id")).collect())
             if not ids:
                 return "nothing to do"
-            batches.submit(self.store, self.provider, kind, requests, list(range(len(ids))), self.config.model.helper_model)
+            batches.submit(self.store, self.provider, kind, requests, ids, model)
         state = batches.poll(self.store, self.provider, kind, every)
         return batches.finish(self.store, self.provider, kind, process)["status"] if state["status"] == "completed" else state["status"]
 
@@ -144,7 +139,7 @@ class Project:
             kept = self.summaries().join(summaries.select("chapter_id"), "chapter_id", "left_anti")
             self.save(kept.unionByName(summaries), "memory", "summaries")
 
-        return self._batch("analyze", requests, process, every, go_on)
+        return self._batch("analyze", requests, self.config.model.helper_model, process, every, go_on)
 
     def translate(self, chapter: int = 0, span: str = "", force: bool = False, go_on: bool = False, skip_memory: bool = False, every: int = batches.POLL) -> str:
         done = self.translations().select("chapter_id")
@@ -164,11 +159,11 @@ class Project:
             kept = self.translations().join(new.select("chapter_id"), "chapter_id", "left_anti")
             self.save(kept.unionByName(new), "translation", self.config.languages.target)
 
-        return self._batch("translate", requests, process, every, go_on)
+        return self._batch("translate", requests, self.config.model.translation_model, process, every, go_on)
 
     def verify_glossary(self) -> DataFrame:
         terms = vocab.with_characters(self.glossary(), self.characters())
-        found = qa.glossary_violations(self.chapters(), self.translations(), terms)
+        found = qa.glossary_violations(self.translations(), terms)
         write_violations(found, self.path("ai", "violations"))
         return self.table("ai", "violations", schemas.VIOLATION)
 
@@ -181,7 +176,7 @@ class Project:
             todo = batches.pending_stress(self.chosen(chapter, span), self.translations(), processed(), force)
             rows = todo.select("id").join(self.translations().withColumnRenamed("chapter_id", "id"), "id")
             requests = context.requests(rows, "stress", "", context.stress_prompt(F.col("text"), F.lit("")), self.config.model.helper_model, json_mode=True)
-            return self._batch("stress", requests, process, every, go_on)
+            return self._batch("stress", requests, self.config.model.helper_model, process, every, go_on)
 
         def process(lines: DataFrame) -> None:
             entry = "entries array<struct<term:string, stressed:string>>"
@@ -215,12 +210,8 @@ class Project:
             ids = [r["chapter_id"] for r in trouble.orderBy("chapter_id").limit(20).collect()]
             raise ValueError(f"letters that cannot be spoken in chapters {ids}")
         text = without_bad_symbols(markup.transliterated(F.col("text"))) if on_problem == "transliterate" else F.col("text")
-        if model:
-            rows = rows.withColumn("text", speech.stressed(text, model))
-        else:
-            # The vocabulary is one row, an array in its order; it goes along with every chapter.
-            entries = self.stress().agg(F.array_sort(F.collect_list(F.struct("ord", "term", "stressed"))).alias("e"))
-            rows = rows.withColumn("text", text).join(F.broadcast(entries), F.lit(True)).withColumn("text", vocab.applied(F.col("text"), F.col("e"))).drop("e")
+        rows = rows.withColumn("text", text)
+        rows = rows.withColumn("text", speech.stressed(F.col("text"), model)) if model else vocab.applied(rows, self.stress())
         fixed = [(p.get("term", ""), p.get("phonemes", "")) for p in self.config.pronunciation]
         new = rows.select(F.col("id").alias("chapter_id"), markup.generated(vocabulary_applied(F.col("text"), fixed)).alias("ssml"))
         kept = self.speech().join(new.select("chapter_id"), "chapter_id", "left_anti")
@@ -228,14 +219,18 @@ class Project:
         self.save(kept.unionByName(new), "tts", "ssml")
         return n
 
-    def tts(self, chapter: int = 0, span: str = "", force: bool = False, log: DataFrame | None = None, **engine) -> DataFrame | None:
-        """Audio of marked-up chapters; of a server's log (line_no, line), the warnings by chapter are returned."""
+    def tts(self, chapter: int = 0, span: str = "", force: bool = False, log: DataFrame | None = None, encode: Callable = clients.encoded, **engine) -> DataFrame | None:
+        """Audio of marked-up chapters, converted by ``encode`` unless the project's format is WAV; of a server's log (line_no,
+        line), the warnings by chapter are returned."""
         t = self.config.tts
         make = speech.engine(t.engine, speech.EngineConfig(t.voice, self.config.speech_language, t.sample_rate, t.server_url, t.parallel), **engine)
         todo = batches.pending(self.chosen(chapter, span).select("id"), self.audio(), force)
         rows = qa.guarded(self.speech().join(todo.select(F.col("id").alias("chapter_id")), "chapter_id"))
         kept = self.audio().join(rows.select("chapter_id"), "chapter_id", "left_anti")
-        self.save(kept.unionByName(make(rows)), "audio", "audio", fmt="parquet")
+        made = make(rows)
+        if t.audio_format != "wav":
+            made = made.withColumn("audio", clients.converted(F.col("audio"), t.audio_format, t.audio_bitrate, encode))
+        self.save(kept.unionByName(made), "audio", "audio", fmt="parquet")
         return None if log is None else qa.warnings_by_chapter(qa.log_warnings(log), self.speech())
 
     def status(self) -> DataFrame:

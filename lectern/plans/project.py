@@ -181,21 +181,43 @@ def save_bytes(path: Path, data: bytes) -> None:
     temp.replace(path)
 
 
+def copy_files(spark, source: str, folder: str) -> None:
+    """Files of any store into a folder of any store, by name, as they are."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found, into = jvm.Path(source), jvm.Path(folder)
+    fs, target = found.getFileSystem(conf), into.getFileSystem(conf)
+    target.mkdirs(into)
+    for status in fs.globStatus(found) or []:
+        jvm.FileUtil.copy(fs, status.getPath(), target, jvm.Path(into, status.getPath().getName()), False, True, conf)
+
+
+def replace_table(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Replaces a table, also one that ``df`` reads: written beside it first, then moved into place."""
+    spark, folder, name = df.sparkSession, *path.rsplit("/", 1)
+    beside = f"{folder}/.{name}.next"
+    df.write.mode("overwrite").format(fmt).save(beside)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(jvm.Path(path), True)
+    fs.rename(jvm.Path(beside), jvm.Path(path))
+    spark.catalog.refreshByPath(path)
+
+
 def write_chapters(chapters: DataFrame, table: str, chosen: set[int] | None = None, force: bool = False) -> None:
-    """Chapters into a table, one partition for each. What exists is kept unless forced; forced and unfiltered, the table is
-    replaced, so stale chapters go."""
+    """Chapters into a table. What exists is kept unless forced; forced and unfiltered, the table is replaced, so stale chapters
+    go."""
+    from ..schemas import absent_as_empty
+
     rows = chapters if chosen is None else chapters.where(F.col("id").isin(*chosen))
-    spark = chapters.sparkSession
     if force and chosen is None:
-        rows.write.mode("overwrite").partitionBy("id").json(table)
+        replace_table(rows, table)
         return
+    have = absent_as_empty(chapters.sparkSession, table, chapters.schema)
     if force:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").json(table)
-        return
-    from ..schemas import absent_as_empty
-
-    have = absent_as_empty(spark, table, "id int").select("id").distinct()
-    rows.join(have, "id", "left_anti").write.mode("append").partitionBy("id").json(table)
+        replace_table(have.join(rows.select("id"), "id", "left_anti").select(*chapters.columns).unionByName(rows), table)
+    else:
+        rows.join(have.select("id").distinct(), "id", "left_anti").select(*chapters.columns).write.mode("append").json(table)
 
 
 def write_vocabulary(rows: DataFrame, table: str, key: str) -> None:

@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ssml
+from ..functions import audio
+from ..functions.text import chapter_of
 from ..operators import context, segment
 from ..sources import epub
 from ..sources.batches import parse_results
+from ..schemas import BATCH_STATE
+from ..sources.html import exploded, with_blocks
 from ..streaming import batches, speech
 from . import views as V
+from .project import write_chapters
 from .text_queries import TRIM
 
 
@@ -77,12 +81,13 @@ def status_run(s: SparkSession, d: str) -> DataFrame:
 
 
 def engine_run(s: SparkSession, d: str) -> DataFrame:
-    rows = V.chapters(s, d).where("id % 4 = 0").select(F.col("id").alias("chapter_id"), ssml.generated(F.col("source")).alias("ssml"))
-    return speech.engine("noop")(rows).select("chapter_id", (F.octet_length("audio") > 44).alias("sounds"))
+    rows = V.chapters(s, d).select(F.col("id").alias("chapter_id"), F.col("source").alias("ssml"))
+    return speech.engine("noop")(rows).select("chapter_id", F.octet_length("audio").cast("long").alias("bytes"), F.hex(F.substring("audio", 41, 4)).alias("size"))
 
 
-def archives(s: SparkSession, d: str) -> DataFrame:
-    """(path, content): each document packed as a book of one item, a paragraph for each line, with an NCX."""
+def archives(s: SparkSession, d: str, nav: bool = False) -> DataFrame:
+    """(path, content): each document packed as a book of one item, a paragraph for each line, with an NCX, or with a navigation
+    document of two levels besides."""
 
     def pack(batches_):
         for batch in batches_:
@@ -95,6 +100,9 @@ def archives(s: SparkSession, d: str) -> DataFrame:
                     "OEBPS/t.ncx": f'<ncx><navMap><navPoint><navLabel><text>Chapter {n}</text></navLabel><content src="t/a.xhtml#x"/></navPoint></navMap></ncx>',
                     "OEBPS/t/a.xhtml": f"<html><body>{body}</body></html>",
                 }
+                if nav:
+                    files["OEBPS/c.opf"] = files["OEBPS/c.opf"].replace("<manifest>", '<manifest><item id="v" href="nav/n.xhtml" properties="nav" media-type="application/xhtml+xml"/>')
+                    files["OEBPS/nav/n.xhtml"] = f'<html><body><nav epub:type="landmarks"><ol><li><a href="z">Z</a></li></ol></nav><nav epub:type="toc"><ol><li><a href="t/a.xhtml#x">Part {n}</a><ol><li><a href="t/a.xhtml">Inner</a></li></ol></li></ol></nav></body></html>'
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
                     for name, content in files.items():
@@ -117,7 +125,83 @@ def book_contents(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("path").cast("long").alias("doc_id"), "title", "entry", F.col("SrcFile").alias("file"), F.col("SrcAnchor").alias("anchor"), "items")
 
 
+def nav_contents(s: SparkSession, d: str) -> DataFrame:
+    """Contents of books with a navigation document."""
+    toc = epub.books(archives(s, d, nav=True), "toc")
+    return toc.select(F.col("path").cast("long").alias("doc_id"), F.col("Order").alias("place"), F.col("Title").alias("entry"), F.col("SrcFile").alias("file"), F.col("SrcAnchor").alias("anchor"), F.col("Depth").alias("depth"), F.col("SourceKind").alias("kind"))
+
+
+def batch_state(s: SparkSession, d: str) -> DataFrame:
+    """The state row of a submitted batch after its first look."""
+    store, provider = batches.Store(s, f"{scratch(s)}/state"), batches.FakeProvider(echo, polls=3)
+    chapters = V.chapters(s, d).where("id % 2 = 1")
+    requests = context.requests(chapters, "translate", "", F.col("source"), "large")
+    ids = sorted(r["id"] for r in requests.select(chapter_of(F.col("custom_id"), "translate").alias("id")).collect())
+    batches.submit(store, provider, "translate", requests, ids, "large")
+    looks = iter([False, True])
+    batches.poll(store, provider, "translate", sleep=lambda _: None, stop=lambda: next(looks, True))
+    state = s.read.schema(BATCH_STATE).parquet(store.path("translate"))
+    return state.select("type", "batch_id", "model", "endpoint", "status", "total", F.md5(F.array_join("chapter_ids", ",")).alias("chapters"), F.col("completed_at").isNotNull().alias("ended"))
+
+
+def kept_chapters(s: SparkSession, d: str) -> DataFrame:
+    """Chapters written three times: some, then all unforced with other texts, then some of them forced."""
+    table, c = f"{scratch(s)}/chapters", V.chapters(s, d).select("id", "title", "source")
+    texts = lambda mark: c.withColumn("source", F.concat(F.lit(mark), "source"))
+    write_chapters(texts("first ").where("id % 2 = 0"), table)
+    write_chapters(texts("second "), table)
+    write_chapters(texts("third "), table, set(range(5, 50)), force=True)
+    return s.read.schema(c.schema).json(table).select("id", "title", F.md5("source").alias("source"))
+
+
+def replaced_chapters(s: SparkSession, d: str) -> DataFrame:
+    """Forced and unfiltered, a table is replaced: chapters that are gone leave nothing behind."""
+    table, c = f"{scratch(s)}/chapters", V.chapters(s, d).select("id", "title")
+    write_chapters(c, table)
+    write_chapters(c.where("id % 3 = 0"), table, force=True)
+    return s.read.schema(c.schema).json(table)
+
+
+def joined_lines(s: SparkSession, d: str) -> DataFrame:
+    """A tone for each line of a document, cut out of its file and joined in order under one header."""
+    lines = V.text_parts(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    made = audio.joined_audio(lines.select("doc_id", "k", audio.tone(F.col("line")).alias("audio")), "doc_id", "k", "audio")
+    le = lambda at: F.hex(F.substring("audio", at, 4))
+    return made.select("doc_id", F.octet_length("audio").cast("long").alias("bytes"), le(5).alias("riff"), le(25).alias("rate"), le(41).alias("size"))
+
+
+def marked_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of pages made of a document's lines, by turns in headings, paragraphs, list items, nested containers with scripts
+    and images, preformatted text."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    k = F.col("k")
+    n, line = (k % 6 + 1).cast("string"), esc(F.col("line"))
+    tag = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    html = F.when(k % 5 == 0, tag("<h", n, ' id="a', k.cast("string"), '">', line, "</h", n, ">")).when(k % 5 == 1, tag("<p>", line, " <b>bold</b></p>")).when(k % 5 == 2, tag("<ul id='u'><li>", line, "</li></ul><hr>"))
+    html = html.when(k % 5 == 3, tag("<div><section><p><i>", line, "</i></p></section><script>x</script></div>")).otherwise(tag('<div>loose<img alt="', line, '"></div>'))
+    lines = V.text_parts(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc_id", "k", html.alias("h"))
+    pages = lines.groupBy("doc_id").agg(F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), F.lit("</body></html>")).alias("html"))
+    rows = exploded(with_blocks(pages)).groupBy("doc_id", "kind", "level")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text", "alt", "anchor"))), lambda x: F.concat_ws("/", x["text"], x["alt"], x["anchor"])), "|")).alias("texts"))
+
+
+def anchored(s: SparkSession, d: str) -> DataFrame:
+    """Chapters from contents with anchors: two entries for each third item, at its first and at its tenth block."""
+    items = V.items(s, d)
+    marked = F.transform("blocks", lambda b, k: F.struct(b["kind"].alias("kind"), b["level"].alias("level"), F.when(b["kind"] == "heading", F.concat(F.lit("b"), k.cast("string"))).otherwise("").alias("anchor"), b["text"].alias("text"), b["alt"].alias("alt")))
+    toc = V.toc(s, d).select("book", F.explode(F.array(F.lit(0), F.lit(9))).alias("at"), "toc_index", "SrcFile")
+    toc = toc.select("book", (2 * F.col("toc_index") + (F.col("at") > 0).cast("int")).alias("toc_index"), F.concat(F.lit("Chapter "), F.col("at").cast("string")).alias("Title"), "SrcFile", F.concat(F.lit("b"), F.col("at").cast("string")).alias("SrcAnchor"))
+    return segment.by_toc(items.withColumn("blocks", marked), toc)[0].select("book", "id", "title", F.md5("source").alias("source"), F.array_join("section_ids", ",").alias("section_ids"))
+
+
 QUERIES = {
+    "s7_nav_contents": nav_contents,
+    "x7_batch_state": batch_state,
+    "k3_kept_chapters": kept_chapters,
+    "k4_replaced_chapters": replaced_chapters,
+    "t31_joined_lines": joined_lines,
+    "s11_marked_blocks": marked_blocks,
+    "j3_anchored_chapters": anchored,
     "s1_book_blocks": book_blocks,
     "s4_book_contents": book_contents,
     "x1_batch_run": batch_run,
@@ -127,13 +211,37 @@ QUERIES = {
     "t24_stressed": lambda s, d: V.text_parts(s, d).select("doc_id", F.md5(speech.stressed(F.col("text"))).alias("text")),
 }
 
+def tone_bytes(x: str) -> str:
+    """Bytes of the audio of a tone for a text."""
+    return f"(2 * floor(floor(least(0.5::DOUBLE + octet_length(encode({x})) / 2000.0::DOUBLE, 3.0) * 1e9) / 1e9 * 16000)::BIGINT)"
+
+
+def little(n: str) -> str:
+    """Four bytes of a number, lowest first, in hexadecimal digits."""
+    return "printf('%02X%02X%02X%02X', " + ", ".join(f"(({n})::BIGINT >> {k}) & 255" for k in (0, 8, 16, 24)) + ")"
+
+
+_LINE = "(SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+_COLLAPSED = TRIM.format("regexp_replace({0}, '[ ' || chr(10) || chr(9) || chr(13) || ']+', ' ', 'g')")
+_BLOCK_ROWS = f"""(SELECT doc_id, 10 * k AS o, CASE k % 5 WHEN 0 THEN 'heading' WHEN 2 THEN 'list_item' WHEN 4 THEN 'image' ELSE 'paragraph' END AS kind, CASE WHEN k % 5 = 0 THEN k % 6 + 1 ELSE 0 END AS level,
+  CASE k % 5 WHEN 4 THEN '' WHEN 1 THEN {_COLLAPSED.replace('{0}', "line || ' bold'")} ELSE {_COLLAPSED.replace('{0}', 'line')} END AS text, CASE WHEN k % 5 = 4 THEN line ELSE '' END AS alt, CASE k % 5 WHEN 0 THEN 'a' || k::VARCHAR WHEN 2 THEN 'u' ELSE '' END AS anchor FROM {_LINE}
+  UNION ALL SELECT doc_id, 10 * k + 1, 'hr', 0, '', '', '' FROM {_LINE} WHERE k % 5 = 2)"""
+_PLACED = f"(SELECT book, file, 'Chapter ' || place::VARCHAR AS title, 2 * toc_index + (place > 0)::INT AS toc_index, place FROM (SELECT book, file, toc_index, unnest([0, 9]) AS place FROM {V.TOC}))"
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format("regexp_replace(x, '[ ' || chr(9) || chr(13) || ']+', ' ', 'g')")}), lambda x: x <> '')"
 ORACLE_SQL = {
+    "s7_nav_contents": "SELECT doc_id, k::INT AS place, CASE k WHEN 1 THEN 'Part ' || doc_id::VARCHAR ELSE 'Inner' END AS entry, 'OEBPS/t/a.xhtml' AS file, CASE k WHEN 1 THEN 'x' ELSE '' END AS anchor, k::INT AS depth, 'nav' AS kind FROM documents, (SELECT unnest([1, 2]) AS k)",
+    "x7_batch_state": "SELECT 'translate' AS type, 'batch-1' AS batch_id, 'large' AS model, '/v1/responses' AS endpoint, 'in_progress' AS status, count(*) AS total, md5(string_agg((doc_id + 1)::VARCHAR, ',' ORDER BY doc_id)) AS chapters, false AS ended FROM documents WHERE (doc_id + 1) % 2 = 1",
+    "k3_kept_chapters": f"SELECT id, title, md5(CASE WHEN id BETWEEN 5 AND 49 THEN 'third ' WHEN id % 2 = 0 THEN 'first ' ELSE 'second ' END || source) AS source FROM {V.CHAPTERS}",
+    "k4_replaced_chapters": f"SELECT id, title FROM {V.CHAPTERS} WHERE id % 3 = 0",
+    "t31_joined_lines": f"SELECT doc_id, 44 + n AS bytes, {little('36 + n')} AS riff, {little('16000')} AS rate, {little('n')} AS size FROM (SELECT doc_id, sum({tone_bytes('line')})::BIGINT AS n FROM {_LINE} GROUP BY doc_id)",
+    "s11_marked_blocks": f"SELECT doc_id, kind, level::INT AS level, count(*) AS n, md5(string_agg(text || '/' || alt || '/' || anchor, '|' ORDER BY o)) AS texts FROM {_BLOCK_ROWS} WHERE text <> '' OR kind IN ('heading', 'hr', 'image') GROUP BY doc_id, kind, level",
+    "j3_anchored_chapters": f"""SELECT t.book AS book, number::INT AS id, title, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY block_index) FILTER (text <> '' AND (size <= place OR block_index BETWEEN place AND place + 8)), '')) AS source, 'item' || any_value(b.spine_index)::VARCHAR AS section_ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY toc_index) AS number FROM {_PLACED}) t JOIN (SELECT *, count(*) OVER (PARTITION BY book, spine_index) AS size FROM {V.BLOCKS}) b ON t.book = b.book AND t.file = 'item' || b.spine_index::VARCHAR || '.xhtml' GROUP BY t.book, number, title""",
     "s1_book_blocks": f"SELECT doc_id, 'OEBPS/t/a.xhtml' AS zip_path, len(l)::BIGINT AS n, md5(array_to_string(l, chr(10) || chr(10))) AS text FROM (SELECT doc_id, {_LINES} AS l FROM documents)",
     "s4_book_contents": "SELECT doc_id, 'Book ' || doc_id::VARCHAR AS title, 'Chapter ' || doc_id::VARCHAR AS entry, 'OEBPS/t/a.xhtml' AS file, 'x' AS anchor, 1::BIGINT AS items FROM documents",
     "x1_batch_run": "SELECT (doc_id + 1)::INT AS chapter_id, CASE WHEN (doc_id + 1) % 5 = 0 THEN 'failed' ELSE 'ok' END AS outcome, md5(CASE WHEN (doc_id + 1) % 5 = 0 THEN '' ELSE split_part(text, chr(10), 1) END) AS content FROM documents",
     "x3_incremental_run": f"SELECT contains(line, '[WARN]') AS warn, count(*) AS n, sum(line_no)::BIGINT AS total FROM {V.LOG} GROUP BY ALL",
     "x4_status_stream": "SELECT o_orderpriority AS type, arg_max(o_orderstatus || o_orderkey::VARCHAR, o_orderkey) AS status, max(o_orderkey) AS updated FROM orders GROUP BY type",
-    "e2_noop_engine": "SELECT doc_id + 1 AS chapter_id, true AS sounds FROM documents WHERE (doc_id + 1) % 4 = 0",
+    "e2_noop_engine": f"SELECT doc_id + 1 AS chapter_id, 44 + n AS bytes, {little('n')} AS size FROM (SELECT doc_id, {tone_bytes('text')} AS n FROM documents)",
     "t24_stressed": f"SELECT doc_id, md5(array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> ''), chr(10))) AS text FROM documents",
 }

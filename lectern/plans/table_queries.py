@@ -139,14 +139,23 @@ def summary_context(s, d):
 
 
 def violations(s, d):
-    found = qa.glossary_violations(V.chapters(s, d), translations(s, d), glossary(s, d))
-    return found.select("chapter_id", "source_term", "expected_target")
+    found = qa.glossary_violations(translations(s, d), glossary(s, d))
+    return found.select("chapter_id", "source_term", "expected_target", "found_in_translation")
 
 
 def occurrences(s, d):
-    """Words of benchmark items in documents: the substring join by pieces, counted for each word."""
+    """Words of benchmark items in documents: the substring join, counted for each word."""
+    return _occurrences(s, d, qa.containing)
+
+
+def occurrences_by_pieces(s, d):
+    """The same by pieces, as more terms than go along to the texts are joined."""
+    return _occurrences(s, d, qa.containing_by_pieces)
+
+
+def _occurrences(s, d, how):
     terms = V.words(s, d).select(F.lower("word").alias("word")).distinct().withColumn("key", F.xxhash64("word"))
-    hits = qa.containing(V.text_parts(s, d), terms, "text", "word", "doc_id", "key")
+    hits = how(V.text_parts(s, d), terms, "text", "word", "doc_id", "key")
     return hits.join(terms, "key").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -160,7 +169,7 @@ _LOGGED = Sql(f"(SELECT *, sum(marker::INT) OVER (ORDER BY line_no) AS entry_no
 def warning_chapters(s, d):
     """Warnings whose snippet stands in a chapter: snippets are first lines of documents here."""
     docs = V.text_parts(s, d)
-    w = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("first_line"), F.lit("").alias("entry"), F.substring(F.substring_index("text", "\n", 1), 1, 40).alias("snippet"))
+    w = docs.select(F.col("doc_id").alias("first_line"), F.lit("").alias("entry"), F.substring(F.substring_index("text", "\n", 1), 1, 40).alias("snippet"))
     return qa.warnings_by_chapter(w, docs.select(F.col("doc_id").alias("chapter_id"), F.col("text").alias("ssml"))).select("first_line", "chapter_id")
 
 
@@ -212,7 +221,7 @@ QUERIES = {
     "j1_spine": lambda s, d: segment.spine_rows(V.items(s, d).select("book", "spine_index", "id", F.lit(True).alias("linear")), V.items(s, d).where("spine_index % 7 <> 0").select("book", "id", "href", F.lit("text/html").alias("media_type"))).select("book", "spine_index", "id", "href"),
     "s13_split_input": lambda s, d: segment.split_input(V.items(s, d).drop("blocks"), V.items(s, d).where("spine_index % 3 = 0")).select("book", "spine_index", F.size("blocks").cast("long").alias("n")),
     "a18_blocks_text": lambda s, d: V.items(s, d).select("spine_index", F.md5(segment.blocks_text(F.col("blocks"))).alias("text"), segment.first_heading(F.col("blocks")).alias("heading")),
-    "a1_term_chapters": lambda s, d: vocab.chapters_of(V.found_terms(s, d).where("chapter_id % 2 = 0"), existing(s, d), "source").select("key", joined(F.col("chapters")).alias("chapters")),
+    "a1_term_chapters": lambda s, d: vocab.chapters_of(V.found_terms(s, d), existing(s, d), "source").select("key", joined(F.col("chapters")).alias("chapters")),
     "a5_merged_terms": lambda s, d: vocab.merged_terms(existing(s, d), new_terms(s, d)).select("source", "target", "type", "added"),
     "a6_merged_characters": merged_characters,
     "a7_stress_store": stress_store,
@@ -236,6 +245,7 @@ QUERIES = {
     "j8_stress_overrides": lambda s, d: vocab.overridden(vocab.merged_stress(V.stress_forms(s, d))[0].drop("merge"), overrides(s, d), "term", "stressed").select("term", "stressed"),
     "j9_violations": violations,
     "j9_occurrences": occurrences,
+    "j9_by_pieces": occurrences_by_pieces,
     "j10_warning_chapters": warning_chapters,
     "j11_chapter_terms": lambda s, d: context.terms_of_chapters(glossary(s, d), chapter_ids(s, d)).select("chapter_id", "source"),
     "p4_chapter_filter": lambda s, d: chapter_ids(s, d).where(F.col("id").isin(*chapter_filter(5, "10-20", 1000))),
@@ -245,7 +255,7 @@ QUERIES = {
     "p9_batch_ends": lambda s, d: V.read(s, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "expired").otherwise("in_progress").alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n")).select("status", "n", batches.is_terminal(F.col("status")).alias("terminal"), F.when(batches.is_terminal(F.col("status")), F.coalesce(batches.terminal_error(F.col("status")), F.lit(""))).otherwise("").alias("error")),
     "p16_sanitized": lambda s, d: vocab.sanitized(V.stress_forms(s, d).withColumn("stressed", F.translate("stressed", "aeiou", "аеиоу"))).groupBy("merge").agg(F.count(F.lit(1)).alias("n")),
     "p17_for_prompt": lambda s, d: context.for_prompt(glossary(s, d), ("source", "target", "type")).select(F.length("json").cast("long").alias("length")),
-    "p20_stress_counts": lambda s, d: vocab.counts_by_chapter(V.stress_forms(s, d)),
+    "a13_stress_counts": lambda s, d: vocab.counts_by_chapter(V.stress_forms(s, d)),
     "s18_batch_results": batch_outcomes,
     "t25_requests": requests,
     "w1_previous_summaries": summary_context,
@@ -284,7 +294,7 @@ ORACLE_SQL = {
     "j1_spine": "SELECT source AS book, doc_id AS spine_index, 'item' || doc_id::VARCHAR AS id, 'text/item' || doc_id::VARCHAR || '.xhtml' AS href FROM documents WHERE doc_id % 7 <> 0",
     "s13_split_input": "SELECT source AS book, doc_id AS spine_index, CASE WHEN doc_id % 3 = 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS n FROM documents",
     "a18_blocks_text": f"SELECT spine_index, md5(coalesce({_TEXT}, '')) AS text, coalesce(arg_min(text, block_index) FILTER (kind = 'heading'), '') AS heading FROM {V.BLOCKS} GROUP BY spine_index",
-    "a1_term_chapters": f"SELECT key, array_to_string(list(chapter_id ORDER BY side, o), ',') AS chapters FROM (SELECT key, chapter_id, min(side) AS side, arg_min(ord, side * 10000000000 + ord) AS o FROM (SELECT lower(source) AS key, chapter_id, ord, 0 AS side FROM {V.FOUND} WHERE chapter_id % 2 = 0 UNION ALL SELECT lower(source), chapter_id, ord, 1 FROM {V.FOUND} WHERE (chapter_id - 1) % 3 = 0) GROUP BY ALL) GROUP BY key",
+    "a1_term_chapters": f"SELECT key, array_to_string(list(chapter_id ORDER BY side, o), ',') AS chapters FROM (SELECT key, chapter_id, min(side) AS side, arg_min(ord, side * 10000000000 + ord) AS o FROM (SELECT lower(source) AS key, chapter_id, ord, 0 AS side FROM {V.FOUND} UNION ALL SELECT lower(source), chapter_id, ord, 1 FROM {V.FOUND} WHERE (chapter_id - 1) % 3 = 0) GROUP BY ALL) GROUP BY key",
     "a5_merged_terms": f"SELECT source, target, type, p >= 1000000000 AS added FROM {_FIRST}",
     "a6_merged_characters": f"SELECT arg_min(source, p) AS name, coalesce(arg_min(target, p) FILTER (target <> ''), '') AS translation, coalesce(arg_min(role, p) FILTER (role <> ''), '') AS role, arg_min(chapter_id, p)::VARCHAR AS chapters, min(p) >= 1000000000 AS added FROM (SELECT *, {_ROLE} AS role, (chapter_id % 3 <> 1)::BIGINT * 1000000000 + ord AS p FROM {V.FOUND}) GROUP BY lower(source)",
     "a7_stress_store": f"SELECT b.term AS term, b.stressed AS stressed, b.approved AS approved, (p // 1000000000)::INT AS merge, p % 1000000000 AS ord FROM {_BASE}",
@@ -296,6 +306,9 @@ ORACLE_SQL = {
     "a13_counts": f"SELECT chapter_id::INT AS chapter_id, count(*) AS n FROM (SELECT unnest(chapters) AS chapter_id FROM {GLOSSARY}) GROUP BY ALL",
     "a14_totals": f"SELECT count(*) AS chapters, count(*) FILTER (short) AS short, count(*) FILTER (large) AS stripped, count(translated) AS translated, count(*) FILTER (ssml) AS ssml, count(*) FILTER (audio) AS audio FROM {_OVERVIEW}",
     "j12_overview": f"SELECT * FROM {_OVERVIEW}",
+    "k17_table_lines": f"""SELECT id, printf('%-4d  %-8s  %-8s  %-7s  %-6d  %-6d  %-7d  %-9s  %-5s  %-5s  %s', id, CASE WHEN raw_size > 0 THEN raw_size::VARCHAR ELSE '-' END, size::VARCHAR || CASE WHEN short THEN ' (!)' ELSE '' END, coalesce(diff::VARCHAR, '-') || CASE WHEN large THEN '!' ELSE '' END,
+  terms, characters, stress, coalesce(translated::VARCHAR, '-'), CASE WHEN ssml THEN 'yes' ELSE '-' END, CASE WHEN audio THEN 'yes' ELSE '-' END,
+  CASE WHEN octet_length(encode(title)) > {overview.TITLE} THEN list_max([CASE WHEN octet_length(encode(substr(title, 1, n))) <= {overview.TITLE} THEN substr(title, 1, n) END for n in range(0, {overview.TITLE} + 1)]) || '...' ELSE title END) AS line FROM {_OVERVIEW}""",
     "a16_prompt_blocks": f"SELECT chapter_id::BIGINT AS chapter_id, md5('{context.GLOSSARY_HEAD.strip()}' || chr(10) || string_agg(lines, '' ORDER BY rank, type)) AS block FROM (SELECT chapter_id, rank, type, chr(10) || '[' || type || ']' || chr(10) || string_agg('  ' || source || ' = ' || target || chr(10), '' ORDER BY ord) AS lines FROM (SELECT unnest(chapters) AS chapter_id, source, target, type, ord, coalesce(nullif(list_position({list(context.TYPES)}, type), 0), 6) AS rank FROM {GLOSSARY}) WHERE chapter_id IN (SELECT doc_id + 1 FROM documents) GROUP BY chapter_id, rank, type) GROUP BY chapter_id",
     "a17_locked_terms": f"SELECT md5(string_agg('  ' || source || ' = ' || target || chr(10), '' ORDER BY type = 'place', ord)) AS locked FROM (SELECT * FROM {_OVER} UNION ALL SELECT 1000000000, 'Nobody', 'Nikto', '')",
     "a20_run_counts": "SELECT count(*) FILTER (k IN (0)) AS processed, count(*) FILTER (k IN (1, 2, 3, 4)) AS failed, count(*) FILTER (k = 5) AS unrecognised FROM (SELECT doc_id % 6 AS k FROM documents)",
@@ -304,9 +317,10 @@ ORACLE_SQL = {
     "j6_tagged": f"SELECT source, array_to_string(chapters, ',') AS chapters FROM {GLOSSARY}",
     "j7_overrides": f"SELECT g.source AS source, coalesce(o.target, g.target) AS target, CASE WHEN o.type <> '' THEN o.type ELSE g.type END AS type FROM {GLOSSARY} g LEFT JOIN (SELECT lower(source) AS k, arg_min(target, ord) AS target, arg_min(type, ord) AS type FROM {_OVER} GROUP BY k) o ON lower(g.source) = k UNION ALL SELECT 'Nobody', 'Nikto', 'term' UNION ALL SELECT arg_min(source, ord), arg_min(target, ord), arg_min(CASE WHEN type = '' THEN 'term' ELSE type END, ord) FROM {_OVER} WHERE lower(source) NOT IN (SELECT lower(source) FROM {GLOSSARY}) GROUP BY lower(source)",
     "j8_stress_overrides": f"SELECT b.term AS term, coalesce(o.target, b.stressed) AS stressed FROM {_BASE} LEFT JOIN (SELECT lower(source) AS k, arg_min(target, ord) AS target FROM {_OVER} GROUP BY k) o ON key = k UNION ALL SELECT 'Nobody', 'Nikto'",
-    "j9_violations": f"SELECT c.id AS chapter_id, g.source AS source_term, g.target AS expected_target FROM {V.CHAPTERS} c JOIN {GLOSSARY} g ON contains(lower(c.source), lower(g.source)) WHERE c.id % 3 <> 0",
+    "j9_violations": f"SELECT c.id AS chapter_id, g.source AS source_term, g.target AS expected_target, g.source AS found_in_translation FROM {V.CHAPTERS} c JOIN {GLOSSARY} g ON contains(lower(c.source), lower(g.source)) WHERE c.id % 3 <> 0",
     "j9_occurrences": f"SELECT word, count(*) AS n FROM (SELECT DISTINCT lower(word) AS word FROM {V.WORDS}) JOIN documents ON contains(lower(text), word) GROUP BY word",
-    "j10_warning_chapters": "SELECT w.doc_id AS first_line, min(d.doc_id) AS chapter_id FROM (SELECT doc_id, lower(substr(split_part(text, chr(10), 1), 1, 40)) AS q FROM documents WHERE doc_id % 10 = 0) w JOIN documents d ON contains(lower(d.text), q) WHERE q <> '' GROUP BY ALL",
+    "j9_by_pieces": f"SELECT word, count(*) AS n FROM (SELECT DISTINCT lower(word) AS word FROM {V.WORDS}) JOIN documents ON contains(lower(text), word) GROUP BY word",
+    "j10_warning_chapters": "SELECT w.doc_id AS first_line, min(d.doc_id) AS chapter_id FROM (SELECT doc_id, lower(substr(split_part(text, chr(10), 1), 1, 40)) AS q FROM documents) w JOIN documents d ON contains(lower(d.text), q) WHERE q <> '' GROUP BY ALL",
     "j11_chapter_terms": f"SELECT chapter_id::BIGINT AS chapter_id, source FROM (SELECT unnest(chapters) AS chapter_id, source FROM {GLOSSARY}) WHERE chapter_id IN (SELECT doc_id + 1 FROM documents)",
     "p4_chapter_filter": "SELECT doc_id + 1 AS id FROM documents WHERE doc_id + 1 = 5 OR doc_id + 1 BETWEEN 10 AND 20",
     "p5_pending": "SELECT doc_id + 1 AS id FROM documents WHERE (doc_id + 1) % 3 = 0",
@@ -315,7 +329,7 @@ ORACLE_SQL = {
     "p9_batch_ends": "SELECT status, n, status <> 'in_progress' AS terminal, CASE status WHEN 'expired' THEN 'batch expired before it was completed' ELSE '' END AS error FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'expired' ELSE 'in_progress' END AS status, count(*) AS n FROM orders GROUP BY ALL)",
     "p16_sanitized": f"SELECT merge::INT AS merge, count(*) AS n FROM {V.STRESS} WHERE regexp_matches(translate(stressed, 'aeiou', 'аеиоу'), '\\+[аеёиоуыэюяАЕЁИОУЫЭЮЯ]') GROUP BY ALL",
     "p17_for_prompt": f"SELECT (2 + count(*) - 1 + sum(length('{{\"source\":\"\",\"target\":\"\",\"type\":\"\"}}') + length(source) + length(target) + length(type)))::BIGINT AS length FROM {GLOSSARY}",
-    "p20_stress_counts": f"SELECT chapter_id::INT AS chapter_id, count(*) AS n FROM {V.STRESS} GROUP BY ALL",
+    "a13_stress_counts": f"SELECT chapter_id::INT AS chapter_id, count(*) AS n FROM {V.STRESS} GROUP BY ALL",
     "s18_batch_results": "SELECT CASE k WHEN 5 THEN 'other-' ELSE 'translate-chapter-' END || (doc_id + 1)::VARCHAR AS custom_id, CASE WHEN k = 5 THEN 0 ELSE doc_id + 1 END::INT AS chapter_id, CASE WHEN k IN (0, 5) THEN t ELSE '' END AS content, CASE k WHEN 1 THEN 'limit: too many' WHEN 2 THEN 'no response in output line' WHEN 3 THEN 'HTTP 500: ' || '{\"output\":[{\"type\":\"message\",\"content\":[{\"type\":\"output_text\",\"text\":' || to_json(t)::VARCHAR || '}]}]}' WHEN 4 THEN 'empty output text' ELSE '' END AS error, CASE k WHEN 0 THEN 'ok' WHEN 5 THEN 'unrecognised' ELSE 'failed' END AS outcome FROM (SELECT doc_id, doc_id % 6 AS k, split_part(text, chr(10), 1) AS t FROM documents)",
     "t25_requests": f"SELECT 'translate-chapter-' || id::VARCHAR AS custom_id, 'POST' AS method, '/v1/responses' AS url, 'm' AS model, 100::BIGINT AS max_output_tokens, md5('=== Chapter ===' || chr(10) || title || chr(10) || chr(10) || source) AS input FROM {V.CHAPTERS}",
     "w1_previous_summaries": f"SELECT conv_id, chapter_id, CASE WHEN chapter_id <= 1 OR len(l) = 0 THEN '' ELSE '{context.CONTEXT_HEAD.strip()}' || chr(10) || chr(10) || array_to_string(l, chr(10) || chr(10)) END AS context FROM (SELECT conv_id, chapter_id, list_filter(coalesce(list(CASE WHEN summary <> '' AND chapter_id >= 1 THEN '[Chapter ' || chapter_id::VARCHAR || ' summary]' || chr(10) || summary END) OVER (PARTITION BY conv_id ORDER BY chapter_id RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), []), lambda x: x IS NOT NULL) AS l FROM {V.SUMMARIES})",

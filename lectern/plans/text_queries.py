@@ -107,7 +107,7 @@ QUERIES = {
     "t12_stress_sentences": lambda s, d: docs(s, d).select("doc_id", text.stress_sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("parts")),
     "t13_ssml": lambda s, d: marked(s, d).select("doc_id", F.md5(ssml.generated(F.col("text"))).alias("ssml")),
     "t14_chunks": chunk_totals,
-    "t15_raw_chunks": lambda s, d: docs(s, d).select("doc_id", F.posexplode(chunks.raw_pieces(F.col("text"))).alias("k", "piece")).groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")).alias("whole")),
+    "t15_raw_chunks": lambda s, d: docs(s, d).select("doc_id", F.posexplode(chunks.raw_pieces(F.col("text"))).alias("k", "piece")).groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "|")).alias("whole")),
     "t16_sanitized_stress": lambda s, d: marked(s, d).select("doc_id", F.md5(text.sanitized_stress(F.col("text"))).alias("text")),
     "t17_escaped": _digest("escaped", lambda c: ssml.escaped(F.concat(F.lit("<&>"), c))),
     "t18_transliterated": _digest("text", lambda c: ssml.transliterated(F.concat(F.lit("DNA x GPS "), c))),
@@ -120,7 +120,7 @@ QUERIES = {
     "t32_marked_sentences": lambda s, d: marked(s, d).select("doc_id", chunks.marked_sentences(ssml.generated(F.col("text"))).alias("p")).select("doc_id", F.size("p").cast("long").alias("n")),
     "t33_choices": lambda s, d: V.read(s, d, "orders").select("o_orderkey", text.choice(F.concat(F.col("o_orderkey").cast("string"), F.lit(" x")), F.lit(500)).alias("choice")),
     "j13_chapter_of": lambda s, d: V.chapters(s, d).select("id", text.chapter_of(F.concat(F.when(F.col("id") % 3 == 0, "other").otherwise("analyze"), F.lit("-chapter-"), F.col("id").cast("string"), F.lit("x")), "analyze").alias("chapter")),
-    "g6_snippets": lambda s, d: docs(s, d).select("doc_id", text.byte_prefix(F.col("text"), segment.SNIPPET).alias("snippet")).where("length(snippet) = octet_length(snippet)"),
+    "g6_snippets": lambda s, d: docs(s, d).select("doc_id", text.byte_prefix(F.col("text"), segment.SNIPPET).alias("snippet")),
     "g7_trailers": lambda s, d: V.chapters(s, d).select("id", F.concat("source", F.when(F.col("id") % 4 == 0, F.concat(F.lit("\n*****\n"), F.lit("released UNDER nothing"))).otherwise("")).alias("source"), "title", "raw_size").transform(lambda c: segment.stripped(c, V.TRIGGERS)).select("id", "raw_size", F.octet_length("source").cast("long").alias("size")),
     "k14_bitrates": lambda s, d: V.read(s, d, "orders").select("o_orderkey", text.bitrate(F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "192").otherwise("96K")).alias("bitrate")),
     "k13_tones": lambda s, d: docs(s, d).select("doc_id", F.octet_length(audio.tone(F.col("text"))).cast("long").alias("bytes")),
@@ -136,6 +136,15 @@ def _bytes(x: str) -> str:
     return f"octet_length(encode({x}))"
 
 
+def _cut(x: str, trigger: str) -> str:
+    """A trailer from its trigger on, or from the last stars in front of it, cut off in SQL; the tail is found by its bytes."""
+    begin = f"list_min([i for i in range(greatest(1, length({x}) - {segment.TAIL} + 1), length({x}) + 2) if {_bytes(f'substr({x}, i)')} <= {segment.TAIL}])"
+    at = f"instr(lower(substr({x}, ({begin})::INT)), '{trigger.lower()}')"
+    tail = f"substr({x}, ({begin})::INT, {at} - 1)"
+    stars = f"regexp_replace(regexp_replace(substr({x}, 1, ({begin})::INT - 1) || regexp_replace({tail}, '(?s)^(.*)\\*\\*\\*.*$', '\\1'), '\\*+$', ''), '[\\n\\r \\t]+$', '')"
+    return f"CASE WHEN {at} = 0 THEN {x} WHEN contains({tail}, '***') THEN {stars} ELSE substr({x}, 1, ({begin})::INT + {at} - 2) END"
+
+
 _FIRST = TRIM.format("split_part(t, chr(10), 1)")
 ORACLE_SQL = {
     "p1_title_rules": f"SELECT split_part(c, '/', 1) AS decision, split_part(c, '/', 2) AS rule, count(*) AS n FROM (SELECT {titles.classify_sql('title')} AS c FROM {CHAPTER}) GROUP BY ALL",
@@ -161,7 +170,12 @@ ORACLE_SQL = {
     "t12_stress_sentences": _PARTS + _LIST.format(f"list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> '')", "documents"),
     "t13_ssml": f"SELECT doc_id, md5({generated_sql('t')}) AS ssml FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM {MARKED})",
     "t14_chunks": f"SELECT doc_id, sum(length(regexp_replace(regexp_replace(s, '<[^>]*>', '', 'g'), '\\s+', '', 'g')))::BIGINT AS length, true AS within FROM (SELECT doc_id, unnest(regexp_extract_all(x, '(?s)<s>.*?</s>')) AS s FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM documents))) GROUP BY doc_id",
-    "t15_raw_chunks": "SELECT doc_id, md5(text) AS whole FROM documents",
+    # Parts are packed one by one: the recursion carries the size of the open piece and counts the closed ones.
+    "t15_raw_chunks": f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS part FROM (SELECT doc_id, CASE WHEN {_bytes('text')} <= {chunks.LIMIT} THEN [text] ELSE regexp_extract_all(text, '(?s)[^.!?]*[.!?]|[^.!?]+') END AS l FROM documents)),
+  s AS MATERIALIZED (SELECT doc_id, k, {_bytes('part')} AS n FROM p),
+  f AS (SELECT doc_id, k, 0 AS piece, n AS size FROM s WHERE k = 0 UNION ALL SELECT s.doc_id, s.k, piece + (size + n > {chunks.LIMIT})::INT, CASE WHEN size + n > {chunks.LIMIT} THEN n ELSE size + n END FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1)
+  SELECT doc_id, md5(string_agg(piece_text, '|' ORDER BY piece)) AS whole FROM (SELECT doc_id, piece, string_agg(part, '' ORDER BY k) AS piece_text FROM f JOIN p USING (doc_id, k) GROUP BY doc_id, piece) GROUP BY doc_id""",
+    "g7_trailers": f"SELECT id, {_bytes('title')} + {_bytes('t')} AS raw_size, {_bytes(TRIM.format('y'))} AS size FROM (SELECT *, {_cut('x', V.TRIGGERS[1])} AS y FROM (SELECT *, {_cut('t', V.TRIGGERS[0])} AS x FROM (SELECT id, title, source || CASE WHEN id % 4 = 0 THEN chr(10) || '*****' || chr(10) || 'released UNDER nothing' ELSE '' END AS t FROM {CHAPTER})))",
     "t16_sanitized_stress": f"SELECT doc_id, md5(replace({SANITIZED.format('text')}, chr(1), '+')) AS text FROM {MARKED}",
     "t17_escaped": f"SELECT doc_id, md5({escaped_sql(chr(39) + '<&>' + chr(39) + ' || text')}) AS escaped FROM documents",
     "t18_transliterated": f"SELECT doc_id, md5({TRANSLITERATED.format(chr(40) + chr(39) + 'DNA x GPS ' + chr(39) + ' || text' + chr(41))}) AS text FROM documents",
@@ -174,7 +188,8 @@ ORACLE_SQL = {
     "t32_marked_sentences": f"SELECT doc_id, len(regexp_extract_all(x, '(?s)<s>.*?</s>'))::BIGINT AS n FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM {MARKED}))",
     "t33_choices": "SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 1 AND 500 THEN o_orderkey::INT END AS choice FROM orders",
     "j13_chapter_of": f"SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE id END::INT AS chapter FROM {CHAPTER}",
-    "g6_snippets": f"SELECT doc_id, CASE WHEN {_bytes('text')} > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet FROM documents WHERE regexp_full_match(substr(text, 1, 200), '(?s)[\\x00-\\x7f]*')",
+    # A prefix of at most 200 bytes in whole characters: as many as leave no more bytes behind than the text has over 200.
+    "g6_snippets": f"SELECT doc_id, CASE WHEN {_bytes('text')} > 200 THEN list_max([CASE WHEN {_bytes('substr(text, 1, n)')} <= 200 THEN substr(text, 1, n) END for n in range(50, 201)]) || '...' ELSE text END AS snippet FROM documents",
     "k14_bitrates": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '128k' WHEN 1 THEN '192k' ELSE '96K' END AS bitrate FROM orders",
     "k13_tones": f"SELECT doc_id, 44 + 2 * floor(floor(least(0.5::DOUBLE + {_bytes('text')} / 2000.0::DOUBLE, 3.0) * 1e9) / 1e9 * 16000)::BIGINT AS bytes FROM documents",
 }

@@ -19,7 +19,7 @@ CHARACTER = "name string, translation string, role string, description string, c
 SUMMARY = "chapter_id int, summary string"
 STRESS = "ord int, term string, stressed string, approved boolean, chapters array<int>"
 CONFLICT = "term string, variants array<string>"
-VIOLATION = "chapter_id int, source_term string, expected_target string, found_in_translation boolean"
+VIOLATION = "chapter_id int, source_term string, expected_target string, found_in_translation string"
 REQUEST = "custom_id string, instructions string, input string, model string, json_mode boolean, max_tokens long"
 RESULT = "custom_id string, content string, error string"
 EXTRACTION = "characters array<struct<name:string, translation:string, role:string, description:string>>, terms array<struct<source:string, target:string, type:string>>, summary string"

@@ -102,7 +102,9 @@ def stressed(text: Column, model: Callable[[str], str] | None = None) -> Column:
             except Exception:
                 return s
 
-        return lists.map(lambda x: [one(s) for s in x])
+        # A client takes all sentences of a text in one request, and its errors fail the stage.
+        many = getattr(model, "sentences", None)
+        return lists.map(lambda x: many(list(x)) if many else [one(s) for s in x])
 
     return F.array_join(run(stress_sentences(text)), "\n")
 

@@ -40,7 +40,9 @@ def test_whole_project(spark, tmp_path):
     assert p.pronounce(reset=True) == "completed" and p.stress().count() == 2
     assert p.ssml() == 2 and p.ssml() == 0
     assert p.speech().first()["ssml"] == "<speak>\n<p><s>Глава</s></p>\n<p><s>м+ир и м+ир.</s><s>Л+инь!</s></p>\n</speak>"
-    assert p.tts() is None and p.audio().count() == 2
+    assert p.tts(encode=lambda wav, kind, rate: kind.encode() + wav[:4]) is None
+    assert {bytes(r["audio"]) for r in p.audio().collect()} == {b"mp3RIFF"}
+    assert (tmp_path / "p" / "extracted" / "source" / "b.epub").read_bytes() == book.read_bytes() or list((tmp_path / "p").rglob("source/b.epub"))
     assert {r["status"] for r in p.status().collect()} == {"audio"}
     row = p.overview().where("id = 1").first()
     assert (row["terms"], row["characters"], row["stress"], row["ssml"], row["audio"]) == (1, 1, 1, True, True)
@@ -55,5 +57,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["analyze-chapters", root, "--strategy", "per-item", "--start-id", "700"]) == 0
     assert main(["chapters", root]) == 0
     assert main(["status", root]) == 0
+    # The stages that ask a model take its service from the project, or here from the caller.
+    for command, more in (("analyze", []), ("translate", ["--skip-memory"]), ("pronounce", ["--reset"])):
+        assert main([command, root, "--poll-interval", "60", *more], FakeProvider(answer)) == 0
+    assert main(["verify-glossary", root]) == 0 and main(["ssml", root, "--use-stress-json"]) == 0
     out = capsys.readouterr().out
+    assert out.count("completed") == 3
     assert "701" in out and "raw" in out

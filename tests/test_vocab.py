@@ -79,9 +79,15 @@ def test_with_characters(spark):
     assert context.terms_of_chapters(vocab.with_characters(terms, chars, legacy=True), chapters).where("type = 'character'").isEmpty()
 
 
-def test_vocabulary_applied(spark):
-    df = spark.createDataFrame([("Замок и замок, подзамок", [("замок", "з+амок"), ("", "x"), ("и", "и")])], "t string, e array<struct<term:string, stressed:string>>")
-    assert df.select(vocab.applied(F.col("t"), F.col("e")).alias("r")).first()["r"] == "з+амок и з+амок, подзамок"
+def test_vocabulary_applied(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Замок и замок, подзамок"), (2, None), (3, "")], "id int, text string")
+    entries = [(0, "замок", "з+амок"), (1, "", "x"), (2, "и", "и"), (3, "амок", "ам+ок"), (4, "подзамок", "подз+амок"), (5, "з", "зз")]
+    store = spark.createDataFrame(entries, "ord int, term string, stressed string")
+    want = [(1, "зз+ам+ок и зз+ам+ок, подз+амок"), (2, None), (3, "")]  # later entries see the marks of those before
+    assert rows(vocab.applied(df, store), "id", "text") == want
+    monkeypatch.setattr(vocab, "PASS_ENTRIES", 2)
+    assert rows(vocab.applied(df, store), "id", "text") == want
+    assert rows(vocab.applied(df, store.where("false")), "id", "text") == rows(df, "id", "text")
 
 
 def test_summaries(spark):
@@ -106,6 +112,9 @@ def test_substring_joins(spark):
     want = [(1, 1), (1, 2), (1, 5), (2, 2)]
     assert rows(qa.containing_by_pieces(docs, terms, "t", "q", "d", "k"), "d", "k") == want
     assert rows(qa.containing(docs, terms, "t", "q", "d", "k"), "d", "k") == want
+    assert rows(qa.containing(docs, terms.where("false"), "t", "q", "d", "k"), "d", "k") == []
+    twice = spark.createDataFrame([("a", "WORLD"), ("b", "world"), ("c", None)], "k string, q string")
+    assert rows(qa.containing(docs, twice, "t", "q", "d", "k"), "d", "k") == [(1, "a"), (1, "b")]
 
 
 def test_log(spark):
