@@ -15,7 +15,11 @@ LOOK_ALIKE = "АВСДЕНКМОРРСТВХУЗавсденкморрствху
 # The other Latin letters by sound.
 PHONETIC = {"F": "Ф", "f": "ф", "G": "Г", "g": "г", "I": "И", "i": "и", "J": "ДЖ", "j": "дж", "L": "Л", "l": "л", "N": "Н", "n": "н", "Q": "К", "q": "к", "U": "У", "u": "у", "W": "В", "w": "в"}
 # How capital Latin letters are spelled aloud, A to Z.
-SPELLED = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "А БЭ ЦЭ ДЭ Е ЭФ ГЭ АШ И ДЖИ КА ЭЛЬ ЭМ ЭН О ПЭ КУ ЭР ЭС ТЭ У ВЭ ДАБЛЮ ИКС УАЙ ЗЭД".split()))
+SPELLED = {
+    "A": "А", "B": "БЭ", "C": "ЦЭ", "D": "ДЭ", "E": "Е", "F": "ЭФ", "G": "ГЭ", "H": "АШ", "I": "И",
+    "J": "ДЖИ", "K": "КА", "L": "ЭЛЬ", "M": "ЭМ", "N": "ЭН", "O": "О", "P": "ПЭ", "Q": "КУ", "R": "ЭР",
+    "S": "ЭС", "T": "ТЭ", "U": "У", "V": "ВЭ", "W": "ДАБЛЮ", "X": "ИКС", "Y": "УАЙ", "Z": "ЗЭД",
+}
 EMPTY = "<speak></speak>"
 
 

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,7 +195,21 @@ def anchored(s: SparkSession, d: str) -> DataFrame:
     return segment.by_toc(items.withColumn("blocks", marked), toc)[0].select("book", "id", "title", F.md5("source").alias("source"), F.array_join("section_ids", ",").alias("section_ids"))
 
 
+def speak(text: str, config: speech.EngineConfig) -> bytes:
+    """A stand-in for a speech server: a sample of silence for each byte."""
+    return audio.wav(np.zeros(len(text.encode())))
+
+
+def http_engine_run(s: SparkSession, d: str) -> DataFrame:
+    """Texts in chunks to a speech server, the answers joined in order."""
+    rows = V.chapters(s, d).select(F.col("id").alias("chapter_id"), F.col("source").alias("ssml"))
+    made = speech.engine("http", speech.EngineConfig(voice="v", server_url="http://localhost", parallel=4), client=speak)(rows)
+    return made.select("chapter_id", F.octet_length("audio").cast("long").alias("bytes"), F.hex(F.substring("audio", 41, 4)).alias("size"))
+
+
 QUERIES = {
+    "e3_http_engine": http_engine_run,
+    "t24_modelled": lambda s, d: V.text_parts(s, d).select("doc_id", F.md5(speech.stressed(F.col("text"), lambda x: "+" + x)).alias("text")),
     "s7_nav_contents": nav_contents,
     "x7_batch_state": batch_state,
     "k3_kept_chapters": kept_chapters,
@@ -229,6 +244,7 @@ _BLOCK_ROWS = f"""(SELECT doc_id, 10 * k AS o, CASE k % 5 WHEN 0 THEN 'heading'
 _PLACED = f"(SELECT book, file, 'Chapter ' || place::VARCHAR AS title, 2 * toc_index + (place > 0)::INT AS toc_index, place FROM (SELECT book, file, toc_index, unnest([0, 9]) AS place FROM {V.TOC}))"
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format("regexp_replace(x, '[ ' || chr(9) || chr(13) || ']+', ' ', 'g')")}), lambda x: x <> '')"
 ORACLE_SQL = {
+    "e3_http_engine": f"SELECT doc_id + 1 AS chapter_id, 44 + 2 * octet_length(encode(text)) AS bytes, {little('2 * octet_length(encode(text))')} AS size FROM documents",
     "s7_nav_contents": "SELECT doc_id, k::INT AS place, CASE k WHEN 1 THEN 'Part ' || doc_id::VARCHAR ELSE 'Inner' END AS entry, 'OEBPS/t/a.xhtml' AS file, CASE k WHEN 1 THEN 'x' ELSE '' END AS anchor, k::INT AS depth, 'nav' AS kind FROM documents, (SELECT unnest([1, 2]) AS k)",
     "x7_batch_state": "SELECT 'translate' AS type, 'batch-1' AS batch_id, 'large' AS model, '/v1/responses' AS endpoint, 'in_progress' AS status, count(*) AS total, md5(string_agg((doc_id + 1)::VARCHAR, ',' ORDER BY doc_id)) AS chapters, false AS ended FROM documents WHERE (doc_id + 1) % 2 = 1",
     "k3_kept_chapters": f"SELECT id, title, md5(CASE WHEN id BETWEEN 5 AND 49 THEN 'third ' WHEN id % 2 = 0 THEN 'first ' ELSE 'second ' END || source) AS source FROM {V.CHAPTERS}",
@@ -244,4 +260,5 @@ ORACLE_SQL = {
     "x4_status_stream": "SELECT o_orderpriority AS type, arg_max(o_orderstatus || o_orderkey::VARCHAR, o_orderkey) AS status, max(o_orderkey) AS updated FROM orders GROUP BY type",
     "e2_noop_engine": f"SELECT doc_id + 1 AS chapter_id, 44 + n AS bytes, {little('n')} AS size FROM (SELECT doc_id, {tone_bytes('text')} AS n FROM documents)",
     "t24_stressed": f"SELECT doc_id, md5(array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> ''), chr(10))) AS text FROM documents",
+    "t24_modelled": f"SELECT doc_id, md5(array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> ''), lambda x: '+' || x), chr(10))) AS text FROM documents",
 }

@@ -254,7 +254,7 @@ QUERIES = {
     "p7_processed": lambda s, d: vocab.processed(chapter_ids(s, d), V.stress_forms(s, d), [500, 501]),
     "p9_batch_ends": lambda s, d: V.read(s, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "expired").otherwise("in_progress").alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n")).select("status", "n", batches.is_terminal(F.col("status")).alias("terminal"), F.when(batches.is_terminal(F.col("status")), F.coalesce(batches.terminal_error(F.col("status")), F.lit(""))).otherwise("").alias("error")),
     "p16_sanitized": lambda s, d: vocab.sanitized(V.stress_forms(s, d).withColumn("stressed", F.translate("stressed", "aeiou", "аеиоу"))).groupBy("merge").agg(F.count(F.lit(1)).alias("n")),
-    "p17_for_prompt": lambda s, d: context.for_prompt(glossary(s, d), ("source", "target", "type")).select(F.length("json").cast("long").alias("length")),
+    "p17_for_prompt": lambda s, d: context.for_prompt(glossary(s, d), ("source", "target", "type")).select(F.md5("json").alias("json")),
     "a13_stress_counts": lambda s, d: vocab.counts_by_chapter(V.stress_forms(s, d)),
     "s18_batch_results": batch_outcomes,
     "t25_requests": requests,
@@ -328,7 +328,7 @@ ORACLE_SQL = {
     "p7_processed": f"SELECT doc_id + 1 AS id, doc_id + 1 IN (500, 501) OR doc_id + 1 IN (SELECT chapter_id FROM {V.STRESS}) AS processed FROM documents",
     "p9_batch_ends": "SELECT status, n, status <> 'in_progress' AS terminal, CASE status WHEN 'expired' THEN 'batch expired before it was completed' ELSE '' END AS error FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'expired' ELSE 'in_progress' END AS status, count(*) AS n FROM orders GROUP BY ALL)",
     "p16_sanitized": f"SELECT merge::INT AS merge, count(*) AS n FROM {V.STRESS} WHERE regexp_matches(translate(stressed, 'aeiou', 'аеиоу'), '\\+[аеёиоуыэюяАЕЁИОУЫЭЮЯ]') GROUP BY ALL",
-    "p17_for_prompt": f"SELECT (2 + count(*) - 1 + sum(length('{{\"source\":\"\",\"target\":\"\",\"type\":\"\"}}') + length(source) + length(target) + length(type)))::BIGINT AS length FROM {GLOSSARY}",
+    "p17_for_prompt": f"""SELECT md5('[' || string_agg('{{"source":"' || source || '","target":"' || target || '","type":"' || type || '"}}', ',' ORDER BY ord) || ']') AS json FROM {GLOSSARY}""",
     "a13_stress_counts": f"SELECT chapter_id::INT AS chapter_id, count(*) AS n FROM {V.STRESS} GROUP BY ALL",
     "s18_batch_results": "SELECT CASE k WHEN 5 THEN 'other-' ELSE 'translate-chapter-' END || (doc_id + 1)::VARCHAR AS custom_id, CASE WHEN k = 5 THEN 0 ELSE doc_id + 1 END::INT AS chapter_id, CASE WHEN k IN (0, 5) THEN t ELSE '' END AS content, CASE k WHEN 1 THEN 'limit: too many' WHEN 2 THEN 'no response in output line' WHEN 3 THEN 'HTTP 500: ' || '{\"output\":[{\"type\":\"message\",\"content\":[{\"type\":\"output_text\",\"text\":' || to_json(t)::VARCHAR || '}]}]}' WHEN 4 THEN 'empty output text' ELSE '' END AS error, CASE k WHEN 0 THEN 'ok' WHEN 5 THEN 'unrecognised' ELSE 'failed' END AS outcome FROM (SELECT doc_id, doc_id % 6 AS k, split_part(text, chr(10), 1) AS t FROM documents)",
     "t25_requests": f"SELECT 'translate-chapter-' || id::VARCHAR AS custom_id, 'POST' AS method, '/v1/responses' AS url, 'm' AS model, 100::BIGINT AS max_output_tokens, md5('=== Chapter ===' || chr(10) || title || chr(10) || chr(10) || source) AS input FROM {V.CHAPTERS}",
