@@ -3,7 +3,7 @@
 Each document gets a hash-random key; within its source documents are range-partitioned and sorted by it, token counts
 are summed up per range and the sums are turned into distributed prefix sums, and each source is cut at its exact
 budget, in whole epochs first and then in the order of the keys. Prefix sums have three levels (rows of a range, ranges of
-a stretch, stretches of a source), so no task holds more than about ``RANGE_ROWS`` rows or sums of one source at any size;
+a stretch, stretches of a source), so no task has to hold many rows or sums of one source at any size;
 those over sources go through ranges of their order.
 
 Equal rows (of doc_id, source and text) share their key. They are one row with a number of copies until the cut is known,
@@ -27,7 +27,7 @@ BLANKS = r"\x20\x09-\x0D"
 #: Weights of the sources, in code-point order and repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Rows that a range of keys should hold, and ranges of a stretch.
-RANGE_ROWS = 2048
+RANGE_ROWS, STRETCH = 256, 4096
 #: Copies of a row that one task makes; sources (of SENT_BYTES in all) up to which their cuts are broadcast, after a count.
 COPIES, SENT_SOURCES = 100_000, 50_000
 _KEYS = 1 << 62
@@ -102,7 +102,7 @@ def _mixed(docs: DataFrame, share: float, most: float, weights: tuple, id_col: s
     count = base.agg(F.count(F.lit(1)).alias("all"), F.max("rows").alias("most")).first()
     ranges = max(1, -(-count["all"] // RANGE_ROWS))
     base = base.withColumn("range", F.expr(f"key div {-(-_KEYS // ranges)}L"))
-    per_range = written(base.groupBy("source_key", "range").agg(F.sum(F.col("size") * F.col("rows")).alias("sum")).withColumn("stretch", F.expr(f"range div {RANGE_ROWS}L")), "mix-ranges")
+    per_range = written(base.groupBy("source_key", "range").agg(F.sum(F.col("size") * F.col("rows")).alias("sum")).withColumn("stretch", F.expr(f"range div {STRETCH}L")), "mix-ranges")
     per_stretch = written(per_range.groupBy("source_key", "stretch").agg(F.sum("sum").alias("sum")), "mix-stretches")
     targets = source_targets(per_stretch.groupBy("source_key").agg(F.sum("sum").alias("source_size")), share, most, weights)
 

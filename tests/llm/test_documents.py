@@ -64,6 +64,7 @@ def test_mix(spark, edge, documents, sf):
 
 def test_sizes_by_range(documents, monkeypatch):
     monkeypatch.setattr(mix, "RANGE_ROWS", 7)
+    monkeypatch.setattr(mix, "STRETCH", 7)
     check_mix(documents([(i, "w " * (i % 9), "abc"[i % 3]) for i in range(300)]))
 
 
@@ -71,6 +72,7 @@ def test_equal_rows_and_many_sources(spark, documents, monkeypatch):
     """A row that is a third of all, and as many sources as documents; batches of copies are dealt out."""
     monkeypatch.setattr(mix, "COPIES", 10)
     monkeypatch.setattr(mix, "RANGE_ROWS", 16)
+    monkeypatch.setattr(mix, "STRETCH", 5)
     rows = [(1, "w " * 5, "a")] * 200 + [(i, "w " * (i % 9), "abc"[i % 3]) for i in range(300)] + [(None, "w w", None)] * 7
     df = documents(rows)
     first = sorted(check_mix(df), key=str)
