@@ -24,7 +24,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import bounded, new_path, written
-from .token_counts import prefix_counter
 
 MAGIC = b"LTB1"
 #: Documents whose ids the dictionary is trained on at most, chunks of each at most, and bytes of a chunk and the dictionary.
@@ -34,27 +33,23 @@ BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
 
 
 @functools.cache
-def encoder(tokenizer: str):
-    """text -> ids of the tokenizers library. Texts of common characters go through the same merges in tiktoken, which is
-    several times as fast; both split them alike."""
-    import tiktoken
-
-    from .token_counts import WORDS
+def library(tokenizer: str):
+    from tokenizers import Tokenizer
 
-    counter = prefix_counter(tokenizer)
-    ranks = {p.encode("latin-1"): i for p, i in zip(counter.table.pieces, counter.ids)}
-    fast = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=dict(counter.added))
+    found = Tokenizer.from_file(tokenizer)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
-    def encode(text: str) -> np.ndarray:
-        if counter.common(text):
-            return np.array(fast.encode(text, allowed_special="all", disallowed_special=()), dtype=np.uint32)
-        return np.array(counter.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    return encode
+def encoder(tokenizer: str):
+    """text -> ids of the tokenizers library, for whole texts."""
+    encode = library(tokenizer).encode
+    return lambda text: np.array(encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def id_width(tokenizer: str) -> int:
-    return 2 if prefix_counter(tokenizer).library.get_vocab_size() <= 1 << 16 else 4
+    return 2 if library(tokenizer).get_vocab_size() <= 1 << 16 else 4
 
 
 def pack_block(rows: list[tuple], before: int, width: int, dict_hash: bytes) -> bytes:
