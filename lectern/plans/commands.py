@@ -55,6 +55,10 @@ class Project:
     def summaries(self) -> DataFrame:
         return self.table("memory", "summaries", schemas.SUMMARY)
 
+    def known_summaries(self) -> DataFrame:
+        """(chapter_id, summary) of every chapter, an empty summary where none is stored."""
+        return self.chapters().select(F.col("id").alias("chapter_id")).join(self.summaries(), "chapter_id", "left").fillna("", ["summary"])
+
     def translations(self) -> DataFrame:
         return self.table("translation", self.config.languages.target, TEXTS)
 
@@ -146,8 +150,7 @@ class Project:
         todo = batches.pending(self.chosen(chapter, span), done, force)
         terms = vocab.with_characters(self.glossary(), self.characters())
         blocks = context.prompt_blocks(context.terms_of_chapters(terms, todo))
-        known = self.chapters().select(F.col("id").alias("chapter_id")).join(self.summaries(), "chapter_id", "left").fillna("", ["summary"])
-        before = context.previous_summaries(known, 0 if skip_memory else 2).select("chapter_id", "context")
+        before = context.previous_summaries(self.known_summaries(), 0 if skip_memory else 2).select("chapter_id", "context")
         rows = todo.join(blocks.withColumnRenamed("chapter_id", "id"), "id", "left").join(before.withColumnRenamed("chapter_id", "id"), "id", "left")
         text = context.translation_prompt(F.col("title"), F.col("source"), F.col("block"), F.col("context"))
         how = context.translation_instructions(self.config.languages.source, self.config.languages.target)

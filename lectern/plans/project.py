@@ -12,8 +12,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
-
 
 @dataclass
 class Languages:
@@ -220,15 +218,6 @@ def write_chapters(chapters: DataFrame, table: str, chosen: set[int] | None = No
         rows.join(have.select("id").distinct(), "id", "left_anti").select(*chapters.columns).write.mode("append").json(table)
 
 
-def write_vocabulary(rows: DataFrame, table: str, key: str) -> None:
-    """Sorted by the key in lower case, then by place."""
-    rows.orderBy(F.lower(key), "ord").coalesce(1).write.mode("overwrite").json(table)
-
-
-def write_summaries(summaries: DataFrame, table: str) -> None:
-    summaries.select(F.concat(trimmed(F.col("summary")), F.lit("")).alias("value"), "chapter_id").write.mode("overwrite").partitionBy("chapter_id").text(table)
-
-
 def write_violations(rows: DataFrame, table: str) -> None:
     """Always written, so that a clean run leaves no stale findings."""
     rows.write.mode("overwrite").json(table)

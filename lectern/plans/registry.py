@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import run_queries, table_queries, text_queries
+from . import project_queries, run_queries, table_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **table_queries.QUERIES, **run_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**text_queries.ORACLE_SQL, **table_queries.ORACLE_SQL, **run_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **table_queries.QUERIES, **run_queries.QUERIES, **project_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**text_queries.ORACLE_SQL, **table_queries.ORACLE_SQL, **run_queries.ORACLE_SQL, **project_queries.ORACLE_SQL}

@@ -86,9 +86,14 @@ def engine_run(s: SparkSession, d: str) -> DataFrame:
     return speech.engine("noop")(rows).select("chapter_id", F.octet_length("audio").cast("long").alias("bytes"), F.hex(F.substring("audio", 41, 4)).alias("size"))
 
 
-def archives(s: SparkSession, d: str, nav: bool = False) -> DataFrame:
+#: Media types of the items of odd books, in turns; all but the last are pages.
+MEDIA = ("application/xhtml+xml", "application/x-dtbxhtml", "text/html", "image/svg+xml")
+
+
+def archives(s: SparkSession, d: str, nav: bool = False, odd: bool = False) -> DataFrame:
     """(path, content): each document packed as a book of one item, a paragraph for each line, with an NCX, or with a navigation
-    document of two levels besides."""
+    document of two levels besides. Odd books have a rootfile of another type in front, an entry whose name differs in case,
+    and items of all types of ``MEDIA``."""
 
     def pack(batches_):
         for batch in batches_:
@@ -104,6 +109,10 @@ def archives(s: SparkSession, d: str, nav: bool = False) -> DataFrame:
                 if nav:
                     files["OEBPS/c.opf"] = files["OEBPS/c.opf"].replace("<manifest>", '<manifest><item id="v" href="nav/n.xhtml" properties="nav" media-type="application/xhtml+xml"/>')
                     files["OEBPS/nav/n.xhtml"] = f'<html><body><nav epub:type="landmarks"><ol><li><a href="z">Z</a></li></ol></nav><nav epub:type="toc"><ol><li><a href="t/a.xhtml#x">Part {n}</a><ol><li><a href="t/a.xhtml">Inner</a></li></ol></li></ol></nav></body></html>'
+                if odd:
+                    files["META-INF/container.xml"] = files["META-INF/container.xml"].replace("<rootfiles>", '<rootfiles><rootfile full-path="none.pdf" media-type="application/pdf"/>')
+                    files["OEBPS/c.opf"] = files["OEBPS/c.opf"].replace('a.xhtml" media-type="application/xhtml+xml"', f'a.xhtml" media-type="{MEDIA[n % 4]}"')
+                    files["OEBPS/T/A.XHTML"] = files.pop("OEBPS/t/a.xhtml")
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
                     for name, content in files.items():

@@ -22,7 +22,7 @@ from .. import schemas
 from .html import Node, blocks_of, parse
 
 OPF_TYPE, NCX_TYPE = "application/oebps-package+xml", "application/x-dtbncx+xml"
-HTML_TYPES = ("application/xhtml+xml", "text/html", "application/html")
+HTML_TYPES = ("application/xhtml+xml", "application/x-dtbxhtml", "text/html")
 
 
 class BookError(ValueError):
