@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import bounded, new_path, written
+from .token_counts import COMMON, WORDS
 
 MAGIC = b"LTB1"
 #: Documents whose ids the dictionary is trained on at most, chunks of each at most, and bytes of a chunk and the dictionary.
@@ -42,10 +46,55 @@ def library(tokenizer: str):
     return found
 
 
+class WordIds(dict):
+    """word -> its ids as the tokenizers library gives them, packed; it is asked once for each word. When the words seen lately
+    are ``KEPT`` they take the place of those before, so common words stay; long ones are not kept."""
+
+    KEPT, LONGEST = 500_000, 64
+
+    def __init__(self, encode):
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def splits_by_words(tokenizer: str) -> bool:
+    """Whether a tokenizer file encodes text word by word, the words being those of ``WORDS``."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+
+
+@functools.cache
 def encoder(tokenizer: str):
-    """text -> ids of the tokenizers library, for whole texts."""
+    """text -> ids of the tokenizers library. A text of common characters without added strings is encoded word by word, so
+    that the library meets each word once; it splits and encodes all other texts, and those of other kinds of files, itself."""
+    import regex
+
     encode = library(tokenizer).encode
-    return lambda text: np.array(encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    whole = lambda text: np.array(encode(text, add_special_tokens=False).ids, np.uint32)
+    if not splits_by_words(tokenizer):
+        return whole
+    words, common = regex.compile(WORDS).findall, re.compile(COMMON).fullmatch
+    added = [t.content for t in library(tokenizer).get_added_tokens_decoder().values()]
+    known = WordIds(encode)
+
+    def by_words(text: str) -> np.ndarray:
+        if not common(text) or any(a in text for a in added):
+            return whole(text)
+        return np.frombuffer(b"".join(map(known.__getitem__, words(text))), np.uint32)
+
+    return by_words
 
 
 def id_width(tokenizer: str) -> int:

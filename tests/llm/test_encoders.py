@@ -141,6 +141,16 @@ def test_ids_of_whole_documents(spark):
         assert encode(r["text"] or "").tolist() == ids and (counter.counts(r["text"] or "")[1] or [0])[-1] == len(ids)
 
 
+def test_words_are_kept_in_two_generations(monkeypatch):
+    monkeypatch.setattr(token_files.WordIds, "KEPT", 3)
+    words, asked = token_files.WordIds(token_files.library(BYTES).encode), []
+    encode = words.encode
+    words.encode = lambda w, **more: asked.append(w) or encode(w, **more)
+    for w in ["a", " b", "c", "d", "a", "e", "x" * 100, "a", "x" * 100]:
+        assert np.frombuffer(words[w], np.uint32).tolist() == library(w)
+    assert len(words) <= 3 and asked.count("a") == 1 and asked.count("x" * 100) == 2
+
+
 def test_dictionary_sample_is_bounded(documents, monkeypatch):
     monkeypatch.setattr(token_files, "SAMPLE_DOCS", 3)
     rows = [(1, "one two three")] * 50 + [(k % 3, f"text {k}") for k in range(40)]
