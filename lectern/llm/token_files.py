@@ -86,13 +86,15 @@ def encoder(tokenizer: str):
     if not splits_by_words(tokenizer):
         return whole
     words, common = regex.compile(WORDS).findall, re.compile(COMMON).fullmatch
+    # The same pattern where all letters and digits are ASCII, for which ``re`` is faster.
+    plain = re.compile(WORDS.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")).findall
     added = [t.content for t in library(tokenizer).get_added_tokens_decoder().values()]
     known = WordIds(encode)
 
     def by_words(text: str) -> np.ndarray:
         if not common(text) or any(a in text for a in added):
             return whole(text)
-        return np.frombuffer(b"".join(map(known.__getitem__, words(text))), np.uint32)
+        return np.frombuffer(b"".join(map(known.__getitem__, (plain if text.isascii() else words)(text))), np.uint32)
 
     return by_words
 
