@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .filter_audit import audit
 from .media import describe, store
 from .mix import mix
 from .near_dup import near_duplicates
@@ -68,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(prefix_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), limit=1024)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
@@ -79,9 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
 }
 # SQL of the queries that SQL can express on whole tables; the others are tested against brute force.
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORD = r"[^\x20\x09-\x0D]+"
 _VECTORS = "(SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 AND len(embedding) > 0)"
 ORACLE_SQL: dict[str, str] = {
     "op4_top_k": f"""SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
@@ -94,4 +101,16 @@ ORACLE_SQL: dict[str, str] = {
   e AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
   r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, e.y FROM r JOIN e ON r.o = e.x)
   SELECT d.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, m.o AS component_id, m.o = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(o) AS o FROM r GROUP BY d) m ON m.d = d.doc_id""",
+    "op11_filter_audit": f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+  f AS (SELECT d.doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) AS e, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+    FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+  g AS (SELECT part, [a, b, c, d, e] AS fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+  k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  o AS (SELECT k.x || l.x || m.x || p.x || q.x AS filter_order FROM k, k l, k m, k p, k q WHERE k.x NOT IN (l.x, m.x, p.x, q.x) AND l.x NOT IN (m.x, p.x, q.x) AND m.x NOT IN (p.x, q.x) AND p.x <> q.x),
+  s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS place, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+  r AS (SELECT part, filter_order, step, place, n, good, toxic, fails[place] AS fails, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS many FROM g, s),
+  t AS (SELECT part, filter_order, step, place, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND many = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+  SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, place))::BIGINT AS shapley FROM t""",
 }
