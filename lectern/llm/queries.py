@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 from .filter_audit import audit
+from .fingerprints import LEAF_CHARS, fingerprints
 from .media import describe, store
 from .mix import mix
 from .near_dup import near_duplicates
@@ -73,6 +74,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_filter_audit": op11_filter_audit,
+    "op13_fingerprints": op13_fingerprints,
 }
 # SQL of the queries that SQL can express on whole tables; the others are tested against brute force.
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -113,4 +119,18 @@ ORACLE_SQL: dict[str, str] = {
   t AS (SELECT part, filter_order, step, place, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
     coalesce(sum(n) FILTER (fails AND many = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
   SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, place))::BIGINT AS shapley FROM t""",
+    "op13_fingerprints": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  n AS (SELECT doc_id, text, length(text) // 2 AS half, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST)) AS following FROM d),
+  t AS (SELECT doc_id, text, left(text, length(text) - half) || left(following, half) AS edited, following FROM n),
+  v AS (SELECT DISTINCT unnest([text, edited, following]) AS x FROM t),
+  l AS (SELECT x, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^.!?,;]{{1,{LEAF_CHARS}}}[.!?,;]*|[.!?,;]+'), lambda y: md5(y) || ':' || length(y)))) AS leaves FROM v),
+  p AS (SELECT x, list_transform(leaves, lambda s: list_transform(s, lambda q: md5(coalesce(array_to_string(q, ','), '')))) AS paragraphs, list_distinct(flatten(flatten(leaves))) AS own FROM l),
+  m AS (SELECT x, paragraphs, list_transform(paragraphs, lambda s: md5(array_to_string(s, ','))) AS sections, own, coalesce(list_sum(list_transform(own, lambda y: split_part(y, ':', 2)::BIGINT)), 0) AS size FROM p),
+  r AS (SELECT x, paragraphs, sections, sha256(array_to_string(sections, ',')) AS root, own, size FROM m),
+  j AS (SELECT t.doc_id, t.text, t.edited, a.root AS fingerprint, b.root AS edited_fingerprint,
+    CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(a.own, b.own), lambda y: split_part(y, ':', 2)::BIGINT)), 0)::DOUBLE / greatest(a.size + b.size, 1)::DOUBLE END AS near_edited,
+    CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(a.own, c.own), lambda y: split_part(y, ':', 2)::BIGINT)), 0)::DOUBLE / greatest(a.size + c.size, 1)::DOUBLE END AS near_next,
+    flatten(list_transform(range(1, greatest(len(a.sections), len(b.sections)) + 1), lambda s: list_transform(list_filter(range(1, greatest(coalesce(len(a.paragraphs[s]), 0), coalesce(len(b.paragraphs[s]), 0)) + 1), lambda q: a.paragraphs[s][q] IS DISTINCT FROM b.paragraphs[s][q]), lambda q: s || ':' || q))) AS places
+    FROM t JOIN r a ON t.text = a.x JOIN r b ON t.edited = b.x JOIN r c ON t.following = c.x)
+  SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, len(places)::BIGINT AS edits, coalesce(places[1], '') AS first_edit FROM j""",
 }
