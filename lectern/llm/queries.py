@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .collocations import collocations
 from .filter_audit import audit
 from .fingerprints import LEAF_CHARS, fingerprints
 from .media import describe, store
@@ -74,6 +75,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
     "op13_fingerprints": op13_fingerprints,
 }
 # SQL of the queries that SQL can express on whole tables; the others are tested against brute force.
@@ -119,6 +125,20 @@ ORACLE_SQL: dict[str, str] = {
   t AS (SELECT part, filter_order, step, place, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
     coalesce(sum(n) FILTER (fails AND many = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
   SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, place))::BIGINT AS shapley FROM t""",
+    "op12_collocations": f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+  g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)),
+  f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+  c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+  k AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+  s AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, (2000000::HUGEINT * k.a // (l.f + r.f))::BIGINT AS score FROM k
+    JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+  b AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  i AS (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda x: list_transform(range(1, m - x + 2), lambda y: array_to_string(w[y:y + x - 1], ' '))))) AS phrase FROM c WHERE m > 2),
+  o AS (SELECT lang, phrase, max(a) AS around FROM i GROUP BY ALL)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n USING (lang) LEFT JOIN o USING (lang, phrase)
+    WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a QUALIFY rank <= 2000""",
     "op13_fingerprints": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
   n AS (SELECT doc_id, text, length(text) // 2 AS half, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST)) AS following FROM d),
   t AS (SELECT doc_id, text, left(text, length(text) - half) || left(following, half) AS edited, following FROM n),
