@@ -101,7 +101,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     repeats itself has copies more than one, all but one of which are followed by themselves."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # One key that is never null, so that grouping and joining by it share one shuffle of the texts.
-    base = base.withColumn("row_key", F.sha2(F.concat(F.coalesce(F.concat(F.lit("1"), F.col("doc_id")), F.lit("0")), F.lit(":"), F.col("text")), 256))
+    base = base.withColumn("row_key", F.unhex(F.sha2(F.concat(F.coalesce(F.concat(F.lit("1"), F.col("doc_id")), F.lit("0")), F.lit(":"), F.col("text")), 256)))
     narrow = written(base.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "prints")
     link = written(neighbours(narrow, max(1, -(-narrow.count() // RANGE_ROWS))), "prints-links")
     one = base.groupBy("row_key").agg(F.first("text").alias("text"))
