@@ -23,7 +23,7 @@ from ..sources import epub
 from ..sources.batches import parse_results
 from ..schemas import BATCH_STATE
 from ..sources.html import exploded, with_blocks
-from ..streaming import batches, speech
+from ..streaming import batches, lifecycle, speech
 from . import views as V
 from .project import write_chapters
 from .text_queries import TRIM
@@ -81,6 +81,29 @@ def status_run(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("type").agg(F.max_by("status", "updated").alias("status"), F.max("updated").alias("updated"))
 
 
+#: States that orders report, by a number made of their key; the silence after which a customer's batch expires, in minutes.
+REPORTED = ("validating", "validating", "in_progress", "in_progress", "completed", "processed", "deleted", "failed", "cancelled", "validating")
+SILENCE, LATE = 2000, 64
+
+
+def lifecycle_run(s: SparkSession, d: str) -> DataFrame:
+    """Orders as updates of their customer's batch, a minute for each key, up to an hour out of order, every fifth twice, in
+    four files; then a clock that lets the watermark pass them all."""
+    root = scratch(s)
+    o = V.read(s, d, "orders").select("o_custkey", "o_orderkey")
+    known = F.element_at(F.array(*map(F.lit, REPORTED)), (F.col("o_orderkey") * 31 % 97 % 10 + 1).cast("int"))
+    o = o.select(F.col("o_custkey").cast("string").alias("type"), known.alias("status"), "o_orderkey", F.explode(F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    o = o.withColumn("minute", F.col("o_orderkey") + F.col("o_orderkey") * 7919 % LATE + F.col("again"))
+    rows = o.select("type", "status", F.timestamp_seconds((F.col("minute") + 1) * 60).alias("updated"), (F.col("o_orderkey") * 2 + F.col("again")).cast("long").alias("seq"), "o_orderkey")
+    last = o.agg(F.max("o_orderkey").alias("k")).first()["k"] or 0
+    for k in range(4):
+        rows.where(F.expr(f"(o_orderkey * 4 - 1) div {max(last, 1)} = {k}") if k else F.expr(f"(o_orderkey * 4 - 1) div {max(last, 1)} < 1")).drop("o_orderkey").write.mode("append").json(f"{root}/in")
+    s.range(1).select(F.lit("clock").alias("type"), F.lit("validating").alias("status"), F.timestamp_seconds(F.lit((last + 10 * SILENCE) * 60)).alias("updated"), F.lit(0).cast("long").alias("seq")).write.mode("append").json(f"{root}/in")
+    stream = s.readStream.schema("type string, status string, updated timestamp, seq long").json(f"{root}/in")
+    lifecycle.run_transitions(stream, SILENCE * 60, f"{2 * LATE} minutes", f"{root}/out", f"{root}/mark").awaitTermination()
+    return lifecycle.last_states(s.read.schema(lifecycle.TRANSITIONS).parquet(f"{root}/out"))
+
+
 def engine_run(s: SparkSession, d: str) -> DataFrame:
     rows = V.chapters(s, d).select(F.col("id").alias("chapter_id"), F.col("source").alias("ssml"))
     return speech.engine("noop")(rows).select("chapter_id", F.octet_length("audio").cast("long").alias("bytes"), F.hex(F.substring("audio", 41, 4)).alias("size"))
@@ -231,6 +254,7 @@ QUERIES = {
     "x1_batch_run": batch_run,
     "x3_incremental_run": incremental_run,
     "x4_status_stream": status_run,
+    "x4_lifecycle": lifecycle_run,
     "e2_noop_engine": engine_run,
     "t24_stressed": lambda s, d: V.text_parts(s, d).select("doc_id", F.md5(speech.stressed(F.col("text"))).alias("text")),
 }
@@ -267,6 +291,16 @@ ORACLE_SQL = {
     "x1_batch_run": "SELECT (doc_id + 1)::INT AS chapter_id, CASE WHEN (doc_id + 1) % 5 = 0 THEN 'failed' ELSE 'ok' END AS outcome, md5(CASE WHEN (doc_id + 1) % 5 = 0 THEN '' ELSE split_part(text, chr(10), 1) END) AS content FROM documents",
     "x3_incremental_run": f"SELECT contains(line, '[WARN]') AS warn, count(*) AS n, sum(line_no)::BIGINT AS total FROM {V.LOG} GROUP BY ALL",
     "x4_status_stream": "SELECT o_orderpriority AS type, arg_max(o_orderstatus || o_orderkey::VARCHAR, o_orderkey) AS status, max(o_orderkey) AS updated FROM orders GROUP BY type",
+    "x4_lifecycle": f"""WITH RECURSIVE o AS (SELECT o_custkey::VARCHAR AS type, {list(REPORTED)}[o_orderkey * 31 % 97 % 10 + 1] AS status, o_orderkey AS k, unnest(CASE WHEN o_orderkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS again FROM orders),
+  u AS (SELECT type, status, k + k * 7919 % {LATE} + again AS minute, row_number() OVER (PARTITION BY type ORDER BY k + k * 7919 % {LATE} + again, 2 * k + again) AS n FROM o),
+  r AS (SELECT DISTINCT type, 0::BIGINT AS n, '' AS status, 0::BIGINT AS since, 0 AS accepted, 0 AS repeated, 0 AS rejected, 0 AS expired FROM o
+    UNION ALL SELECT type, n, CASE WHEN good OR again THEN new ELSE old END, CASE WHEN good OR again THEN minute ELSE since END, accepted + good::INT, repeated + again::INT, rejected + (NOT good AND NOT again)::INT, expired + gone::INT
+    FROM (SELECT *, new = old AS again, CASE old WHEN '' THEN new = 'validating' WHEN 'deleted' THEN new = 'validating' WHEN 'validating' THEN new IN ('in_progress', 'completed', 'failed', 'expired', 'cancelled')
+        WHEN 'in_progress' THEN new IN ('completed', 'failed', 'expired', 'cancelled') WHEN 'completed' THEN new IN ('processed', 'deleted') ELSE new = 'deleted' END AND new <> old AS good
+      FROM (SELECT r.type, u.n, u.status AS new, u.minute, r.accepted, r.repeated, r.rejected, r.expired, r.status IN ('validating', 'in_progress') AND r.since + {SILENCE} < u.minute AS gone,
+        CASE WHEN r.status IN ('validating', 'in_progress') AND r.since + {SILENCE} < u.minute THEN 'expired' ELSE r.status END AS old, r.since FROM r JOIN u ON u.type = r.type AND u.n = r.n + 1))),
+  z AS (SELECT * FROM r WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY type ORDER BY n DESC) = 1)
+  SELECT type, nullif(CASE WHEN status IN ('validating', 'in_progress') THEN 'expired' ELSE status END, '') AS status, accepted::BIGINT AS accepted, repeated::BIGINT AS repeated, rejected::BIGINT AS rejected, (expired + (status IN ('validating', 'in_progress'))::INT)::BIGINT AS expired FROM z""",
     "e2_noop_engine": f"SELECT doc_id + 1 AS chapter_id, 44 + n AS bytes, {little('n')} AS size FROM (SELECT doc_id, {tone_bytes('text')} AS n FROM documents)",
     "t24_stressed": f"SELECT doc_id, md5(array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> ''), chr(10))) AS text FROM documents",
     "t24_modelled": f"SELECT doc_id, md5(array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> ''), lambda x: '+' || x), chr(10))) AS text FROM documents",
