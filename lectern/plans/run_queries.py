@@ -3,11 +3,8 @@ a project's tables; with their DuckDB twins."""
 
 from __future__ import annotations
 
-import atexit
 import html
 import io
-import shutil
-import tempfile
 import uuid
 import zipfile
 
@@ -22,6 +19,7 @@ from ..operators import context, segment
 from ..sources import epub
 from ..sources.batches import parse_results
 from ..schemas import BATCH_STATE
+from ..shared import folder as scratch
 from ..sources.html import exploded, with_blocks
 from ..streaming import batches, lifecycle, speech
 from . import views as V
@@ -29,16 +27,6 @@ from .project import write_chapters
 from .text_queries import TRIM
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base}/lectern-{uuid.uuid4().hex}"
-    path = tempfile.mkdtemp(prefix="lectern-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
 def echo(lines: DataFrame) -> DataFrame:
     """A stand-in for a model: each answer is the first line of its request; every fifth fails."""
     id_, text = F.get_json_object("value", "$.custom_id"), F.get_json_object("value", "$.body.input[0].content")

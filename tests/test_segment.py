@@ -82,3 +82,67 @@ def test_inputs(spark):
     it = items(spark, [p("a")], [p("b")])
     joined = segment.split_input(it.drop("blocks"), it.where("spine_index = 1").select("book", "spine_index", "blocks"))
     assert {r["spine_index"]: len(r["blocks"]) for r in joined.collect()} == {0: 0, 1: 1}
+
+
+def _plain_headings(items):
+    """Chapters of one book by headings, block by block: (title, texts, item ids), and the ids of skipped items."""
+    chapters, skipped = [], []
+    for n, blocks in items:
+        met = bool(chapters)
+        for kind, level, text in blocks:
+            if kind == "heading" and level in (1, 2) and text.startswith("Chapter"):
+                chapters.append((text, [], [f"i{n}"]))
+            elif chapters:
+                chapters[-1][1].append(text)
+                if f"i{n}" not in chapters[-1][2]:
+                    chapters[-1][2].append(f"i{n}")
+        if blocks and not met and not chapters:
+            skipped.append(f"h{n}")
+    return [c for c in chapters if c[1]], skipped
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_large_book_in_many_tasks(spark, seed):
+    """A book of all items: scans by ranges give what block by block gives; no window holds the book."""
+    import random
+
+    rng = random.Random(seed)
+    block = lambda: rng.choice([("paragraph", 0, f"p{rng.random()}"), ("paragraph", 0, f"q{rng.random()}"), ("heading", rng.choice([1, 2, 3]), rng.choice(["Chapter 5", "Notes", "Other"]))])
+    plain = [(n, [block() for _ in range(rng.choice([0, 1, 4, 9]))]) for n in range(300)]
+    plain[:3] = [(0, [("paragraph", 0, "front")]), (1, []), (2, [("heading", 3, "Chapter 5"), ("paragraph", 0, "x")])]
+    rows = [("b", n, f"i{n}", f"h{n}", [(k, lv, "", t, "") for k, lv, t in blocks]) for n, blocks in plain]
+    df = spark.createDataFrame(rows, "book string, spine_index long, id string, href string, blocks array<struct<kind:string,level:int,anchor:string,text:string,alt:string>>")
+    chapters, skipped = segment.by_headings(df, 10)
+    want, front = _plain_headings(plain)
+    got = sorted((r["id"], r["title"], r["source"], r["section_ids"]) for r in chapters.collect())
+    assert got == [(k + 11, title, "\n\n".join(texts), ids) for k, (title, texts, ids) in enumerate(want)]
+    assert sorted(r["src_file"] for r in skipped.collect()) == sorted(front)
+    assert "windowspecdefinition(book" not in chapters._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_anchored_sections_of_any_length(spark, monkeypatch, seed):
+    """Intervals of blocks by anchors against walking over the item's blocks."""
+    import random
+
+    monkeypatch.setattr(segment, "BUCKET", 4)
+    rng = random.Random(seed)
+    blocks = lambda n: [(rng.choice(["heading", "paragraph"]), 1, rng.choice(["", "a", "a", "b", "c"]), f"t{k}", "") for k in range(n)]
+    items = [("b", n, f"i{n}", f"x/f{n % 5}.xhtml", blocks(rng.choice([0, 3, 40]))) for n in range(12)]
+    toc = [("b", k, "Chapter 1", f"f{rng.randrange(6)}.xhtml", rng.choice(["", "a", "b", "c", "none"])) for k in range(25)]
+    want = []
+    for k, (_, _, title, file, anchor) in enumerate(toc):
+        own = [i for i in items if i[3].endswith(file)]
+        if not own:
+            continue
+        heads = [p for p, b in enumerate(own[0][4]) if b[0] == "heading"]
+        start = next((p for p in heads if anchor and own[0][4][p][2] == anchor), None)
+        if start is None:
+            text, ids = [b[3] for i in own for b in i[4]], [i[2] for i in own]
+        else:
+            stop = next((p for p in heads if p > start and own[0][4][p][2] not in ("", anchor)), len(own[0][4]))
+            text, ids = [b[3] for b in own[0][4][start:stop]], [own[0][2]]
+        want.append((k + 1, "\n\n".join(text), ids, k))
+    kind = "book string, spine_index long, id string, href string, blocks array<struct<kind:string,level:int,anchor:string,text:string,alt:string>>"
+    made, _ = segment.by_toc(spark.createDataFrame(items, kind), spark.createDataFrame(toc, "book string, toc_index int, Title string, SrcFile string, SrcAnchor string"))
+    assert sorted((r["id"], r["source"], r["section_ids"], r["toc_entry_index"]) for r in made.collect()) == want
