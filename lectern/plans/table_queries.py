@@ -153,8 +153,25 @@ def occurrences_by_pieces(s, d):
     return _occurrences(s, d, qa.containing_by_pieces)
 
 
-def _occurrences(s, d, how):
-    terms = V.words(s, d).select(F.lower("word").alias("word")).distinct().withColumn("key", F.xxhash64("word"))
+def terms_of_all_lengths(s, d):
+    """Every word of benchmark items, and every three words in a row that have up to 40 letters."""
+    w = V.read(s, d, "benchmark").select(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1).alias("w"))
+    three = F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))")
+    return w.select(F.explode(F.concat("w", F.filter(three, lambda x: F.length(x).between(1, 40)))).alias("word"))
+
+
+def occurrences_of_all_lengths(s, d):
+    """Terms of one letter and more, looked for by their rarest pieces."""
+    return _occurrences(s, d, qa.containing_by_pieces, terms_of_all_lengths(s, d))
+
+
+def automaton_of_all_lengths(s, d):
+    """The same terms in one automaton."""
+    return _occurrences(s, d, qa.containing, terms_of_all_lengths(s, d))
+
+
+def _occurrences(s, d, how, words=None):
+    terms = (V.words(s, d) if words is None else words).select(F.lower("word").alias("word")).distinct().withColumn("key", F.xxhash64("word"))
     hits = how(V.text_parts(s, d), terms, "text", "word", "doc_id", "key")
     return hits.join(terms, "key").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -246,6 +263,8 @@ QUERIES = {
     "j9_violations": violations,
     "j9_occurrences": occurrences,
     "j9_by_pieces": occurrences_by_pieces,
+    "j9_all_lengths": occurrences_of_all_lengths,
+    "j9_all_lengths_automaton": automaton_of_all_lengths,
     "j10_warning_chapters": warning_chapters,
     "j11_chapter_terms": lambda s, d: context.terms_of_chapters(glossary(s, d), chapter_ids(s, d)).select("chapter_id", "source"),
     "p4_chapter_filter": lambda s, d: chapter_ids(s, d).where(F.col("id").isin(*chapter_filter(5, "10-20", 1000))),
@@ -284,6 +303,9 @@ def _index_sql() -> str:
 
 
 _ONE_CONFLICT = f"(SELECT key, term, list(form ORDER BY p) AS forms FROM (SELECT key, lower(form), arg_min(form, p) AS form, min(p) AS p FROM (SELECT key, unnest([base, form]) AS form, unnest([0, 1]) + 10 * (merge::BIGINT * 1000000000 + ord) AS p FROM {_CONFLICTS}) GROUP BY key, lower(form)) JOIN (SELECT key, arg_min(term, merge::BIGINT * 1000000000 + ord) AS term FROM {_CONFLICTS} GROUP BY key) USING (key) GROUP BY key, term)"
+_ALL_LENGTHS = r"""WITH w AS (SELECT regexp_extract_all(text, '\pL+') AS w FROM benchmark),
+  t AS (SELECT DISTINCT lower(unnest(w || list_filter(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')), lambda x: length(x) BETWEEN 1 AND 40))) AS word FROM w)
+  SELECT word, count(*) AS n FROM t JOIN documents ON contains(lower(text), word) GROUP BY word"""
 ORACLE_SQL = {
     "g1_split_index": _index_sql(),
     "g2_skipped": _skipped_sql(),
@@ -320,6 +342,8 @@ ORACLE_SQL = {
     "j9_violations": f"SELECT c.id AS chapter_id, g.source AS source_term, g.target AS expected_target, g.source AS found_in_translation FROM {V.CHAPTERS} c JOIN {GLOSSARY} g ON contains(lower(c.source), lower(g.source)) WHERE c.id % 3 <> 0",
     "j9_occurrences": f"SELECT word, count(*) AS n FROM (SELECT DISTINCT lower(word) AS word FROM {V.WORDS}) JOIN documents ON contains(lower(text), word) GROUP BY word",
     "j9_by_pieces": f"SELECT word, count(*) AS n FROM (SELECT DISTINCT lower(word) AS word FROM {V.WORDS}) JOIN documents ON contains(lower(text), word) GROUP BY word",
+    "j9_all_lengths": _ALL_LENGTHS,
+    "j9_all_lengths_automaton": _ALL_LENGTHS,
     "j10_warning_chapters": "SELECT w.doc_id AS first_line, min(d.doc_id) AS chapter_id FROM (SELECT doc_id, lower(substr(split_part(text, chr(10), 1), 1, 40)) AS q FROM documents) w JOIN documents d ON contains(lower(d.text), q) WHERE q <> '' GROUP BY ALL",
     "j11_chapter_terms": f"SELECT chapter_id::BIGINT AS chapter_id, source FROM (SELECT unnest(chapters) AS chapter_id, source FROM {GLOSSARY}) WHERE chapter_id IN (SELECT doc_id + 1 FROM documents)",
     "p4_chapter_filter": "SELECT doc_id + 1 AS id FROM documents WHERE doc_id + 1 = 5 OR doc_id + 1 BETWEEN 10 AND 20",

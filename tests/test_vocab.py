@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import context, qa, vocab
@@ -134,3 +135,22 @@ def test_guard(spark):
     with pytest.raises(PySparkException, match="latin"):
         qa.guarded(spark.createDataFrame([("<speak>abc</speak>",)], "ssml string")).collect()
     assert rows(qa.problems(spark.createDataFrame([(1, "да"), (2, "да abc é")], "chapter_id int, text string")), "chapter_id", "words", "symbols") == [(2, ["abc"], ["é"])]
+
+
+@pytest.mark.parametrize("seed,salt", [(1, 100_000), (2, 3)])
+def test_substring_joins_of_all_lengths(spark, monkeypatch, seed, salt):
+    """Terms of 1 to 40 letters, hot pieces over salts, odd letters; both ways against plain search."""
+    import random
+
+    monkeypatch.setattr(qa, "SALT_TEXTS", salt)
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("aabAB é漢😀İ.") for _ in range(n))
+    docs = [(k, rng.choice(["common start of all ", ""]) + text(rng.choice([0, 3, 60]))) for k in range(60)] + [(99, None)]
+    terms = [(k, text(rng.choice([1, 2, 3, 5, 6, 9, 40]))) for k in range(60)] + [(k + 60, docs[k][1][3 : 3 + rng.randrange(1, 41)]) for k in range(60)] + [(500, "common start"), (501, None), (502, "")]
+    d, q = spark.createDataFrame(docs, "d int, t string"), spark.createDataFrame(terms, "k int, q string")
+    lower = {x: y for x, y in spark.createDataFrame([(x,) for _, x in docs + terms if x], "x string").distinct().select("x", F.lower("x")).collect()}
+    want = sorted((i, k) for i, t in docs for k, x in terms if t and x and lower[x] in lower[t])
+    assert rows(qa.containing_by_pieces(d, q, "t", "q", "d", "k"), "d", "k") == want
+    assert rows(qa.containing(d, q, "t", "q", "d", "k"), "d", "k") == want
+    plan = qa.containing_by_pieces(d, q, "t", "q", "d", "k")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
