@@ -6,6 +6,7 @@ groupings with partial aggregates, so no key's rows are gathered in one place un
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import reduce
 
@@ -221,25 +222,11 @@ def applied(rows: DataFrame, entries: DataFrame, text: str = "text") -> DataFram
 
 
 def _one_pass(rows: DataFrame, entries: DataFrame, text: str) -> DataFrame:
-    from .qa import finder
-
     sent = entries.toArrow().sort_by("ord")
     terms, forms = sent.column("term").to_pylist(), sent.column("stressed").to_pylist()
 
     def run(batches):
-        find = finder([t.lower() for t in terms])
-        known: dict[int, re.Pattern] = {}
-
-        def one(t):
-            # Only entries that occur are tried; a form that is put in may hold later ones.
-            last = -1
-            while True:
-                now = min((k for k in find(t.lower()) if k > last), default=None)
-                if now is None:
-                    return t
-                p = known.get(now) or known.setdefault(now, re.compile(rf"(?<![^\W_]){re.escape(terms[now])}(?![^\W_])", re.I))
-                t, last = p.sub(lambda _: forms[now], t), now  # noqa: B023
-
+        one = applier(terms, forms)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             new = [one(t) if t else t for t in batch.column(at).to_pylist()]
@@ -248,5 +235,116 @@ def _one_pass(rows: DataFrame, entries: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+_TOKENS = re.compile(r"[^\W_]+|[\W_]", re.S)
+
+
+def applier(terms: list[str], forms: list[str]):
+    """A function that applies entries to a text in their order, each to the text that those before it left.
+
+    Texts and terms are words and single other characters, so a term stands at word boundaries where its tokens follow one
+    another and no word touches its ends. The places of all entries that occur are an agenda by entry; a replacement looks for later entries
+    only around what it has put in, so work grows with the text and its occurrences, not with their product."""
+    trie: dict = {}
+    lengths = []
+    for k, term in enumerate(terms):
+        node, tokens = trie, _TOKENS.findall(term)
+        lengths.append(len(tokens))
+        for x in tokens:
+            node = node.setdefault(x.lower(), {})
+        node.setdefault(None, []).append(k)
+    reach = max(lengths, default=1) - 1
+    put = [_TOKENS.findall(f) for f in forms]
+    is_word = lambda x: x[0] != "_" and x[0].isalnum()
+
+    def apply(text: str) -> str:
+        tokens = _TOKENS.findall(text)
+        keys = [x.lower() for x in tokens]
+        if not any(x in trie for x in keys):
+            return text
+        # A linked list of tokens; 0 is its head, and its end. A label orders tokens: what replaces some goes under the first one's.
+        tokens, keys, labels = ["", *tokens], [None, *keys], [(), *((i,) for i in range(len(tokens)))]
+        n = len(tokens)
+        after, before, gone = [*range(1, n), 0], [n - 1, *range(n - 1)], [False] * n
+        agenda: list[tuple[int, int]] = []
+
+        def look(i: int, least: int) -> None:
+            """Puts the entries after ``least`` that stand at token i onto the agenda."""
+            node, j = trie, i
+            while j and (node := node.get(keys[j])) is not None:
+                for k in node.get(None, ()):
+                    if k > least:
+                        heapq.heappush(agenda, (k, i))
+                j = after[j]
+
+        def end(k: int, i: int) -> int | None:
+            """The token behind entry k at token i, if it stands there."""
+            if gone[i] or (before[i] and not is_word(tokens[i]) and is_word(tokens[before[i]])):
+                return None
+            node, j = trie, i
+            for _ in range(lengths[k]):
+                node = node.get(keys[j]) if j else None
+                if node is None:
+                    return None
+                j = after[j]
+            last = before[j]
+            return j if k in node.get(None, ()) and not (j and not is_word(tokens[last]) and is_word(tokens[j])) else None
+
+        for i in range(1, n):
+            if keys[i] in trie:
+                look(i, -1)
+        while agenda:
+            k, places = agenda[0][0], set()
+            while agenda and agenda[0][0] == k:
+                places.add(heapq.heappop(agenda)[1])
+            # All places of an entry are those in the text before it; of places that overlap the first counts.
+            found = [(i, j) for i in sorted(places, key=labels.__getitem__) if (j := end(k, i)) is not None]
+            regions = []
+            for i, j in found:
+                if gone[i]:
+                    continue
+                front, label, x = before[i], labels[i], i
+                while x != j:
+                    gone[x], x = True, after[x]
+                first = last = len(tokens)
+                for m, token in enumerate(put[k]):
+                    last = first + m
+                    tokens.append(token)
+                    keys.append(token.lower())
+                    labels.append((*label, m))
+                    gone.append(False)
+                    before.append(last - 1 if m else front)
+                    after.append(last + 1)
+                after[front], before[first], after[last], before[j] = first, front, j, last
+                regions.append((first, last))
+            starts = []
+            for first, last in regions:
+                # Where two replacements touch, their words become one.
+                front = before[first]
+                if front and is_word(tokens[front]) and is_word(tokens[first]):
+                    tokens[front] += tokens[first]
+                    keys[front] = tokens[front].lower()
+                    gone[first], after[front], before[after[first]] = True, after[first], front
+                    first, last = front, front if first == last else last
+                starts.append((first, last))
+            for first, last in starts:
+                x = first
+                for _ in range(reach):
+                    if not before[x]:
+                        break
+                    x = before[x]
+                stop = after[last]
+                while x != stop:
+                    if keys[x] in trie:
+                        look(x, k)
+                    x = after[x]
+        out, x = [], after[0]
+        while x:
+            out.append(tokens[x])
+            x = after[x]
+        return "".join(out)
+
+    return apply
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -154,3 +154,40 @@ def test_substring_joins_of_all_lengths(spark, monkeypatch, seed, salt):
     assert rows(qa.containing(d, q, "t", "q", "d", "k"), "d", "k") == want
     plan = qa.containing_by_pieces(d, q, "t", "q", "d", "k")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def _entry_by_entry(text, entries):
+    import re
+
+    for term, form in entries:
+        text = re.sub(rf"(?<![^\W_]){re.escape(term)}(?![^\W_])", lambda _: form, text, flags=re.I)  # noqa: B023
+    return text
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_vocabulary_in_one_pass(seed):
+    """Overlapping terms, terms within forms, repeated terms, odd boundaries: as entry by entry."""
+    import random
+
+    rng = random.Random(seed)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(400):
+        letters = rng.choice(["ab +", "aB-_ ", "ав+ е.", "a +"])
+        entries = [(some(rng.randrange(1, 6), letters), some(rng.randrange(1, 8), letters)) for _ in range(rng.randrange(1, 12))]
+        text = some(rng.randrange(0, 60), letters)
+        assert vocab.applier([e[0] for e in entries], [e[1] for e in entries])(text) == _entry_by_entry(text, entries), (text, entries)
+
+
+def test_vocabulary_is_linear():
+    """Twice as many entries that occur take about twice the time, not four times."""
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        words = [f"w{k}x" for k in range(n)]
+        apply = vocab.applier(words, [w[:1] + "+" + w[1:] for w in words])
+        text = " ".join(words)
+        begun = time.perf_counter()
+        assert apply(text) == " ".join(w[:1] + "+" + w[1:] for w in words)
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 10 * took[0]
