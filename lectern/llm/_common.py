@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,14 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but ``own`` under a name that no operator uses, and a function that gives the columns of a result
+    their names back: so extra columns may have any name."""
+    columns = docs.columns
+    names = [c if c in own else f"__other{k}" for k, c in enumerate(columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*columns)
+
+
 def bounded(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
     """``df`` marked for broadcast if a count proves that its hash table has at most ``most`` bytes, else as it is (shuffle
     join). ``df`` should be a written table of numbers, as it is counted and its rows have one size."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import SENT_BYTES, bounded, written
+from ._common import SENT_BYTES, aside, bounded, written
 
 #: Characters that end a word, as a class for Java's and RE2's regular expressions.
 BLANKS = r"\x20\x09-\x0D"
@@ -126,6 +126,7 @@ def mixed_rows(docs: DataFrame, share: float = 1.0, most: float = 3.0, weights:
     out; of equal rows that the cut falls between, as many as fit start the last pass.
 
     Each source has one cut in the order of keys, so texts stay where they are: only cuts are sent to them."""
+    docs, back = aside(docs, id_col, text_col, source_col)
     rows, _ = _mixed(docs, share, most, weights, id_col, text_col, source_col)
     started = F.expr("least(rows, cast(ceil((rest - start) / size) as bigint))")
     last = F.max(F.when((F.col("size") > 0) & (F.col("start") < F.col("rest")), F.struct("key", "doc_id", started.alias("started"), "rows")))
@@ -146,4 +147,4 @@ def mixed_rows(docs: DataFrame, share: float = 1.0, most: float = 3.0, weights:
         firsts = some.groupBy(F.col("__source").alias("__of")).agg(F.min("__place").alias("__first"))
         some = some.join(firsts, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__n", F.col("__epochs") + (F.col("__place") - F.col("__first") < F.col("__started")).cast("long"))
         out = out.select(*docs.columns, "__n").unionByName(some.select(*docs.columns, "__n"))
-    return out.where("__n > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __n)"))).select(*docs.columns)
+    return back(out.where("__n > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __n)"))))

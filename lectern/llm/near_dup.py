@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded, discard, written
+from ._common import aside, bounded, discard, written
 
 #: Words of a shingle; least similarity in percent.
 WORDS, PERCENT = 5, 75
@@ -451,6 +451,7 @@ def _by_leaders(rows: DataFrame, spare: list[str]) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component one row stays, of its least doc_id. Rows without words
     all stay. Where a doc_id stands in several rows, each row is judged by its own text."""
+    docs, back = aside(docs, id_col, text_col)
     spare: list[str] = []
     doc = F.col(id_col).cast("long")
     found, repeats = _found(docs.select(doc.alias("doc_id"), F.col(text_col).alias("text")), spare)
@@ -462,13 +463,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     several = written(ids.where("rows > 1").select(F.col("doc_id").alias("__id")), "several") if repeats else None
     unnamed = docs.where(doc.isNull())
     if several is None and found.where("doc_id is null").isEmpty():
-        return left
+        return back(left)
     if several is not None:
         unnamed = unnamed.unionByName(docs.join(bounded(several), F.col("__id") == doc, "left_semi"))
     found = found.where("stays").select(F.col("doc_id").alias("__id"), F.col("set1").alias("__s1"), F.col("set2").alias("__s2")).distinct()
     judged = _with_digests(unnamed, text_col).join(found, doc.eqNullSafe(F.col("__id")) & (F.col("__set1") == F.col("__s1")) & (F.col("__set2") == F.col("__s2")), "left_semi")
     one = judged.where("__n > 0").dropDuplicates([id_col, "__set1", "__set2"]).unionByName(judged.where("__n = 0"))
-    return left.unionByName(one.select(*docs.columns))
+    return back(left.unionByName(one.select(*docs.columns)))
 
 
 def _with_digests(docs: DataFrame, text_col: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import bounded, written
+from ._common import aside, bounded, written
 
 #: Bytes on either side of a cut whose hashes are no greater; most bytes of a chunk; least bytes of a passage.
 WINDOW, MOST, PASSAGE = 28, 512, 80
@@ -164,6 +164,7 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE, id_col: str = "doc_
 
 def without_repeats(docs: DataFrame, least: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with each repeated passage left out of all texts but its first document's, in whole characters."""
+    docs, back = aside(docs, id_col, text_col)
     spans = repeated_passages(docs, least, id_col, text_col).where("not is_first")
     # A text has at most as many stretches as chunks.
     spans = spans.groupBy(F.coalesce("doc_id", F.lit(UNNAMED)).alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
@@ -177,7 +178,7 @@ def without_repeats(docs: DataFrame, least: int = PASSAGE, id_col: str = "doc_id
             new = [remove(text, spans) if spans else text for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist())]
             yield batch.select(list(range(len(columns)))).set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return rows.mapInArrow(run, docs.schema)
+    return back(rows.mapInArrow(run, docs.schema))
 
 
 def remove(text: str, spans: list[dict]) -> str:
