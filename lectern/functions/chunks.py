@@ -1,7 +1,12 @@
-"""Packing marked-up sentences into chunks of bounded bytes, as folds over arrays in the JVM."""
+"""Packing marked-up sentences into chunks of bounded bytes, by prefix sums over all documents of a batch at once."""
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +14,6 @@ from pyspark.sql import functions as F
 LIMIT = 900
 OPEN, CLOSE = "<speak>", "</speak>"
 _WRAP = len(OPEN) + len(CLOSE)
-_STATE = "struct<done:array<string>,now:array<string>,size:int>"
 
 
 def marked_sentences(c: Column) -> Column:
@@ -20,48 +24,103 @@ def marked_sentences(c: Column) -> Column:
     return F.concat(plain, F.regexp_extract_all(rest, F.lit(r"(?s)<s .*?</s>"), 0))
 
 
-def _fold(items: Column, size, limit: int, base: int, join: str) -> Column:
-    """Greedy packing: an item that would take the pack over the limit starts the next one."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(base).alias("size")).cast(_STATE)
-    flushed = lambda s: F.concat(s["done"], F.array(F.array_join(s["now"], join)))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["size"] + size(x) > limit) & (F.size(s["now"]) > 0)
-        return F.struct(F.when(full, flushed(s)).otherwise(s["done"]).alias("done"), F.when(full, F.array(x)).otherwise(F.concat(s["now"], F.array(x))).alias("now"), F.when(full, F.lit(base) + size(x)).otherwise(s["size"] + size(x)).cast("int").alias("size")).cast(_STATE)
-
-    return F.aggregate(items, empty, step, lambda s: F.when(F.size(s["now"]) > 0, flushed(s)).otherwise(s["done"]))
-
-
-def word_pieces(sentence: Column, limit: int = LIMIT - _WRAP) -> Column:
-    """A sentence over the limit, cut between words; a longer word stays whole."""
-    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(sentence, r"</s>\z", ""), r"^<s>", ""), r"^\s*<s>", "")
-    words = F.filter(F.split(inner, r"[\s\u0085\p{Z}]+"), lambda w: w != "")
-    packs = _fold(words, lambda w: F.octet_length(w) + 1, limit, len("<s></s>"), " ")
-    return F.transform(packs, lambda p: F.concat(F.lit("<s>"), p, F.lit("</s>")))
+def pack_starts(sizes: np.ndarray, owners: np.ndarray, room: int) -> np.ndarray:
+    """Where packs start when items are packed greedily, each owner's apart: a pack takes items while their sizes fit into the
+    room, and one item at least. Owners are ascending; True for the first item of each pack.
+
+    The item after a pack that starts at an item is found for all items at once, by a binary search among the prefix sums of
+    sizes; the starts are then the path along these successors from each owner's first item, found by doubling."""
+    n = len(sizes)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    last = np.searchsorted(owners, owners, side="right")
+    follow = np.minimum(np.maximum(np.searchsorted(ends, begins + room, side="right"), np.arange(n) + 1), last)
+    starts = np.ones(n + 1, bool)
+    starts[1:n] = owners[1:] != owners[:-1]
+    # After k rounds a step goes over 2^k packs; every start so far takes it, and steps double.
+    step = np.append(follow, n)
+    while True:
+        reached = starts.copy()
+        reached[step[starts]] = True
+        if (reached == starts).all():
+            return starts[:n]
+        starts, step = reached, step[step]
+
+
+def _bytes(items: list[str]) -> np.ndarray:
+    return np.fromiter((len(x.encode()) for x in items), np.int64, len(items))
+
+
+def _packs(lists: list[list[str]], room: int, more: int, join: str) -> list[list[str]]:
+    """Each list's items (of their bytes and ``more`` each) packed and joined."""
+    items = list(chain.from_iterable(lists))
+    out: list[list[str]] = [[] for _ in lists]
+    if not items:
+        return out
+    owners = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    places = np.flatnonzero(pack_starts(_bytes(items) + more, owners, room))
+    for owner, a, b in zip(owners[places].tolist(), places.tolist(), [*places[1:].tolist(), len(items)], strict=True):
+        out[owner].append(join.join(items[a:b]))
+    return out
+
+
+# White space of markup: blanks and line ends of ASCII, the next-line sign, and Unicode's separators.
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_PARTS = re.compile("[^.!?]*[.!?]|[^.!?]+")
+
+
+def _raw(texts: list[str | None], limit: int) -> list[list[str] | None]:
+    long_ = [t is not None and len(t.encode()) > limit for t in texts]
+    packed = _packs([_PARTS.findall(t) if over else [] for t, over in zip(texts, long_, strict=True)], limit, 0, "")
+    return [None if t is None else pack if over else [t] for t, over, pack in zip(texts, long_, packed, strict=True)]
+
+
+def _marked(lists: list[list[str]], limit: int) -> list[list[str]]:
+    """Sentences of each document packed; one that is too long for a chunk is cut between words, which share no chunk with
+    other sentences."""
+    room = limit - _WRAP
+    runs: list[list[str]] = []  # documents, cut at sentences that are too long
+    parts: list[list[tuple[str, int]]] = []
+    words: list[list[str]] = []
+    for sentences in lists:
+        own: list[tuple[str, int]] = []
+        run: list[str] = []
+        for x in [*sentences, None]:
+            if x is not None and len(x.encode()) <= room:
+                run.append(x)
+                continue
+            if run:
+                own.append(("run", len(runs)))
+                runs.append(run)
+                run = []
+            if x is not None:
+                own.append(("words", len(words)))
+                words.append([w for w in _BLANKS.split(re.sub(r"^\s*<s>", "", x.removesuffix("</s>").removeprefix("<s>"), flags=re.A)) if w])
+        parts.append(own)
+    packed = _packs(runs, room, 0, "")
+    cut = _packs(words, room - len("<s></s>"), 1, " ")
+    wrapped = lambda kind, k: packed[k] if kind == "run" else [f"<s>{x}</s>" for x in cut[k]]
+    return [[f"{OPEN}{x}{CLOSE}" for kind, k in own for x in wrapped(kind, k)] for own in parts]
 
 
 def raw_pieces(c: Column, limit: int = LIMIT) -> Column:
     """Unmarked text: whole if short, else cut after . ! ? and packed; not wrapped."""
-    parts = F.regexp_extract_all(c, F.lit("(?s)[^.!?]*[.!?]|[^.!?]+"), 0)
-    return F.when(F.octet_length(c) <= limit, F.array(c)).otherwise(_fold(parts, F.octet_length, limit, 0, ""))
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array(_raw(texts.to_pylist(), limit), pa.list_(pa.string()))
+
+    return cut(c)
 
 
 def chunked(c: Column, limit: int = LIMIT) -> Column:
     """A marked-up document as wrapped chunks of at most ``limit`` bytes; only a single longer word goes beyond."""
-    found = marked_sentences(c)
-    state = "struct<done:array<string>,now:string,size:int>"
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(_WRAP).alias("size")).cast(state)
-    wrapped = lambda t: F.concat(F.lit(OPEN), t, F.lit(CLOSE))
-    flushed = lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(wrapped(s["now"])))).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.octet_length(x)
-        over = n > limit - _WRAP
-        full = (s["size"] + n > limit) & (s["now"] != "")
-        alone = F.concat(flushed(s), F.transform(word_pieces(x, limit - _WRAP), wrapped))
-        done = F.when(over, alone).when(full, flushed(s)).otherwise(s["done"])
-        now = F.when(over, "").when(full, x).otherwise(F.concat(s["now"], x))
-        size = F.when(over, F.lit(_WRAP)).when(full, F.lit(_WRAP) + n).otherwise(s["size"] + n).cast("int")
-        return F.struct(done.alias("done"), now.alias("now"), size.alias("size")).cast(state)
-
-    return F.when(F.size(found) == 0, raw_pieces(c, limit)).otherwise(F.aggregate(found, empty, step, flushed))
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        plain, lists = texts.to_pylist(), found.to_pylist()
+        raw = _raw([t if not own else "" for t, own in zip(plain, lists, strict=True)], limit)
+        marked = _marked([own or [] for own in lists], limit)
+        return pa.array([b if own else a for a, b, own in zip(raw, marked, lists, strict=True)], pa.list_(pa.string()))
+
+    return cut(c, marked_sentences(c))

@@ -76,6 +76,11 @@ def chunk_rows(s, d):
     return rows
 
 
+def chunk_texts(s, d):
+    """Every chunk: its place, bytes and text."""
+    return chunk_rows(s, d).select("doc_id", "chunk", F.octet_length("text").cast("long").alias("bytes"), F.md5("text").alias("text"))
+
+
 def chunk_totals(s, d):
     """Chunks lose no sentence: but for blanks, they hold what the document's sentences hold."""
     bare = F.length(F.regexp_replace(text.without_tags(F.col("text")), r"\s+", ""))
@@ -107,6 +112,7 @@ QUERIES = {
     "t12_stress_sentences": lambda s, d: docs(s, d).select("doc_id", text.stress_sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("parts")),
     "t13_ssml": lambda s, d: marked(s, d).select("doc_id", F.md5(ssml.generated(F.col("text"))).alias("ssml")),
     "t14_chunks": chunk_totals,
+    "t14_chunk_texts": chunk_texts,
     "t15_raw_chunks": lambda s, d: docs(s, d).select("doc_id", F.posexplode(chunks.raw_pieces(F.col("text"))).alias("k", "piece")).groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "|")).alias("whole")),
     "t16_sanitized_stress": lambda s, d: marked(s, d).select("doc_id", F.md5(text.sanitized_stress(F.col("text"))).alias("text")),
     "t17_escaped": _digest("escaped", lambda c: ssml.escaped(F.concat(F.lit("<&>"), c))),
@@ -117,7 +123,7 @@ QUERIES = {
     "t22_vocabulary": lambda s, d: docs(s, d).select("doc_id", F.md5(text.vocabulary_applied(F.col("text"), [("und", "+und"), ("que", "qu+e"), ("", "x"), ("de", "de")])).alias("text")),
     "t28_file_names": lambda s, d: V.chapters(s, d).select("id", text.numbered("chapter_%03d.json", F.col("id")).alias("name")),
     "t30_tone_seconds": lambda s, d: docs(s, d).select("doc_id", F.round(audio.tone_seconds(F.col("text")), 6).alias("seconds")),
-    "t32_marked_sentences": lambda s, d: marked(s, d).select("doc_id", chunks.marked_sentences(ssml.generated(F.col("text"))).alias("p")).select("doc_id", F.size("p").cast("long").alias("n")),
+    "t32_marked_sentences": lambda s, d: marked(s, d).select("doc_id", chunks.marked_sentences(ssml.generated(F.col("text"))).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("sentences")),
     "t33_choices": lambda s, d: V.read(s, d, "orders").select("o_orderkey", text.choice(F.concat(F.col("o_orderkey").cast("string"), F.lit(" x")), F.lit(500)).alias("choice")),
     "j13_chapter_of": lambda s, d: V.chapters(s, d).select("id", text.chapter_of(F.concat(F.when(F.col("id") % 3 == 0, "other").otherwise("analyze"), F.lit("-chapter-"), F.col("id").cast("string"), F.lit("x")), "analyze").alias("chapter")),
     "g6_snippets": lambda s, d: docs(s, d).select("doc_id", text.byte_prefix(F.col("text"), segment.SNIPPET).alias("snippet")),
@@ -170,6 +176,16 @@ ORACLE_SQL = {
     "t12_stress_sentences": _PARTS + _LIST.format(f"list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> '')", "documents"),
     "t13_ssml": f"SELECT doc_id, md5({generated_sql('t')}) AS ssml FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM {MARKED})",
     "t14_chunks": f"SELECT doc_id, sum(length(regexp_replace(regexp_replace(s, '<[^>]*>', '', 'g'), '\\s+', '', 'g')))::BIGINT AS length, true AS within FROM (SELECT doc_id, unnest(regexp_extract_all(x, '(?s)<s>.*?</s>')) AS s FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM documents))) GROUP BY doc_id",
+    # Sentences, or words of sentences that are too long, are packed one by one; each knows whether it joins the chunk before it.
+    "t14_chunk_texts": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, x, regexp_extract_all(x, '(?s)<s>.*?</s>') AS l FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM documents))),
+  s AS (SELECT doc_id, unnest(range(len(l))) AS g, unnest(l) AS y FROM d),
+  w AS (SELECT doc_id, g, y, CASE WHEN {_bytes('y')} <= {chunks.LIMIT - 15} THEN [y] ELSE list_filter(regexp_split_to_array(y[4:-5], '[\\s\\x0b\\x{{85}}\\pZ]+'), lambda z: z <> '') END AS u, {_bytes('y')} > {chunks.LIMIT - 15} AS over FROM s),
+  e AS (SELECT doc_id, g, over, unnest(range(len(u))) AS j, unnest(u) AS z FROM w),
+  p AS MATERIALIZED (SELECT doc_id, g, over, z, row_number() OVER (PARTITION BY doc_id ORDER BY g, j) AS k, {_bytes('z')} + over::INT AS n FROM e),
+  f AS (SELECT doc_id, k, g, over, 0 AS chunk, n AS size FROM p WHERE k = 1 UNION ALL
+    SELECT p.doc_id, p.k, p.g, p.over, f.chunk + (NOT joins)::INT, CASE WHEN joins THEN f.size ELSE 0 END + p.n FROM (SELECT f.*, p.n, p.g AS g2, p.over AS over2, CASE WHEN p.over THEN f.over AND f.g = p.g AND f.size + p.n <= {chunks.LIMIT - 22} ELSE NOT f.over AND f.size + p.n <= {chunks.LIMIT - 15} END AS joins FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1) f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+  c AS (SELECT f.doc_id, chunk, '<speak>' || CASE WHEN any_value(f.over) THEN '<s>' || string_agg(z, ' ' ORDER BY f.k) || '</s>' ELSE string_agg(z, '' ORDER BY f.k) END || '</speak>' AS text FROM f JOIN p USING (doc_id, k) GROUP BY f.doc_id, chunk)
+  SELECT doc_id, chunk::INT AS chunk, {_bytes('text')} AS bytes, md5(text) AS text FROM (SELECT doc_id, chunk, text FROM c UNION ALL SELECT doc_id, 0, x FROM d WHERE len(l) = 0)""",
     # Parts are packed one by one: the recursion carries the size of the open piece and counts the closed ones.
     "t15_raw_chunks": f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS part FROM (SELECT doc_id, CASE WHEN {_bytes('text')} <= {chunks.LIMIT} THEN [text] ELSE regexp_extract_all(text, '(?s)[^.!?]*[.!?]|[^.!?]+') END AS l FROM documents)),
   s AS MATERIALIZED (SELECT doc_id, k, {_bytes('part')} AS n FROM p),
@@ -185,7 +201,7 @@ ORACLE_SQL = {
     "t22_vocabulary": f"SELECT doc_id, md5({_REPLACED.format(_REPLACED.format('text', 'und', '+und'), 'que', 'qu+e')}) AS text FROM documents",
     "t28_file_names": f"SELECT id, printf('chapter_%03d.json', id) AS name FROM {CHAPTER}",
     "t30_tone_seconds": f"SELECT doc_id, round(least(0.5 + {_bytes('text')} / 2000.0, 3.0), 6)::DOUBLE AS seconds FROM documents",
-    "t32_marked_sentences": f"SELECT doc_id, len(regexp_extract_all(x, '(?s)<s>.*?</s>'))::BIGINT AS n FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM {MARKED}))",
+    "t32_marked_sentences": f"SELECT doc_id, len(regexp_extract_all(x, '(?s)<s>.*?</s>'))::BIGINT AS n, md5(coalesce(array_to_string(regexp_extract_all(x, '(?s)<s>.*?</s>'), '|'), '')) AS sentences FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM {MARKED}))",
     "t33_choices": "SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 1 AND 500 THEN o_orderkey::INT END AS choice FROM orders",
     "j13_chapter_of": f"SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE id END::INT AS chapter FROM {CHAPTER}",
     # A prefix of at most 200 bytes in whole characters: as many as leave no more bytes behind than the text has over 200.

@@ -149,3 +149,40 @@ def test_audio(spark):
     assert {r["k"]: np.frombuffer(bytes(r["a"])[44:], "<i2").tolist() for r in out} == {k: [c for c in range(3) for _ in range(k + 1)] for k in range(3)}
     tone = spark.range(1).select(audio.tone(F.lit("x" * 1000)).alias("a"), audio.tone_seconds(F.lit("x" * 10_000)).alias("s")).first()
     assert len(tone["a"]) == 44 + 2 * audio.RATE and tone["s"] == 3.0
+
+
+def _greedy(sizes, owners, room):
+    out, size = [], 0
+    for k, (n, o) in enumerate(zip(sizes, owners, strict=True)):
+        new = not k or o != owners[k - 1] or size + n > room
+        out.append(new)
+        size = n if new else size + n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packs_by_successors(seed):
+    """The path along successors is what packing item by item gives, for many owners at once, with items beyond the room."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(seed)
+    for _ in range(200):
+        n, room = rng.randrange(1, 80), rng.choice([1, 5, 20, 1000])
+        owners = sorted(rng.randrange(rng.choice([1, 6])) for _ in range(n))
+        sizes = [rng.choice([0, 1, 3, 7, 30]) for _ in range(n)]
+        assert chunks.pack_starts(np.array(sizes), np.array(owners), room).tolist() == _greedy(sizes, owners, room)
+
+
+def test_chunk_edges(on):
+    """Sentences that just fit and just do not, sentences that are too long between others, nulls and texts without marks."""
+    s = lambda n: "<s>" + "x" * (n - 7) + "</s>"
+    doc = lambda *parts: "<speak>" + "".join(parts) + "</speak>"
+    assert on(chunks.chunked, doc(s(400), s(485), s(8))) == [doc(s(400), s(485)), doc(s(8))]
+    assert on(chunks.chunked, doc(s(400), s(486), s(8))) == [doc(s(400)), doc(s(486), s(8))]
+    words = " ".join(["word"] * 300)
+    cut = on(chunks.chunked, doc(s(20), f"<s>{words}</s>", s(30), s(40)))
+    assert cut[0] == doc(s(20)) and cut[-1] == doc(s(30), s(40)) and all(len(x) <= 900 for x in cut)
+    assert " ".join(x[10:-12] for x in cut[1:-1]) == words and len(cut[1]) == 15 + 7 + 5 * 175 - 1
+    assert on(chunks.chunked, None, "", "plain. text") == [None, [""], ["plain. text"]]
