@@ -3,9 +3,9 @@
 A credential often has several parts: an identifier, a secret and an endpoint. Parts of a fixed form (assignments,
 access identifiers, long hex runs) are reported on their own. Weak candidates (a user or client identifier, a mixed
 token, an address) are reported only where complementary parts stand nearby: candidates of a text are interval-joined,
-by a sorted sweep, within the same scope (a block between blank lines) where the gap between them, from the end of one to
-the start of the other, is within a window of code points. What candidates cover does not count, so a long token between
-two parts does not keep them apart. A linked group is one part with all that stand near it, and is reported whole.
+by a sorted sweep, within the same scope (a block between blank lines). A caller may also bound the gap between them, from the end
+of one to the start of the other, by a window of code points, of which what candidates cover does not count; by default the
+scope alone decides. A linked group is one part with all that stand near it, and is reported whole.
 
 Defined cases: null text counts as empty; texts of any length are scanned whole; the join takes n log n steps in the
 number of candidates, however many a text has; repeated rows stay; an empty table gives no rows; other columns are
@@ -35,8 +35,8 @@ MIXED = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
 WEAK = ("weak_id", "weak_secret", "endpoint")
 KINDS = (*BASE, *WEAK)
 
-#: Code points, outside of all candidates, between parts that are still joined.
-WINDOW = 256
+#: Code points, outside of all candidates, between parts that are still joined; None: the scope alone decides.
+WINDOW: int | None = None
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 
 

@@ -137,7 +137,9 @@ def test_linking():
     assert kinds(f"user=bob\n{mixed}") == [] and kinds(mixed) == [] and kinds("see https://x.y/z") == []
     assert kinds(f"{key} {mixed}") == ["weak_secret"]
     assert kinds(f"{key}\n\n{mixed}") == [], "another scope"
-    assert kinds(f"{key}{' ' * 300}{mixed}") == [], "too far"
+    far = f"{key}{" " * 300}{mixed}"
+    assert kinds(far) == ["weak_secret"], "one scope"
+    assert secrets.scan(far, 256)[1] == [], "too far for a window"
     assert sorted(kinds(f"user=bob {mixed} https://x.y")) == ["endpoint", "weak_id", "weak_secret"]
     assert kinds("user=bob token=abcdef1") == ["weak_id"]
     assert kinds(f"{key} token=abcdef1 https://x.y") == ["endpoint"]
