@@ -4,6 +4,7 @@ project names (its key is in MODEL_API_KEY)."""
 from __future__ import annotations
 
 import argparse
+import sys
 
 
 def main(argv: list[str] | None = None, provider=None) -> int:
@@ -38,7 +39,11 @@ def main(argv: list[str] | None = None, provider=None) -> int:
         if provider is None:
             project.provider = clients.ModelService(project.config.model.base_url, retries=project.config.model.max_retries)
         more = {"analyze": {}, "translate": {"skip_memory": a.skip_memory}, "pronounce": {"reset": a.reset}}[a.command]
-        print(getattr(project, a.command)(a.chapter, a.span, a.force, a.go_on, every=a.poll_interval, **more))
+        try:
+            print(getattr(project, a.command)(a.chapter, a.span, a.force, a.go_on, every=a.poll_interval, **more))
+        except (LookupError, RuntimeError) as e:
+            print(e, file=sys.stderr)
+            return 1
     elif a.command == "import":
         project.import_book(a.source, a.force)
     elif a.command == "analyze-chapters":

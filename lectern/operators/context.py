@@ -113,12 +113,16 @@ def outcomes(results: DataFrame, prefix: str, schema: str | None = None, error_f
     return rows.withColumn("outcome", F.when(first[0], first[1]).when(second[0], second[1]).when(unreadable, "failed").otherwise("ok"))
 
 
+def place() -> Column:
+    """The place of an entry by its chapter (chapter_id) and its number there (k), for any number of entries."""
+    return F.col("chapter_id").cast("long") * (1 << 32) + F.col("k")
+
+
 def extracted(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(characters, terms, summaries, outcomes) of analysis results; rows carry chapter_id and ord."""
     rows = outcomes(results, "analyze", EXTRACTION, error_first=True)
     good = rows.where("outcome = 'ok'")
-    place = (F.col("chapter_id").cast("long") * 100_000 + F.col("k")).alias("ord")
-    of = lambda name: good.select("chapter_id", F.posexplode(f"value.{name}").alias("k", "x")).select("chapter_id", place, "x.*")
+    of = lambda name: good.select("chapter_id", F.posexplode(f"value.{name}").alias("k", "x")).select("chapter_id", place().alias("ord"), "x.*")
     summaries = good.select("chapter_id", F.coalesce(F.trim("value.summary"), F.lit("")).alias("summary")).where("summary <> ''")
     return of("characters"), of("terms"), summaries, rows.select("custom_id", "chapter_id", "outcome", "error")
 

@@ -130,7 +130,9 @@ def resolved(store: DataFrame, decisions: DataFrame) -> DataFrame:
     kept = j.where(~F.col("hit") | (F.col("d_form") != ""))
     kept = kept.select("ord", "term", F.when(F.col("hit"), F.col("d_form")).otherwise(F.col("stressed")).alias("stressed"), F.when(F.col("hit"), True).otherwise(F.col("approved")).alias("approved"), "chapters")
     new = d.join(first, "key", "left_anti").where("d_form <> ''")
-    added = new.select(F.lit(2**31 - 1).alias("ord"), F.col("d_term").alias("term"), F.col("d_form").alias("stressed"), F.lit(True).alias("approved"), F.array().cast("array<int>").alias("chapters"))
+    # Behind all others, apart from one another where the order has room.
+    behind = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("key"), 3) if dict(store.dtypes)["ord"] == "bigint" else F.lit(2**31 - 1)
+    added = new.select(behind.alias("ord"), F.col("d_term").alias("term"), F.col("d_form").alias("stressed"), F.lit(True).alias("approved"), F.array().cast("array<int>").alias("chapters"))
     return kept.unionByName(added)
 
 
@@ -166,7 +168,7 @@ def overridden(rows: DataFrame, overrides: DataFrame, name: str, value: str, ext
     missing = first_rows(missing, F.col("key"), F.col("ord"))
     columns = {c: F.lit(None).cast(t) for c, t in rows.dtypes} | {name: F.col("source"), value: F.col("target")}
     if "ord" in rows.columns:
-        columns["ord"] = (F.col("ord") + (1 << 30)).cast(dict(rows.dtypes)["ord"])
+        columns["ord"] = F.col("ord") + (1 << 61) if dict(rows.dtypes)["ord"] == "bigint" else (F.col("ord") + (1 << 30)).cast("int")
     if extra:
         columns[extra] = F.when(F.coalesce("type", F.lit("")) != "", F.col("type")).otherwise(F.lit(default))
     for c, t in rows.dtypes:

@@ -16,7 +16,7 @@ from ..operators import context, overview, qa, segment, vocab
 from ..sources import epub
 from ..sources.batches import parse_results
 from ..streaming import batches, clients, speech
-from .project import Config, chapter_filter, copy_files, load_config, replace_table, reset_guard, write_chapters, write_violations
+from .project import Config, chapter_filter, copy_files, load_config, replace_table, reset_guard, within, write_chapters, write_violations
 
 BOOK = "book string, "
 ORDERED = "ord long, "
@@ -71,7 +71,12 @@ class Project:
     def chosen(self, chapter: int = 0, span: str = "") -> DataFrame:
         c = self.chapters()
         ids = chapter_filter(chapter, span, c.count(), self.config.chapters.start_id) if chapter or span else None
-        return c if ids is None else c.where(F.col("id").isin(*ids))
+        return c if ids is None else c.where(within(F.col("id"), ids))
+
+    def needed(self, rows: DataFrame, what: str, stage: str) -> None:
+        """Fails with guidance where a stage has nothing to work on."""
+        if rows.isEmpty():
+            raise LookupError(f"no {what} found: run {stage} first")
 
     # -- stages
 
@@ -105,20 +110,29 @@ class Project:
         return self.spark.createDataFrame([(k, o.get("source", ""), o.get("target", ""), o.get("type", "") or "") for k, o in enumerate(rows)], "ord long, source string, target string, type string")
 
     def _batch(self, kind: str, requests: DataFrame, model: str, process: Callable[[DataFrame], None], every: int, go_on: bool) -> str:
-        """Submits, or goes on with what is pending, waits and processes; returns how it ended."""
+        """Submits, or goes on with what is pending, waits and processes; a batch that ends otherwise than completed is an error. The
+        next run takes its state away and starts anew, unless it is told to go on with it."""
         if self.provider is None:
             raise LookupError("no provider")
-        if not (go_on or self.store.load(kind)):
+        state = self.store.load(kind)
+        if state and state["status"] in batches.TERMINAL and not go_on:
+            self.store.delete(kind)
+            state = None
+        if go_on and state is None:
+            raise LookupError(f"no pending batch of {kind}: run it without --continue")
+        if state is None:
             # A number for each request; services bound the requests of a batch.
             ids = sorted(r["id"] for r in requests.select(chapter_of(F.col("custom_id"), kind).alias("id")).collect())
             if not ids:
                 return "nothing to do"
             batches.submit(self.store, self.provider, kind, requests, ids, model)
-        state = batches.poll(self.store, self.provider, kind, every)
-        return batches.finish(self.store, self.provider, kind, process)["status"] if state["status"] == "completed" else state["status"]
+        batches.poll(self.store, self.provider, kind, every)
+        return batches.finish(self.store, self.provider, kind, process)["status"]
 
     def analyze(self, chapter: int = 0, span: str = "", force: bool = False, go_on: bool = False, every: int = batches.POLL) -> str:
-        """Vocabulary and summaries of chapters. Merging over chapters is a grouping here rather than a second request."""
+        """Vocabulary and summaries of chapters. Merging over chapters is a grouping here rather than a second request. Forced, it
+        starts from an empty vocabulary."""
+        self.needed(self.chapters(), "chapters", "analyze-chapters")
         done = self.summaries().select("chapter_id")
         todo = batches.pending(self.chosen(chapter, span), done, force)
         overrides = self._overrides("characters").withColumn("kind", F.lit("character")).unionByName(self._overrides("terms").withColumn("kind", F.lit("term")))
@@ -132,12 +146,13 @@ class Project:
             if counts["processed"] == 0:
                 raise RuntimeError("no result could be used")
             blank = lambda df: df.withColumn("chapters", F.array().cast("array<int>"))
-            t = vocab.merged_terms(self.glossary(), blank(terms).withColumn("first_seen_chapter", F.col("chapter_id"))).select("ord", "source", "target", "type", "first_seen_chapter", "chapters")
-            c = vocab.merged_characters(self.characters(), blank(chars)).select("ord", "name", "translation", "role", "description", "chapters")
+            had_terms, had_characters = (df.where("false") if force else df for df in (self.glossary(), self.characters()))
+            t = vocab.merged_terms(had_terms, blank(terms).withColumn("first_seen_chapter", F.col("chapter_id"))).select("ord", "source", "target", "type", "first_seen_chapter", "chapters")
+            c = vocab.merged_characters(had_characters, blank(chars)).select("ord", "name", "translation", "role", "description", "chapters")
             t = vocab.overridden(t, self._overrides("terms"), "source", "target", "type", "term")
             c = vocab.overridden(c, self._overrides("characters"), "name", "translation")
-            t = vocab.tagged(t, vocab.chapters_of(terms, self.glossary(), "source"), "source")
-            c = vocab.tagged(c, vocab.chapters_of(chars, self.characters(), "name"), "name")
+            t = vocab.tagged(t, vocab.chapters_of(terms, had_terms, "source"), "source")
+            c = vocab.tagged(c, vocab.chapters_of(chars, had_characters, "name"), "name")
             self.save(t.orderBy(F.lower("source"), "ord"), "ai", "glossary")
             self.save(c.orderBy(F.lower("name"), "ord"), "ai", "characters")
             kept = self.summaries().join(summaries.select("chapter_id"), "chapter_id", "left_anti")
@@ -146,6 +161,7 @@ class Project:
         return self._batch("analyze", requests, self.config.model.helper_model, process, every, go_on)
 
     def translate(self, chapter: int = 0, span: str = "", force: bool = False, go_on: bool = False, skip_memory: bool = False, every: int = batches.POLL) -> str:
+        self.needed(self.chapters(), "chapters", "analyze-chapters")
         done = self.translations().select("chapter_id")
         todo = batches.pending(self.chosen(chapter, span), done, force)
         terms = vocab.with_characters(self.glossary(), self.characters())
@@ -165,6 +181,8 @@ class Project:
         return self._batch("translate", requests, self.config.model.translation_model, process, every, go_on)
 
     def verify_glossary(self) -> DataFrame:
+        self.needed(self.glossary(), "glossary", "analyze")
+        self.needed(self.translations(), "translations", "translate")
         terms = vocab.with_characters(self.glossary(), self.characters())
         found = qa.glossary_violations(self.translations(), terms)
         write_violations(found, self.path("ai", "violations"))
@@ -178,13 +196,13 @@ class Project:
         def run() -> str:
             todo = batches.pending_stress(self.chosen(chapter, span), self.translations(), processed(), force)
             rows = todo.select("id").join(self.translations().withColumnRenamed("chapter_id", "id"), "id")
-            requests = context.requests(rows, "stress", "", context.stress_prompt(F.col("text"), F.lit("")), self.config.model.helper_model, json_mode=True)
-            return self._batch("stress", requests, self.config.model.helper_model, process, every, go_on)
+            requests = context.requests(rows, "pronounce", "", context.stress_prompt(F.col("text"), F.lit("")), self.config.model.helper_model, json_mode=True)
+            return self._batch("pronounce", requests, self.config.model.helper_model, process, every, go_on)
 
         def process(lines: DataFrame) -> None:
             entry = "entries array<struct<term:string, stressed:string>>"
-            good = context.outcomes(parse_results(lines), "stress", entry).where("outcome = 'ok'")
-            found = good.select("chapter_id", F.posexplode("value.entries").alias("k", "e")).select("chapter_id", (F.col("chapter_id").cast("long") * 100_000 + F.col("k")).alias("ord"), "e.term", "e.stressed")
+            good = context.outcomes(parse_results(lines), "pronounce", entry).where("outcome = 'ok'")
+            found = good.select("chapter_id", F.posexplode("value.entries").alias("k", "e")).select("chapter_id", context.place().alias("ord"), "e.term", "e.stressed")
             fixed = self.spark.createDataFrame([(k, p.get("term", ""), p.get("phonemes", ""), "") for k, p in enumerate(self.config.pronunciation)], "ord long, source string, target string, type string")
             clean = vocab.overridden(vocab.sanitized(found), fixed, "term", "stressed")
             as_entry = lambda df, merge: df.select(merge.alias("merge"), F.col("ord").cast("long").alias("ord"), "term", "stressed", F.lit(False).alias("approved"), F.array().cast("array<int>").alias("chapters"))
@@ -192,14 +210,14 @@ class Project:
             store, conflicts = vocab.merged_stress(stored.unionByName(as_entry(clean, F.coalesce(F.col("chapter_id"), F.lit(2**30)).cast("int"))))
             store = vocab.with_chapter_tags(store.drop("merge"), clean.where("chapter_id is not null").select("chapter_id", "term", "ord"))
             if decisions is not None:
-                store = vocab.resolved(store.withColumn("ord", F.col("ord").cast("int")), decisions)
-            self.save(vocab.stored_order(store.select(F.col("ord").cast("int").alias("ord"), "term", "stressed", "approved", "chapters")), "ai", "stress")
+                store = vocab.resolved(store, decisions)
+            self.save(vocab.stored_order(store.select("ord", "term", "stressed", "approved", "chapters")), "ai", "stress")
             self.save(vocab.deduplicated_conflicts(conflicts).select("term", "variants"), "ai", "stress_conflicts")
             self.save(processed().select("id").union(good.select(F.col("chapter_id").cast("int"))).distinct(), "ai", "stress_processed")
 
         if not reset:
             return run()
-        with reset_guard(self.path("ai", "stress")), reset_guard(self.path("ai", "stress_processed")):
+        with reset_guard(self.spark, self.path("ai", "stress")), reset_guard(self.spark, self.path("ai", "stress_processed")):
             return run()
 
     def ssml(self, chapter: int = 0, span: str = "", force: bool = False, on_problem: str = "fail", model: Callable[[str], str] | None = None) -> int:

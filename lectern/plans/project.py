@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import re
-import shutil
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import Store, beside, kept, settled
+
 
 @dataclass
 class Languages:
@@ -145,16 +147,17 @@ class Layout:
         return self.dirs["audio"] / f"chapter_{n:03d}{self.ext}"
 
 
-def chapter_filter(chapter: int, span: str, count: int, start_id: int = 0) -> set[int] | None:
-    """Numbers chosen by one chapter, a span M-N, or both; None for all. What follows a number is passed over."""
+def chapter_filter(chapter: int, span: str, count: int, start_id: int = 0) -> list[tuple[int, int]] | None:
+    """Numbers chosen by one chapter, a span M-N, or both, as ranges (both ends included); None for all. What follows a number is
+    passed over."""
     if not chapter and not span:
         return None
     low, high = start_id + 1, start_id + count
-    chosen = set()
+    chosen = []
     if chapter:
         if not low <= chapter <= high:
             raise ValueError(f"chapter {chapter} out of range ({low}-{high})")
-        chosen.add(chapter)
+        chosen.append((chapter, chapter))
     if span:
         ends = span.split("-", 1)
         found = [re.match(r"\s*([+-]?\d+)", e) for e in ends]
@@ -163,10 +166,14 @@ def chapter_filter(chapter: int, span: str, count: int, start_id: int = 0) -> se
         a, b = (int(m[1]) for m in found)
         if a < low or b > high or a > b:
             raise ValueError(f"range {a}-{b} out of range ({low}-{high})")
-        chosen |= set(range(a, b + 1))
+        chosen.append((a, b))
     return chosen
 
 
+def within(c: Column, ranges: list[tuple[int, int]]) -> Column:
+    return reduce(lambda a, b: a | b, (c.between(low, high) for low, high in ranges), F.lit(False))
+
+
 def save_json(path: Path, value) -> None:
     """Two spaces of indent and a line end, replaced as a whole."""
     save_bytes(path, (json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode())
@@ -190,32 +197,48 @@ def copy_files(spark, source: str, folder: str) -> None:
         jvm.FileUtil.copy(fs, status.getPath(), target, jvm.Path(into, status.getPath().getName()), False, True, conf)
 
 
-def replace_table(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Replaces a table, also one that ``df`` reads: written beside it first, then moved into place."""
-    spark, folder, name = df.sparkSession, *path.rsplit("/", 1)
-    beside = f"{folder}/.{name}.next"
-    df.write.mode("overwrite").format(fmt).save(beside)
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(path), True)
-    fs.rename(jvm.Path(beside), jvm.Path(path))
-    spark.catalog.refreshByPath(path)
+def replace_table(df: DataFrame, path: str, fmt: str = "json", by: tuple[str, ...] = ()) -> None:
+    """Replaces a table, also one that ``df`` reads: written beside it, then the old one is put aside and the new one moved into
+    its place. Whatever fails in between, ``settled`` finds one of them whole."""
+    settled(df.sparkSession, path)
+    new, aside = beside(path, "next"), beside(path, "previous")
+    df.write.mode("overwrite").partitionBy(*by).format(fmt).save(new)
+    store = Store(df.sparkSession, path)
+    store.delete(aside)
+    if store.exists(path):
+        store.rename(path, aside)
+    store.rename(new, path)
+    store.delete(aside)
+    df.sparkSession.catalog.refreshByPath(path)
+
 
+#: Numbers of chapters that share a bucket of their table.
+BUCKET = 1000
 
-def write_chapters(chapters: DataFrame, table: str, chosen: set[int] | None = None, force: bool = False) -> None:
-    """Chapters into a table. What exists is kept unless forced; forced and unfiltered, the table is replaced, so stale chapters
-    go."""
+
+def write_chapters(chapters: DataFrame, table: str, chosen: list[tuple[int, int]] | None = None, force: bool = False) -> None:
+    """Chapters into a table in buckets of their numbers. What exists is kept unless forced; forced and unfiltered, the table is
+    replaced, so stale chapters go; forced for some ranges, only buckets of these are read and written again."""
     from ..schemas import absent_as_empty
 
-    rows = chapters if chosen is None else chapters.where(F.col("id").isin(*chosen))
+    spark = chapters.sparkSession
+    bucket = F.floor(F.col("id") / BUCKET).cast("int").alias("bucket")
+    rows = chapters if chosen is None else chapters.where(within(F.col("id"), chosen))
     if force and chosen is None:
-        replace_table(rows, table)
+        replace_table(rows.select("*", bucket), table, by=("bucket",))
         return
-    have = absent_as_empty(chapters.sparkSession, table, chapters.schema)
-    if force:
-        replace_table(have.join(rows.select("id"), "id", "left_anti").select(*chapters.columns).unionByName(rows), table)
-    else:
-        rows.join(have.select("id").distinct(), "id", "left_anti").select(*chapters.columns).write.mode("append").json(table)
+    settled(spark, table)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chapters.schema) + ", bucket int"
+    have = absent_as_empty(spark, table, kinds)
+    if not force:
+        rows.join(have.select("id").distinct(), "id", "left_anti").select(*chapters.columns, bucket).write.mode("append").partitionBy("bucket").json(table)
+        return
+    touched = have.where(within(F.col("bucket"), [(low // BUCKET, high // BUCKET) for low, high in chosen]))
+    left = touched.join(rows.select("id"), "id", "left_anti").select(*chapters.columns, "bucket")
+    # Written apart first, as it reads what it replaces.
+    new = kept(left.unionByName(rows.select(*chapters.columns, bucket)))
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(table)
+    spark.catalog.refreshByPath(table)
 
 
 def write_violations(rows: DataFrame, table: str) -> None:
@@ -224,20 +247,21 @@ def write_violations(rows: DataFrame, table: str) -> None:
 
 
 @contextmanager
-def reset_guard(path: str):
-    """The store at ``path`` is put aside and comes back if what follows fails. A copy from a broken run is kept as it is."""
-    store, backup = Path(path), Path(path + ".backup")
-    if store.exists() and not backup.exists():
-        shutil.move(store, backup)
-    elif store.exists():
-        shutil.rmtree(store) if store.is_dir() else store.unlink()
+def reset_guard(spark: SparkSession, path: str):
+    """The store at ``path``, in any file system, is put aside and comes back if what follows fails. A copy from a broken run is
+    kept as it is."""
+    store, backup = Store(spark, path), path + ".backup"
+    settled(spark, path)
+    if store.exists(path) and not store.exists(backup):
+        store.rename(path, backup)
+    else:
+        store.delete(path)
     try:
         yield
     except BaseException:
-        if backup.exists():
-            if store.exists():
-                shutil.rmtree(store) if store.is_dir() else store.unlink()
-            shutil.move(backup, store)
+        if store.exists(backup):
+            store.delete(path)
+            store.delete(beside(path, "previous"))
+            store.rename(backup, path)
         raise
-    if backup.exists():
-        shutil.rmtree(backup) if backup.is_dir() else backup.unlink()
+    store.delete(backup)

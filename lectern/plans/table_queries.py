@@ -10,7 +10,7 @@ from ..sources import batches as batch_files
 from ..sources.html import exploded, with_blocks
 from ..streaming import batches
 from . import views as V
-from .project import chapter_filter
+from .project import chapter_filter, within
 from .text_queries import TRIM, Sql
 
 joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
@@ -267,7 +267,7 @@ QUERIES = {
     "j9_all_lengths_automaton": automaton_of_all_lengths,
     "j10_warning_chapters": warning_chapters,
     "j11_chapter_terms": lambda s, d: context.terms_of_chapters(glossary(s, d), chapter_ids(s, d)).select("chapter_id", "source"),
-    "p4_chapter_filter": lambda s, d: chapter_ids(s, d).where(F.col("id").isin(*chapter_filter(5, "10-20", 1000))),
+    "p4_chapter_filter": lambda s, d: chapter_ids(s, d).where(within(F.col("id"), chapter_filter(5, "10-20", 1000))),
     "p5_pending": lambda s, d: batches.pending(chapter_ids(s, d), translations(s, d)),
     "p6_pending_stress": lambda s, d: batches.pending_stress(chapter_ids(s, d), translations(s, d), chapter_ids(s, d).where("id % 5 = 0")),
     "p7_processed": lambda s, d: vocab.processed(chapter_ids(s, d), V.stress_forms(s, d), [500, 501]),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import Store, settled
+
 METADATA = "title string, creators array<string>, language string, identifier string, description string, publisher string, subjects array<string>, date string"
 MANIFEST = "id string, href string, media_type string, properties array<string>"
 SPINE = "spine_index int, id string, href string, media_type string, linear boolean"
@@ -31,7 +33,8 @@ BODY = "output array<struct<type:string, content:array<struct<type:string, text:
 
 def absent_as_empty(spark: SparkSession, path: str, schema: str, fmt: str = "json", **options) -> DataFrame:
     """A stored table; where there is none, an empty one."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).options(**options).format(fmt).load(path)
+    none = spark.createDataFrame([], schema)
+    if not Store(spark, settled(spark, path)).exists(path):
+        return none
+    # Without the columns of folders that the schema does not name.
+    return spark.read.schema(none.schema).options(**options).format(fmt).load(path).select(*none.columns)

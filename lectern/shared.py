@@ -25,3 +25,35 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(path: str, kind: str) -> str:
+    folder, name = path.rsplit("/", 1)
+    return f"{folder}/.{name}.{kind}"
+
+
+class Store:
+    """Files of the store of a path, whichever it is."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.of = self.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.of.exists(self.fs.Path(path))
+
+    def delete(self, path: str) -> None:
+        self.of.delete(self.fs.Path(path), True)
+
+    def rename(self, old: str, new: str) -> None:
+        if not self.of.rename(self.fs.Path(old), self.fs.Path(new)):
+            raise OSError(f"{old} could not be moved to {new}")
+
+
+def settled(spark: SparkSession, path: str) -> str:
+    """The path of a table, after a replacement that broke off has been taken back: where the table is gone, the one that was put
+    aside returns."""
+    store, aside = Store(spark, path), beside(path, "previous")
+    if not store.exists(path) and store.exists(aside):
+        store.rename(aside, path)
+    return path

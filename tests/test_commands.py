@@ -15,7 +15,7 @@ TEXT = "Глава\n\nГлава\n\nmир и мир. Линь!".replace("m", "м
 
 def answer(lines):
     id_ = F.get_json_object("value", "$.custom_id")
-    text = F.when(id_.startswith("analyze"), ANALYSIS).when(id_.startswith("stress"), STRESS).otherwise(TEXT)
+    text = F.when(id_.startswith("analyze"), ANALYSIS).when(id_.startswith("pronounce"), STRESS).otherwise(TEXT)
     body = F.struct(F.array(F.struct(F.lit("message").alias("type"), F.array(F.struct(F.lit("output_text").alias("type"), text.alias("text"))).alias("content"))).alias("output"))
     return lines.select(F.to_json(F.struct(id_.alias("custom_id"), F.struct(F.lit(200).alias("status_code"), body.alias("body")).alias("response"))).alias("value"))
 
@@ -64,3 +64,41 @@ def test_command_line(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert out.count("completed") == 3
     assert "701" in out and "raw" in out
+
+
+def test_failed_batches_do_not_block(spark, tmp_path, capsys):
+    """A batch that fails is an error once; the next run starts anew. A pending one is resumed; --continue needs one."""
+    import pytest
+
+    book = tmp_path / "b.epub"
+    book.write_bytes(archive())
+    root = str(tmp_path / "p")
+    provider = FakeProvider(answer, ends="failed")
+    p = Project(spark, root, provider)
+    with pytest.raises(LookupError, match="analyze-chapters first"):
+        p.analyze()
+    p.import_book(str(book))
+    p.analyze_chapters()
+    with pytest.raises(LookupError, match="without --continue"):
+        p.analyze(go_on=True)
+    with pytest.raises(RuntimeError, match="batch failed"):
+        p.analyze()
+    assert main(["analyze", root, "--continue"], provider) == 1 and "batch failed" in capsys.readouterr().err
+    assert len(provider.jobs) == 1
+    provider.ends = "completed"
+    assert p.analyze() == "completed" and len(provider.jobs) == 2
+    with pytest.raises(LookupError, match="translate first"):
+        p.verify_glossary()
+
+
+def test_force_starts_from_an_empty_vocabulary(spark, tmp_path):
+    book = tmp_path / "b.epub"
+    book.write_bytes(archive())
+    p = Project(spark, str(tmp_path / "p"), FakeProvider(answer))
+    p.import_book(str(book))
+    p.analyze_chapters()
+    p.save(spark.createDataFrame([(0, "Old", "Старый", "term", 1, [1])], "ord long, source string, target string, type string, first_seen_chapter int, chapters array<int>"), "ai", "glossary")
+    assert p.analyze() == "completed"
+    assert {r["source"] for r in p.glossary().collect()} == {"Old", "world"}
+    assert p.analyze(force=True) == "completed"
+    assert {r["source"] for r in p.glossary().collect()} == {"world"}

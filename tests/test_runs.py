@@ -16,7 +16,7 @@ def rows(df, *columns):
 
 def test_filter():
     assert project.chapter_filter(0, "", 5) is None
-    assert project.chapter_filter(3, "", 5) == {3} and project.chapter_filter(1, "2-3x", 5) == {1, 2, 3} and project.chapter_filter(701, "", 2, 700) == {701}
+    assert project.chapter_filter(3, "", 5) == [(3, 3)] and project.chapter_filter(1, "2-3x", 5) == [(1, 1), (2, 3)] and project.chapter_filter(701, "", 2, 700) == [(701, 701)]
     for chapter, span in ((6, ""), (0, "3-2"), (0, "0-2"), (0, "1-6"), (0, "a-b"), (0, "3"), (-1, "")):
         with pytest.raises(ValueError):
             project.chapter_filter(chapter, span, 5)
@@ -45,25 +45,74 @@ def test_layout_and_sinks(spark, tmp_path):
     assert dict(rows(overview.stage_counts(spark, str(tmp_path)), "stage", "files")) == {"chapters": 1, "tts": 1}
     table = str(tmp_path / "table")
     make = lambda t, n=3: spark.createDataFrame([(i, t) for i in range(1, n + 1)], "id int, title string")
-    project.write_chapters(make("a"), table, {1, 2})
+    project.write_chapters(make("a"), table, [(1, 2)])
     project.write_chapters(make("b"), table)
     read = lambda: rows(spark.read.schema("title string, id int").json(table), "id", "title")
     assert read() == [(1, "a"), (2, "a"), (3, "b")]
-    project.write_chapters(make("c"), table, {2}, force=True)
+    project.write_chapters(make("c"), table, [(2, 2)], force=True)
     assert read() == [(1, "a"), (2, "c"), (3, "b")]
     project.write_chapters(make("d", 2), table, force=True)
     assert read() == [(1, "d"), (2, "d")]
 
 
-def test_reset_guard(tmp_path):
+def test_untouched_buckets_stay(spark, tmp_path, monkeypatch):
+    """A forced range rewrites its own buckets; files of the others keep their names and times."""
+    monkeypatch.setattr(project, "BUCKET", 10)
+    table = str(tmp_path / "table")
+    make = lambda t: spark.createDataFrame([(i, t) for i in range(1, 51)], "id int, title string")
+    project.write_chapters(make("a"), table)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.json")}
+    before = files()
+    project.write_chapters(make("b"), table, [(12, 13), (31, 31)], force=True)
+    after = files()
+    changed = {p.parent.name for p, _ in set(before.items()) ^ set(after.items())}
+    assert changed == {"bucket=1", "bucket=3"}
+    got = rows(spark.read.schema("id int, title string").json(table), "id", "title")
+    assert got == [(i, "b" if i in (12, 13, 31) else "a") for i in range(1, 51)]
+
+
+def test_broken_replacement(spark, tmp_path, monkeypatch):
+    """A run that ends between the two moves, or before them, leaves the old table readable, and the next one replaces it."""
+    from lectern import shared
+    from lectern.schemas import absent_as_empty
+
+    table = str(tmp_path / "t")
+    make = lambda t: spark.createDataFrame([(1, t)], "id int, t string")
+    read = lambda: rows(absent_as_empty(spark, table, "id int, t string"), "id", "t")
+    project.replace_table(make("old"), table)
+    real = shared.Store.rename
+    for broken in (1, 2):
+        moves = []
+
+        def rename(self, a, b, broken=broken, moves=moves):
+            moves.append(b)
+            if len(moves) == broken:
+                raise OSError("gone")
+            real(self, a, b)
+
+        monkeypatch.setattr(shared.Store, "rename", rename)
+        with pytest.raises(OSError):
+            project.replace_table(make("new"), table)
+        monkeypatch.setattr(shared.Store, "rename", real)
+        assert read() == [(1, "old")]
+    project.replace_table(make("new"), table)
+    assert read() == [(1, "new")] and [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["t"]
+    with pytest.raises(RuntimeError), project.reset_guard(spark, table):
+        assert read() == []
+        project.replace_table(make("half"), table)
+        raise RuntimeError
+    assert read() == [(1, "new")]
+
+
+def test_reset_guard(spark, tmp_path):
     store = tmp_path / "s.json"
     store.write_text("old")
-    with pytest.raises(RuntimeError), project.reset_guard(str(store)):
+    with pytest.raises(RuntimeError), project.reset_guard(spark, str(store)):
         assert not store.exists()
         store.write_text("half")
         raise RuntimeError
     assert store.read_text() == "old"
-    with project.reset_guard(str(store)):
+    with project.reset_guard(spark, str(store)):
         store.write_text("new")
     assert store.read_text() == "new" and list(tmp_path.iterdir()) == [store]
 
