@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chapter_of, custom_id
 from ..schemas import EXTRACTION
+from ..shared import kept
+from .scan import numbered, running
 from .vocab import looked_up  # noqa: F401  part of this module's surface
 
 #: Types of terms in the order of a prompt; others follow by name.
@@ -60,6 +62,51 @@ def for_prompt(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["v"])).alias("json"))
 
 
+#: Most bytes of a page of a list.
+PAGE = 64 << 10
+
+
+def paged(rows: DataFrame, line: Column, order: list[str], by: tuple[str, ...] = (), most: int = PAGE, between: str = "") -> DataFrame:
+    """(by.., page, text): the lines of each group in their order, joined, in pages of at most ``most`` bytes (``between`` counted). Where a
+    page begins follows from how many bytes come before, which a scan by ranges sums up, so a list of any length is many tasks. A line
+    of more than half a page is a page of its own, and one that is longer than a page stays whole."""
+    half = most // 2
+    size = F.octet_length("line") + len(between.encode())
+    lines = rows.select(*by, *order, line.alias("line"))
+    placed = running(lines, list(by), order, inclusive=False, before=("sum", size.cast("long")))
+    # At most one such line begins within half a page, and none after it.
+    placed = placed.withColumn("cut", F.struct(F.expr(f"before div {half}").alias("window"), (size > half).alias("alone")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", *order, "line"))), lambda x: x["line"]), between)
+    pages = kept(placed.groupBy(*by, "cut").agg(text.alias("text")))
+    return pages.join(numbered(pages.select(*by, "cut"), list(by), ["cut"]).withColumnRenamed("number", "page"), [*by, "cut"]).select(*by, "page", "text")
+
+
+def locked_pages(overrides: DataFrame, most: int = PAGE) -> DataFrame:
+    """(page, locked): the lines of ``locked_terms`` in pages; joined they are its text."""
+    line = F.concat(F.lit("  "), F.col("source"), F.lit(" = "), F.col("target"), F.lit("\n"))
+    rows = overrides.where((F.col("source") != "") & (F.col("target") != "")).withColumn("k", F.col("kind") != "character")
+    return paged(rows, line, ["k", "ord"], most=most).withColumnRenamed("text", "locked")
+
+
+def prompt_pages(rows: DataFrame, columns: tuple[str, ...], most: int = PAGE) -> DataFrame:
+    """(page, json): the rows of ``for_prompt`` in pages, each a JSON array; their elements in turn are its elements."""
+    pages = paged(rows, F.to_json(F.struct(*columns)), ["ord"], most=most - 2, between=",")
+    return pages.select("page", F.concat(F.lit("["), F.col("text"), F.lit("]")).alias("json"))
+
+
+def block_pages(terms: DataFrame, by: tuple[str, ...] = ("chapter_id",), most: int = PAGE) -> DataFrame:
+    """(by.., page, block): the text of ``prompt_blocks`` in pages, cut between lines; a type's heading goes with its first term."""
+    rank = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
+    rows = terms.withColumn("rank", F.when(rank > 0, rank).otherwise(len(TYPES) + 1))
+    typed = list(dict.fromkeys([*by, "rank", "type"]))
+    first = rows.groupBy(*typed).agg(F.min("ord").alias("first"))
+    top = first.groupBy(*by).agg(F.min(F.struct("rank", "type")).alias("top"))
+    rows = rows.join(first, typed).join(top, [*by])
+    head = F.when(F.col("ord") == F.col("first"), F.concat(F.when(F.struct("rank", "type") == F.col("top"), F.lit(GLOSSARY_HEAD)).otherwise(""), F.lit("\n["), F.col("type"), F.lit("]\n"))).otherwise("")
+    line = F.concat(head, F.lit("  "), F.col("source"), F.lit(" = "), F.col("target"), F.lit("\n"))
+    return paged(rows, line, [*typed[len(by) :], "ord"], by, most).withColumnRenamed("text", "block")
+
+
 # Prompts. Wording is free; what matters is which parts stand in them and when.
 
 

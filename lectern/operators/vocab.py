@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_valid_stress, without_combining
+from .scan import numbered
 
 
 def sided(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -92,15 +93,9 @@ def merged_stress(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stored_order(stress: DataFrame) -> DataFrame:
-    """Longest terms first, by bytes; ord numbers the new order, length by length, so that no task holds all entries."""
-    from pyspark.sql import Window as W
-
-    size = F.octet_length("term")
-    rows = stress.withColumn("__size", size)
-    # As many rows as lengths.
-    before = rows.groupBy("__size").count().withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy(F.desc("__size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__size", "__before")
-    place = F.row_number().over(W.partitionBy("__size").orderBy("ord"))
-    return rows.join(before, "__size").withColumn("ord", (F.col("__before") + place - 1).cast("int")).select(*stress.columns).orderBy("ord")
+    """Longest terms first, by bytes; ord numbers the new order, by a scan over ranges of it, so that no task holds all entries."""
+    rows = numbered(stress.withColumn("__size", -F.octet_length("term")), [], ["__size", "ord"], -1)
+    return rows.withColumn("ord", F.col("number").cast("int")).select(*stress.columns).orderBy("ord")
 
 
 def with_chapter_tags(store: DataFrame, entries: DataFrame) -> DataFrame:

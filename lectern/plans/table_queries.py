@@ -273,6 +273,9 @@ QUERIES = {
     "p7_processed": lambda s, d: vocab.processed(chapter_ids(s, d), V.stress_forms(s, d), [500, 501]),
     "p9_batch_ends": lambda s, d: V.read(s, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "expired").otherwise("in_progress").alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n")).select("status", "n", batches.is_terminal(F.col("status")).alias("terminal"), F.when(batches.is_terminal(F.col("status")), F.coalesce(batches.terminal_error(F.col("status")), F.lit(""))).otherwise("").alias("error")),
     "p16_sanitized": lambda s, d: vocab.sanitized(V.stress_forms(s, d).withColumn("stressed", F.translate("stressed", "aeiou", "аеиоу"))).groupBy("merge").agg(F.count(F.lit(1)).alias("n")),
+    "p17_prompt_pages": lambda s, d: context.prompt_pages(glossary(s, d), ("source", "target", "type"), 1000).select("page", F.octet_length("json").cast("long").alias("bytes"), F.md5("json").alias("json")),
+    "a17_locked_pages": lambda s, d: context.locked_pages(glossary(s, d).withColumn("kind", F.col("type")), 500).select("page", F.md5("locked").alias("locked")),
+    "a16_block_pages": lambda s, d: context.block_pages(glossary(s, d), ("type",), 700).select("type", "page", F.md5("block").alias("block")),
     "p17_for_prompt": lambda s, d: context.for_prompt(glossary(s, d), ("source", "target", "type")).select(F.md5("json").alias("json")),
     "a13_stress_counts": lambda s, d: vocab.counts_by_chapter(V.stress_forms(s, d)),
     "s18_batch_results": batch_outcomes,
@@ -352,6 +355,18 @@ ORACLE_SQL = {
     "p7_processed": f"SELECT doc_id + 1 AS id, doc_id + 1 IN (500, 501) OR doc_id + 1 IN (SELECT chapter_id FROM {V.STRESS}) AS processed FROM documents",
     "p9_batch_ends": "SELECT status, n, status <> 'in_progress' AS terminal, CASE status WHEN 'expired' THEN 'batch expired before it was completed' ELSE '' END AS error FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'expired' ELSE 'in_progress' END AS status, count(*) AS n FROM orders GROUP BY ALL)",
     "p16_sanitized": f"SELECT merge::INT AS merge, count(*) AS n FROM {V.STRESS} WHERE regexp_matches(translate(stressed, 'aeiou', 'аеиоу'), '\\+[аеёиоуыэюяАЕЁИОУЫЭЮЯ]') GROUP BY ALL",
+    "p17_prompt_pages": f"""WITH l AS (SELECT ord, '{{"source":"' || source || '","target":"' || target || '","type":"' || type || '"}}' AS line FROM {GLOSSARY}),
+  b AS (SELECT ord, line, octet_length(encode(line)) + 1 AS n, coalesce(sum(octet_length(encode(line)) + 1) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+  p AS (SELECT before // 499 AS w, n > 499 AS alone, '[' || string_agg(line, ',' ORDER BY ord) || ']' AS json FROM b GROUP BY ALL)
+  SELECT row_number() OVER (ORDER BY w, alone) AS page, octet_length(encode(json))::BIGINT AS bytes, md5(json) AS json FROM p""",
+    "a17_locked_pages": f"""WITH l AS (SELECT type <> 'character' AS k, ord, '  ' || source || ' = ' || target || chr(10) AS line FROM {GLOSSARY} WHERE source <> '' AND target <> ''),
+  b AS (SELECT k, ord, line, octet_length(encode(line)) AS n, coalesce(sum(octet_length(encode(line))) OVER (ORDER BY k, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+  p AS (SELECT before // 250 AS w, n > 250 AS alone, string_agg(line, '' ORDER BY k, ord) AS locked FROM b GROUP BY ALL)
+  SELECT row_number() OVER (ORDER BY w, alone) AS page, md5(locked) AS locked FROM p""",
+    "a16_block_pages": f"""WITH l AS (SELECT type, ord, CASE WHEN ord = min(ord) OVER (PARTITION BY type) THEN '{context.GLOSSARY_HEAD.strip()}' || chr(10) || chr(10) || '[' || type || ']' || chr(10) ELSE '' END || '  ' || source || ' = ' || target || chr(10) AS line FROM {GLOSSARY}),
+  b AS (SELECT *, octet_length(encode(line)) AS n, coalesce(sum(octet_length(encode(line))) OVER (PARTITION BY type ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+  p AS (SELECT type, before // 350 AS w, n > 350 AS alone, string_agg(line, '' ORDER BY ord) AS block FROM b GROUP BY ALL)
+  SELECT type, row_number() OVER (PARTITION BY type ORDER BY w, alone) AS page, md5(block) AS block FROM p""",
     "p17_for_prompt": f"""SELECT md5('[' || string_agg('{{"source":"' || source || '","target":"' || target || '","type":"' || type || '"}}', ',' ORDER BY ord) || ']') AS json FROM {GLOSSARY}""",
     "a13_stress_counts": f"SELECT chapter_id::INT AS chapter_id, count(*) AS n FROM {V.STRESS} GROUP BY ALL",
     "s18_batch_results": "SELECT CASE k WHEN 5 THEN 'other-' ELSE 'translate-chapter-' END || (doc_id + 1)::VARCHAR AS custom_id, CASE WHEN k = 5 THEN 0 ELSE doc_id + 1 END::INT AS chapter_id, CASE WHEN k IN (0, 5) THEN t ELSE '' END AS content, CASE k WHEN 1 THEN 'limit: too many' WHEN 2 THEN 'no response in output line' WHEN 3 THEN 'HTTP 500: ' || '{\"output\":[{\"type\":\"message\",\"content\":[{\"type\":\"output_text\",\"text\":' || to_json(t)::VARCHAR || '}]}]}' WHEN 4 THEN 'empty output text' ELSE '' END AS error, CASE k WHEN 0 THEN 'ok' WHEN 5 THEN 'unrecognised' ELSE 'failed' END AS outcome FROM (SELECT doc_id, doc_id % 6 AS k, split_part(text, chr(10), 1) AS t FROM documents)",

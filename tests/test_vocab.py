@@ -191,3 +191,26 @@ def test_vocabulary_is_linear():
         assert apply(text) == " ".join(w[:1] + "+" + w[1:] for w in words)
         took.append(time.perf_counter() - begun)
     assert took[1] < 10 * took[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pages_of_lists(spark, seed):
+    """Pages joined are the whole list, each within the bound unless one entry is longer; each page of JSON is valid."""
+    import json
+    import random
+
+    rng = random.Random(seed)
+    terms = [(k, rng.choice(["é", "a", "漢"]) * rng.choice([1, 5, 30, 90, 200]), "t" * rng.randrange(9), rng.choice(["character", "place", "odd", "term"]), rng.choice([1, 2])) for k in range(120)]
+    df = spark.createDataFrame(terms, "ord long, source string, target string, type string, chapter_id int").repartition(5)
+    pages = [r["json"] for r in context.prompt_pages(df, ("source", "target"), 400).orderBy("page").collect()]
+    whole = json.loads(context.for_prompt(df, ("source", "target")).first()["json"])
+    assert [x for p in pages for x in json.loads(p)] == whole and len(pages) > 10
+    assert all(len(p.encode()) <= 400 or len(json.loads(p)) == 1 for p in pages)
+    kinds = df.withColumnRenamed("type", "kind")
+    locked = [r["locked"] for r in context.locked_pages(kinds, 300).orderBy("page").collect()]
+    assert "".join(locked) == context.locked_terms(kinds).first()["locked"] and all(len(p.encode()) <= 300 or p.count("\n") == 1 for p in locked)
+    blocks = {r["chapter_id"]: r["block"] for r in context.prompt_blocks(df).collect()}
+    paged = {}
+    for r in context.block_pages(df, most=500).orderBy("chapter_id", "page").collect():
+        paged[r["chapter_id"]] = paged.get(r["chapter_id"], "") + r["block"]
+    assert paged == blocks
