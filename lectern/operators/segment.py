@@ -200,8 +200,8 @@ def cut_trailer(text: str, trigger: str) -> str:
 
 
 def without_trailer(text: Column, triggers: list[str]) -> Column:
-    """All triggers in their order. Bytes and case folding meet here, so this is an Arrow function; rows without a trigger in
-    them never reach it."""
+    """All triggers in their order. Bytes and case folding meet here, so this is an Arrow function; of rows without a trigger in
+    their last TAIL code points, which hold the last TAIL bytes, no text reaches it."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
@@ -212,7 +212,9 @@ def without_trailer(text: Column, triggers: list[str]) -> Column:
 
         return texts.map(one)
 
-    return cut(text) if triggers else text
+    tail = F.lower(F.right(text, F.lit(TAIL)))
+    hit = reduce(lambda a, b: a | b, (F.contains(tail, F.lower(F.lit(x))) for x in triggers if x), F.lit(False))
+    return F.coalesce(cut(F.when(hit, text)), text) if triggers else text
 
 
 def stripped(chapters: DataFrame, triggers: list[str]) -> DataFrame:

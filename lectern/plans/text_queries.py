@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio, chunks, ssml, text, titles
 from ..functions.text import ENDS, VOWELS
-from ..operators import qa, segment
+from ..operators import context, qa, segment
 from . import views as V
 
 
@@ -76,6 +76,30 @@ def chunk_rows(s, d):
     return rows
 
 
+def prompts(s, d):
+    """All six prompts of each chapter."""
+    t, x, known = F.col("title"), F.col("source"), F.concat(F.lit("known "), F.col("id").cast("string"))
+    made = {
+        "extraction": context.extraction_prompt(t, x, "  a = b\n", "fr"), "translation": context.translation_prompt(t, x, F.when(F.col("id") % 2 == 0, known), known), "summary": context.summary_prompt(x),
+        "new_terms": context.new_terms_prompt(x, known), "merged": context.merge_prompt(known, t), "stress": context.stress_prompt(x, known),
+    }
+    return V.chapters(s, d).select("id", *(F.md5(c).alias(n) for n, c in made.items()))
+
+
+def _text(*parts: str) -> str:
+    """SQL of the digest of parts: columns, or texts in quotes that may hold line ends."""
+    return "md5(" + " || ".join(parts) + ")"
+
+
+_KNOWN = "'known ' || id::VARCHAR"
+_PROMPTS = f"""SELECT id, {_text("'List the characters, names and recurring terms of this chapter with translations into fr, and summarise it. Answer as JSON with characters, terms and summary.'", "chr(10)", "'Use exactly these translations:'", "chr(10)", "'  a = b'", "chr(10)", "chr(10)", "'Title: '", "title", "chr(10)", "chr(10)", "source")} AS extraction,
+  {_text(f"CASE WHEN id % 2 = 0 THEN {_KNOWN} || chr(10) || chr(10) ELSE '' END", _KNOWN, "chr(10)", "chr(10)", "'=== Chapter ==='", "chr(10)", "title", "chr(10)", "chr(10)", "source")} AS translation,
+  {_text("'Summarise this chapter in a few sentences.'", "chr(10)", "chr(10)", "source")} AS summary,
+  {_text("'List names and terms of this text that are not known yet. Known:'", "chr(10)", _KNOWN, "chr(10)", "chr(10)", "source")} AS new_terms,
+  {_text("'Unify these lists from all chapters. Answer as JSON with characters and terms.'", "chr(10)", "'Characters:'", "chr(10)", _KNOWN, "chr(10)", "'Terms:'", "chr(10)", "title")} AS merged,
+  {_text("'Give words whose stress is not obvious, a plus sign in front of the stressed vowel. Answer as JSON with entries. Known:'", "chr(10)", _KNOWN, "chr(10)", "chr(10)", "source")} AS stress FROM {V.CHAPTERS}"""
+
+
 def chunk_texts(s, d):
     """Every chunk: its place, bytes and text."""
     return chunk_rows(s, d).select("doc_id", "chunk", F.octet_length("text").cast("long").alias("bytes"), F.md5("text").alias("text"))
@@ -111,6 +135,7 @@ QUERIES = {
     "t11_sentences": lambda s, d: docs(s, d).select("doc_id", text.sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("parts")),
     "t12_stress_sentences": lambda s, d: docs(s, d).select("doc_id", text.stress_sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("parts")),
     "t13_ssml": lambda s, d: marked(s, d).select("doc_id", F.md5(ssml.generated(F.col("text"))).alias("ssml")),
+    "t26_prompts": prompts,
     "t14_chunks": chunk_totals,
     "t14_chunk_texts": chunk_texts,
     "t15_raw_chunks": lambda s, d: docs(s, d).select("doc_id", F.posexplode(chunks.raw_pieces(F.col("text"))).alias("k", "piece")).groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "|")).alias("whole")),
@@ -127,7 +152,7 @@ QUERIES = {
     "t33_choices": lambda s, d: V.read(s, d, "orders").select("o_orderkey", text.choice(F.concat(F.col("o_orderkey").cast("string"), F.lit(" x")), F.lit(500)).alias("choice")),
     "j13_chapter_of": lambda s, d: V.chapters(s, d).select("id", text.chapter_of(F.concat(F.when(F.col("id") % 3 == 0, "other").otherwise("analyze"), F.lit("-chapter-"), F.col("id").cast("string"), F.lit("x")), "analyze").alias("chapter")),
     "g6_snippets": lambda s, d: docs(s, d).select("doc_id", text.byte_prefix(F.col("text"), segment.SNIPPET).alias("snippet")),
-    "g7_trailers": lambda s, d: V.chapters(s, d).select("id", F.concat("source", F.when(F.col("id") % 4 == 0, F.concat(F.lit("\n*****\n"), F.lit("released UNDER nothing"))).otherwise("")).alias("source"), "title", "raw_size").transform(lambda c: segment.stripped(c, V.TRIGGERS)).select("id", "raw_size", F.octet_length("source").cast("long").alias("size")),
+    "g7_trailers": lambda s, d: V.chapters(s, d).select("id", F.concat("source", F.when(F.col("id") % 4 == 0, F.concat(F.lit("\n*****\n"), F.lit("released UNDER nothing"))).otherwise("")).alias("source"), "title", "raw_size").transform(lambda c: segment.stripped(c, V.TRIGGERS)).select("id", "raw_size", F.octet_length("source").cast("long").alias("size"), F.md5("source").alias("text")),
     "k14_bitrates": lambda s, d: V.read(s, d, "orders").select("o_orderkey", text.bitrate(F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "192").otherwise("96K")).alias("bitrate")),
     "k13_tones": lambda s, d: docs(s, d).select("doc_id", F.octet_length(audio.tone(F.col("text"))).cast("long").alias("bytes")),
     "a22_joined_audio": lambda s, d: audio.joined_audio(chunk_rows(s, d).select("doc_id", "chunk", audio.tone(F.col("text")).alias("audio")), "doc_id", "chunk", "audio").select("doc_id", F.octet_length("audio").cast("long").alias("bytes")),
@@ -176,6 +201,7 @@ ORACLE_SQL = {
     "t12_stress_sentences": _PARTS + _LIST.format(f"list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: {TRIM.format('x')}), lambda x: x <> '')", "documents"),
     "t13_ssml": f"SELECT doc_id, md5({generated_sql('t')}) AS ssml FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM {MARKED})",
     "t14_chunks": f"SELECT doc_id, sum(length(regexp_replace(regexp_replace(s, '<[^>]*>', '', 'g'), '\\s+', '', 'g')))::BIGINT AS length, true AS within FROM (SELECT doc_id, unnest(regexp_extract_all(x, '(?s)<s>.*?</s>')) AS s FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM documents))) GROUP BY doc_id",
+    "t26_prompts": _PROMPTS,
     # Sentences, or words of sentences that are too long, are packed one by one; each knows whether it joins the chunk before it.
     "t14_chunk_texts": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, x, regexp_extract_all(x, '(?s)<s>.*?</s>') AS l FROM (SELECT doc_id, {generated_sql('t')} AS x FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM documents))),
   s AS (SELECT doc_id, unnest(range(len(l))) AS g, unnest(l) AS y FROM d),
@@ -191,7 +217,7 @@ ORACLE_SQL = {
   s AS MATERIALIZED (SELECT doc_id, k, {_bytes('part')} AS n FROM p),
   f AS (SELECT doc_id, k, 0 AS piece, n AS size FROM s WHERE k = 0 UNION ALL SELECT s.doc_id, s.k, piece + (size + n > {chunks.LIMIT})::INT, CASE WHEN size + n > {chunks.LIMIT} THEN n ELSE size + n END FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1)
   SELECT doc_id, md5(string_agg(piece_text, '|' ORDER BY piece)) AS whole FROM (SELECT doc_id, piece, string_agg(part, '' ORDER BY k) AS piece_text FROM f JOIN p USING (doc_id, k) GROUP BY doc_id, piece) GROUP BY doc_id""",
-    "g7_trailers": f"SELECT id, {_bytes('title')} + {_bytes('t')} AS raw_size, {_bytes(TRIM.format('y'))} AS size FROM (SELECT *, {_cut('x', V.TRIGGERS[1])} AS y FROM (SELECT *, {_cut('t', V.TRIGGERS[0])} AS x FROM (SELECT id, title, source || CASE WHEN id % 4 = 0 THEN chr(10) || '*****' || chr(10) || 'released UNDER nothing' ELSE '' END AS t FROM {CHAPTER})))",
+    "g7_trailers": f"SELECT id, {_bytes('title')} + {_bytes('t')} AS raw_size, {_bytes(TRIM.format('y'))} AS size, md5({TRIM.format('y')}) AS text FROM (SELECT *, {_cut('x', V.TRIGGERS[1])} AS y FROM (SELECT *, {_cut('t', V.TRIGGERS[0])} AS x FROM (SELECT id, title, source || CASE WHEN id % 4 = 0 THEN chr(10) || '*****' || chr(10) || 'released UNDER nothing' ELSE '' END AS t FROM {CHAPTER})))",
     "t16_sanitized_stress": f"SELECT doc_id, md5(replace({SANITIZED.format('text')}, chr(1), '+')) AS text FROM {MARKED}",
     "t17_escaped": f"SELECT doc_id, md5({escaped_sql(chr(39) + '<&>' + chr(39) + ' || text')}) AS escaped FROM documents",
     "t18_transliterated": f"SELECT doc_id, md5({TRANSLITERATED.format(chr(40) + chr(39) + 'DNA x GPS ' + chr(39) + ' || text' + chr(41))}) AS text FROM documents",
