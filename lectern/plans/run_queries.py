@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio
 from ..functions.text import chapter_of
-from ..operators import context, segment
+from ..operators import context, recordings, segment
 from ..sources import epub
 from ..sources.batches import parse_results
 from ..schemas import BATCH_STATE
@@ -191,6 +191,21 @@ def joined_lines(s: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", F.octet_length("audio").cast("long").alias("bytes"), le(5).alias("riff"), le(25).alias("rate"), le(41).alias("size"))
 
 
+def line_segments(s: SparkSession, d: str) -> DataFrame:
+    """Where the tone of each line lies in its document's file, header first."""
+    lines = V.text_parts(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    made = recordings.segments(lines.select("doc_id", "k", audio.tone(F.col("line")).alias("audio")), "doc_id", "k", "audio")
+    return made.select("doc_id", "k", "offset", F.octet_length("bytes").cast("long").alias("bytes"))
+
+
+def file_parts(s: SparkSession, d: str) -> DataFrame:
+    """Files of lines in parts of 100,000 bytes and what they begin with."""
+    lines = V.text_parts(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    made = recordings.parts(recordings.segments(lines.select("doc_id", "k", audio.tone(F.col("line")).alias("audio")), "doc_id", "k", "audio"), "doc_id", 100_000)
+    le = lambda at: F.when(F.col("part") == 0, F.hex(F.substring("bytes", at, 4)))
+    return made.select("doc_id", "part", "offset", F.octet_length("bytes").cast("long").alias("bytes"), le(5).alias("riff"), le(41).alias("size"))
+
+
 def marked_blocks(s: SparkSession, d: str) -> DataFrame:
     """Blocks of pages made of a document's lines, by turns in headings, paragraphs, list items, nested containers with scripts
     and images, preformatted text."""
@@ -235,6 +250,8 @@ QUERIES = {
     "k3_kept_chapters": kept_chapters,
     "k4_replaced_chapters": replaced_chapters,
     "t31_joined_lines": joined_lines,
+    "a22_line_segments": line_segments,
+    "a22_file_parts": file_parts,
     "s11_marked_blocks": marked_blocks,
     "j3_anchored_chapters": anchored,
     "s1_book_blocks": book_blocks,
@@ -271,6 +288,12 @@ ORACLE_SQL = {
     "k3_kept_chapters": f"SELECT id, title, md5(CASE WHEN id BETWEEN 5 AND 49 THEN 'third ' WHEN id % 2 = 0 THEN 'first ' ELSE 'second ' END || source) AS source FROM {V.CHAPTERS}",
     "k4_replaced_chapters": f"SELECT id, title FROM {V.CHAPTERS} WHERE id % 3 = 0",
     "t31_joined_lines": f"SELECT doc_id, 44 + n AS bytes, {little('36 + n')} AS riff, {little('16000')} AS rate, {little('n')} AS size FROM (SELECT doc_id, sum({tone_bytes('line')})::BIGINT AS n FROM {_LINE} GROUP BY doc_id)",
+    "a22_line_segments": f"""SELECT doc_id, k::INT AS k, (44 + coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", n AS bytes FROM (SELECT doc_id, k, {tone_bytes('line')} AS n FROM {_LINE})
+  UNION ALL SELECT DISTINCT doc_id, NULL::INT, 0::BIGINT, 44::BIGINT FROM {_LINE}""",
+    "a22_file_parts": f"""WITH g AS (SELECT doc_id, k, (44 + coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place, n, (sum(n) OVER (PARTITION BY doc_id))::BIGINT AS total FROM (SELECT doc_id, k, {tone_bytes('line')} AS n FROM {_LINE})),
+  a AS (SELECT doc_id, place, n, total FROM g UNION ALL SELECT DISTINCT doc_id, 0, 44, total FROM g),
+  p AS (SELECT doc_id, place // 100000 AS part, min(place) AS place, sum(n)::BIGINT AS bytes, any_value(total) AS total FROM a GROUP BY ALL)
+  SELECT doc_id, part, place AS "offset", bytes, CASE WHEN part = 0 THEN {little('36 + total')} END AS riff, CASE WHEN part = 0 THEN {little('total')} END AS size FROM p""",
     "s11_marked_blocks": f"SELECT doc_id, kind, level::INT AS level, count(*) AS n, md5(string_agg(text || '/' || alt || '/' || anchor, '|' ORDER BY o)) AS texts FROM {_BLOCK_ROWS} WHERE text <> '' OR kind IN ('heading', 'hr', 'image') GROUP BY doc_id, kind, level",
     "j3_anchored_chapters": f"""SELECT t.book AS book, number::INT AS id, title, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY block_index) FILTER (text <> '' AND (size <= place OR block_index BETWEEN place AND place + 8)), '')) AS source, 'item' || any_value(b.spine_index)::VARCHAR AS section_ids
   FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY toc_index) AS number FROM {_PLACED}) t JOIN (SELECT *, count(*) OVER (PARTITION BY book, spine_index) AS size FROM {V.BLOCKS}) b ON t.book = b.book AND t.file = 'item' || b.spine_index::VARCHAR || '.xhtml' GROUP BY t.book, number, title""",

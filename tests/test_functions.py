@@ -186,3 +186,27 @@ def test_chunk_edges(on):
     assert cut[0] == doc(s(20)) and cut[-1] == doc(s(30), s(40)) and all(len(x) <= 900 for x in cut)
     assert " ".join(x[10:-12] for x in cut[1:-1]) == words and len(cut[1]) == 15 + 7 + 5 * 175 - 1
     assert on(chunks.chunked, None, "", "plain. text") == [None, [""], ["plain. text"]]
+
+
+def test_recordings_in_segments(spark):
+    """Segments and parts, put together in order, are the plainly joined bytes; one chunk passes as it is; errors come from sums."""
+    import random
+
+    from lectern.operators import recordings
+
+    rng = random.Random(6)
+    wav = lambda n: audio.wav(np.array([rng.randrange(-999, 999) for _ in range(n)]))
+    extra = lambda w: w[:12] + b"LIST" + struct.pack("<I", 3) + b"abc\0" + w[12:] + b"tail"
+    files = {1: [wav(5), extra(wav(7)), wav(0), wav(900)], 2: [extra(wav(4))], 3: [extra(wav(2)), wav(3)], 4: [wav(50) for _ in range(200)]}
+    rows = [(k, c, a) for k, own in files.items() for c, a in enumerate(own)] + [(4, 999, None)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k long, c int, a binary").repartition(3)
+    pieces = recordings.segments(df, "k", "c", "a")
+    for out, at in ((pieces, 0), (recordings.parts(pieces, "k", 1000), 1)):
+        got: dict = {}
+        for r in out.orderBy("k", "offset").collect():
+            assert len(got.get(r["k"], b"")) == r["offset"]
+            got[r["k"]] = got.get(r["k"], b"") + bytes(r["bytes"])
+        assert got == {k: audio.concatenated(own) for k, own in files.items()}, at
+    assert recordings.parts(pieces, "k", 1000).where("k = 4").count() > 10
+    assert recordings.segments(df.where("false"), "k", "c", "a").count() == 0
+    assert spark.range(1).select(recordings.little(F.lit(0x01020304))).first()[0] == b"\x04\x03\x02\x01"
