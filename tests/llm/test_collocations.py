@@ -79,6 +79,14 @@ def test_edges(spark):
     assert same(spark, [("en", "To be, or not to be")] * 300 + [("en", "not to be or")], 30)
 
 
+def test_odd_characters(spark):
+    """Characters that other splitters take for blanks, and NUL, are parts of words."""
+    words = ["a\x00b", "c\x1cd", "e\x85f", "g\xa0h", "i\u2028j", "\x00", "k\u3000"]
+    rng = random.Random(4)
+    rows = [("en", " ".join(rng.choice(words) for _ in range(12))) for _ in range(150)]
+    assert same(spark, rows, 10)
+
+
 def test_exact(spark):
     """Products beyond 64 bits, ties after flooring."""
     n = 9 * 10**15
