@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import chapter_of, custom_id
@@ -24,11 +23,15 @@ def previous_summaries(summaries: DataFrame, count: int = 2, by: tuple[str, ...]
     filled from further back; empty for the first chapter."""
     if count <= 0:
         return summaries.withColumn("context", F.lit(""))
-    frame = W.partitionBy(*by).orderBy("chapter_id").rangeBetween(-count, -1)
-    label = F.when(F.col("summary") != "", F.concat(F.lit("[Chapter "), F.col("chapter_id").cast("string"), F.lit(" summary]\n"), F.col("summary")))
-    seen = F.array_sort(F.collect_list(F.when((F.col("summary") != "") & (F.col("chapter_id") >= 1), F.struct("chapter_id", label.alias("text")))).over(frame))
-    joined = F.array_join(F.transform(seen, lambda x: x["text"]), "\n\n")
-    return summaries.withColumn("context", F.when((F.col("chapter_id") <= 1) | (joined == ""), "").otherwise(F.concat(F.lit(CONTEXT_HEAD), joined)))
+    label = F.concat(F.lit("[Chapter "), F.col("chapter_id").cast("string"), F.lit(" summary]\n"), F.col("summary"))
+    # Each summary goes to the numbers after it, so chapters meet by number and no window holds a whole book.
+    told = summaries.where((F.col("summary") != "") & (F.col("chapter_id") >= 1)).select(*by, F.struct("chapter_id", label.alias("text")).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("step"))
+    told = told.groupBy(*(F.col(b).alias(f"__{b}") for b in by), (F.col("x.chapter_id") + F.col("step")).alias("__for")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n\n").alias("__told"))
+    same = F.col("chapter_id") == F.col("__for")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    rows = summaries.join(told, same, "left")
+    return rows.select(*summaries.columns, F.when((F.col("chapter_id") <= 1) | F.col("__told").isNull(), "").otherwise(F.concat(F.lit(CONTEXT_HEAD), F.col("__told"))).alias("context"))
 
 
 def terms_of_chapters(terms: DataFrame, chapters: DataFrame) -> DataFrame:
