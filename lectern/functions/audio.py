@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import struct
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,20 +62,27 @@ def tone_seconds(text: Column) -> Column:
     return F.least(F.lit(BASE) + F.octet_length(text) / F.lit(BYTES_PER_SECOND), F.lit(MOST))
 
 
-def tone(text: Column) -> Column:
-    """A stand-in tone for a text as WAV, longer for longer texts."""
+def little(n: Column) -> Column:
+    """Four bytes of a number, the lowest first."""
+    digits = F.lpad(F.hex(n), 8, "0")
+    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))
+
 
-    @F.pandas_udf("binary")
-    def make(sizes: pd.Series) -> pd.Series:
-        def one(n: int) -> bytes:
-            # Durations are whole nanoseconds, as clocks count them.
-            seconds = int(min(BASE + n / BYTES_PER_SECOND, MOST) * 1e9) / 1e9
-            t = np.arange(int(seconds * RATE)) / RATE
-            return wav(np.trunc(np.sin(2 * np.pi * FREQUENCY * t) * LOUDNESS * 32767))
+@cache
+def _longest_tone() -> bytes:
+    """The longest tone as WAV; a shorter one is a prefix of it but for its sizes."""
+    t = np.arange(int(MOST * RATE)) / RATE
+    return wav(np.trunc(np.sin(2 * np.pi * FREQUENCY * t) * LOUDNESS * 32767))
 
-        return sizes.map(one)
 
-    return make(F.coalesce(F.octet_length(text), F.lit(0)))
+def tone(text: Column) -> Column:
+    """A stand-in tone for a text as WAV, longer for longer texts. Made row by row in the JVM: audio is much larger than its text,
+    so batches of it would hold a gigabyte."""
+    longest = _longest_tone()
+    seconds = F.least(F.lit(BASE) + F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(BYTES_PER_SECOND), F.lit(MOST))
+    # Durations are whole nanoseconds, as clocks count them.
+    size = (2 * F.floor(F.floor(seconds * 1e9) / F.lit(1e9) * RATE)).cast("int")
+    return F.concat(F.lit(longest[:4]), little(size + 36), F.lit(longest[8:40]), little(size), F.substring(F.lit(longest[44:]), 1, size))
 
 
 def joined_audio(chunks: DataFrame, key: str, order: str, audio: str) -> DataFrame:

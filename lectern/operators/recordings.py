@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.audio import header
+from ..functions.audio import little
 from ..shared import kept
 from .scan import running
 
@@ -22,37 +22,54 @@ from .scan import running
 PART = 8 << 20
 
 
-def parsed(audio: Column) -> Column:
-    """head, data and rest of a WAV; together they are its bytes."""
+#: Chunks of a WAV that are gone over at first; where the audio is not among them, as many as its bytes can hold.
+FEW = 8
 
-    @F.arrow_udf("struct<head:binary, data:binary, rest:binary>")
-    def split(chunks: pa.Array) -> pa.Array:
-        out = []
-        for chunk in chunks.to_pylist():
-            head, data = header(chunk)
-            out.append({"head": head, "data": data, "rest": chunk[len(head) + len(data) :]})
-        return pa.array(out, pa.struct([("head", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())]))
 
-    return split(audio)
+def _walked(data: Column, chunks: Column) -> Column:
+    """(at, size, wrong) after so many chunks of a WAV: the place (from 0) of the audio, or of the next chunk; the bytes that the
+    audio is said to have, null before it is found; the size of a chunk that is too large."""
+    state = lambda at, size=None, wrong=None: F.struct(at.cast("long").alias("at"), (F.lit(None) if size is None else size).cast("long").alias("size"), (F.lit(None) if wrong is None else wrong).cast("long").alias("wrong"))
 
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        digits = F.hex(data.substr((at + 5).cast("int"), F.lit(4)))
+        size = F.conv(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long")
+        done = s["size"].isNotNull() | s["wrong"].isNotNull() | (at + 8 > F.octet_length(data))
+        audio = data.substr((at + 1).cast("int"), F.lit(4)) == F.lit(b"data")
+        return F.when(done, s).when(size > (1 << 31) - 1, state(at, wrong=size)).when(audio, state(at + 8, size)).otherwise(state(at + 8 + size + size % 2))
 
-def little(n: Column) -> Column:
-    """Four bytes of a number, the lowest first."""
-    digits = F.lpad(F.hex(n), 8, "0")
-    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))
+    return F.aggregate(F.sequence(F.lit(1), chunks), state(F.lit(12)), step)
+
+
+def parsed(rows: DataFrame, audio: str) -> DataFrame:
+    """``rows`` with head, data and rest of a WAV in place of it; together they are its bytes. Row by row in the JVM, as ``header``
+    does for one in memory: batches of audio on their way to Python and back would hold hundreds of megabytes."""
+    data, size = F.col(audio), F.octet_length(audio)
+    fail = lambda *parts: F.raise_error(F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts)))
+    wav = (F.substring(data, 1, 4) == F.lit(b"RIFF")) & (F.substring(data, 9, 4) == F.lit(b"WAVE"))
+    rows = rows.withColumn("__few", F.when(size < 44, fail("too short for WAV: ", size, " bytes")).when(~wav, fail("not WAV")).otherwise(_walked(data, F.lit(FEW))))
+    open_ = F.col("__few.size").isNull() & F.col("__few.wrong").isNull() & (F.col("__few.at") + 8 <= size)
+    rows = rows.withColumn("__at", F.when(open_, _walked(data, (size / 8).cast("int"))).otherwise(F.col("__few")))
+    at, most = F.col("__at.at").cast("int"), F.col("__at.size").cast("int")
+    head = F.when(F.col("__at.wrong").isNotNull(), fail("chunk too large: ", F.col("__at.wrong"))).when(most.isNull(), fail("no audio in WAV")).otherwise(data.substr(F.lit(1), at))
+    most = F.least(most, size - at)
+    pieces = {"head": head, "data": data.substr(at + 1, most), "rest": data.substr(at + most + 1, size)}
+    return rows.select(*[c for c in rows.columns if c not in (audio, "__few", "__at")], *(c.alias(n) for n, c in pieces.items()))
 
 
 def segments(chunks: DataFrame, key: str, order: str, audio: str) -> DataFrame:
     """(key, order, offset, bytes): the pieces of each file by their place; order is null for the file's header. Empty pieces are left
     out."""
-    rows = kept(chunks.where(F.col(audio).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("at"), parsed(F.col(audio)).alias("p")).select("key", "at", "p.*"))
+    rows = kept(parsed(chunks.where(F.col(audio).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(audio).alias("audio")), "audio"))
     sizes = rows.select("key", "at", F.octet_length("data").cast("long").alias("size"), F.octet_length("head").cast("long").alias("head_size"))
     placed = running(sizes, ["key"], ["at"], inclusive=False, before=("sum", F.col("size")))
     files = kept(sizes.groupBy("key").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("chunks"), F.min(F.struct("at", "head_size")).alias("first")))
     files = files.select("key", "total", "chunks", F.col("first.at").alias("first"), F.col("first.head_size").alias("top"))
     too_large = F.col("top") + F.col("total") > (1 << 32) - 1
     files = files.withColumn("total", F.when((F.col("chunks") > 1) & too_large, F.raise_error(F.concat(F.lit("joined audio too large: "), F.col("total").cast("string"), F.lit(" bytes"))).cast("long")).otherwise(F.col("total")))
-    every = rows.join(placed.select("key", "at", "before"), ["key", "at"]).join(files, "key")
+    # Places and sums meet first, as they are narrow; audio is dealt out once.
+    every = rows.join(placed.select("key", "at", "before").join(files, "key"), ["key", "at"])
     n = F.octet_length("head")
     renewed = F.concat(F.substring("head", 1, 4), little(F.col("top") + F.col("total") - 8), F.col("head").substr(F.lit(9), n - 12), little(F.col("total")))
     head = F.when(F.col("at") == F.col("first"), F.when(F.col("chunks") > 1, renewed).otherwise(F.col("head")))

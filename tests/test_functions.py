@@ -210,3 +210,31 @@ def test_recordings_in_segments(spark):
     assert recordings.parts(pieces, "k", 1000).where("k = 4").count() > 10
     assert recordings.segments(df.where("false"), "k", "c", "a").count() == 0
     assert spark.range(1).select(recordings.little(F.lit(0x01020304))).first()[0] == b"\x04\x03\x02\x01"
+
+
+def test_audio_without_python(spark):
+    """Tones and the parts of a WAV are made row by row, in no batches of Python; they are what plain code makes."""
+    from lectern.operators import recordings
+
+    def plain(n: int) -> bytes:
+        seconds = int(min(audio.BASE + n / audio.BYTES_PER_SECOND, audio.MOST) * 1e9) / 1e9
+        return audio.wav(np.trunc(np.sin(2 * np.pi * audio.FREQUENCY * np.arange(int(seconds * audio.RATE)) / audio.RATE) * audio.LOUDNESS * 32767))
+
+    sizes = [0, 1, 2, 3, 7, 777, 1000, 4999, 5000, 5001, 90_000]
+    tones = spark.createDataFrame([("x" * n,) for n in sizes] + [(None,)], "t string").select(audio.tone(F.col("t")).alias("a"))
+    assert [bytes(r["a"]) for r in tones.collect()] == [plain(n) for n in [*sizes, 0]]
+
+    base, part = audio.wav(np.arange(9)), lambda n: b"LIST" + struct.pack("<I", n) + b"z" * (n + n % 2)
+    files = [base, base + b"tail", base[:-3], *(base[:12] + b"".join(part(n) for n in range(k)) + base[12:] for k in (1, 6, 7, 8, 9, 60))]
+    split = recordings.parsed(spark.createDataFrame([(k, f) for k, f in enumerate(files)], "k int, a binary"), "a")
+    got = {r["k"]: (bytes(r["head"]), bytes(r["data"]), bytes(r["rest"])) for r in split.collect()}
+    for k, f in enumerate(files):
+        assert got[k][:2] == audio.header(f) and b"".join(got[k]) == f
+    for frame in (tones, split):
+        assert "Python" not in frame._jdf.queryExecution().toString() and "Arrow" not in frame._jdf.queryExecution().toString()
+    large = base[:12] + b"LIST" + struct.pack("<I", 1 << 31) + base[12:]
+    for bad, why in ((b"RIFF", "too short for WAV: 4 bytes"), (b"x" * 50, "not WAV"), (base[:36] + b"none" + base[40:], "no audio in WAV"), (large, f"chunk too large: {1 << 31}")):
+        with pytest.raises(ValueError, match=why):
+            audio.header(bad)
+        with pytest.raises(Exception, match=why):
+            recordings.parsed(spark.createDataFrame([(bad,)], "a binary"), "a").collect()
