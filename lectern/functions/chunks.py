@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shared import sliced
+
 #: Most bytes of a chunk, its wrapper counted.
 LIMIT = 900
 OPEN, CLOSE = "<speak>", "</speak>"
 _WRAP = len(OPEN) + len(CLOSE)
+_TEXTS = pa.list_(pa.string())
 
 
 def marked_sentences(c: Column) -> Column:
@@ -108,7 +111,7 @@ def raw_pieces(c: Column, limit: int = LIMIT) -> Column:
 
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array(_raw(texts.to_pylist(), limit), pa.list_(pa.string()))
+        return sliced(lambda t: pa.array(_raw(t.to_pylist(), limit), _TEXTS), _TEXTS, texts)
 
     return cut(c)
 
@@ -116,11 +119,14 @@ def raw_pieces(c: Column, limit: int = LIMIT) -> Column:
 def chunked(c: Column, limit: int = LIMIT) -> Column:
     """A marked-up document as wrapped chunks of at most ``limit`` bytes; only a single longer word goes beyond."""
 
-    @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
         plain, lists = texts.to_pylist(), found.to_pylist()
         raw = _raw([t if not own else "" for t, own in zip(plain, lists, strict=True)], limit)
         marked = _marked([own or [] for own in lists], limit)
-        return pa.array([b if own else a for a, b, own in zip(raw, marked, lists, strict=True)], pa.list_(pa.string()))
+        return pa.array([b if own else a for a, b, own in zip(raw, marked, lists, strict=True)], _TEXTS)
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return sliced(run, _TEXTS, texts, found)
 
     return cut(c, marked_sentences(c))

@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share: they cut lineage and survive lost executors."""
+"""Tables in the folder that driver and executors share, which cut lineage and survive lost executors; and Arrow batches in pieces."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,3 +59,19 @@ def settled(spark: SparkSession, path: str) -> str:
     if not store.exists(path) and store.exists(aside):
         store.rename(aside, path)
     return path
+
+
+#: Bytes of a column that a function takes as Python objects at a time; those take many times the room of an Arrow array.
+SLICE = 1 << 20
+
+
+def slices(n: int, size: int, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(start, rows) of pieces of ``n`` rows with ``size`` bytes in all, of about ``most`` bytes each if rows are alike."""
+    step = max(1, n * most // max(size, 1))
+    return ((at, min(step, n - at)) for at in range(0, n, step))
+
+
+def sliced(run: Callable[..., pa.Array], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``run`` over columns of one batch, a piece of bounded bytes at a time: a batch of Arrow has up to 64 MB."""
+    size = sum(c.nbytes for c in columns)
+    return pa.concat_arrays([run(*(c.slice(at, rows) for c in columns)) for at, rows in slices(len(columns[0]), size)] or [pa.array([], kind)])

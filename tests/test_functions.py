@@ -238,3 +238,16 @@ def test_audio_without_python(spark):
             audio.header(bad)
         with pytest.raises(Exception, match=why):
             recordings.parsed(spark.createDataFrame([(bad,)], "a binary"), "a").collect()
+
+
+def test_batches_in_slices():
+    """Functions on texts take a batch in pieces of bounded bytes; the answers are those of the whole batch."""
+    import pyarrow as pa
+
+    from lectern import shared
+
+    seen = []
+    texts = pa.array(["x" * 1000, None, "é. b"] * 5000)
+    back = shared.sliced(lambda t: seen.append(t) or pa.array(t.to_pylist(), pa.string()), pa.string(), texts)
+    assert back.equals(texts) and len(seen) > 4 and max(t.nbytes for t in seen) < 2 * shared.SLICE
+    assert len(shared.sliced(lambda t: t, pa.string(), texts[:0])) == 0 and shared.sliced(lambda t: t, pa.string(), texts[:1]).equals(texts[:1])
