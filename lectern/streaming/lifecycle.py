@@ -67,8 +67,8 @@ class Lifecycle(StatefulProcessor):
         new = [(int(t.value // 1_000_000), int(n), s) for pdf in rows for t, n, s in zip(pdf["updated"], pdf["seq"], pdf["status"], strict=True)]
         if new:
             self.waiting.appendList(new)
-            for at in {at for at, _, _ in new}:
-                self.handle.registerTimer(at)
+            # One timer for the first of them: when it expires, all that are due are applied, and the rest get the next timer.
+            self.handle.registerTimer(min(new)[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -79,7 +79,11 @@ class Lifecycle(StatefulProcessor):
         status, since, out = applied(status, since, due, now, self.silence)
         if due:
             left = [x for x in waiting if x[0] > now]
-            self.waiting.put(left) if left else self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(min(left)[0])
+            else:
+                self.waiting.clear()
         if out:
             self.state.update((status, since))
             if status in ACTIVE:

@@ -91,3 +91,21 @@ def test_restart_and_new_batch(spark, tmp_path):
     assert got == {"t": fold(life)}
     moves = spark.read.schema(lc.TRANSITIONS).parquet(str(tmp_path / "out"))
     assert [tuple(r) for r in lc.last_states(moves).collect()] == [("t", "expired", 6, 0, 0, 1)]
+
+
+def test_one_timer_for_many_updates():
+    """However many updates of a type come at once, one timer waits for the first; the next is set for those that are not due yet."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    timers, held = [], []
+    value = SimpleNamespace(exists=lambda: False, get=lambda: None, update=lambda x: None)
+    store = SimpleNamespace(exists=lambda: bool(held), get=lambda: iter(list(held)), appendList=held.extend, put=lambda x: (held.clear(), held.extend(x)), clear=held.clear)
+    p = lc.Lifecycle(10**9)
+    p.init(SimpleNamespace(registerTimer=timers.append, getValueState=lambda *_: value, getListState=lambda *_: store))
+    rows = pd.DataFrame({"updated": pd.to_datetime([3000, 1000, 2000, 9000], unit="ms"), "seq": [1, 2, 3, 4], "status": ["completed", "validating", "in_progress", "deleted"]})
+    list(p.handleInputRows(("t",), iter([rows]), None))
+    assert timers == [1000]
+    out = pd.concat(p.handleExpiredTimer(("t",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5000), None))
+    assert out["at"].tolist() == [1000, 2000, 3000] and timers == [1000, 9000] and held == [(9000, 4, "deleted")]
