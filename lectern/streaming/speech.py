@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.audio import joined_audio, tone
 from ..functions.chunks import chunked
 from ..functions.text import stress_sentences
+from ..shared import kept
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,8 @@ class EngineConfig:
     parallel: int = 1
 
 
+#: Bytes of texts that a task of requests takes in one round.
+ROUND = 256 << 20
 #: An engine turns a DataFrame (chapter_id, ssml) into (chapter_id, audio).
 Engine = Callable[[DataFrame], DataFrame]
 _ENGINES: dict[str, Callable[..., Engine]] = {}
@@ -57,6 +61,15 @@ def http_engine(config: EngineConfig, client: Callable[[str, EngineConfig], byte
     call = client or post
 
     def run(rows: DataFrame) -> DataFrame:
+        # Requests run in as many tasks as the engine may ask at once, so many texts go in rounds, one after another.
+        size = rows.agg(F.sum(F.octet_length("ssml"))).first()[0] or 0
+        rounds = -(-size // (max(1, config.parallel) * ROUND))
+        if rounds < 2:
+            return spoken(rows)
+        turn = F.pmod(F.xxhash64("chapter_id"), F.lit(rounds))
+        return reduce(DataFrame.unionByName, [kept(spoken(rows.where(turn == k))) for k in range(rounds)])
+
+    def spoken(rows: DataFrame) -> DataFrame:
         parts = rows.select("chapter_id", F.posexplode(chunked(F.col("ssml"))).alias("chunk", "text"))
 
         def speak(batches):

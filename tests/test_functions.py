@@ -251,3 +251,18 @@ def test_batches_in_slices():
     back = shared.sliced(lambda t: seen.append(t) or pa.array(t.to_pylist(), pa.string()), pa.string(), texts)
     assert back.equals(texts) and len(seen) > 4 and max(t.nbytes for t in seen) < 2 * shared.SLICE
     assert len(shared.sliced(lambda t: t, pa.string(), texts[:0])) == 0 and shared.sliced(lambda t: t, pa.string(), texts[:1]).equals(texts[:1])
+
+
+def test_speech_in_rounds(spark, monkeypatch):
+    """Texts beyond what the tasks of requests take at a time go in rounds; every chapter comes once, as in one round."""
+    from lectern.streaming import speech
+
+    rows = spark.createDataFrame([(k, "<speak><s>" + "да. " * k + "</s></speak>") for k in range(40)], "chapter_id long, ssml string")
+    config = speech.EngineConfig(voice="v", server_url="http://localhost", parallel=2)
+    say = lambda text, _: audio.wav(np.frombuffer(text.encode(), np.uint8).astype(np.int16))
+    made = lambda: {r["chapter_id"]: bytes(r["audio"]) for r in speech.engine("http", config, client=say)(rows).collect()}
+    whole, jobs = made(), []
+    monkeypatch.setattr(speech, "ROUND", 1000)
+    keep = speech.kept
+    monkeypatch.setattr(speech, "kept", lambda df: jobs.append(df) or keep(df))
+    assert made() == whole and len(whole) == 40 and len(jobs) > 2
