@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import bounded, new_path, written
+from .bpe import byte_alphabet
 from .token_counts import COMMON, WORDS
 
 MAGIC = b"LTB1"
@@ -58,7 +59,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+            ids = array("I", self.asked(word)).tobytes()
         if len(word) <= self.LONGEST:
             if len(self) >= self.KEPT:
                 self.older = dict(self)
@@ -66,6 +67,29 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
+    def asked(self, word: str) -> list[int]:
+        return self.encode(word, add_special_tokens=False).ids
+
+
+class ModelIds(WordIds):
+    """The same by the library's model alone, which takes the bytes of one word in the alphabet of byte-level files: ``encode`` is
+    its ``tokenize``. A whole call of the library for a single word takes about twice as long."""
+
+    ALPHABET = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+
+    def asked(self, word: str) -> list[int]:
+        return [t.id for t in self.encode(word.encode().decode("latin-1").translate(self.ALPHABET))]
+
+
+@functools.cache
+def common_words():
+    """``WORDS`` on texts of ``COMMON`` characters, as a pattern of ``re``, which is faster: letters and digits are spelled out."""
+    import regex
+
+    common = [c for c in map(chr, range(0x2100)) if re.fullmatch(COMMON, c)]
+    letters, digits = ("".join(c for c in common if regex.fullmatch(kind, c)) for kind in (r"\p{L}", r"\p{N}"))
+    return re.compile(WORDS.replace(r"\s\p{L}\p{N}", rf"\s{letters}{digits}").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]")).findall
+
 
 def splits_by_words(tokenizer: str) -> bool:
     """Whether a tokenizer file encodes text word by word, the words being those of ``WORDS``."""
@@ -79,22 +103,18 @@ def splits_by_words(tokenizer: str) -> bool:
 def encoder(tokenizer: str):
     """text -> ids of the tokenizers library. A text of common characters without added strings is encoded word by word, so
     that the library meets each word once; it splits and encodes all other texts, and those of other kinds of files, itself."""
-    import regex
-
     encode = library(tokenizer).encode
     whole = lambda text: np.array(encode(text, add_special_tokens=False).ids, np.uint32)
     if not splits_by_words(tokenizer):
         return whole
-    words, common = regex.compile(WORDS).findall, re.compile(COMMON).fullmatch
-    # The same pattern where all letters and digits are ASCII, for which ``re`` is faster.
-    plain = re.compile(WORDS.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")).findall
+    words, common = common_words(), re.compile(COMMON).fullmatch
     added = [t.content for t in library(tokenizer).get_added_tokens_decoder().values()]
-    known = WordIds(encode)
+    known = ModelIds(library(tokenizer).model.tokenize)
 
     def by_words(text: str) -> np.ndarray:
         if not common(text) or any(a in text for a in added):
             return whole(text)
-        return np.frombuffer(b"".join(map(known.__getitem__, (plain if text.isascii() else words)(text))), np.uint32)
+        return np.frombuffer(b"".join(map(known.__getitem__, words(text))), np.uint32)
 
     return by_words
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -151,6 +152,32 @@ def test_words_are_kept_in_two_generations(monkeypatch):
     assert len(words) <= 3 and asked.count("a") == 1 and asked.count("x" * 100) == 2
 
 
+def test_words_are_split_and_encoded_cheaply(monkeypatch):
+    """New words go to the library's model, not through a whole call; letters and digits are the library's beyond ASCII too."""
+    words = token_files.ModelIds(LIBRARY.model.tokenize)
+    rng, letters = random.Random(7), " \n\xa0\x85'srtveldm19²¼ªßéĀɏ‐‧€"
+    common = [c for c in map(chr, range(0x2100)) if re.fullmatch(token_counts.COMMON, c)]
+    for _ in range(5000):
+        text = "".join(rng.choice(common if rng.random() < 0.5 else letters) for _ in range(rng.randrange(30)))
+        split = token_files.common_words()(text)
+        assert split == [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
+        assert np.frombuffer(b"".join(words[w] for w in split), np.uint32).tolist() == library(text)
+
+    class Spied:
+        whole = []
+        model, get_added_tokens_decoder = LIBRARY.model, LIBRARY.get_added_tokens_decoder
+
+        def encode(self, text, **more):
+            self.whole.append(text)
+            return LIBRARY.encode(text, **more)
+
+    monkeypatch.setattr(token_files, "library", lambda path: Spied())
+    encode = token_files.encoder.__wrapped__(BYTES)
+    for text in ("Größe, naïve café 12²", "plain words", "漢字", "a<|endoftext|>b"):
+        assert encode(text).tolist() == library(text)
+    assert Spied.whole == ["漢字", "a<|endoftext|>b"]
+
+
 def test_dictionary_sample_is_bounded(documents, monkeypatch):
     monkeypatch.setattr(token_files, "SAMPLE_DOCS", 3)
     rows = [(1, "one two three")] * 50 + [(k % 3, f"text {k}") for k in range(40)]
