@@ -169,8 +169,9 @@ def place() -> Column:
 
 
 def extracted(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(characters, terms, summaries, outcomes) of analysis results; rows carry chapter_id and ord."""
-    rows = outcomes(results, "analyze", EXTRACTION, error_first=True)
+    """(characters, terms, summaries, outcomes) of analysis results; rows carry chapter_id and ord. Results are read once, whatever
+    is made of the four."""
+    rows = kept(outcomes(results, "analyze", EXTRACTION, error_first=True))
     good = rows.where("outcome = 'ok'")
     of = lambda name: good.select("chapter_id", F.posexplode(f"value.{name}").alias("k", "x")).select("chapter_id", place().alias("ord"), "x.*")
     summaries = good.select("chapter_id", F.coalesce(F.trim("value.summary"), F.lit("")).alias("summary")).where("summary <> ''")

@@ -13,6 +13,7 @@ from .. import schemas
 from ..functions import ssml as markup
 from ..functions.text import chapter_of, title_deduplicated, trimmed, vocabulary_applied, without_bad_symbols
 from ..operators import context, overview, qa, segment, vocab
+from ..shared import kept
 from ..sources import epub
 from ..sources.batches import parse_results
 from ..streaming import batches, clients, speech
@@ -174,7 +175,7 @@ class Project:
 
         def process(lines: DataFrame) -> None:
             good = context.outcomes(parse_results(lines), "translate").where("outcome = 'ok'")
-            new = good.select(F.col("chapter_id").cast("int").alias("chapter_id"), title_deduplicated(trimmed(F.col("content"))).alias("text"))
+            new = kept(good.select(F.col("chapter_id").cast("int").alias("chapter_id"), title_deduplicated(trimmed(F.col("content"))).alias("text")))
             kept = self.translations().join(new.select("chapter_id"), "chapter_id", "left_anti")
             self.save(kept.unionByName(new), "translation", self.config.languages.target)
 
@@ -201,7 +202,7 @@ class Project:
 
         def process(lines: DataFrame) -> None:
             entry = "entries array<struct<term:string, stressed:string>>"
-            good = context.outcomes(parse_results(lines), "pronounce", entry).where("outcome = 'ok'")
+            good = kept(context.outcomes(parse_results(lines), "pronounce", entry)).where("outcome = 'ok'")
             found = good.select("chapter_id", F.posexplode("value.entries").alias("k", "e")).select("chapter_id", context.place().alias("ord"), "e.term", "e.stressed")
             fixed = self.spark.createDataFrame([(k, p.get("term", ""), p.get("phonemes", ""), "") for k, p in enumerate(self.config.pronunciation)], "ord long, source string, target string, type string")
             clean = vocab.overridden(vocab.sanitized(found), fixed, "term", "stressed")

@@ -202,7 +202,8 @@ def replace_table(df: DataFrame, path: str, fmt: str = "json", by: tuple[str, ..
     its place. Whatever fails in between, ``settled`` finds one of them whole."""
     settled(df.sparkSession, path)
     new, aside = beside(path, "next"), beside(path, "previous")
-    df.write.mode("overwrite").partitionBy(*by).format(fmt).save(new)
+    # A part is one file, not one for each task that has rows of it.
+    (df.repartition(*by) if by else df).write.mode("overwrite").partitionBy(*by).format(fmt).save(new)
     store = Store(df.sparkSession, path)
     store.delete(aside)
     if store.exists(path):
@@ -231,7 +232,9 @@ def write_chapters(chapters: DataFrame, table: str, chosen: list[tuple[int, int]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chapters.schema) + ", bucket int"
     have = absent_as_empty(spark, table, kinds)
     if not force:
-        rows.join(have.select("id").distinct(), "id", "left_anti").select(*chapters.columns, bucket).write.mode("append").partitionBy("bucket").json(table)
+        # Texts are not shuffled for a join where nothing is stored yet.
+        added = rows if have.isEmpty() else rows.join(have.select("id").distinct(), "id", "left_anti")
+        added.select(*chapters.columns, bucket).repartition("bucket").write.mode("append").partitionBy("bucket").json(table)
         return
     touched = have.where(within(F.col("bucket"), [(low // BUCKET, high // BUCKET) for low, high in chosen]))
     left = touched.join(rows.select("id"), "id", "left_anti").select(*chapters.columns, "bucket")

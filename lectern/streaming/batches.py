@@ -141,8 +141,8 @@ def status_stream(updates: DataFrame, state: str, checkpoint: str, merge: Callab
 
 
 def pending(chapters: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
-    """Chapters (id) that are not done (chapter_id) yet; all with ``force``."""
-    return chapters if force else chapters.join(done.select(F.col("chapter_id").alias("id")), "id", "left_anti")
+    """Chapters (id) that are not done (chapter_id) yet; all with ``force``, or if none is, so that texts are not shuffled for it."""
+    return chapters if force or done.isEmpty() else chapters.join(done.select(F.col("chapter_id").alias("id")), "id", "left_anti")
 
 
 def pending_stress(chapters: DataFrame, translations: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from lectern.functions import audio
 from lectern.operators import overview
 from lectern.plans import project
+from lectern.plans.commands import Project
+from lectern.plans.project import Config
+from lectern.plans.project_queries import answered
 from lectern.streaming import batches, speech
 
 
@@ -188,3 +191,30 @@ def test_stress_model(spark):
 
     assert df.select(speech.stressed(F.col("t"), model).alias("r")).first()["r"] == "+Один.\n+Два!\nбум"
     assert df.select(speech.stressed(F.col("t")).alias("r")).first()["r"] == "Один.\nДва!\nбум"
+
+
+def test_buckets_of_chapters_are_single_files(spark, tmp_path):
+    """Rows of all buckets in every task give a file a bucket, appended or replaced."""
+    rows = spark.range(4000).select(F.col("id").cast("int").alias("id"), F.lit("t").alias("title")).repartition(16)
+    table = f"{tmp_path}/chapters"
+    for force in (False, True):
+        project.write_chapters(rows, table, force=force)
+        for k in range(4):
+            assert len(list((tmp_path / "chapters" / f"bucket={k}").glob("*.json"))) == 1
+        assert spark.read.json(table).count() == 4000
+
+
+def test_results_of_a_batch_are_read_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(line):
+        seen.add(1)
+        return line
+
+    once = counted.asNondeterministic()
+    p = Project(spark, f"{tmp_path}/p", batches.FakeProvider(lambda lines: answered(lines).select(once("value").alias("value"))), Config())
+    project.write_chapters(spark.range(1, 31).selectExpr("'b' as book", "cast(id as int) as id", "'t' as title", "'text' as source"), p.path("chapters", "chapters"))
+    p.analyze()
+    assert p.summaries().count() == 30 and p.characters().count() == 3
+    assert seen.value == 30
