@@ -153,6 +153,9 @@ def split(items: DataFrame, toc: DataFrame, start_id: int = 0, force: str | None
     ``force`` names one strategy for all. A strategy is run once, on the books that those before it left over."""
     if force is not None and force not in _TOC:
         raise ValueError(f"unknown strategy {force!r}: toc, heading or per-item")
+    if force is None:
+        # Each strategy reads the blocks anew, some several times.
+        items = kept(items)
     left, outs = items.select("book").distinct(), []
     own = lambda df, books: df.join(books.select("book"), "book", "left_semi")
     for name in _TOC if force is None else (force,):

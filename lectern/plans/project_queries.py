@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import space_split, vocabulary_applied
 from ..operators import overview, segment, vocab
+from ..shared import kept
 from ..sources import epub
 from ..streaming import batches
 from . import run_queries as R
@@ -25,7 +26,7 @@ def project(s: SparkSession, provider: batches.Provider | None = None) -> Projec
 
 def forced_index(s: SparkSession, d: str) -> DataFrame:
     """The index of each strategy, forced on all books."""
-    items, toc = V.items(s, d), V.toc(s, d)
+    items, toc = kept(V.items(s, d)), V.toc(s, d)
     every = vocab.union_all([segment.split(items, toc, force=name)[2] for name in ("toc", "heading", "per-item")])
     return every.select("book", "strategy", "chapter_count", F.size("warnings").alias("warnings"))
 

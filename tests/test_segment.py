@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.operators import segment
 from lectern.operators.segment import cut_trailer
+from lectern.plans import views as V
+from lectern.plans.project_queries import forced_index
 
 ITEM = f"book string, spine_index int, id string, href string, blocks {schemas.BLOCKS}"
 TOC = "book string, toc_index int, Title string, SrcFile string, SrcAnchor string"
@@ -146,3 +149,23 @@ def test_anchored_sections_of_any_length(spark, monkeypatch, seed):
     kind = "book string, spine_index long, id string, href string, blocks array<struct<kind:string,level:int,anchor:string,text:string,alt:string>>"
     made, _ = segment.by_toc(spark.createDataFrame(items, kind), spark.createDataFrame(toc, "book string, toc_index int, Title string, SrcFile string, SrcAnchor string"))
     assert sorted((r["id"], r["source"], r["section_ids"], r["toc_entry_index"]) for r in made.collect()) == want
+
+
+def test_items_are_made_once(spark, monkeypatch):
+    """Strategies read stored items, however often they need the blocks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        seen.add(1)
+        return name
+
+    once = F.udf(counted, "string").asNondeterministic()
+    block = "struct('heading' as kind, 1 as level, '' as anchor, concat('Chapter ', id) as text, '' as alt), struct('paragraph' as kind, 0 as level, '' as anchor, 'x' as text, '' as alt)"
+    items = spark.range(20).selectExpr("'b' as book", "cast(id as int) as spine_index", "concat('i', id) as id", "concat('i', id) as href", f"array({block}) as blocks").withColumn("href", once("href"))
+    toc = spark.createDataFrame([], TOC)
+    monkeypatch.setattr(V, "items", lambda s, d: items)
+    monkeypatch.setattr(V, "toc", lambda s, d: toc)
+    assert sorted((r["strategy"], r["chapter_count"]) for r in forced_index(spark, "").collect()) == [("heading", 20), ("per-item", 20), ("toc", 0)]
+    assert seen.value == 20
+    chapters, _, index = segment.split(items, toc)
+    assert [r["strategy"] for r in index.collect()] == ["heading"] and chapters.count() == 20 and seen.value == 40
