@@ -48,7 +48,7 @@ def tagged_vocabulary(s: SparkSession, d: str) -> DataFrame:
 
 def second_rootfile(s: SparkSession, d: str) -> DataFrame:
     """Title and items of books whose first rootfile is none of theirs."""
-    packed = R.archives(s, d, odd=True)
+    packed = kept(R.archives(s, d, odd=True))
     rows = epub.books(packed, "metadata").select("path", "title").join(epub.books(packed, "spine").select("path", "spine_index", "media_type"), "path")
     return rows.select(F.col("path").cast("long").alias("doc_id"), "title", "spine_index", "media_type")
 

@@ -20,6 +20,7 @@ from ..sources import epub
 from ..sources.batches import parse_results
 from ..schemas import BATCH_STATE
 from ..shared import folder as scratch
+from ..shared import kept
 from ..sources.html import exploded, with_blocks
 from ..streaming import batches, lifecycle, speech
 from . import views as V
@@ -140,7 +141,7 @@ def book_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 def book_contents(s: SparkSession, d: str) -> DataFrame:
-    packed = archives(s, d)
+    packed = kept(archives(s, d))
     toc, meta, spine = (epub.books(packed, t) for t in ("toc", "metadata", "spine"))
     rows = meta.select("path", "title").join(toc.select("path", F.col("Title").alias("entry"), "SrcFile", "SrcAnchor"), "path").join(spine.groupBy("path").agg(F.count(F.lit(1)).alias("items")), "path")
     return rows.select(F.col("path").cast("long").alias("doc_id"), "title", "entry", F.col("SrcFile").alias("file"), F.col("SrcAnchor").alias("anchor"), "items")

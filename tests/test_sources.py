@@ -2,9 +2,12 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from lectern.plans import project_queries, run_queries
 from lectern.sources import batches, epub
 from lectern.sources.html import blocks_of, exploded, parse, with_blocks
 
@@ -114,3 +117,24 @@ def test_requests(spark):
     a, b = (json.loads(r["value"]) for r in batches.request_lines(rows).collect())
     assert a == {"custom_id": "a", "method": "POST", "url": "/v1/responses", "body": {"input": [{"content": "t", "role": "user"}], "instructions": "i", "model": "m", "reasoning": {"effort": "none"}, "text": {"format": {"type": "json_object"}}}}
     assert b["body"]["max_output_tokens"] == 5 and "text" not in b["body"]
+
+
+def test_small_books_are_read_together_and_packed_once(spark, monkeypatch):
+    """Rows of many small books make one Arrow batch; queries that read several tables of books pack them once."""
+    packed = run_queries.archives(spark, "/root/testdata/sf0.001", odd=True).limit(40).collect()
+    batch = pa.RecordBatch.from_pydict({"path": [r["path"] for r in packed], "content": [bytes(r["content"]) for r in packed]})
+    schema = epub._arrow_schema(spark, "path string, " + epub.TABLES["spine"])
+    assert [b.num_rows for b in epub.parsed([batch], "spine", schema)] == [40]
+    monkeypatch.setattr(epub, "SLICE", 1)
+    assert [b.num_rows for b in epub.parsed([batch], "spine", schema)] == [1] * 40
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(path):
+        seen.add(1)
+        return path
+
+    once = F.udf(counted, "string").asNondeterministic()
+    books = spark.createDataFrame(packed).withColumn("path", once("path"))
+    monkeypatch.setattr(run_queries, "archives", lambda *a, **k: books)
+    assert project_queries.second_rootfile(spark, "").count() == 40 and seen.value == 40
+    assert run_queries.book_contents(spark, "").count() == 40 and seen.value == 80
