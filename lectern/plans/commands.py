@@ -176,8 +176,8 @@ class Project:
         def process(lines: DataFrame) -> None:
             good = context.outcomes(parse_results(lines), "translate").where("outcome = 'ok'")
             new = kept(good.select(F.col("chapter_id").cast("int").alias("chapter_id"), title_deduplicated(trimmed(F.col("content"))).alias("text")))
-            kept = self.translations().join(new.select("chapter_id"), "chapter_id", "left_anti")
-            self.save(kept.unionByName(new), "translation", self.config.languages.target)
+            rest = self.translations().join(new.select("chapter_id"), "chapter_id", "left_anti")
+            self.save(rest.unionByName(new), "translation", self.config.languages.target)
 
         return self._batch("translate", requests, self.config.model.translation_model, process, every, go_on)
 
