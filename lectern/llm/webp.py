@@ -2,9 +2,11 @@
 
 The decoder reads prefix codes (simple and normal, with meta prefix codes), back-references with the two-dimensional
 distance map, and the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
-``decode_streams`` decodes many images at once: those whose data are symbols of one green code only (literals and the
-colour cache), as ``encode_payloads`` writes for most texts, advance in lockstep, one symbol of every image in each step;
-all others take the general path.
+``decode_streams`` decodes many images at once: those of one green code whose other colours are fixed, with back-references
+or a colour cache or neither, are read together, as arrays; all others (several groups of codes, references beside a cache,
+colours) take the general path.
+
+The content of a page decides how it is stored (``choose``): whichever of all features makes it smallest.
 
 A file of several images is an animation whose frames are tiles of one canvas, so a payload of any length is one file.
 """
@@ -13,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import struct
-import zlib
 
 import numpy as np
 
@@ -24,12 +25,20 @@ LENGTH_CODES, DISTANCE_CODES, CACHE_MULTIPLIER = 24, 40, 0x1E35A7BD
 #: Nearby places by distance, then by |x|, right before left: the meaning of distance codes 1 to 120.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
-#: Samples in a row and rows in a page of stored samples; longest code of their pages; ratio from which matches are sought.
-ROW, PAGE_ROWS, MOST_BITS, MATCH_RATIO = 192, 128, 11, 8.0
+#: Samples in a row and rows in a page of stored samples; longest code of their pages.
+ROW, PAGE_ROWS, MOST_BITS = 192, 128, 11
 #: Symbols that are read one by one in the time of a step in lockstep.
 STEP_SYMBOLS = 60
+#: Bytes of streams with back-references that are read at a time.
+TOKEN_BYTES = 1 << 15
+#: Shortest back-reference, samples of one that are compared, longest.
+LEAST, REACH, LONGEST = 4, 64, 4096
 #: Predictor modes that look at the row above only; tile sizes and cache bits of stored samples, as powers of two.
 FROM_ABOVE, TILE_BITS, ONE_TILE, CACHE_BITS = (2, 3, 4, 8, 9), 6, 9, 6
+#: Share of its bits that counts must promise to save before a page is coded in another way as well.
+WORTH = 0.01
+#: Tiles of groups of codes, as a power of two; bytes of pages whose coding is chosen together.
+META_BITS, CHOICE_BYTES = 3, 1 << 18
 
 
 class Bits:
@@ -83,6 +92,12 @@ def reverse(code: int, n: int) -> int:
     return _REVERSED[code] >> (15 - n)
 
 
+@functools.cache
+def turned(width: int) -> np.ndarray:
+    """All numbers of ``width`` bits with their bits the other way round."""
+    return np.array(_REVERSED, np.int64)[: 1 << width] >> (15 - width)
+
+
 def canonical(lengths: list[int] | np.ndarray) -> dict[int, tuple[int, int]]:
     """symbol -> (code with its first bit lowest, length)"""
     out, code, last = {}, 0, 0
@@ -93,6 +108,16 @@ def canonical(lengths: list[int] | np.ndarray) -> dict[int, tuple[int, int]]:
     return out
 
 
+def reversed_codes(lengths: np.ndarray) -> np.ndarray:
+    """Codes with their first bit lowest, of a complete prefix code of at least two symbols."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    room = 1 << (15 - lengths[order])
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = turned(15)[np.cumsum(room) - room]
+    return out
+
+
 def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     """Lengths of a complete prefix code for the symbols that occur, none over ``most``; 1 for a single symbol."""
     out = np.zeros(len(counts), np.int64)
@@ -117,7 +142,13 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     depth = [0] * (2 * n - 1)
     for i in range(2 * n - 3, -1, -1):
         depth[i] = depth[parent[i]] + 1
-    lengths = depth[:n]
+    out[order] = _limited(depth[:n], weight, most)
+    return out
+
+
+def _limited(lengths: list[int], weight: list[int], most: int) -> list[int]:
+    """Lengths of a complete code (the rarest symbols first) with none over ``most``."""
+    n = len(lengths)
     if lengths[0] > most:  # the rarest come first and are deepest
         lengths = [min(x, most) for x in lengths]
         room = (1 << most) - sum(1 << (most - x) for x in lengths)
@@ -130,7 +161,43 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
             i = max((k for k in range(n) if 1 << (most - lengths[k]) <= room), key=lambda k: weight[k])
             room -= 1 << (most - lengths[i])
             lengths[i] -= 1
-    out[order] = lengths
+    return lengths
+
+
+def all_code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """``code_lengths`` of each row, all rows joined together step by step."""
+    rows, far = len(counts), np.int64(1) << 60
+    n = (counts > 0).sum(1)
+    out = (counts > 0).astype(np.int64)
+    order = np.argsort(np.where(counts > 0, counts, far), 1, kind="stable")[:, : max(2, int(n.max()))]
+    width = order.shape[1]
+    weight = np.full((rows, 2 * width + 1), far)  # leaves, then joined nodes
+    sorted_counts = np.take_along_axis(counts, order, 1)
+    weight[:, :width] = np.where(sorted_counts > 0, sorted_counts, far)
+    parent = np.zeros((rows, 2 * width), np.int64)
+    leaf, node = np.zeros(rows, np.int64), np.full(rows, width)
+    for new in range(width, 2 * width - 1):
+        live = np.flatnonzero(n - 1 > new - width)
+        total = 0
+        for _ in range(2):
+            a, b = leaf[live], node[live]
+            own = np.where(a < width, weight[live, np.minimum(a, width - 1)], far)
+            other = weight[live, b]
+            first = own <= other
+            first &= own < far
+            parent[live, np.where(first, a, b)] = new
+            total = total + np.where(first, own, other)
+            leaf[live], node[live] = a + first, b + ~first
+        weight[live, new] = total
+    depth = np.zeros((rows, 2 * width), np.int64)
+    each = np.arange(rows)
+    for k in range(2 * width - 2, width - 1, -1):
+        inner = k < width + n - 2
+        depth[:, k] = np.where(inner, depth[each, parent[:, k]] + 1, 0)
+    found = np.take_along_axis(depth, parent[:, :width], 1) + 1
+    for k in np.flatnonzero(n > 1).tolist():
+        size = found[k, : n[k]]
+        out[k, order[k, : n[k]]] = size if size[0] <= most else _limited(size.tolist(), weight[k, : n[k]].tolist(), most)
     return out
 
 
@@ -145,20 +212,28 @@ class Code:
         used = {s: n for s, n in lengths.items() if n}
         if not used:
             raise ValueError("a prefix code without symbols")
-        self.single = next(iter(used)) if len(used) == 1 else None
+        self.used, self.single = used, next(iter(used)) if len(used) == 1 else None
         if self.single is None:
-            self.width = max(used.values())
-            self.table: list = [None] * (1 << self.width)
-            code, last = 0, 0
-            for n, s in sorted((n, s) for s, n in used.items()):
-                code <<= n - last
-                entry = (s, n)
-                for k in range(reverse(code, n), 1 << self.width, 1 << n):
-                    self.table[k] = entry
-                code, last = code + 1, n
-            if code != 1 << last:
+            self.width, self.tables = max(used.values()), {}
+            if sum(1 << (15 - n) for n in used.values()) != 1 << 15:
                 raise ValueError("a prefix code that is not complete")
 
+    @functools.cached_property
+    def table(self) -> list[tuple[int, int]]:
+        """(symbol, length) by the next ``width`` bits."""
+        entries = self.entries(self.width)
+        return list(zip((entries >> 4).tolist(), (entries & 15).tolist()))
+
+    def entries(self, width: int) -> np.ndarray:
+        """symbol << 4 | length by the next ``width`` bits; a single symbol takes none."""
+        if self.single is not None:
+            return np.full(1 << width, self.single << 4, np.uint16)
+        if width not in self.tables:
+            entry = np.array(sorted([n << 16 | s for s, n in self.used.items()]))
+            bits = entry >> 16
+            self.tables[width] = np.repeat(((entry & 0xFFFF) << 4 | bits).astype(np.uint16), 1 << (width - bits))[turned(width)]
+        return self.tables[width]
+
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
@@ -180,19 +255,33 @@ def read_lengths(bits: Bits, size: int) -> dict[int, int]:
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths: dict[int, int] = {}
     symbol, previous = 0, 8
+    table, mask = (inner.table, (1 << inner.width) - 1) if inner.single is None else ([(inner.single, 0)], 0)
+    at = bits.at
+    ahead, held = 0, 0  # the next bits, and their number
     while symbol < size and left:
         left -= 1
-        x = inner.read(bits)
+        if held < 14:
+            ahead = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 24], "little") >> (at & 7)
+            held = 185
+        x, n = table[ahead & mask]
+        ahead >>= n
         if x < 16:
             if x:
                 lengths[symbol] = previous = x
             symbol += 1
         elif x == 16:
-            for _ in range(3 + bits.read(2)):
+            for _ in range(3 + (ahead & 3)):
                 lengths[symbol] = previous
                 symbol += 1
+            ahead, n = ahead >> 2, n + 2
+        elif x == 17:
+            symbol += 3 + (ahead & 7)
+            ahead, n = ahead >> 3, n + 3
         else:
-            symbol += 3 + bits.read(3) if x == 17 else 11 + bits.read(7)
+            symbol += 11 + (ahead & 127)
+            ahead, n = ahead >> 7, n + 7
+        at, held = at + n, held - n
+    bits.at = at
     if symbol > size:
         raise ValueError("more code lengths than symbols")
     return lengths
@@ -210,6 +299,22 @@ def prefixed(bits: Bits, code: int) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
+def _prefixes() -> tuple[np.ndarray, np.ndarray]:
+    """Extra bits and least value of each prefix code."""
+    extra = np.array([max(0, (k - 2) >> 1) for k in range(DISTANCE_CODES)])
+    least = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(DISTANCE_CODES)])
+    return extra, least
+
+
+EXTRA, LEAST_OF = _prefixes()
+#: The last distance code whose extra bits are read at once.
+MOST_FAR = int(np.flatnonzero(EXTRA <= 17)[-1])
+#: Bits that a green symbol (128 more for a copy) or a distance takes with its extra bits, by its entry in the table of its code.
+_ENTRY = np.arange(1 << 13)
+STEP_OF = ((_ENTRY & 15) + np.where(_ENTRY >> 4 >= 256, 128 + EXTRA[np.clip((_ENTRY >> 4) - 256, 0, LENGTH_CODES - 1)], 0)).astype(np.uint8)
+FAR_STEP_OF = ((_ENTRY & 15) + EXTRA[np.minimum(_ENTRY >> 4, DISTANCE_CODES - 1)]).astype(np.uint8)
+
+
 def read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """Pixels of an entropy-coded image (flat, ARGB)."""
     cache_bits, groups, meta, step = read_image_head(bits, width, height, top)
@@ -358,6 +463,37 @@ def _undo_from_above(residual: np.ndarray, modes: np.ndarray, bits: int) -> np.n
     return out
 
 
+def residuals(pixels: np.ndarray, mode: int) -> np.ndarray:
+    """What one mode leaves of pixels (height, width, channels), of which the first is alpha; not taken modulo 256."""
+    flat = pixels.reshape(-1, pixels.shape[-1])
+    width = pixels.shape[1]
+    before = lambda n: np.concatenate([np.zeros_like(flat[:n]), flat])[: len(flat)]
+    left, top, right, corner = before(1), before(width), before(width - 1) if width > 1 else flat, before(width + 1)
+    half = lambda a, b: (a + b) >> 1
+    away = lambda a, b: np.abs(a - b).sum(-1, keepdims=True)
+    black = np.array([255] + [0] * (flat.shape[1] - 1), flat.dtype)
+    guess = {
+        1: lambda: left,
+        2: lambda: top,
+        3: lambda: right,
+        4: lambda: corner,
+        5: lambda: half(half(left, right), top),
+        6: lambda: half(left, corner),
+        7: lambda: half(left, top),
+        8: lambda: half(corner, top),
+        9: lambda: half(top, right),
+        10: lambda: half(half(left, corner), half(top, right)),
+        11: lambda: np.where(away(top, corner) < away(left, corner), left, top),
+        12: lambda: np.clip(left + top - corner, 0, 255),
+        13: lambda: np.clip(half(left, top) + ((d := half(left, top) - corner) + (d < 0) >> 1), 0, 255),
+    }.get(mode, lambda: np.broadcast_to(black, flat.shape))()
+    out = (flat - guess).reshape(pixels.shape)
+    out[1:, 0] = pixels[1:, 0] - pixels[:-1, 0]
+    out[0, 1:] = pixels[0, 1:] - pixels[0, :-1]
+    out[0, 0] = pixels[0, 0] - black
+    return out
+
+
 def undo_predictor(argb: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int) -> np.ndarray:
     if np.isin(modes & 15, FROM_ABOVE).all():
         residual = argb.reshape(height, width).astype(">u4").view(np.uint8).reshape(height, width, 4)
@@ -453,6 +589,13 @@ class Header:
             return False
         return green.single < 256 if green.single is not None else green.width <= MOST_BITS
 
+    def referenced(self) -> bool:
+        """Whether the data are literals and back-references of one green code, in images of one other colour without a cache."""
+        if self.meta is not None or self.cache_bits or any(c.single is None for c in self.groups[0][1:4]):
+            return False
+        green, far = self.groups[0][0], self.groups[0][4]
+        return green.single is None and green.width <= MOST_BITS and (far.single is not None or far.width <= MOST_BITS) and max(far.used) <= MOST_FAR
+
     def base(self) -> int:
         """The pixel of a plain image whose green is 0."""
         red, blue, alpha = (c.single for c in self.groups[0][1:4])
@@ -549,12 +692,7 @@ def _greens(heads: list[Header], cached: bool) -> list[np.ndarray | None]:
         data, starts, offset = [], np.zeros(n, np.int64), 0
         for k, i in enumerate(mine):
             head = heads[i]
-            green = head.groups[0][0]
-            if green.single is not None:
-                tables[k] = green.single << 4
-            else:
-                small = np.array([s << 4 | b for s, b in green.table], np.uint16)
-                tables[k] = np.tile(small, (1 << MOST_BITS) // len(small))
+            tables[k] = head.groups[0][0].entries(MOST_BITS)
             data.append(head.bits.data)
             starts[k] = 8 * offset + head.bits.at
             offset += len(head.bits.data)
@@ -621,6 +759,93 @@ def _green_alone(head: Header) -> np.ndarray | None:
     return np.frombuffer(out, np.uint8)
 
 
+def _with_references(heads: list[Header]) -> list[np.ndarray]:
+    """Green samples of referenced images, a bounded number of bytes at a time: copies are followed to literals at the end."""
+    out, at = [], 0
+    while at < len(heads):
+        first, data, total = at, 0, 0
+        while at < len(heads) and (at == first or data < TOKEN_BYTES and total < 1 << 20):
+            data, total = data + len(heads[at].bits.data), total + heads[at].coded_width * heads[at].height
+            at += 1
+        mine = heads[first:at]
+        ends = np.cumsum([h.coded_width * h.height for h in mine])
+        green = _follow(*_tokens(mine, ends), int(ends[-1]))
+        out += np.split(green, ends[:-1])
+    return out
+
+
+def _tokens(heads: list[Header], ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places and values of all literals; places, lengths and distances of all copies. Places count over all images, whose
+    last ones are before ``ends``. The bits that a symbol takes are looked up for every bit as if one began there, so that only
+    the walk from symbol to symbol is one after another."""
+    datas = [h.bits.data for h in heads]
+    starts = np.cumsum([0] + [len(d) for d in datas])
+    raw = np.frombuffer(b"".join([*datas, bytes(8)]), np.uint8).astype(np.uint32)
+    window = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    code = ((window.astype(np.int64)[:, None] >> np.arange(8)) & ((1 << MOST_BITS) - 1)).reshape(-1)
+    greens, fars = (np.concatenate([h.groups[0][k].entries(MOST_BITS) for h in heads]) for k in (0, 4))
+    steps = STEP_OF[greens] | FAR_STEP_OF[fars].astype(np.uint16) << 8
+    both = np.zeros(len(code), np.uint16)
+    for k, (a, b) in enumerate(zip(8 * starts, 8 * starts[1:])):
+        np.take(steps[k << MOST_BITS : (k + 1) << MOST_BITS], code[a:b], out=both[a:b], mode="clip")
+    step = (both & 127).astype(np.uint8)
+    copy = np.flatnonzero(both & 128)
+    step[copy] += (both >> 8).astype(np.uint8)[np.minimum(copy + step[copy], len(code) - 1)]
+    walk, steps = bytearray(len(code)), step.tobytes()
+    for h, a, b in zip(heads, (8 * starts).tolist(), (8 * starts[1:]).tolist()):
+        at = a + h.bits.at
+        while at < b:
+            walk[at] = 1
+            at += steps[at]
+    at = np.flatnonzero(np.frombuffer(walk, np.uint8))
+    counts = np.diff(np.searchsorted(at, 8 * starts))
+    image = np.repeat(np.arange(len(heads)), counts)
+    peek = lambda at: window[np.minimum(at >> 3, len(window) - 1)] >> (at & 7).astype(np.uint32)
+    entry = greens[(image << MOST_BITS) + code[at]]
+    symbol = (entry >> 4).astype(np.int64)
+    length = np.ones(len(at), np.int64)
+    c = np.flatnonzero(symbol >= 256)
+    kind, now = symbol[c] - 256, at[c] + (entry[c] & 15)
+    length[c] = LEAST_OF[kind] + (peek(now) & ((1 << EXTRA[kind]) - 1))
+    now = np.minimum(now + EXTRA[kind], len(code) - 1)
+    entry = fars[(image[c] << MOST_BITS) + code[now]]
+    kind, now = (entry >> 4).astype(np.int64), now + (entry & 15)
+    far = LEAST_OF[kind] + (peek(now) & ((1 << EXTRA[kind]) - 1))
+    near = {w: np.array([0, *(max(1, x + y * w) for x, y in NEAR)]) for w in {h.coded_width for h in heads}}
+    near = np.stack([near[h.coded_width] for h in heads])
+    far = np.where(far > 120, far - 120, near[image[c], np.minimum(far, 120)])
+    # The bits that fill the last byte may look like symbols.
+    begins = np.cumsum([0, *counts])[:-1]
+    run = np.cumsum(length) - length
+    place = run - np.repeat(run[begins], counts)
+    first = np.concatenate([[0], ends[:-1]])
+    size = (ends - first)[image]
+    used = place < size
+    last = np.flatnonzero(used & (place + length >= size))
+    if len(last) < len(heads) or (used & (place + length > size)).any() or (far > place[c])[used[c]].any():
+        raise ValueError("a back-reference outside the image, or an image cut off")
+    place = place + first[image]
+    literal, c, far = used & (symbol < 256), c[used[c]], far[used[c]]
+    return place[literal], symbol[literal].astype(np.uint8), place[c], length[c], far
+
+
+def _follow(where: np.ndarray, what: np.ndarray, first: np.ndarray, length: np.ndarray, far: np.ndarray, total: int) -> np.ndarray:
+    """Samples of literals and copies: every copied place is taken back along the copies until it is a literal."""
+    out = np.zeros(total, np.uint8)
+    out[where] = what
+    copied = np.repeat((first - np.cumsum(length) + length).astype(np.int32), length) + np.arange(int(length.sum()), dtype=np.int32)
+    source = np.arange(total, dtype=np.int32)
+    source[copied] = copied - np.repeat(far.astype(np.int32), length)
+    left = copied
+    while len(left):
+        now = source[left]
+        further = source[now]
+        source[left] = further
+        left = left[now != further]
+    out[copied] = out[source[copied]]
+    return out
+
+
 def cache_places(base: int, cache_bits: int) -> np.ndarray:
     """The place in the colour cache of each green sample on top of ``base``."""
     pixels = np.uint64(base) | np.arange(256, dtype=np.uint64) << np.uint64(8)
@@ -631,10 +856,12 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     """Pixels (height, width) of many VP8L streams."""
     heads = [Header(p) for p in streams]
     plain = [h.plain() for h in heads]
+    referenced = [not p and h.referenced() for h, p in zip(heads, plain)]
     greens = iter(_lockstep([h for h, p in zip(heads, plain) if p]))
+    copies = iter(_with_references([h for h, r in zip(heads, referenced) if r]))
     out = []
-    for h, p in zip(heads, plain):
-        green = next(greens) if p else None
+    for h, p, r in zip(heads, plain, referenced):
+        green = next(greens) if p else next(copies) if r else None
         if green is None:
             out.append(h.finish(read_pixels(h.bits, h.coded_width, h.height, h.cache_bits, h.groups, h.meta, h.step)))
             continue
@@ -661,18 +888,19 @@ def prefix_of(value: int) -> tuple[int, int, int]:
 
 def write_lengths(sink: Sink, lengths: np.ndarray) -> None:
     """A prefix code: simple where it has one or two symbols of 8 bits, else by lengths, runs of zeros folded."""
-    used = np.flatnonzero(lengths).tolist()
+    tokens = length_tokens(lengths)
+    inner = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7) if tokens else lengths
+    sink.put(*length_bits(lengths, tokens, inner))
+
+
+def length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """(symbol, extra bits, their value) of the lengths of a code; none for a simple one."""
+    used = np.flatnonzero(lengths)
+    values, used = lengths[used].tolist(), used.tolist()
     if len(used) <= 2 and all(s < 256 for s in used):
-        first = used[0] if used else 0
-        sink.put(1, 1)
-        sink.put(len(used) == 2, 1)
-        sink.put(first > 1, 1)
-        sink.put(first, 8 if first > 1 else 1)
-        if len(used) == 2:
-            sink.put(used[1], 8)
-        return
+        return []
     tokens, at = [], 0
-    for s in used:
+    for s, length in zip(used, values):
         gap = s - at
         while gap:
             if gap < 3:
@@ -684,27 +912,34 @@ def write_lengths(sink: Sink, lengths: np.ndarray) -> None:
                 token = (18, 7, run - 11)
             tokens.append(token)
             gap -= run
-        tokens.append((int(lengths[s]), 0, 0))
+        tokens.append((length, 0, 0))
         at = s + 1
-    counts = np.bincount([t[0] for t in tokens], minlength=19)
-    inner = code_lengths(counts, 7)
+    return tokens
+
+
+def length_bits(lengths: np.ndarray, tokens: list[tuple[int, int, int]], inner: np.ndarray) -> tuple[int, int]:
+    """The bits of a prefix code, and their number; ``inner``: lengths of the code of its tokens."""
+    if not tokens:
+        used = np.flatnonzero(lengths).tolist()
+        first = used[0] if used else 0
+        value, at = 1 | (len(used) == 2) << 1 | (first > 1) << 2 | first << 3, 11 if first > 1 else 4
+        return (value | used[1] << at, at + 8) if len(used) == 2 else (value, at)
     if np.count_nonzero(inner) == 1:
         inner[0 if not inner[0] else 1] = 1
-    codes = canonical(inner)
-    n = max(k for k in range(19) if inner[CODE_LENGTH_ORDER[k]]) + 1
-    n = max(n, 4)
-    sink.put(0, 1)
-    sink.put(n - 4, 4)
+    codes, inner = reversed_codes(inner).tolist(), inner.tolist()
+    n = max(4, max(k for k in range(19) if inner[CODE_LENGTH_ORDER[k]]) + 1)
+    value, at = (n - 4) << 1, 5
     for k in range(n):
-        sink.put(int(inner[CODE_LENGTH_ORDER[k]]), 3)
-    sink.put(1, 1)
+        value |= inner[CODE_LENGTH_ORDER[k]] << at
+        at += 3
     wide = max(0, ((len(tokens) - 2).bit_length() - 1) // 2)
-    sink.put(wide, 3)
-    sink.put(len(tokens) - 2, 2 + 2 * wide)
-    for symbol, extra, value in tokens:
-        sink.put(*codes[symbol])
-        if extra:
-            sink.put(value, extra)
+    value |= (1 | wide << 1 | (len(tokens) - 2) << 4) << at
+    at += 6 + 2 * wide
+    for symbol, extra, rest in tokens:
+        n = inner[symbol]
+        value |= (codes[symbol] | rest << n) << at
+        at += n + extra
+    return value, at
 
 
 def matches(pixels: list[int], least: int = 4, most: int = 4096) -> list[tuple]:
@@ -728,10 +963,13 @@ def matches(pixels: list[int], least: int = 4, most: int = 4096) -> list[tuple]:
     return out
 
 
-def write_image(sink: Sink, argb: np.ndarray, width: int, height: int, top: bool, cache_bits: int = 0, match: bool = False, meta_bits: int = 0) -> None:
-    """An entropy-coded image. With ``meta_bits`` (top image only) tiles alternate between two groups of codes."""
+def write_image(
+    sink: Sink, argb: np.ndarray, width: int, height: int, top: bool, cache_bits: int = 0, match: bool | list[tuple] = False, meta_bits: int = 0, meta: np.ndarray | None = None
+) -> None:
+    """An entropy-coded image, with back-references as given or found by ``matches``, or without. With ``meta_bits`` (top image
+    only) tiles have the groups of codes that ``meta`` gives, or alternate between two."""
     pixels = argb.reshape(-1).tolist()
-    tokens = matches(pixels) if match else [("pixel", p) for p in pixels]
+    tokens = match if isinstance(match, list) else matches(pixels) if match else [("pixel", p) for p in pixels]
     near = {}
     for code, (x, y) in enumerate(NEAR):
         near.setdefault(max(1, x + y * width), code + 1)
@@ -764,7 +1002,7 @@ def write_image(sink: Sink, argb: np.ndarray, width: int, height: int, top: bool
         if meta_bits:
             sink.put(meta_bits - 2, 3)
             w, h = (width + (1 << meta_bits) - 1) >> meta_bits, (height + (1 << meta_bits) - 1) >> meta_bits
-            tiles = (np.add.outer(np.arange(h), np.arange(w)) % 2).astype(np.uint32)
+            tiles = (np.add.outer(np.arange(h), np.arange(w)) % 2 if meta is None else meta).astype(np.uint32)
             groups = int(tiles.max()) + 1
             write_image(sink, tiles << 8 | 0xFF000000, w, h, False)
             which = lambda at: int(tiles[(at // width) >> meta_bits, (at % width) >> meta_bits])
@@ -820,9 +1058,20 @@ def _head(sink: Sink, width: int, height: int, alpha: bool) -> None:
     sink.put(0, 3)
 
 
-def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, match: bool = True, meta_bits: int = 0, tile_bits: int = 3, seed: int = 0) -> bytes:
+def encode(
+    argb: np.ndarray,
+    transforms: tuple = (),
+    cache_bits: int = 0,
+    match: bool | list[tuple] = True,
+    meta_bits: int = 0,
+    tile_bits: int = 3,
+    seed: int = 0,
+    meta: np.ndarray | None = None,
+    modes: np.ndarray | None = None,
+    multipliers: int | None = None,
+) -> bytes:
     """The VP8L stream of pixels (height, width) in ARGB. Transforms are applied in the order given; predictor modes and colour
-    multipliers of tiles go round from ``seed`` on."""
+    multipliers of tiles are those given (multipliers: one element for all tiles), else go round from ``seed`` on."""
     height, width = argb.shape
     sink = Sink()
     _head(sink, width, height, bool((argb >> 24 != 255).any()))
@@ -833,15 +1082,20 @@ def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, match:
         w, h = (coded + (1 << tile_bits) - 1) >> tile_bits, (height + (1 << tile_bits) - 1) >> tile_bits
         if kind == PREDICTOR:
             sink.put(tile_bits - 2, 3)
-            modes = ((np.arange(w * h) + seed) % 14).reshape(h, w)
+            modes = ((np.arange(w * h) + seed) % 14).reshape(h, w) if modes is None else modes
             write_image(sink, (modes << 8).astype(np.uint32) | 0xFF000000, w, h, False)
-            rows = channels(now.reshape(height, coded)).tolist()
-            left = [[[(a - b) & 255 for a, b in zip(rows[y][x], _around(rows, x, y, coded, int(modes[y >> tile_bits, x >> tile_bits])))] for x in range(coded)] for y in range(height)]
-            now = joined(np.array(left)).reshape(-1)
+            pixels = channels(now.reshape(height, coded))
+            each, found = _spread(modes, coded, height, tile_bits), np.empty_like(pixels)
+            for mode in np.unique(modes).tolist():
+                here = each == mode
+                found[here] = residuals(pixels, mode)[here]
+            now = joined(found).reshape(-1)
         elif kind == CROSS_COLOR:
             sink.put(tile_bits - 2, 3)
             k = np.arange(w * h) + seed
             tiles = (0xFF000000 | (k * 37 % 256) << 16 | (k * 91 % 256) << 8 | (k * 53 % 256)).astype(np.uint32).reshape(h, w)
+            if multipliers is not None:
+                tiles = np.full((h, w), multipliers, np.uint32)
             write_image(sink, tiles, w, h, False)
             now = cross_color(now, coded, height, tiles, tile_bits, False)
         elif kind == SUBTRACT_GREEN:
@@ -860,7 +1114,7 @@ def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, match:
             packed = (grid.reshape(height, coded, per) << (depth * np.arange(per, dtype=np.uint32))).sum(-1) if b else grid
             now = (packed.astype(np.uint32) << 8 | 0xFF000000).reshape(-1)
     sink.put(0, 1)
-    write_image(sink, now, coded, height, True, cache_bits, match, meta_bits)
+    write_image(sink, now, coded, height, True, cache_bits, match, meta_bits, meta)
     return sink.done()
 
 
@@ -927,8 +1181,8 @@ SYMBOL_BITS = 9
 
 
 def encode_pages(pages: list[tuple[np.ndarray, str]]) -> list[bytes]:
-    """VP8L streams of grey samples (a multiple of ROW each) by kind (plain, predicted, cached), the bits of all pages laid out
-    together."""
+    """VP8L streams of grey samples (a multiple of ROW each) by kind, the bits of all pages laid out together: plain, or in one of
+    two fixed ways (predicted, cached) that choices are compared with."""
     n = len(pages)
     codes, lengths = np.zeros((n, 1 << SYMBOL_BITS), np.uint64), np.zeros((n, 1 << SYMBOL_BITS), np.uint64)
     heads, symbols = [], []
@@ -947,28 +1201,24 @@ def encode_pages(pages: list[tuple[np.ndarray, str]]) -> list[bytes]:
         bits = sink.bits()
         heads.append((int.from_bytes(sink.done(), "little"), bits))
         symbols.append(page.symbols)
-        used = np.flatnonzero(size)
-        if len(used) > 1:
-            order = used[np.argsort(size[used], kind="stable")]
-            code, last = 0, 0
-            for symbol, length in zip(order.tolist(), size[order].tolist()):
-                code <<= length - last
-                codes[k, symbol] = reverse(code, length)
-                code, last = code + 1, length
-            lengths[k, : len(size)] = size
+        if np.count_nonzero(size) > 1:
+            codes[k, : len(size)], lengths[k, : len(size)] = reversed_codes(size), size
     sizes = np.array([len(x) for x in symbols])
     which = np.repeat(np.arange(n) << SYMBOL_BITS, sizes) + np.concatenate(symbols)
     c, n = codes.reshape(-1)[which].reshape(-1, 3), lengths.reshape(-1)[which].reshape(-1, 3)
-    value = c[:, 0] | c[:, 1] << n[:, 0] | c[:, 2] << (n[:, 0] + n[:, 1])
-    total = n.sum(1).astype(np.int64)
+    return _laid(c[:, 0] | c[:, 1] << n[:, 0] | c[:, 2] << (n[:, 0] + n[:, 1]), n.sum(1).astype(np.int64), sizes // 3, heads)
+
+
+def _laid(value: np.ndarray, total: np.ndarray, sizes: np.ndarray, heads: list[tuple[int, int]]) -> list[bytes]:
+    """Streams of units (values of ``total`` bits, at most 33; ``sizes`` of them in each stream) behind heads (value, bits)."""
     ends = np.cumsum(total)
-    last = np.cumsum(sizes // 3) - 1
+    last = np.cumsum(sizes) - 1
     data_bits = np.diff(np.concatenate([[0], ends[last]]))
     head_bits = np.array([h[1] for h in heads])
     lanes = (head_bits + data_bits + 31) // 32 + 2
     first = np.concatenate([[0], np.cumsum(lanes)])
     shift = 32 * first[:-1] + head_bits - np.concatenate([[0], ends[last][:-1]])
-    at = ends - total + np.repeat(shift, sizes // 3)
+    at = ends - total + np.repeat(shift, sizes)
     value = value << (at & 31).astype(np.uint64)
     lane = at >> 5
     # The bits of different symbols never meet, so sums are exact and as good as a bitwise or.
@@ -984,12 +1234,308 @@ def encode_pages(pages: list[tuple[np.ndarray, str]]) -> list[bytes]:
     return done
 
 
+# ---------------------------------------------------------------- the choice of a page's coding
+
+
+def _prefix_table(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By value: prefix code, extra bits, their value."""
+    return tuple(np.array(x) for x in zip((0, 0, 0), *map(prefix_of, range(1, most + 1))))
+
+
+CODE_OF, EXTRA_OF, REST_OF = _prefix_table(ROW * PAGE_ROWS + 120)
+#: The distance that is written for each distance in pixels of rows of ROW samples.
+WRITTEN = np.arange(ROW * PAGE_ROWS + 1) + 120
+for _code, (_x, _y) in reversed(list(enumerate(NEAR))):
+    WRITTEN[max(1, _x + _y * ROW)] = _code + 1
+EXTRA_WRITTEN = EXTRA_OF[WRITTEN]
+
+
+class Parsed:
+    """Literals and back-references of pages (samples one after another), and the bits that both ways of coding take."""
+
+    def __init__(self, pages: list[np.ndarray]):
+        sizes = np.array([len(p) for p in pages])
+        s = np.concatenate(pages)
+        ends = np.cumsum(sizes)
+        page = np.repeat(np.arange(len(pages), dtype=np.int32), sizes)
+        left = np.repeat(ends.astype(np.int32), sizes) - np.arange(len(s), dtype=np.int32)
+        self.levels = np.bincount((page << 8) + s, minlength=len(pages) << 8).reshape(-1, 256)
+        share = np.log2(np.maximum(self.levels, 1))
+        cost = (np.log2(sizes)[:, None] - share).astype(np.float32)
+        literal = np.concatenate([[0], np.cumsum(cost.reshape(-1)[(page << 8) + s], dtype=np.float64)])
+        here, length, far = _earlier(s, page, left)
+        # A copy takes about four bits for its length and its distance each, and their extra bits.
+        gain = (literal[here + length] - literal[here] - 8 - EXTRA_OF[length] - EXTRA_WRITTEN[far]).astype(np.float32)
+        gains = np.zeros(len(s) + 1, np.float32)
+        gains[here] = gain
+        better = (gain > 0) & (gain >= gains[here + 1])
+        here, length, far = here[better], length[better], far[better]
+        step, away = np.ones(len(s), np.uint16), np.zeros(len(s), np.int64)
+        step[here], away[here] = length, far
+        walk, steps, at, n = bytearray(len(s)), step.data, 0, len(s)
+        while at < n:
+            walk[at] = 1
+            at += steps[at]
+        self.at = np.flatnonzero(np.frombuffer(walk, np.uint8))
+        self.length, self.far = step[self.at].astype(np.int64), away[self.at]
+        self.page, copy = page[self.at], self.far > 0
+        self.green = np.where(copy, 256 + CODE_OF[self.length], s[self.at])
+        self.written = WRITTEN[self.far]
+        self.greens = np.bincount(self.page * 280 + self.green, minlength=len(pages) * 280).reshape(-1, 280)
+        self.fars = np.bincount(self.page[copy] * 40 + CODE_OF[self.written[copy]], minlength=len(pages) * 40).reshape(-1, 40)
+        extra = np.bincount(self.page[copy], EXTRA_OF[self.length[copy]] + EXTRA_OF[self.written[copy]], len(pages))
+        self.samples, self.copy = s, copy
+        self.starts = ends - sizes
+        self.bits_plain = _bits(self.levels)
+        self.bits_far = _bits(self.fars) + extra
+        self.bits_matched = np.where(self.fars.any(1), _bits(self.greens) + self.bits_far, np.inf)
+        self.firsts = np.searchsorted(self.page, np.arange(len(pages) + 1))
+
+    def part(self, page: int) -> slice:
+        return slice(self.firsts[page], self.firsts[page + 1])
+
+    def tokens(self, page: int) -> list[tuple]:
+        """The page's symbols as ``matches`` gives them, of green samples in opaque pixels."""
+        mine = self.part(page)
+        rows = zip(self.length[mine].tolist(), self.far[mine].tolist(), self.green[mine].tolist())
+        return [("copy", n, far) if far else ("pixel", 0xFF000000 | green << 8) for n, far, green in rows]
+
+    def streams(self, which: np.ndarray) -> list[bytes]:
+        """VP8L streams of the pages ``which`` (ascending) with their back-references."""
+        heads = []
+        codes, bits = np.zeros((len(which), 320), np.uint64), np.zeros((len(which), 320), np.int64)
+        parts = []
+        for part, counts in ((slice(0, 280), self.greens[which]), (slice(280, 320), self.fars[which])):
+            sizes = all_code_lengths(counts, MOST_BITS)
+            tokens = [length_tokens(x) for x in sizes]
+            used = np.array([np.bincount([t[0] for t in x], minlength=19) if x else np.zeros(19, np.int64) for x in tokens])
+            inner = all_code_lengths(used, 7)
+            parts.append([length_bits(*x) for x in zip(sizes, tokens, inner)])
+            for k in np.flatnonzero((sizes > 0).sum(1) > 1).tolist():
+                codes[k, part], bits[k, part] = reversed_codes(sizes[k]), sizes[k]
+        for p, green, far in zip(which.tolist(), *parts):
+            sink = Sink()
+            _head(sink, ROW, (int(self.levels[p].sum())) // ROW, False)
+            sink.put(1 | SUBTRACT_GREEN << 1, 3)
+            sink.put(0, 3)  # no more transforms, no cache, no meta codes
+            sink.put(*green)
+            sink.put(0b00010001, 8)  # red and blue are 0 everywhere
+            sink.put(0b101 | 255 << 3, 11)
+            sink.put(*far)
+            n = sink.bits()
+            heads.append((int.from_bytes(sink.done(), "little"), n))
+        row = np.full(len(self.levels), -1)
+        row[which] = np.arange(len(which))
+        mine = np.flatnonzero(row[self.page] >= 0)
+        lane, copy = row[self.page[mine]] * 320, self.copy[mine]
+        codes, bits = codes.reshape(-1), bits.reshape(-1)
+        value, total = codes[lane + self.green[mine]], bits[lane + self.green[mine]]
+        length, written = self.length[mine], self.written[mine]
+        value[copy] |= REST_OF[length[copy]].astype(np.uint64) << total[copy].astype(np.uint64)
+        total[copy] += EXTRA_OF[length[copy]]
+        code = lane[copy] + 280 + CODE_OF[written[copy]]
+        far = codes[code] | REST_OF[written[copy]].astype(np.uint64) << bits[code].astype(np.uint64)
+        after = np.flatnonzero(copy) + 1
+        value, total = np.insert(value, after, far), np.insert(total, after, bits[code] + EXTRA_OF[written[copy]])
+        sizes = np.bincount(lane // 320, minlength=len(which)) + np.bincount(lane[copy] // 320, minlength=len(which))
+        return _laid(value, total, sizes, heads)
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """About the bits that a code and its symbols take, by their counts (the last axis)."""
+    n = counts.sum(-1)
+    return n * np.log2(np.maximum(n, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(-1) + 5 * (counts > 0).sum(-1) + 20
+
+
+def _last(key: np.ndarray, place: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal keys (hashes of 64 bits, of which the highest count): each and the one before it."""
+    width = np.uint64(total.bit_length())
+    # They stand side by side when the hash is sorted with the place in its low bits.
+    key = np.sort(key >> width << width | place.astype(np.uint64))
+    place = (key & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int32)
+    same = np.flatnonzero(key[1:] >> width == key[:-1] >> width)
+    return place[same + 1], place[same]
+
+
+def _agreeing(eight: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Samples that agree at two places, at most REACH; ``eight`` holds eight of them at each place."""
+    length, going = np.zeros(len(here), np.int32), np.arange(len(here))
+    for k in range(0, REACH, 8):
+        differ = eight[here[going] + k] ^ eight[there[going] + k]
+        agree = np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3  # 8 where nothing differs
+        length[going] += agree
+        going = going[agree == 8]
+    return length
+
+
+def _earlier(s: np.ndarray, page: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where LEAST samples stand that stood in the page before: place, samples that agree, distance. The last such place
+    counts, in pages that repeat themselves the last one where 16 or 48 samples agree, if there is one."""
+    eight = np.concatenate([s, np.zeros(REACH + 8, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        eight[:-k] |= eight[k:] << np.uint64(8 * k)
+    four = eight[: len(s)].astype(np.uint32)
+    own, mix = page.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+    key, place = (four ^ own) * mix, np.arange(len(s), dtype=np.int32)
+    here, there = _last(key, place, len(s))
+    same = page[here] == page[there]
+    here, there = here[same], there[same]
+    length = np.minimum(_agreeing(eight, here, there), left[here])
+    if (length < LEAST).any():  # across the end of a page
+        here, there, length = (x[length >= LEAST] for x in (here, there, length))
+    whole, back = np.zeros(len(s) + 1, np.int32), np.zeros(len(s) + 1, np.int32)
+    whole[here], back[here] = length, here - there
+    pages = int(page[-1]) + 1
+    often = (4 * np.bincount(page[whole[:-1] >= 8], minlength=pages) > np.bincount(page, minlength=pages))[page]
+    for long in (16, 48) if often.any() else ():
+        mine = place[often & (left >= long)]
+        key = own[mine]
+        for k in range(0, long, 8):
+            key = (key ^ eight[mine + k]) * mix
+            key ^= key >> np.uint64(29)
+        here, there = _last(key * mix, mine, len(s))
+        same = (whole[here] < long) & (page[here] == page[there])
+        here, there = here[same], there[same]
+        length = np.minimum(_agreeing(eight, here, there), left[here])
+        here, there, length = (x[length >= long] for x in (here, there, length))
+        whole[here], back[here] = length, here - there
+    here = np.flatnonzero(whole[:-1])
+    going = here[whole[here] == REACH]
+    while len(going):
+        # What agrees as far as was looked goes on where the same distance agrees from there on.
+        beyond = going + whole[going]
+        on = (back[beyond] == back[going]) & (whole[going] < left[going])
+        going, beyond = going[on], beyond[on]
+        whole[going] += whole[beyond]
+    return here, np.minimum(whole[here], LONGEST), back[here]
+
+
+def grey(samples: np.ndarray) -> np.ndarray:
+    """Samples as rows of opaque grey pixels."""
+    return (samples.astype(np.uint32) * 0x010101 | 0xFF000000).reshape(-1, ROW)
+
+
+def _predictions(pages: list[np.ndarray], bits_plain: np.ndarray) -> list[int]:
+    """The pages that literals of a predictor's residuals may code in fewer bits than literals of the samples. Modes of several
+    neighbours are tried where a mode of one of them takes at most an eighth more than none."""
+    samples = np.concatenate(pages)
+    first = np.repeat(np.arange(len(pages)) << 8, [len(p) for p in pages])
+    least = np.full(len(pages), np.inf)
+    for back in (1, ROW, ROW - 1, ROW + 1):
+        found = samples.copy()
+        found[back:] -= samples[:-back]
+        least = np.minimum(least, _bits(np.bincount(first + found, minlength=len(pages) << 8).reshape(-1, 256)))
+    out = []
+    for k in np.flatnonzero(least < 1.125 * bits_plain).tolist():
+        pixels = np.stack([np.zeros(len(pages[k]), np.int16), pages[k].astype(np.int16)], -1).reshape(-1, ROW, 2)
+        if min(_bits(np.bincount(residuals(pixels, m)[..., 1].astype(np.uint8).reshape(-1), minlength=256)) for m in range(1, 14)) < bits_plain[k]:
+            out.append(k)
+    return out
+
+
+def _fitted_modes(samples: np.ndarray) -> np.ndarray:
+    """Of all 14 modes, the one that leaves each tile the residuals of the lowest entropy."""
+    pixels = np.stack([np.zeros(len(samples), np.int16), samples.astype(np.int16)], -1).reshape(-1, ROW, 2)
+    across = -(-ROW >> TILE_BITS)
+    tile = (np.arange(len(pixels)) >> TILE_BITS)[:, None] * across + (np.arange(ROW) >> TILE_BITS)
+    n = int(tile.max()) + 1
+    found = [_bits(np.bincount(((tile << 8) + (residuals(pixels, m)[..., 1] & 255)).reshape(-1), minlength=n << 8).reshape(n, 256)) for m in range(14)]
+    return np.argmin(found, 0).reshape(-1, across)
+
+
+def _fitted_cache(samples: np.ndarray, literal: np.ndarray, others: np.ndarray) -> tuple[float, int]:
+    """The fewest bits that the ``literal`` places of a page take with a colour cache, beside ``others`` (counts of symbols), and
+    the size of that cache in bits."""
+    found, mine = [], np.zeros(len(samples), bool)
+    mine[literal] = True
+    for bits in range(1, 12):
+        place = cache_places(0xFF000000, bits)[samples]
+        order = np.argsort(place.astype(np.uint16), kind="stable")
+        hits = order[1:][(place[order][1:] == place[order][:-1]) & (samples[order][1:] == samples[order][:-1])]
+        symbols = samples.astype(np.int64)
+        symbols[hits] = 256 + LENGTH_CODES + place[hits]
+        counts = np.bincount(symbols[mine], minlength=256 + LENGTH_CODES)
+        counts[: len(others)] += others
+        found.append((float(_bits(counts)), bits))
+    return min(found)
+
+
+def _splits(parsed: Parsed) -> tuple[np.ndarray, np.ndarray]:
+    """Of each page the bits with one group of codes above the best row of tiles and another below, and that row (0: none)."""
+    n, edge = len(parsed.levels), ROW << META_BITS
+    rows = -(-parsed.levels.sum(1) // edge)
+    base = np.cumsum(rows) - rows
+    block = base[parsed.page] + (parsed.at - parsed.starts[parsed.page]) // edge
+    total = int(rows.sum())
+    page = np.repeat(np.arange(n), rows)
+    within = np.arange(total) - base[page]
+    bits, extra = np.full(total, 100.0), EXTRA_OF[parsed.length] + EXTRA_OF[parsed.written]
+    bits += np.bincount(parsed.page[parsed.copy], extra[parsed.copy], n)[page]
+    far = CODE_OF[parsed.written[parsed.copy]]
+    for where, symbols, size in ((block, parsed.green, 280), (block[parsed.copy], far, DISTANCE_CODES)):
+        counts = np.zeros((total + 1, size), np.int64)
+        counts[1:] = np.cumsum(np.bincount(where * size + symbols, minlength=total * size).reshape(total, size), 0)
+        above = counts[np.arange(total)] - counts[base[page]]
+        bits += _bits(above) + _bits(counts[(base + rows)[page]] - counts[base[page]] - above)
+    bits[within == 0] = np.inf
+    least = np.minimum.reduceat(bits, base)
+    return least, np.maximum.reduceat(np.where(bits == least[page], within, 0), base)
+
+
+def choose(pages: list[np.ndarray]) -> list[tuple[str, bytes]]:
+    """How each page (a multiple of ROW samples) is stored, and its VP8L stream: the smallest that was found. Literals and
+    back-references are weighed by counts. What else the content speaks for is coded as well and its size compared: a predictor
+    whose mode is fitted to each tile, where residuals need fewer bits than samples; a palette, where there are at most 16 levels;
+    two groups of codes, where counts of an upper and a lower part promise to save WORTH; a colour cache, where they do so with
+    its codes, tried where samples come back at once or parts differ (it gives one level two names, which pays only if levels
+    that share a place come in runs). Of grey residuals both subtract-green and cross-colour leave green alone; both are coded."""
+    parsed = Parsed(pages)
+    matched = parsed.bits_matched < parsed.bits_plain
+    out: list = [None] * len(pages)
+    if matched.any():
+        for k, data in zip(np.flatnonzero(matched).tolist(), parsed.streams(np.flatnonzero(matched))):
+            out[k] = "matched", data
+    if not matched.all():
+        plain = np.flatnonzero(~matched).tolist()
+        for k, data in zip(plain, encode_pages([(pages[k], "plain") for k in plain])):
+            out[k] = "plain", data
+    best = np.minimum(parsed.bits_matched, parsed.bits_plain)
+    split, row = _splits(parsed)
+    grouped = split < (1 - WORTH) * best
+    samples, literal = parsed.samples, np.flatnonzero(~parsed.copy & (parsed.at > 1))
+    at = parsed.at[literal]
+    again = (samples[at] == samples[at - 1]) | (samples[at] == samples[at - 2])
+    page, n = parsed.page[literal], len(pages)
+    cached = grouped | (np.bincount(page, again, n) * 4 > np.bincount(page, minlength=n))
+    tries: dict[int, list] = {k: [] for k in range(n)}
+    for k in _predictions(pages, parsed.bits_plain):
+        modes = _fitted_modes(pages[k])
+        tries[k] += [("predicted", lambda a, m=modes: encode(a, (PREDICTOR, SUBTRACT_GREEN), modes=m, tile_bits=TILE_BITS))]
+        tries[k] += [("predicted", lambda a, m=modes: encode(a, (PREDICTOR, CROSS_COLOR), modes=m, tile_bits=TILE_BITS, multipliers=0xFF002020))]
+    for k in np.flatnonzero((parsed.levels > 0).sum(1) <= 16).tolist():
+        tries[k] += [("palette", lambda a: encode(a, (PALETTE,)))]
+    for k in np.flatnonzero(cached).tolist():
+        a = parsed.starts[k]
+        literal, rest = parsed.at[parsed.part(k)][~parsed.copy[parsed.part(k)]] - a, parsed.greens[k] * (np.arange(280) >= 256)
+        for places, others, tokens in ((np.arange(len(pages[k])), rest * 0, False), (literal, rest, parsed.tokens(k))):
+            bits, size = _fitted_cache(pages[k], places, others)
+            if bits + (parsed.bits_far[k] if tokens else 0) < (1 - WORTH) * best[k]:
+                tries[k] += [("cached", lambda a, b=size, m=tokens: encode(a, (SUBTRACT_GREEN,), b, m))]
+    for k in np.flatnonzero(grouped).tolist():
+        rows = -(-len(pages[k]) // (ROW << META_BITS))
+        meta = np.repeat((np.arange(rows) >= row[k])[:, None], -(-ROW >> META_BITS), 1)
+        tries[k] += [("grouped", lambda a, m=meta, t=parsed.tokens(k): encode(a, (SUBTRACT_GREEN,), match=t, meta_bits=META_BITS, meta=m))]
+    for k, found in tries.items():
+        for name, code in found:
+            data = code(grey(pages[k]))
+            if len(data) < len(out[k][1]):
+                out[k] = name, data
+    return out
+
+
 def kind_of(samples: np.ndarray) -> str:
-    """How a page is stored. Pages of one level or that repeat themselves get a palette or back-references; the others go round by
-    their checksum, so every store holds pages with predictor and cross-colour, with a colour cache, and of literals alone."""
-    if len(samples) > MATCH_RATIO * len(zlib.compress(samples, 1)) or not np.any(samples != samples[0]):
-        return "matched"
-    return {0: "predicted", 1: "cached"}.get(zlib.crc32(samples) % 8, "plain")
+    """How a page is stored: plain, matched, predicted, palette, cached or grouped."""
+    return choose([samples])[0][0]
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
@@ -997,28 +1543,15 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     images one below the other."""
     step = ROW * PAGE_ROWS
     pages = [(k, np.frombuffer(p, np.uint8, min(step, len(p) - i), i)) for k, p in enumerate(payloads) for i in range(0, len(p), step)]
-    kinds = [kind_of(s) for _, s in pages]
-    coded: list = [None] * len(pages)
-    rest = []
-    for i, (_, s) in enumerate(pages):
-        if kinds[i] == "matched":
-            grey = s.astype(np.uint32) * 0x010101 | 0xFF000000
-            few = len(np.unique(s)) <= 16
-            coded[i] = encode(grey.reshape(-1, ROW), (PALETTE,) if few else (SUBTRACT_GREEN,))
-        else:
-            rest.append(i)
-    at = 0
-    while at < len(rest):
-        end, size = at, 0
-        while end < len(rest) and (size < 2 << 20 or end == at):
-            size += len(pages[rest[end]][1])
-            end += 1
-        for i, data in zip(rest[at:end], encode_pages([(pages[i][1], kinds[i]) for i in rest[at:end]])):
-            coded[i] = data
-        at = end
     out: list[list[bytes]] = [[] for _ in payloads]
-    for (k, _), data in zip(pages, coded):
-        out[k].append(data)
+    at = 0
+    while at < len(pages):
+        first, size = at, 0
+        while at < len(pages) and (size < CHOICE_BYTES or at == first):
+            size += len(pages[at][1])
+            at += 1
+        for (k, _), (_, data) in zip(pages[first:at], choose([s for _, s in pages[first:at]])):
+            out[k].append(data)
     return [wrap(x[0]) if len(x) == 1 else wrap_tiles(ROW, len(p) // ROW, [(0, PAGE_ROWS * k, data) for k, data in enumerate(x)]) for p, x in zip(payloads, out)]
 
 

@@ -94,6 +94,80 @@ def test_all_kinds_are_stored(spark):
     assert share["predicted"] > 0.05 and share["cached"] > 0.05 and share["plain"] > 0.5
 
 
+def content_pages():
+    """Pages whose content speaks for one way of storing each."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"etaoin shrdlu,.", np.uint8)
+    few = rng.choice(np.frombuffer(b".#", np.uint8), 192 * 40, p=(0.95, 0.05))
+    walk = (np.cumsum(rng.integers(-2, 3, 192 * 60)) % 256).astype(np.uint8)
+    halves = np.concatenate([rng.choice(letters, 192 * 64), rng.choice(letters + 128, 192 * 64)])
+    prose = np.frombuffer((b"The quick brown fox jumps over the lazy dog; " * 3 + rng.choice(letters, 57).tobytes()) * 8, np.uint8)
+    return {"plain": rng.integers(0, 256, 192 * 40, dtype=np.uint8), "palette": few, "predicted": walk, "grouped": halves, "matched": prose}
+
+
+def test_content_decides():
+    pages = content_pages()
+    for kind, samples in pages.items():
+        assert webp.kind_of(samples) == kind
+    for (kind, data), samples in zip(webp.choose(list(pages.values())), pages.values()):
+        (image,) = webp.decode_streams([data])
+        assert (image == webp.grey(samples)).all()
+        # Alone or beside others, a page is stored alike.
+        assert webp.choose([samples]) == [(kind, data)]
+    assert [t[0] for t in webp.Header(dict(webp.choose([pages["predicted"]]))["predicted"]).transforms][0] == PREDICTOR
+    assert len(webp.Header(dict(webp.choose([pages["grouped"]]))["grouped"]).groups) == 2
+
+
+def test_no_fixed_coding_is_smaller(spark):
+    """Texts are stored in no more bytes than any one way of storing all of them takes, page by page up to the error of counts."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(150).collect()]
+    pages = [np.frombuffer(media.payload_of(t)[1][: 192 * 128], np.uint8) for t in texts]
+    chosen = [len(data) for _, data in webp.choose(pages)]
+    for kind in ("plain", "predicted", "cached"):
+        fixed = [len(data) for data in webp.encode_pages([(p, kind) for p in pages])]
+        assert sum(chosen) < 0.9 * sum(fixed) and all(a <= 1.03 * b + 8 for a, b in zip(chosen, fixed))
+
+
+def test_references_by_arrays():
+    """Literals and copies read as arrays give what the general path gives; copies may overlap themselves and reach far."""
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(2, 12, 60)]
+    text = lambda n: b" ".join(words[int(rng.integers(60))] for _ in range(n))
+    pages = [text(int(n)) for n in rng.integers(1, 3000, 25)] + [b"ab" * 9000 + text(90), text(80) * 30]
+    pages = [np.frombuffer(p.ljust(-(-len(p) // 192) * 192, b" ")[: 192 * 128], np.uint8) for p in pages]
+    parsed = webp.Parsed(pages)
+    which = np.flatnonzero(np.isfinite(parsed.bits_matched))
+    streams = parsed.streams(which)
+    assert len(which) >= 25 and sum(webp.Header(s).referenced() for s in streams) >= 25
+    for k, data, image in zip(which, streams, webp.decode_streams(streams)):
+        head = webp.Header(data)
+        assert (image == webp.grey(pages[k])).all()
+        assert (head.finish(webp.read_pixels(head.bits, head.coded_width, head.height, 0, head.groups, None, 0)) == image).all()
+    a = rng.integers(0, 4, (30, 50)).astype(np.uint32) * 0x010101 | 0xFF000000  # another width, other places near by
+    data = webp.encode(a, (SUBTRACT_GREEN,))
+    assert webp.Header(data).referenced() and (webp.decode_streams([data])[0] == a).all()
+    for cut in (data[:-20], data[: len(data) // 2]):
+        with pytest.raises(ValueError):
+            webp.decode_streams([cut])
+
+
+def test_code_lengths_of_many_codes():
+    rng = np.random.default_rng(10)
+    for size, most in ((19, 7), (40, 11), (280, 11), (280, 15)):
+        counts = np.floor(rng.pareto(0.4, (60, size)) * 2).clip(0, 1e9).astype(np.int64) * (rng.random((60, size)) < rng.random((60, 1)))
+        counts[0], counts[1] = 0, np.arange(size) == 3
+        assert webp.all_code_lengths(counts, most).tolist() == [webp.code_lengths(c, most).tolist() for c in counts]
+
+
+def test_residuals_of_all_modes():
+    rng = np.random.default_rng(11)
+    pixels = rng.integers(0, 256, (6, 7, 4))
+    rows = pixels.tolist()
+    for mode in range(14):
+        want = [[[(a - b) & 255 for a, b in zip(rows[y][x], webp._around(rows, x, y, 7, mode))] for x in range(7)] for y in range(6)]
+        assert (webp.residuals(pixels, mode) & 255).tolist() == want
+
+
 def test_rows_predicted_from_above():
     rng = np.random.default_rng(6)
     for h, w in ((1, 1), (1, 9), (7, 1), (70, 130)):
