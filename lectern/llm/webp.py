@@ -35,6 +35,8 @@ TOKEN_BYTES = 1 << 15
 LEAST, REACH, LONGEST = 4, 64, 4096
 #: Predictor modes that look at the row above only; tile sizes and cache bits of stored samples, as powers of two.
 FROM_ABOVE, TILE_BITS, ONE_TILE, CACHE_BITS = (2, 3, 4, 8, 9), 6, 9, 6
+#: Half of the freed memory that a process keeps for its next arrays.
+KEPT_BYTES = 24 << 20
 #: Share of its bits that counts must promise to save before a page is coded in another way as well.
 WORTH = 0.01
 #: Tiles of groups of codes, as a power of two; bytes of pages whose coding is chosen together.
@@ -42,7 +44,7 @@ META_BITS, CHOICE_BYTES = 3, 1 << 18
 
 
 class Bits:
-    """Reads bits, lowest first."""
+    """Reads bits, lowest first, at most 57 at once."""
 
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
@@ -50,7 +52,7 @@ class Bits:
     def read(self, n: int) -> int:
         at = self.at
         first = at >> 3
-        value = int.from_bytes(self.data[first : first + 5], "little") >> (at & 7)
+        value = int.from_bytes(self.data[first : first + 8], "little") >> (at & 7)
         self.at = at + n
         return value & ((1 << n) - 1)
 
@@ -98,6 +100,37 @@ def turned(width: int) -> np.ndarray:
     return np.array(_REVERSED, np.int64)[: 1 << width] >> (15 - width)
 
 
+@functools.cache
+def keep_freed() -> None:
+    """glibc gives large blocks back to the system when they are freed, and the arrays of the next pages have to be paged in anew,
+    a sixth of the time of encoding them. After a block of this size was freed once it keeps up to twice as much for itself."""
+    np.empty(KEPT_BYTES, np.uint8)
+
+
+def numbers_at(data: np.ndarray, kind: str) -> np.ndarray:
+    """The number of type ``kind``, lowest byte first, that begins at each byte, as far as whole ones do."""
+    return np.ndarray(len(data) - np.dtype(kind).itemsize + 1, kind, data, 0, (1,)).copy()
+
+
+def walked(onward: np.ndarray) -> np.ndarray:
+    """Places on the way from 0 on, ascending: ``onward`` has the place after each, its length being the end. Only every eighth
+    place is reached one after another; those between follow from these, all at once."""
+    n = len(onward)
+    one = np.append(onward, n)
+    two = one[one]
+    four = two[two]
+    jump, at, found = four[four].data, 0, []
+    while at < n:
+        found.append(at)
+        at = jump[at]
+    places = np.array(found, np.int64)
+    for more in (four, two, one):
+        places = np.concatenate([places, more[places]])
+    mark = np.zeros(n + 1, bool)
+    mark[places] = True
+    return np.flatnonzero(mark[:n])
+
+
 def canonical(lengths: list[int] | np.ndarray) -> dict[int, tuple[int, int]]:
     """symbol -> (code with its first bit lowest, length)"""
     out, code, last = {}, 0, 0
@@ -109,13 +142,13 @@ def canonical(lengths: list[int] | np.ndarray) -> dict[int, tuple[int, int]]:
 
 
 def reversed_codes(lengths: np.ndarray) -> np.ndarray:
-    """Codes with their first bit lowest, of a complete prefix code of at least two symbols."""
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    room = 1 << (15 - lengths[order])
-    out = np.zeros(len(lengths), np.int64)
-    out[order] = turned(15)[np.cumsum(room) - room]
-    return out
+    """Codes with their first bit lowest, of complete prefix codes of at least two symbols (along the last axis)."""
+    order = np.argsort(np.where(lengths > 0, lengths, 16).astype(np.uint8), -1, kind="stable")
+    bits = np.take_along_axis(lengths, order, -1)
+    room = np.where(bits > 0, 1 << (15 - bits), 0)
+    out = np.zeros(lengths.shape, np.int64)
+    np.put_along_axis(out, order, turned(15)[np.minimum(np.cumsum(room, -1) - room, (1 << 15) - 1)], -1)
+    return np.where(lengths > 0, out, 0)
 
 
 def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
@@ -171,33 +204,47 @@ def all_code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     out = (counts > 0).astype(np.int64)
     order = np.argsort(np.where(counts > 0, counts, far), 1, kind="stable")[:, : max(2, int(n.max()))]
     width = order.shape[1]
-    weight = np.full((rows, 2 * width + 1), far)  # leaves, then joined nodes
     sorted_counts = np.take_along_axis(counts, order, 1)
+    # By row, leaves and then joined nodes; rows that are done go on with what weighs too much to matter.
+    span = 4 * width
+    weight = np.full((rows, span), far)
     weight[:, :width] = np.where(sorted_counts > 0, sorted_counts, far)
-    parent = np.zeros((rows, 2 * width), np.int64)
-    leaf, node = np.zeros(rows, np.int64), np.full(rows, width)
-    for new in range(width, 2 * width - 1):
-        live = np.flatnonzero(n - 1 > new - width)
-        total = 0
-        for _ in range(2):
-            a, b = leaf[live], node[live]
-            own = np.where(a < width, weight[live, np.minimum(a, width - 1)], far)
-            other = weight[live, b]
-            first = own <= other
-            first &= own < far
-            parent[live, np.where(first, a, b)] = new
-            total = total + np.where(first, own, other)
-            leaf[live], node[live] = a + first, b + ~first
-        weight[live, new] = total
-    depth = np.zeros((rows, 2 * width), np.int64)
-    each = np.arange(rows)
-    for k in range(2 * width - 2, width - 1, -1):
-        inner = k < width + n - 2
-        depth[:, k] = np.where(inner, depth[each, parent[:, k]] + 1, 0)
-    found = np.take_along_axis(depth, parent[:, :width], 1) + 1
+    flat, nodes = weight.reshape(-1), 2 * width
+    leaf = np.arange(rows) * span
+    node = leaf + nodes
+    both = leaf + node
+    first = np.empty((2 * width - 2, rows), bool)
+    for new in range(width - 1):
+        own, other = flat[leaf], flat[node]
+        np.less_equal(own, other, out=first[2 * new])
+        total = np.minimum(own, other)
+        leaf += first[2 * new]
+        both += 1
+        np.subtract(both, leaf, out=node)
+        own, other = flat[leaf], flat[node]
+        np.less_equal(own, other, out=first[2 * new + 1])
+        total += np.minimum(own, other)
+        leaf += first[2 * new + 1]
+        both += 1
+        np.subtract(both, leaf, out=node)
+        weight[:, nodes + new] = total
+    # The picks 2k and 2k + 1 are joined as node k.
+    first, pick = first.T, np.arange(2 * width - 2)
+    used, each = pick < 2 * n[:, None] - 2, np.arange(width)
+    joins = np.where(n > 1, n - 2, 0)[:, None]
+    parent = np.repeat(joins, width, 1)  # the root is its own
+    parent[each < joins] = np.nonzero(~first & used)[1] >> 1
+    depth = (each < joins).astype(np.int64)
+    while (parent < joins).any():
+        depth += np.take_along_axis(depth, parent, 1)
+        parent = np.take_along_axis(parent, parent, 1)
+    mine = (each < n[:, None]) & (n[:, None] > 1)
+    above = np.zeros((rows, width), np.int64)
+    above[mine] = np.nonzero(first & used)[1] >> 1
+    found = np.take_along_axis(depth, above, 1) + 1
     for k in np.flatnonzero(n > 1).tolist():
         size = found[k, : n[k]]
-        out[k, order[k, : n[k]]] = size if size[0] <= most else _limited(size.tolist(), weight[k, : n[k]].tolist(), most)
+        out[k, order[k, : n[k]]] = size if size[0] <= most else _limited(size.tolist(), sorted_counts[k, : n[k]].tolist(), most)
     return out
 
 
@@ -215,14 +262,17 @@ class Code:
         self.used, self.single = used, next(iter(used)) if len(used) == 1 else None
         if self.single is None:
             self.width, self.tables = max(used.values()), {}
-            if sum(1 << (15 - n) for n in used.values()) != 1 << 15:
+            if sum(map((1 << 15).__rshift__, used.values())) != 1 << 15:
                 raise ValueError("a prefix code that is not complete")
 
     @functools.cached_property
     def table(self) -> list[tuple[int, int]]:
         """(symbol, length) by the next ``width`` bits."""
-        entries = self.entries(self.width)
-        return list(zip((entries >> 4).tolist(), (entries & 15).tolist()))
+        out, start = [(0, 0)] * (1 << self.width), 0
+        for n, symbol in sorted([(n, s) for s, n in self.used.items()]):
+            out[reverse(start >> (15 - n), n) :: 1 << n] = [(symbol, n)] * (1 << (self.width - n))
+            start += 1 << (15 - n)
+        return out
 
     def entries(self, width: int) -> np.ndarray:
         """symbol << 4 | length by the next ``width`` bits; a single symbol takes none."""
@@ -243,15 +293,27 @@ class Code:
         return symbol
 
 
+def tables(codes: list[Code]) -> np.ndarray:
+    """``entries`` of MOST_BITS of each code, all codes together."""
+    lengths = np.full((len(codes), 1 + max(max(c.used) for c in codes)), 16, np.uint8)
+    for row, c in zip(lengths, codes):
+        row[list(c.used)] = list(c.used.values()) if c.single is None else 0
+    order = np.argsort(lengths, 1, kind="stable")
+    bits = np.take_along_axis(lengths, order, 1).astype(np.int64)
+    room = np.where(bits < 16, 1 << np.maximum(MOST_BITS - bits, 0), 0)
+    return np.repeat((order << 4 | bits).astype(np.uint16).reshape(-1), room.reshape(-1)).reshape(len(codes), -1)[:, turned(MOST_BITS)]
+
+
 def read_lengths(bits: Bits, size: int) -> dict[int, int]:
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        lengths = {bits.read(8 if wide else 1): 1}
-        if two:
+    head = bits.read(4)
+    if head & 1:
+        lengths = {head >> 3 | bits.read(7) << 1 if head & 4 else head >> 3: 1}
+        if head & 2:
             lengths[bits.read(8)] = 1
         return lengths
-    n = 4 + bits.read(4)
-    inner = Code({CODE_LENGTH_ORDER[k]: bits.read(3) for k in range(n)})
+    n = 4 + (head >> 1 | bits.read(1) << 3)
+    sizes = bits.read(3 * n)
+    inner = Code({CODE_LENGTH_ORDER[k]: sizes >> 3 * k & 7 for k in range(n)})
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths: dict[int, int] = {}
     symbol, previous = 0, 8
@@ -696,10 +758,7 @@ def _greens(heads: list[Header], cached: bool) -> list[np.ndarray | None]:
             data.append(head.bits.data)
             starts[k] = 8 * offset + head.bits.at
             offset += len(head.bits.data)
-        raw = np.frombuffer(b"".join([*data, b"\0\0\0\0"]), np.uint8)
-        window = raw[:-2].astype(np.uint32)
-        window |= raw[1:-1].astype(np.uint32) << 8
-        window |= raw[2:].astype(np.uint32) << 16
+        window = numbers_at(np.frombuffer(b"".join([*data, bytes(5)]), np.uint8), "<u4")
         flat, base, at = tables.reshape(-1), np.arange(n) << MOST_BITS, starts
         longest = int(sizes[mine[0]])
         symbols = np.zeros((longest, n), np.uint8)
@@ -780,24 +839,25 @@ def _tokens(heads: list[Header], ends: np.ndarray) -> tuple[np.ndarray, ...]:
     the walk from symbol to symbol is one after another."""
     datas = [h.bits.data for h in heads]
     starts = np.cumsum([0] + [len(d) for d in datas])
-    raw = np.frombuffer(b"".join([*datas, bytes(8)]), np.uint8).astype(np.uint32)
-    window = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    code = ((window.astype(np.int64)[:, None] >> np.arange(8)) & ((1 << MOST_BITS) - 1)).reshape(-1)
-    greens, fars = (np.concatenate([h.groups[0][k].entries(MOST_BITS) for h in heads]) for k in (0, 4))
+    window = numbers_at(np.frombuffer(b"".join([*datas, bytes(8)]), np.uint8), "<u4")
+    code = ((window.astype(np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64((1 << MOST_BITS) - 1)).reshape(-1).view(np.int64)
+    greens, fars = (tables([h.groups[0][k] for h in heads]).reshape(-1) for k in (0, 4))
     steps = STEP_OF[greens] | FAR_STEP_OF[fars].astype(np.uint16) << 8
-    both = np.zeros(len(code), np.uint16)
+    both = np.zeros(len(code), "<u2")
     for k, (a, b) in enumerate(zip(8 * starts, 8 * starts[1:])):
         np.take(steps[k << MOST_BITS : (k + 1) << MOST_BITS], code[a:b], out=both[a:b], mode="clip")
-    step = (both & 127).astype(np.uint8)
-    copy = np.flatnonzero(both & 128)
-    step[copy] += (both >> 8).astype(np.uint8)[np.minimum(copy + step[copy], len(code) - 1)]
-    walk, steps = bytearray(len(code)), step.tobytes()
+    step, far_step = both.view(np.uint8)[::2] & 127, both.view(np.uint8)[1::2]
+    copy = np.flatnonzero((both & 128).astype(bool))
+    step[copy] += far_step[np.minimum(copy + step[copy], len(code) - 1)]
+    # One way through all streams: from the end of one to its successor's first symbol, which its first bit never is.
+    end = 8 * int(starts[-1])
+    onward = np.arange(end) + step[:end]
     for h, a, b in zip(heads, (8 * starts).tolist(), (8 * starts[1:]).tolist()):
-        at = a + h.bits.at
-        while at < b:
-            walk[at] = 1
-            at += steps[at]
-    at = np.flatnonzero(np.frombuffer(walk, np.uint8))
+        tail = onward[max(a, b - 64) : b]
+        np.minimum(tail, b, out=tail)
+        onward[a] = min(a + h.bits.at, b)
+    at = walked(onward)
+    at = np.delete(at, np.searchsorted(at, 8 * starts[:-1]))
     counts = np.diff(np.searchsorted(at, 8 * starts))
     image = np.repeat(np.arange(len(heads)), counts)
     peek = lambda at: window[np.minimum(at >> 3, len(window) - 1)] >> (at & 7).astype(np.uint32)
@@ -854,6 +914,7 @@ def cache_places(base: int, cache_bits: int) -> np.ndarray:
 
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     """Pixels (height, width) of many VP8L streams."""
+    keep_freed()
     heads = [Header(p) for p in streams]
     plain = [h.plain() for h in heads]
     referenced = [not p and h.referenced() for h, p in zip(heads, plain)]
@@ -889,8 +950,15 @@ def prefix_of(value: int) -> tuple[int, int, int]:
 def write_lengths(sink: Sink, lengths: np.ndarray) -> None:
     """A prefix code: simple where it has one or two symbols of 8 bits, else by lengths, runs of zeros folded."""
     tokens = length_tokens(lengths)
-    inner = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7) if tokens else lengths
-    sink.put(*length_bits(lengths, tokens, inner))
+    inner = paired(code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)[None]) if tokens else lengths[None]
+    sink.put(*length_bits(lengths, tokens, inner[0], reversed_codes(inner)[0]))
+
+
+def paired(lengths: np.ndarray) -> np.ndarray:
+    """Codes (rows) of lengths with a second symbol where one has a single symbol."""
+    alone = np.flatnonzero((lengths > 0).sum(1) == 1)
+    lengths[alone, np.where(lengths[alone, 0] > 0, 1, 0)] = 1
+    return lengths
 
 
 def length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
@@ -917,16 +985,14 @@ def length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     return tokens
 
 
-def length_bits(lengths: np.ndarray, tokens: list[tuple[int, int, int]], inner: np.ndarray) -> tuple[int, int]:
-    """The bits of a prefix code, and their number; ``inner``: lengths of the code of its tokens."""
+def length_bits(lengths: np.ndarray, tokens: list[tuple[int, int, int]], inner: np.ndarray, codes: np.ndarray) -> tuple[int, int]:
+    """The bits of a prefix code, and their number; ``inner`` and ``codes``: lengths and codes of its tokens."""
     if not tokens:
         used = np.flatnonzero(lengths).tolist()
         first = used[0] if used else 0
         value, at = 1 | (len(used) == 2) << 1 | (first > 1) << 2 | first << 3, 11 if first > 1 else 4
         return (value | used[1] << at, at + 8) if len(used) == 2 else (value, at)
-    if np.count_nonzero(inner) == 1:
-        inner[0 if not inner[0] else 1] = 1
-    codes, inner = reversed_codes(inner).tolist(), inner.tolist()
+    codes, inner = codes.tolist(), inner.tolist()
     n = max(4, max(k for k in range(19) if inner[CODE_LENGTH_ORDER[k]]) + 1)
     value, at = (n - 4) << 1, 5
     for k in range(n):
@@ -1257,27 +1323,26 @@ class Parsed:
         sizes = np.array([len(p) for p in pages])
         s = np.concatenate(pages)
         ends = np.cumsum(sizes)
+        self.starts = ends - sizes
         page = np.repeat(np.arange(len(pages), dtype=np.int32), sizes)
         left = np.repeat(ends.astype(np.int32), sizes) - np.arange(len(s), dtype=np.int32)
-        self.levels = np.bincount((page << 8) + s, minlength=len(pages) << 8).reshape(-1, 256)
+        level = np.repeat(np.arange(len(pages)) << 8, sizes) + s
+        self.levels = np.bincount(level, minlength=len(pages) << 8).reshape(-1, 256)
         share = np.log2(np.maximum(self.levels, 1))
         cost = (np.log2(sizes)[:, None] - share).astype(np.float32)
-        literal = np.concatenate([[0], np.cumsum(cost.reshape(-1)[(page << 8) + s], dtype=np.float64)])
-        here, length, far = _earlier(s, page, left)
+        literal = np.zeros(len(s) + 1)
+        np.cumsum(cost.reshape(-1)[level], dtype=np.float64, out=literal[1:])
+        here, length, far = _earlier(s, page, left, self.starts)
         # A copy takes about four bits for its length and its distance each, and their extra bits.
         gain = (literal[here + length] - literal[here] - 8 - EXTRA_OF[length] - EXTRA_WRITTEN[far]).astype(np.float32)
         gains = np.zeros(len(s) + 1, np.float32)
         gains[here] = gain
         better = (gain > 0) & (gain >= gains[here + 1])
         here, length, far = here[better], length[better], far[better]
-        step, away = np.ones(len(s), np.uint16), np.zeros(len(s), np.int64)
+        step, away = np.ones(len(s), np.int64), np.zeros(len(s), np.int64)
         step[here], away[here] = length, far
-        walk, steps, at, n = bytearray(len(s)), step.data, 0, len(s)
-        while at < n:
-            walk[at] = 1
-            at += steps[at]
-        self.at = np.flatnonzero(np.frombuffer(walk, np.uint8))
-        self.length, self.far = step[self.at].astype(np.int64), away[self.at]
+        self.at = walked(np.arange(len(s)) + step)
+        self.length, self.far = step[self.at], away[self.at]
         self.page, copy = page[self.at], self.far > 0
         self.green = np.where(copy, 256 + CODE_OF[self.length], s[self.at])
         self.written = WRITTEN[self.far]
@@ -1285,7 +1350,6 @@ class Parsed:
         self.fars = np.bincount(self.page[copy] * 40 + CODE_OF[self.written[copy]], minlength=len(pages) * 40).reshape(-1, 40)
         extra = np.bincount(self.page[copy], EXTRA_OF[self.length[copy]] + EXTRA_OF[self.written[copy]], len(pages))
         self.samples, self.copy = s, copy
-        self.starts = ends - sizes
         self.bits_plain = _bits(self.levels)
         self.bits_far = _bits(self.fars) + extra
         self.bits_matched = np.where(self.fars.any(1), _bits(self.greens) + self.bits_far, np.inf)
@@ -1309,10 +1373,10 @@ class Parsed:
             sizes = all_code_lengths(counts, MOST_BITS)
             tokens = [length_tokens(x) for x in sizes]
             used = np.array([np.bincount([t[0] for t in x], minlength=19) if x else np.zeros(19, np.int64) for x in tokens])
-            inner = all_code_lengths(used, 7)
-            parts.append([length_bits(*x) for x in zip(sizes, tokens, inner)])
-            for k in np.flatnonzero((sizes > 0).sum(1) > 1).tolist():
-                codes[k, part], bits[k, part] = reversed_codes(sizes[k]), sizes[k]
+            inner = paired(all_code_lengths(used, 7))
+            parts.append([length_bits(*x) for x in zip(sizes, tokens, inner, reversed_codes(inner))])
+            several = np.flatnonzero((sizes > 0).sum(1) > 1)
+            codes[several, part], bits[several, part] = reversed_codes(sizes[several]), sizes[several]
         for p, green, far in zip(which.tolist(), *parts):
             sink = Sink()
             _head(sink, ROW, (int(self.levels[p].sum())) // ROW, False)
@@ -1357,37 +1421,48 @@ def _last(key: np.ndarray, place: np.ndarray, total: int) -> tuple[np.ndarray, n
     return place[same + 1], place[same]
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of eight samples each, those that agree before the first that differs."""
+    differ = a ^ b
+    return np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3  # 8 where nothing differs
+
+
 def _agreeing(eight: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
     """Samples that agree at two places, at most REACH; ``eight`` holds eight of them at each place."""
-    length, going = np.zeros(len(here), np.int32), np.arange(len(here))
-    for k in range(0, REACH, 8):
-        differ = eight[here[going] + k] ^ eight[there[going] + k]
-        agree = np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3  # 8 where nothing differs
+    length = _agree(eight[here], eight[there]).astype(np.int32)
+    going = np.flatnonzero(length == 8)
+    for k in range(8, REACH, 8):
+        agree = _agree(eight[here[going] + k], eight[there[going] + k])
         length[going] += agree
         going = going[agree == 8]
     return length
 
 
-def _earlier(s: np.ndarray, page: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _earlier(s: np.ndarray, page: np.ndarray, left: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places where LEAST samples stand that stood in the page before: place, samples that agree, distance. The last such place
     counts, in pages that repeat themselves the last one where 16 or 48 samples agree, if there is one."""
-    eight = np.concatenate([s, np.zeros(REACH + 8, np.uint8)]).astype(np.uint64)
-    for k in (1, 2, 4):
-        eight[:-k] |= eight[k:] << np.uint64(8 * k)
-    four = eight[: len(s)].astype(np.uint32)
-    own, mix = page.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-    key, place = (four ^ own) * mix, np.arange(len(s), dtype=np.int32)
-    here, there = _last(key, place, len(s))
-    same = page[here] == page[there]
-    here, there = here[same], there[same]
+    padded = np.concatenate([s, np.zeros(REACH + 8, np.uint8)])
+    eight, place = numbers_at(padded, "<u8"), np.arange(len(s), dtype=np.int32)
+    # Equal samples of a page stand side by side, by place, when they are sorted with the place in the low bits.
+    key = numbers_at(padded, "<u4")[: len(s)].astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(s)]):
+        key[a:b].sort()
+    same = key[1:] >> np.uint64(32) == key[:-1] >> np.uint64(32)
+    same[starts[1:] - 1] = False
+    same = np.flatnonzero(same)
+    place_of = key.view("<u4")[::2].astype(np.int32)
+    here, there = place_of[same + 1], place_of[same]
     length = np.minimum(_agreeing(eight, here, there), left[here])
     if (length < LEAST).any():  # across the end of a page
         here, there, length = (x[length >= LEAST] for x in (here, there, length))
     whole, back = np.zeros(len(s) + 1, np.int32), np.zeros(len(s) + 1, np.int32)
     whole[here], back[here] = length, here - there
-    pages = int(page[-1]) + 1
-    often = (4 * np.bincount(page[whole[:-1] >= 8], minlength=pages) > np.bincount(page, minlength=pages))[page]
-    for long in (16, 48) if often.any() else ():
+    often = 4 * np.add.reduceat(whole[:-1] >= 8, starts, dtype=np.int64) > np.diff(starts, append=len(s))
+    again = often.any()
+    if again:
+        often, mix = often[page], np.uint64(0x9E3779B97F4A7C15)
+        own = page.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for long in (16, 48) if again else ():
         mine = place[often & (left >= long)]
         key = own[mine]
         for k in range(0, long, 8):
@@ -1399,7 +1474,7 @@ def _earlier(s: np.ndarray, page: np.ndarray, left: np.ndarray) -> tuple[np.ndar
         length = np.minimum(_agreeing(eight, here, there), left[here])
         here, there, length = (x[length >= long] for x in (here, there, length))
         whole[here], back[here] = length, here - there
-    here = np.flatnonzero(whole[:-1])
+    here = np.flatnonzero(whole[:-1] > 0)
     going = here[whole[here] == REACH]
     while len(going):
         # What agrees as far as was looked goes on where the same distance agrees from there on.
@@ -1541,6 +1616,7 @@ def kind_of(samples: np.ndarray) -> str:
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a multiple of ROW bytes) as grey samples in one file: an image of up to PAGE_ROWS rows, or a canvas of such
     images one below the other."""
+    keep_freed()
     step = ROW * PAGE_ROWS
     pages = [(k, np.frombuffer(p, np.uint8, min(step, len(p) - i), i)) for k, p in enumerate(payloads) for i in range(0, len(p), step)]
     out: list[list[bytes]] = [[] for _ in payloads]

@@ -1,5 +1,7 @@
 import hashlib
 import itertools
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -159,6 +161,58 @@ def test_code_lengths_of_many_codes():
         assert webp.all_code_lengths(counts, most).tolist() == [webp.code_lengths(c, most).tolist() for c in counts]
 
 
+def test_codes_of_many_at_once():
+    rng = np.random.default_rng(12)
+    counts = np.floor(rng.pareto(0.4, (40, 280)) * 2).clip(0, 1e9).astype(np.int64) * (rng.random((40, 280)) < rng.random((40, 1)))
+    counts[0], counts[1] = np.arange(280) == 7, np.arange(280) < 2
+    lengths = webp.all_code_lengths(counts, webp.MOST_BITS)
+    lengths = lengths[(lengths > 0).any(1)]
+    codes = [webp.Code({s: n for s, n in enumerate(row) if n}) for row in lengths.tolist()]
+    assert webp.tables(codes).tolist() == [c.entries(webp.MOST_BITS).tolist() for c in codes]
+    for row, code, found in zip(lengths, codes, webp.reversed_codes(lengths)):
+        if code.single is None:
+            assert {s: (c, n) for s, (c, n) in enumerate(zip(found.tolist(), row.tolist())) if n} == webp.canonical(row)
+            assert code.table == [(x >> 4, x & 15) for x in code.entries(code.width).tolist()]
+
+
+def test_walked():
+    rng = np.random.default_rng(13)
+    for n in (1, 2, 7, 8, 9, 1000, 5000):
+        for most in (1, 2, 30, 2 * n):
+            onward = np.minimum(np.arange(n) + rng.integers(1, most + 1, n), n)
+            at, places = 0, []
+            while at < n:
+                places.append(at)
+                at = int(onward[at])
+            assert webp.walked(onward).tolist() == places
+
+
+def test_numbers_at():
+    data = bytes(range(200, 255))
+    for kind, size in (("<u4", 4), ("<u8", 8)):
+        assert webp.numbers_at(np.frombuffer(data, np.uint8), kind).tolist() == [int.from_bytes(data[k : k + size], "little") for k in range(len(data) - size + 1)]
+
+
+def test_freed_memory_is_used_again():
+    """Pages are coded in memory that the process has, not in new pages of the system for each array."""
+    code = """
+import resource
+import numpy as np
+from lectern.llm import webp
+
+rng = np.random.default_rng(14)
+words = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(2, 12, 600)]
+payloads = [b" ".join(words[k] for k in rng.integers(0, 600, 600)).ljust(192 * 45, b" ")[: 192 * 20] for _ in range(400)]
+for _ in range(2):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    assert webp.decode_payloads(webp.encode_payloads(payloads)) == payloads
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=webp.__file__.rsplit("/", 3)[0])
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 10_000
+
+
 def test_residuals_of_all_modes():
     rng = np.random.default_rng(11)
     pixels = rng.integers(0, 256, (6, 7, 4))
