@@ -10,6 +10,8 @@ beyond 4 GiB is an error, found from the sums; a chunk that is no WAV is an erro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from .scan import running
 
 #: Bytes of a part.
 PART = 8 << 20
+#: The audio of a chunk out of the column that it is made of.
+Made = Callable[[Column], Column]
 
 
 #: Chunks of a WAV that are gone over at first; where the audio is not among them, as many as its bytes can hold.
@@ -58,28 +62,61 @@ def parsed(rows: DataFrame, audio: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in (audio, "__few", "__at")], *(c.alias(n) for n, c in pieces.items()))
 
 
-def segments(chunks: DataFrame, key: str, order: str, audio: str) -> DataFrame:
-    """(key, order, offset, bytes): the pieces of each file by their place; order is null for the file's header. Empty pieces are left
-    out."""
-    rows = kept(parsed(chunks.where(F.col(audio).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(audio).alias("audio")), "audio"))
-    sizes = rows.select("key", "at", F.octet_length("data").cast("long").alias("size"), F.octet_length("head").cast("long").alias("head_size"))
+def _placed(chunks: DataFrame, key: str, order: str, audio: str, made: Made) -> DataFrame:
+    """(key, at, audio) of the chunks with their places: their file's first chunk, number of chunks and bytes of audio in all, the
+    bytes of its header, the bytes of audio before the chunk, and (begin, size) of the audio within the chunk. Audio is made to be
+    measured, and not kept: it may be hundreds of times as large as what it is made of."""
+    chunks = chunks.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(audio).alias("audio"))
+    measured = parsed(chunks.select("key", "at", made(F.col("audio")).alias("audio")).where(F.col("audio").isNotNull()), "audio")
+    sizes = kept(measured.select("key", "at", F.octet_length("data").cast("long").alias("size"), F.octet_length("head").alias("head_size")))
     placed = running(sizes, ["key"], ["at"], inclusive=False, before=("sum", F.col("size")))
     files = kept(sizes.groupBy("key").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("chunks"), F.min(F.struct("at", "head_size")).alias("first")))
     files = files.select("key", "total", "chunks", F.col("first.at").alias("first"), F.col("first.head_size").alias("top"))
     too_large = F.col("top") + F.col("total") > (1 << 32) - 1
     files = files.withColumn("total", F.when((F.col("chunks") > 1) & too_large, F.raise_error(F.concat(F.lit("joined audio too large: "), F.col("total").cast("string"), F.lit(" bytes"))).cast("long")).otherwise(F.col("total")))
-    # Places and sums meet first, as they are narrow; audio is dealt out once.
-    every = rows.join(placed.select("key", "at", "before").join(files, "key"), ["key", "at"])
-    n = F.octet_length("head")
-    renewed = F.concat(F.substring("head", 1, 4), little(F.col("top") + F.col("total") - 8), F.col("head").substr(F.lit(9), n - 12), little(F.col("total")))
-    head = F.when(F.col("at") == F.col("first"), F.when(F.col("chunks") > 1, renewed).otherwise(F.col("head")))
-    place = F.col("top") + F.col("before")
-    piece = lambda at, offset, data: F.struct(at.alias("at"), offset.alias("offset"), data.alias("bytes"))
-    rest = F.when(F.col("chunks") == 1, F.col("rest"))
-    none = F.lit(None).cast(dict(every.dtypes)["at"])
-    pieces = F.array(piece(none, F.lit(0).cast("long"), head), piece(F.col("at"), place, F.col("data")), piece(F.col("at"), place + F.octet_length("data"), rest))
-    out = every.select("key", F.explode(pieces).alias("s")).where(F.octet_length("s.bytes") > 0)
-    return out.select(F.col("key").alias(key), F.col("s.at").alias(order), F.col("s.offset").alias("offset"), F.col("s.bytes").alias("bytes"))
+    # Places and sums meet first, as they are narrow; what audio is made of is dealt out once.
+    return chunks.join(placed.join(files, "key"), ["key", "at"])
+
+
+def _pieces(rows: DataFrame) -> Column:
+    """The pieces that a placed chunk gives to its file, by kind: its header, its audio, what comes after it (of a single chunk)."""
+    n, none = F.col("size"), F.lit(None).cast(dict(rows.dtypes)["at"])
+    piece = lambda kind, at, offset: F.struct(F.lit(kind).alias("kind"), at.alias("at"), offset.alias("offset"))
+    start = F.col("top") + F.col("before")
+    every = F.array(piece("head", none, F.lit(0).cast("long")), piece("data", F.col("at"), start), piece("rest", F.col("at"), start + n))
+    return F.filter(every, lambda p: ((p["kind"] == "head") & (F.col("at") == F.col("first"))) | ((p["kind"] == "data") & (n > 0)) | ((p["kind"] == "rest") & (F.col("chunks") == 1)))
+
+
+def _bytes(kind: Column, wav: Column, x: Callable[[str], Column]) -> Column:
+    """The bytes of a piece, cut out of its chunk's WAV; ``x`` gives the chunk's numbers."""
+    top, total, n = x("top").cast("int"), x("total"), x("head_size")
+    renewed = F.concat(F.substring(wav, 1, 4), little(top + total - 8), wav.substr(F.lit(9), n - 12), little(total))
+    head = F.when(x("chunks") > 1, renewed).otherwise(wav.substr(F.lit(1), n))
+    end = n + x("size").cast("int")
+    return F.when(kind == "head", head).when(kind == "data", wav.substr(n + 1, x("size").cast("int"))).otherwise(wav.substr(end + 1, F.octet_length(wav)))
+
+
+def segments(chunks: DataFrame, key: str, order: str, audio: str, made: Made = lambda c: c) -> DataFrame:
+    """(key, order, offset, bytes): the pieces of each file by their place; order is null for the file's header. Empty pieces are left
+    out. Where the audio of a chunk is ``made`` of a column, that column is kept and dealt out in place of it."""
+    rows = _placed(chunks, key, order, audio, made)
+    rows = rows.withColumn("wav", made(F.col("audio"))).withColumn("p", F.explode(_pieces(rows)))
+    out = rows.select(F.col("key").alias(key), F.col("p.at").alias(order), F.col("p.offset").alias("offset"), _bytes(F.col("p.kind"), F.col("wav"), F.col).alias("bytes"))
+    return out.where(F.octet_length("bytes") > 0)
+
+
+def files(chunks: DataFrame, key: str, order: str, audio: str, made: Made = lambda c: c, most: int = PART) -> DataFrame:
+    """The parts of files out of their chunks, as ``parts`` puts segments together; but audio that is ``made`` of a column is made
+    only when a part is put together, by the task that does so."""
+    rows = _placed(chunks, key, order, audio, made)
+    numbers = ("head_size", "size", "top", "total", "chunks")
+    rows = rows.withColumn("p", F.explode(_pieces(rows))).select("key", F.expr(f"p.offset div {most}").alias("part"), F.struct("p.offset", "p.kind", "audio", *numbers).alias("s"))
+    rows = rows.groupBy("key", "part").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    # Bytes under the name of a text, which are joined as they are.
+    cut = lambda s: _bytes(s["kind"], made(s["audio"]), lambda name: s[name]).cast("string")
+    whole = F.concat_ws("", F.transform("s", cut)).cast("binary")
+    rows = rows.select(F.col("key").alias(key), "part", F.element_at("s", 1)["offset"].alias("offset"), whole.alias("bytes"))
+    return rows.where(F.octet_length("bytes") > 0)
 
 
 def parts(pieces: DataFrame, key: str, most: int = PART) -> DataFrame:

@@ -195,14 +195,14 @@ def joined_lines(s: SparkSession, d: str) -> DataFrame:
 def line_segments(s: SparkSession, d: str) -> DataFrame:
     """Where the tone of each line lies in its document's file, header first."""
     lines = V.text_parts(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    made = recordings.segments(lines.select("doc_id", "k", audio.tone(F.col("line")).alias("audio")), "doc_id", "k", "audio")
+    made = recordings.segments(lines, "doc_id", "k", "line", audio.tone)
     return made.select("doc_id", "k", "offset", F.octet_length("bytes").cast("long").alias("bytes"))
 
 
 def file_parts(s: SparkSession, d: str) -> DataFrame:
     """Files of lines in parts of 100,000 bytes and what they begin with."""
     lines = V.text_parts(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    made = recordings.parts(recordings.segments(lines.select("doc_id", "k", audio.tone(F.col("line")).alias("audio")), "doc_id", "k", "audio"), "doc_id", 100_000)
+    made = recordings.files(lines, "doc_id", "k", "line", audio.tone, 100_000)
     le = lambda at: F.when(F.col("part") == 0, F.hex(F.substring("bytes", at, 4)))
     return made.select("doc_id", "part", "offset", F.octet_length("bytes").cast("long").alias("bytes"), le(5).alias("riff"), le(41).alias("size"))
 
